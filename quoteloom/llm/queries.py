@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .decontamination import decontaminate, with_digest
 from .exact_dedup import exact_dedup
 from .near_dedup import near_components
+from .packing import pack_documents
+from .token_files import token_files
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,7 +26,28 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op4_exact_dedup, op8_simhash_near_dedup)}
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files(table(spark, sf_dir, "documents"))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents")).drop("loss")
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_digest(decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op2_token_files,
+        op4_exact_dedup,
+        op8_simhash_near_dedup,
+        op9_packing,
+        op10_decontamination,
+    )
+}
 
 ORACLES = {
     "op4_exact_dedup": r"""
@@ -35,4 +59,26 @@ ORACLES = {
           SELECT *, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size
           FROM bare WINDOW w AS (PARTITION BY text_sha256 ORDER BY points DESC, doc_id))
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM best""",
+    "op10_decontamination": r"""
+        WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(
+                     translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                     '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w FROM documents),
+        b AS (SELECT item_id, list_filter(regexp_split_to_array(
+                     translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                     '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w FROM benchmark),
+        win AS (SELECT DISTINCT item_id, m, array_to_string(w[i : i + m - 1], ' ') AS g
+                FROM (SELECT item_id, w, least(10, len(w)) AS m,
+                             unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM b WHERE len(w) > 0)),
+        sizes AS (SELECT DISTINCT m FROM win),
+        grams AS (SELECT doc_id, m, i, array_to_string(w[i : i + m - 1], ' ') AS g
+                  FROM (SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM d, sizes WHERE len(w) >= m)),
+        hits AS (SELECT grams.doc_id, grams.i, grams.m, win.item_id FROM grams JOIN win USING (m, g)),
+        places AS (SELECT doc_id, count(DISTINCT p) AS n_hit
+                   FROM (SELECT doc_id, unnest(range(i, i + m)) AS p FROM hits) GROUP BY doc_id),
+        items AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS joined
+                  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS s FROM hits) GROUP BY doc_id)
+        SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
+               coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(joined, '')) AS items_sha256,
+               coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN places ON d.doc_id = places.doc_id LEFT JOIN items ON d.doc_id = items.doc_id""",
 }
