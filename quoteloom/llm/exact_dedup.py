@@ -71,7 +71,7 @@ def _streamed(batches: Iterator[pa.RecordBatch], run_of) -> Iterator[pa.RecordBa
     for batch in batches:
         if not batch.num_rows:
             continue
-        table = pa.Table.from_batches([batch])
+        table = pa.Table.from_arrays(batch.columns, names=batch.schema.names)  # without Spark's nullability
         merged = _reduced(pa.concat_tables([held, table]) if held is not None else table)
         held = merged.slice(merged.num_rows - 1)
         yield from run_of(merged.slice(0, merged.num_rows - 1)).to_batches()
