@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from .decontamination import decontaminate, with_digest
 from .exact_dedup import exact_dedup
+from .language_id import identify
 from .near_dedup import near_components
 from .packing import pack_documents
+from .token_counts import lengths, suffix_sums
 from .token_files import token_files
 
 
@@ -16,11 +18,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_sums(lengths(table(spark, sf_dir, "documents")))
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_components(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -42,7 +52,9 @@ QUERIES = {
     f.__name__: f
     for f in (
         op2_token_files,
+        op3_language_id,
         op4_exact_dedup,
+        op7_token_counts,
         op8_simhash_near_dedup,
         op9_packing,
         op10_decontamination,
