@@ -10,8 +10,10 @@ from .exact_dedup import exact_dedup
 from .language_id import identify
 from .near_dedup import near_components
 from .packing import pack_documents
+from .preferences import conversations, format_pairs, pairs_by_opening, with_digests
 from .token_counts import lengths, suffix_sums
 from .token_files import token_files
+from .warc import archive_round_trip
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +29,13 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op5_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs by opening and, as chosen and rejected often lie side by side, each even id with the next."""
+    whole = conversations(table(spark, sf_dir, "conversations"))
+    beside = whole.where("conv_id % 2 = 0").select(F.col("conv_id").alias("chosen_id"), (F.col("conv_id") + 1).alias("rejected_id"))
+    return with_digests(format_pairs(whole, pairs_by_opening(whole).union(beside)))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_sums(lengths(table(spark, sf_dir, "documents")))
 
@@ -36,6 +45,10 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_round_trip(table(spark, sf_dir, "pages")).drop("url")
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents"))
 
@@ -51,9 +64,11 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_warc,
         op2_token_files,
         op3_language_id,
         op4_exact_dedup,
+        op5_preferences,
         op7_token_counts,
         op8_simhash_near_dedup,
         op9_packing,
@@ -62,6 +77,14 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+        d AS (SELECT page_id, strlen(h) AS payload_bytes, sha1(h) AS payload_digest FROM p),
+        f AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first_id FROM d)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN first_id = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN first_id <> page_id THEN first_id END AS refers_to
+        FROM f""",
     "op4_exact_dedup": r"""
         WITH bare AS (
           SELECT doc_id, length(coalesce(text, '')) AS points,
@@ -71,6 +94,32 @@ ORACLES = {
           SELECT *, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size
           FROM bare WINDOW w AS (PARTITION BY text_sha256 ORDER BY points DESC, doc_id))
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM best""",
+    "op5_preferences": r"""
+        WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                          row_number() OVER (PARTITION BY conv_id ORDER BY turn, coalesce(role, ''), coalesce(text, '')) AS i
+                   FROM conversations),
+        r AS (SELECT *, '<|' || role || '|>' || chr(10) || replace(text, '<|', '< |') || '<|end|>' || chr(10) AS shown FROM t),
+        f AS (SELECT conv_id, coalesce(min(i) FILTER (role = 'user'), 1) AS k,
+                     sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS weight, count(*) AS n FROM t GROUP BY conv_id),
+        o AS (SELECT f.conv_id, f.weight, f.n, list((r.role, r.text) ORDER BY r.i) AS opening
+              FROM f JOIN r ON f.conv_id = r.conv_id AND r.i <= f.k GROUP BY f.conv_id, f.weight, f.n),
+        c AS (SELECT *, first_value(conv_id) OVER (PARTITION BY opening ORDER BY weight DESC, conv_id) AS chosen_id FROM o),
+        q AS (SELECT chosen_id, conv_id AS rejected_id FROM c WHERE chosen_id <> conv_id
+              UNION SELECT conv_id, conv_id + 1 FROM c WHERE conv_id % 2 = 0 AND conv_id + 1 IN (SELECT conv_id FROM c)),
+        p AS (SELECT q.chosen_id, q.rejected_id, coalesce(min(a.i) FILTER (b.i IS NULL OR a.role <> b.role OR a.text <> b.text), max(a.i) + 1) - 1 AS n
+              FROM q JOIN r a ON a.conv_id = q.chosen_id LEFT JOIN r b ON b.conv_id = q.rejected_id AND b.i = a.i
+              GROUP BY ALL),
+        s AS (SELECT chosen_id, rejected_id, n,
+                     (SELECT coalesce(string_agg(shown, '' ORDER BY i), '') FROM r WHERE conv_id = chosen_id AND i <= n) AS prompt,
+                     (SELECT coalesce(string_agg(shown, '' ORDER BY i), '') FROM r WHERE conv_id = chosen_id AND i > n) AS chosen,
+                     (SELECT coalesce(string_agg(shown, '' ORDER BY i), '') FROM r WHERE conv_id = rejected_id AND i > n) AS rejected,
+                     (SELECT coalesce(sum(length(shown) - length(role) - 5), 0) FROM r WHERE conv_id = chosen_id AND i > n AND role = 'assistant') AS cl,
+                     (SELECT coalesce(sum(length(shown) - length(role) - 5), 0) FROM r WHERE conv_id = rejected_id AND i > n AND role = 'assistant') AS rl
+              FROM p)
+        SELECT chosen_id, rejected_id, n::BIGINT AS prompt_turns, length(prompt) AS prompt_chars, sha256(prompt) AS prompt_sha256,
+               length(chosen) AS chosen_chars, sha256(chosen) AS chosen_sha256, length(rejected) AS rejected_chars,
+               sha256(rejected) AS rejected_sha256, cl::BIGINT AS chosen_loss_chars, rl::BIGINT AS rejected_loss_chars
+        FROM s""",
     "op10_decontamination": r"""
         WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(
                      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),

@@ -66,7 +66,7 @@ def open_output(uri: str):
 
     system, path = fs.FileSystem.from_uri(uri)
     system.create_dir(path.rsplit("/", 1)[0], recursive=True)
-    return system.open_output_stream(path)
+    return system.open_output_stream(path, compression=None)
 
 
 def open_input(uri: str):
