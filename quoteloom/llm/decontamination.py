@@ -74,7 +74,7 @@ class Phrases:
 class Shard:
     """Documents held until there are enough to index."""
 
-    doc_ids: list[pa.Array] = field(default_factory=list)
+    batches: list[pa.RecordBatch] = field(default_factory=list)
     texts: list[bytes] = field(default_factory=list)
     size: int = 0
 
@@ -129,6 +129,16 @@ class Shard:
         pair = np.unique(np.repeat(own, many) * n_items + items)
         return pair // n_items, pair % n_items
 
+    def searched(self, blocks: list[str], window_words: int) -> tuple[list[np.ndarray], list[set[str]]]:
+        """Of each document: which words are hit, and ids of the items that occur."""
+        covered = [np.zeros(len(t.split()), bool) for t in self.texts]
+        items: list[set[str]] = [set() for _ in self.texts]
+        for path in blocks:
+            names, phrases = read_block(path, window_words)
+            for doc, item in zip(*(x.tolist() for x in self.matches(phrases, covered))):
+                items[doc].add(names[item])
+        return covered, items
+
 
 def write_blocks(benchmark: DataFrame, id_col: str, text_col: str) -> list[str]:
     """The benchmark as files of at most about BLOCK_BYTES of text; their paths."""
@@ -155,6 +165,23 @@ def read_block(path: str, window_words: int) -> tuple[list[str], Phrases]:
     return _read[key]
 
 
+def _shards(batches: Iterator[pa.RecordBatch], text_at: int) -> Iterator[Shard]:
+    """Documents in shards of about SHARD_BYTES."""
+    shard = Shard()
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        texts = [t.translate(_TABLE) if t else b"" for t in batch.column(text_at).cast(pa.binary()).to_pylist()]
+        shard.batches.append(batch)
+        shard.texts += texts
+        shard.size += sum(map(len, texts))
+        if shard.size >= SHARD_BYTES:
+            yield shard
+            shard = Shard()
+    if shard.texts:
+        yield shard
+
+
 def decontaminate(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -174,45 +201,44 @@ def decontaminate(
     blocks = write_blocks(benchmark, item_col, item_text_col)
 
     def results(shard: Shard) -> pa.RecordBatch:
-        n_words = [len(t.split()) for t in shard.texts]
-        covered = [np.zeros(n, bool) for n in n_words]
-        items: list[set[str]] = [set() for _ in shard.texts]
-        for path in blocks:
-            names, phrases = read_block(path, window_words)
-            for doc, item in zip(*(x.tolist() for x in shard.matches(phrases, covered))):
-                items[doc].add(names[item])
+        covered, items = shard.searched(blocks, window_words)
         spans = []
         for mask in covered:
             edge = np.flatnonzero(np.diff(np.concatenate([[0], mask.view(np.int8), [0]]))).reshape(-1, 2) if mask.any() else ()
             spans.append([{"start": int(a), "end": int(z)} for a, z in edge])
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         columns = [
-            pa.concat_arrays(shard.doc_ids),
-            pa.array(n_words, pa.int64()),
+            pa.concat_arrays([b.column(0) for b in shard.batches]),
+            pa.array([len(m) for m in covered], pa.int64()),
             pa.array([int(m.sum()) for m in covered], pa.int64()),
             pa.array([sorted(i) for i in items], pa.list_(pa.string())),
             pa.array(spans, kind),
         ]
         return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_hit", "items", "spans"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard = Shard()
-        for batch in batches:
-            texts = [t.translate(_TABLE) if t else b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            if not texts:
-                continue
-            shard.doc_ids.append(batch.column(0))
-            shard.texts += texts
-            shard.size += sum(map(len, texts))
-            if shard.size >= SHARD_BYTES:
-                yield results(shard)
-                shard = Shard()
-        if shard.texts:
-            yield results(shard)
-
     plain = pick(docs, id_col, text_col).toDF("doc_id", "text")
     plain = plain.withColumn("doc_id", plain.doc_id.cast("long"))
-    return plain.mapInArrow(run, "doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>")
+    schema = "doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>"
+    return plain.mapInArrow(lambda batches: map(results, _shards(batches, 1)), schema)
+
+
+def drop_contaminated(
+    docs: DataFrame, benchmark: DataFrame, window_words: int = WINDOW_WORDS, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text"
+) -> DataFrame:
+    """The documents in which no window occurs, all columns as they are."""
+    small_batches(docs.sparkSession)
+    blocks = write_blocks(benchmark, item_col, item_text_col)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard in _shards(batches, at):
+            clean = np.array([not m.any() for m in shard.searched(blocks, window_words)[0]], bool)
+            first = 0
+            for batch in shard.batches:
+                yield batch.filter(pa.array(clean[first : first + batch.num_rows]))
+                first += batch.num_rows
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def with_digest(found: DataFrame) -> DataFrame:

@@ -184,6 +184,20 @@ def predictions(docs: DataFrame, samples: dict[str, bytes], id_col: str = "doc_i
     return plain.mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
+def keep_known(docs: DataFrame, samples: dict[str, bytes], text_col: str = "text") -> DataFrame:
+    """The rows, all columns as they are, whose text has a language: others are ``und``."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parser = _parser(samples)
+        for batch in batches:
+            names, _ = parser.predict(batch.column(at).to_pylist())
+            yield batch.filter(pa.array([n != UNKNOWN for n in names], pa.bool_()))
+
+    small_batches(docs.sparkSession)
+    return docs.mapInArrow(run, docs.schema)
+
+
 def remainder(id_column: Column, fold: int) -> Column:
     """crc32 of an id as text, modulo ``fold``; of a null id, of the empty text."""
     return F.pmod(F.crc32(F.coalesce(id_column.cast("string"), F.lit("")).cast("binary")), F.lit(fold))

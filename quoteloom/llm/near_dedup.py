@@ -133,3 +133,10 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
     named = labelled.join(least, "label").select("fp", "component_id")
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 4, radius: int = 4) -> DataFrame:
+    """Of each component the document of the smallest id, all columns as they are; rows without id stay."""
+    found = near_components(docs, id_col, text_col, shingle_words, radius)
+    gone = written(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone_id")).distinct(), "near-copies")
+    return docs.join(gone, docs[id_col].cast("long") == gone["_gone_id"], "left_anti")
