@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .decontamination import decontaminate, with_digest
 from .exact_dedup import exact_dedup
 from .language_id import identify
+from .lm_scoring import score
 from .near_dedup import near_components
 from .packing import pack_documents
 from .preferences import conversations, format_pairs, pairs_by_opening, with_digests
@@ -36,6 +37,10 @@ def op5_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_digests(format_pairs(whole, pairs_by_opening(whole).union(beside)))
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score(table(spark, sf_dir, "documents"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_sums(lengths(table(spark, sf_dir, "documents")))
 
@@ -69,6 +74,7 @@ QUERIES = {
         op3_language_id,
         op4_exact_dedup,
         op5_preferences,
+        op6_lm_scoring,
         op7_token_counts,
         op8_simhash_near_dedup,
         op9_packing,

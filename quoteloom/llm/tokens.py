@@ -178,6 +178,16 @@ class Encoder:
         at = run[np.flatnonzero(slots[which] < 0)]
         return ids, np.diff(at, prepend=0)
 
+    def encode_units(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct words without blanks, each encoded for itself, end to end, and each one's count."""
+        if len(self.memo) + len(units) > self.memo_units and self.memo:
+            self._forget()
+        self._learn([u for u in units if u not in self.memo])
+        memo = self.memo
+        slots = np.fromiter((memo[u] for u in units), np.int64, len(units))
+        lengths = self.lengths[slots].astype(np.int64)
+        return self.store[ragged(self.starts[slots], lengths)], lengths
+
     def encode_array(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a string column, and each row's count of them."""
         rows = [b"" if t is None else t for t in texts.cast(pa.binary()).to_pylist()]
