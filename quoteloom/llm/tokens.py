@@ -26,7 +26,7 @@ WORD_BPE = "word_bpe_49k.json"
 _MARK = "\x01"
 #: Between texts of one buffer.
 _END = 2
-_ODD = re.compile("[\x00-\x08\x0b-\x1f\x7f\x85\xa0 ᠎ -​ -  -⁠　﻿]")
+_ODD = re.compile("[\\x00-\\x08\\x0b-\\x1f\\x7f\\x85\\xa0\\u1680\\u180e\\u2000-\\u200b\\u2028-\\u202f\\u205f-\\u2060\\u3000\\ufeff]")
 #: UTF-8 of what _ODD holds outside ASCII, or its first bytes.
 _ODD_BYTES = [b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe1\xa0\x8e", b"\xe2\x80", b"\xe2\x81", b"\xe3\x80\x80", b"\xef\xbb\xbf"]
 
