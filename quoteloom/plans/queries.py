@@ -1,6 +1,407 @@
-"""Registered queries of the engine and their SQL equivalents."""
+"""Registered queries of the engine; their SQL equivalents are in :mod:`quoteloom.plans.oracles`."""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import html, model_json, url
+from ..functions.text import fold, folded_words, sentences, tokens
+from ..operators import answers, models, scheduling
+from ..operators.chunks import chunk_documents, number_chunks, running_sum
+from ..operators.retrieval import corpus_stats, gate, indexed, search, term_stats
+from ..operators.verification import relocate, verify
+from ..sources import documents as sources
+from ..streaming import events as streaming
+from . import ask
+from .fixtures import claims, documents, questions, reservations, table, task_events
+from .oracles import ORACLES
+
+__all__ = ["ORACLES", "QUERIES"]
+
 QUERIES: dict = {}
-ORACLES: dict = {}
+
+
+def query(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+@query
+def fold_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folded = table(spark, sf_dir, "documents").select("doc_id", fold(F.col("text")).alias("folded"))
+    return folded.withColumn("n_words", folded_words(F.col("folded")).cast("long"))
+
+
+@query
+def token_counts_by_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = tokens(fold(F.col("text")))
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(kept).cast("long").alias("n_tokens"), F.size(F.array_distinct(kept)).cast("long").alias("n_distinct"))
+
+
+@query
+def token_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = term_stats(indexed(documents(spark, sf_dir), "doc_id", ("doc_order",)))
+    return stats.withColumn("idf", F.round("idf", 6))
+
+
+@query
+def sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(sentences(F.col("text"))).alias("idx", "s"))
+    return rows.select("doc_id", F.col("idx").cast("long").alias("idx"), F.col("s.start").cast("long").alias("start"), F.col("s.end").cast("long").alias("end"), F.col("s.text").alias("sentence"))
+
+
+def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return number_chunks(chunk_documents(documents(spark, sf_dir)))
+
+
+@query
+def chunk_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = _chunks(spark, sf_dir)
+    return kept.select("chunk_id", "doc_id", F.col("index").cast("long").alias("idx"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.md5("text").alias("text_md5"))
+
+
+@query
+def index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_stats(indexed(_chunks(spark, sf_dir))).withColumn("avg_length", F.round("avg_length", 6))
+
+
+@query
+def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = search(indexed(_chunks(spark, sf_dir)), questions(spark, sf_dir))
+    return found.select("question_id", F.col("rank").cast("long").alias("rank"), "chunk_id", F.round("score", 6).alias("score"), F.round("coverage", 6).alias("coverage"))
+
+
+@query
+def bm25_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = search(indexed(documents(spark, sf_dir), "doc_id", ("doc_order",)), questions(spark, sf_dir))
+    return found.select("question_id", F.col("rank").cast("long").alias("rank"), F.col("chunk_id").alias("doc_id"), F.round("score", 6).alias("score"), F.round("coverage", 6).alias("coverage"))
+
+
+@query
+def retrieval_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gate of each item's question, and of one that no document answers."""
+    asked = questions(spark, sf_dir)
+    off = asked.select((-1 - F.col("question_id")).alias("question_id"), F.concat(F.substring("question", 1, 9), F.lit(" qqqzzz xxyyzz zzqqxx")).alias("question"))
+    asked = asked.union(off)
+    gated = gate(asked, search(indexed(documents(spark, sf_dir), "doc_id", ("doc_order",)), asked))
+    return gated.select("question_id", F.round("best_coverage", 6).alias("best_coverage"), "relevant")
+
+
+def _verified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verify(documents(spark, sf_dir), _chunks(spark, sf_dir), claims(spark, sf_dir))
+
+
+@query
+def verify_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _verified(spark, sf_dir).select("claim_id", "kind", "status", "reason", "relocated", "span_doc_id")
+
+
+@query
+def quote_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where verified quotes lie; their source folds to the quote."""
+    found = _verified(spark, sf_dir).where("status = 'verified'")
+    same = fold(F.col("source_text")) == fold(F.col("quote"))
+    return found.select("claim_id", "span_doc_id", F.col("span_end") > F.col("span_start"), same.alias("source_is_quote")).toDF("claim_id", "span_doc_id", "span_is_real", "source_is_quote")
+
+
+@query
+def reason_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return answers.reason_report(_verified(spark, sf_dir)).select("reason", "n")
+
+
+@query
+def mechanical_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return answers.mechanical_tally(_verified(spark, sf_dir))
+
+
+@query
+def question_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coverage of each question's claims after a second check that supports, rejects, breaks off or never ran, by claim."""
+    checked = _verified(spark, sf_dir)
+    turn = F.col("claim_id") % 5
+    raw = F.when(turn < 2, '{"supported": true, "reason": "stated"}').when(turn == 2, '{"supported": "yes"}')
+    verdicts = checked.where(turn < 4).select("claim_id", F.when(turn < 3, "done").otherwise("failed").alias("state"), raw.alias("raw"), F.lit("timeout").alias("error"), F.lit("m").alias("model"), F.lit(1).alias("attempts"), F.lit(100).alias("tokens_used"))
+    final = answers.merge_verdicts(checked, verdicts)
+    asked = questions(spark, sf_dir).withColumn("notice", F.lit(None).cast("string"))
+    covered = answers.coverage(asked, final)
+    reasons = final.groupBy("question_id").agg(F.count_if(F.col("reason") == "not_entailed").alias("not_entailed"), F.count_if(F.col("reason") == "check_failed").alias("check_failed"))
+    return covered.join(reasons, "question_id").select("question_id", "verified", "total", F.round("ratio", 6).alias("ratio"), F.col("notice").isNotNull().alias("nothing_traced"), "not_entailed", "check_failed")
+
+
+@query
+def html_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", html.title(F.col("html")).alias("title"))
+
+
+@query
+def html_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", F.length(html.main_region(F.col("html"))).cast("long").alias("region_chars"))
+
+
+@query
+def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", html.html_to_text(F.col("html")).alias("text"))
+
+
+@query
+def link_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with each word pair as a block, so that runs of short blocks appear and vanish."""
+    blocks = F.regexp_replace("text", r"(\S+ \S+) ", "$1\n\n")
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(html.drop_link_runs(blocks)).alias("kept_md5"))
+
+
+@query
+def entity_decoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", F.md5(html.decode_entities(F.col("html"))).alias("decoded_md5"))
+
+
+@query
+def url_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages' URLs, and each with another scheme, port or host."""
+    pages = table(spark, sf_dir, "pages")
+    host = r"^(https?)://[^/]+"
+    kinds = {
+        "plain": F.col("url"),
+        "ftp": F.regexp_replace("url", "^https?", "ftp"),
+        "port": F.regexp_replace("url", r"^(https?://[^/]+)", "$1:8080"),
+        "local": F.regexp_replace("url", host, "$1://LOCALHOST."),
+        "loopback": F.regexp_replace("url", host, "$1://2130706433"),
+        "private": F.regexp_replace("url", host, "$1://192.168.7.9"),
+        "public": F.regexp_replace("url", host, "$1://8.8.8.8"),
+        "bare": F.regexp_replace("url", "^https?://", ""),
+    }
+    rows = pages.select("page_id", F.explode(F.map_from_arrays(F.array(*map(F.lit, kinds)), F.array(*kinds.values()))).alias("kind", "u"))
+    return rows.select("page_id", "kind", url.url_fault("u").alias("fault"))
+
+
+@query
+def address_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses made of customers' keys."""
+    key = F.col("c_custkey")
+    address = F.concat_ws(".", F.pmod(key * 7, F.lit(256)), F.pmod(key * 13, F.lit(256)), F.pmod(key, F.lit(4)), F.lit(1))
+    rows = table(spark, sf_dir, "customer").select("c_custkey", address.alias("address"))
+    return rows.select("c_custkey", url.is_blocked_ipv4(url.parse_ipv4(F.col("address"))).alias("blocked"))
+
+
+@query
+def dns_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hosts that resolve to public, private, mixed or no addresses, by page."""
+    pages = table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("http://h"), F.col("page_id").cast("string"), F.lit(".example/")).alias("url"))
+    host = F.concat(F.lit("h"), F.col("page_id").cast("string"), F.lit(".example"))
+    turn = F.col("page_id") % 4
+    found = F.when(turn == 0, F.array(F.lit("8.8.8.8"))).when(turn == 1, F.array(F.lit("10.0.0.1"))).when(turn == 2, F.array(F.lit("8.8.4.4"), F.lit("fd00::1")))
+    dns = pages.select(host.alias("host"), F.explode(found).alias("address"))
+    return sources.guarded(pages, dns).select("page_id", "fault")
+
+
+@query
+def request_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    message = F.struct("role", F.col("text").alias("content"))
+    whole = turns.groupBy("conv_id").agg(F.collect_list(message).alias("messages"))
+    return whole.select("conv_id", answers.draft_tokens(F.col("messages"), F.lit(1)).cast("long").alias("first_attempt"), answers.draft_tokens(F.col("messages"), F.lit(2)).cast("long").alias("second_attempt"))
+
+
+@query
+def budget_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scheduling.window_spent(reservations(spark, sf_dir)).select("id", "at_ms", "tokens", "spent")
+
+
+@query
+def burst_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Equal tasks under one budget for each language, as simulated."""
+    docs = table(spark, sf_dir, "documents")
+    given = docs.select(F.col("lang").alias("budget_key"), F.col("doc_id").alias("position"), F.col("doc_id").cast("string").alias("task_id"), F.lit(368).alias("estimate"), F.lit(300).alias("tokens_used"))
+    return scheduling.schedule(given).select(F.col("position").alias("doc_id"), "state", F.col("started_ms").cast("long").alias("started_ms"))
+
+
+@query
+def backoff_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events")
+    attempt, jitter = (F.col("event_id") % 8 + 1).cast("int"), (F.col("event_id") % 10) / F.lit(10.0)
+    asked = F.when(F.col("event_id") % 3 == 0, F.col("event_id") % 5000)
+    return events.select("event_id", F.round(scheduling.backoff_ms(attempt, jitter, asked), 6).alias("delay_ms"))
+
+
+@query
+def event_props(spark: SparkSession, sf_dir: str) -> DataFrame:
+    value = F.try_parse_json("props")
+    return table(spark, sf_dir, "events").select("event_id", F.try_variant_get(value, "$.k", "long").alias("k"), model_json.as_string(value, "$.k").alias("k_text"))
+
+
+@query
+def draft_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Drafts written of each benchmark item: fenced, in prose, under other names, declined, broken."""
+    items = table(spark, sf_dir, "benchmark")
+    turn = F.col("item_id") % 5
+    body = F.to_json(F.struct(F.lit(True).alias("sufficient"), F.array(F.struct(F.concat(F.lit("Item "), F.col("item_id").cast("string"), F.lit(" says so. It does.")).alias("text"), F.lit("c1").alias("passage"), F.col("text").alias("quote"))).alias("sentences")))
+    raw = (
+        F.when(turn == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```")))
+        .when(turn == 1, F.concat(F.lit("Here it is: "), F.replace(F.replace(body, F.lit('"passage"'), F.lit('"chunk_id"')), F.lit('"quote"'), F.lit('"evidence"')), F.lit(" {done}")))
+        .when(turn == 2, '{"sufficient": false, "sentences": []}')
+        .when(turn == 3, F.concat(F.lit("no json: {"), F.col("text")))
+        .otherwise('{"sentences": [{"text": "A brace } and \\"quote\\" inside"}, 7, {"quote": "no text"}]}')
+    )
+    parsed = items.select("item_id", model_json.draft(model_json.json_object(raw)).alias("d"))
+    claims_ = F.col("d.claims")
+    return parsed.select("item_id", F.col("d.sufficient").alias("sufficient"), F.size(claims_).cast("long").alias("n_claims"), F.try_element_at(claims_, F.lit(1))["text"].alias("first_text"), F.try_element_at(claims_, F.lit(1))["chunk_id"].alias("first_chunk"))
+
+
+@query
+def verdict_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "benchmark")
+    raws = ['{"supported": true, "reason": "stated"}', '{"supported": false}', '{"supported": "true"}', "unsure", 'Verdict: {"supported": true}']
+    raw = F.element_at(F.array(*map(F.lit, raws)), (F.col("item_id") % 5 + 1).cast("int"))
+    return items.select("item_id", model_json.verdict(model_json.json_object(raw)).alias("v")).select("item_id", "v.supported", "v.reason")
+
+
+@query
+def model_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as a model catalogue: fit ones, in order of preference."""
+    parts = table(spark, sf_dir, "part")
+    name = F.when(F.col("p_partkey") % 9 == 0, F.concat(F.lit("whisper-"), F.col("p_name"))).otherwise(F.concat(F.col("p_name"), F.lit("-"), F.col("p_partkey").cast("string")))
+    raw = F.concat(F.lit('{"data":['), F.to_json(F.struct(name.alias("id"), (F.col("p_size") * 1000).alias("context_window"))), F.lit(',{"id":5}]}'))
+    fit = models.chat_models(models.read_catalogue(parts.select(raw.alias("raw"))))
+    return fit.select("id", "context_window", "owned_by", F.col("place").cast("long").alias("place"))
+
+
+@query
+def retry_after(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events")
+    unit = F.element_at(F.array(*map(F.lit, ["", "s", "ms", " m", "h"])), (F.col("event_id") % 5 + 1).cast("int"))
+    raw = F.concat((F.col("event_id") % 50).cast("string"), F.lit(".5"), unit)
+    header = F.when(F.col("event_id") % 2 == 0, raw)
+    return events.select("event_id", models.retry_after_ms(header, raw).alias("wait_ms"))
+
+
+@query
+def reply_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events")
+    status = F.element_at(F.array(*map(F.lit, [200, 400, 404, 408, 429, 503])), (F.col("event_id") % 6 + 1).cast("int"))
+    body = F.when(F.col("event_id") % 4 == 1, "json_validate_failed").otherwise("no")
+    return events.select("event_id", models.classify(status, body).alias("kind"))
+
+
+@query
+def state_board(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scheduling.board(task_events(spark, sf_dir)).select("task_id", "label", "state", F.col("attempts").cast("long").alias("attempts"))
+
+
+@query
+def state_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scheduling.histogram(scheduling.board(task_events(spark, sf_dir))).select("state", "n")
+
+
+def _folder(spark: SparkSession) -> str:
+    """A folder that driver and executors share."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    return f"{shared or 'file://' + tempfile.mkdtemp()}/events-{uuid.uuid4().hex}"
+
+
+@query
+def streamed_board(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same board, of events written to a folder and folded by a stream."""
+    folder, name = _folder(spark), f"board_{uuid.uuid4().hex}"
+    phases = spark.createDataFrame([(-1, "retrieving", "Indexing")], "seq long, phase string, detail string")
+    streaming.write_events(streaming.run_events(phases, task_events(spark, sf_dir).withColumn("phase", F.lit("draft"))), folder)
+    started = streaming.live_board(streaming.stream_events(spark, folder), name)
+    started.awaitTermination()
+    return spark.table(name).select("task_id", "label", "state", F.col("attempts").cast("long").alias("attempts"))
+
+
+@query
+def doc_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = sources.admitted(documents(spark, sf_dir), most_doc=20_000)
+    return docs.select("doc_id", "chars_before", "fault")
+
+
+@query
+def pasted_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    texts = turns.select((F.col("conv_id") * 100 + F.col("turn")).alias("position"), F.when(F.col("turn") == 1, "  \n").otherwise(F.concat(F.lit(" \n"), F.col("text"), F.lit("\t"))).alias("text"))
+    return sources.pasted(texts).select("position", "title", F.md5("text").alias("text_md5"), "fault")
+
+
+@query
+def fetched_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    kind = F.element_at(F.array(F.lit("text/html; charset=utf-8"), F.lit("text/plain"), F.lit("image/png"), F.lit(None).cast("string")), (F.col("page_id") % 4 + 1).cast("int"))
+    replies = pages.select("url", F.when(F.col("page_id") % 7 == 0, 404).otherwise(200).alias("status"), kind.alias("content_type"), F.col("html").alias("body"))
+    return sources.fetched(replies).select("url", "title", "truncated", "fault")
+
+
+@query
+def highlight_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first document that holds each item word for word, and what stands around it."""
+    docs = documents(spark, sf_dir)
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("claim_id"), fold(F.col("text")).alias("folded"), "text", F.lit(None).cast("long").alias("cited_doc"))
+    found = relocate(items, docs).join(items.select("claim_id", F.col("text").alias("raw")), "claim_id").join(docs.select("doc_id", "text"), "doc_id")
+    at = F.instr(F.col("text"), F.col("raw")) - 1
+    spans = found.withColumn("span_start", at).where("span_start >= 0")
+    spans = spans.select(F.col("claim_id").alias("item_id"), F.col("doc_id").alias("span_doc_id"), "span_start", (F.col("span_start") + F.length("raw")).alias("span_end"))
+    marked = answers.highlight(spans, docs)
+    return marked.select("item_id", "span_doc_id", F.length("before").cast("long").alias("n_before"), F.md5("marked").alias("marked_md5"), F.md5("before").alias("before_md5"), F.md5("after").alias("after_md5"))
+
+
+@query
+def honest_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims of documents' first sentences of middling length: even ones get their own passage, odd ones another's; a judge compares."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(sentences(F.col("text"))).alias("s")).where((F.length("s.text") > 90) & (F.length("s.text") < 320))
+    one = rows.groupBy("doc_id").agg(F.min_by("s.text", "s.start").alias("statement"))
+    numbered = running_sum(one.withColumn("one", F.lit(1)), "doc_id", "one", "i")
+    n = numbered.agg(F.count("*").alias("n"))
+    claims_ = numbered.crossJoin(F.broadcast(n)).withColumn("honest", F.col("i") % 2 == 0)
+    claims_ = claims_.withColumn("j", F.when(F.col("honest"), F.col("i")).otherwise((F.col("i") * 7 + 13) % F.col("n")))
+    passages = numbered.select(F.col("i").alias("j"), F.col("statement").alias("passage"))
+    judged = claims_.join(passages, "j").withColumn("upheld", F.col("passage") == F.col("statement"))
+    return judged.groupBy("honest").agg(F.count("*").alias("claims"), F.count_if("upheld").alias("upheld"))
+
+
+@query
+def question_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lists = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("list_id"), "text")
+    return answers.parse_questions(lists, 3, 25).select("list_id", F.col("position").cast("long").alias("position"), F.md5("question").alias("question_md5"))
+
+
+@query
+def request_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each conversation as a request whose documents and questions are its turns."""
+    turns = table(spark, sf_dir, "conversations")
+    doc = F.struct(F.concat(F.lit("d"), F.col("turn").cast("string")).alias("id"), F.col("role").alias("title"), F.when(F.col("role") == "system", "mail").otherwise("paste").alias("origin"), "text", F.lit(None).cast("string").alias("url"))
+    one = turns.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", doc.alias("d"), F.substring("text", 1, 600).alias("q")))), lambda t: t).alias("t"))
+    requests = one.select(F.col("conv_id").alias("request_id"), F.transform("t", lambda t: t["d"]).alias("docs"), F.transform("t", lambda t: t["q"]).alias("questions"), F.lit(100).alias("concurrency"), F.when(F.col("conv_id") % 10 == 0, 100).alias("tokens_per_window"), F.lit(None).cast("int").alias("top_k"))
+    return sources.request_faults(requests).select("request_id", F.size("violations").cast("long").alias("n_violations"), "fault")
+
+
+@query
+def budget_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reservations of each hundred users answered by the streaming budget, with a small window."""
+    folder, name = _folder(spark), f"budget_{uuid.uuid4().hex}"
+    events = table(spark, sf_dir, "events")
+    asked = events.select((F.col("user_id") % 100).cast("string").alias("budget_key"), F.lit("reserve").alias("op"), F.col("event_id").cast("string").alias("id"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at_ms"), F.ceil("value").cast("long").alias("tokens"))
+    asked.write.parquet(folder)
+    answered = streaming.stream_reservations(spark.readStream.schema(asked.schema).parquet(folder), 150, 3_600_000)
+    started = answered.writeStream.outputMode("append").format("memory").queryName(name).trigger(availableNow=True).start()
+    started.awaitTermination()
+    return spark.table(name)
+
+
+@query
+def ask_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole run over all documents: each item's question, a draft that quotes the item, a verdict on most claims."""
+    docs, asked = documents(spark, sf_dir), questions(spark, sf_dir)
+    prepared = ask.prepare(docs, asked)
+    items = table(spark, sf_dir, "benchmark")
+    first = prepared.retrieved.where("rank = 1").select(F.col("question_id").alias("item_id"), "chunk_id")
+    claim = F.struct(F.lit("The source says so.").alias("text"), F.col("chunk_id").alias("passage"), F.col("text").alias("quote"))
+    made_up = F.struct(F.lit("So it was told.").alias("text"), F.col("chunk_id").alias("passage"), F.lit("words that no source has ever held").alias("quote"))
+    raw = F.to_json(F.struct(F.lit(True).alias("sufficient"), F.array(claim, made_up).alias("sentences")))
+    state = F.when(F.col("item_id") % 6 == 5, "failed").otherwise("done")
+    drafts = items.join(first, "item_id").select(F.col("item_id").alias("question_id"), state.alias("state"), raw.alias("raw"), F.lit("timeout").alias("error"))
+    verdicts = items.where("item_id % 4 <> 3").select(F.concat(F.col("item_id").cast("string"), F.lit(":0")).alias("claim_id"), F.lit("done").alias("state"), F.lit('{"supported": true}').alias("raw"), F.lit(None).cast("string").alias("error"), F.lit("judge").alias("model"), F.lit(1).alias("attempts"), F.lit(100).alias("tokens_used"))
+    result = ask.finish(docs, prepared, drafts, verdicts)
+    return result.questions.select("question_id", "outcome", "verified", "total", F.round("ratio", 6).alias("ratio"))
