@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..constants import MIN_QUOTE_CHARS, MIN_QUOTE_WORDS
 from ..functions.text import fold, folded_words, js_trim, project_span
+from ..sources.tables import saved
 
 
 def early_reason(quote: Column, chunk_id: Column, known: Column, folded: Column, min_words: int, min_chars: int) -> Column:
@@ -37,7 +38,7 @@ def relocate(lost: DataFrame, docs: DataFrame) -> DataFrame:
     folded = docs.select("doc_id", "doc_order", fold(F.col("text")).alias("body"))
     inner = lost.select("claim_id", F.explode(F.array_distinct(F.expr("slice(split(folded, ' '), 2, size(split(folded, ' ')) - 2)"))).alias("word"))
     held = folded.select("doc_id", F.explode(F.array_distinct(F.split("body", " "))).alias("word"))
-    held = held.join(inner.select("word").distinct(), "word", "left_semi")
+    held = saved(held.join(inner.select("word").distinct(), "word", "left_semi"), "held-words")
     often = held.groupBy("word").agg(F.count("*").alias("df"))
     # a word that no document holds rules its quote out; it counts as rarest
     rarest = (
@@ -72,6 +73,7 @@ def verify(
     cited = chunks.select("chunk_id", F.col("doc_id").alias("cited_doc"), F.col("start").alias("cited_start"), F.col("text").alias("passage"))
     joined = claims.join(cited, "chunk_id", "left").withColumn("folded", fold(F.coalesce("quote", F.lit(""))))
     joined = joined.withColumn("early", early_reason(F.col("quote"), F.col("chunk_id"), F.col("cited_start").isNotNull(), F.col("folded"), min_quote_words, min_quote_chars))
+    joined = saved(joined, "cited-claims")
     sought = joined.where("early is null").withColumn("hit", F.instr(fold(F.col("passage")), F.col("folded")))
 
     def span(found: DataFrame, text: str) -> DataFrame:
@@ -87,13 +89,13 @@ def verify(
     near = sought.where("hit > 0").select("claim_id", "folded", "hit", "passage", F.col("cited_doc").alias("doc_id"), F.col("cited_start").alias("base"), F.lit(False).alias("relocated"))
     spans = span(near, "passage")
     if allow_relocation:
-        lost = sought.where("hit = 0").select("claim_id", "folded", "cited_doc")
+        lost = saved(sought.where("hit = 0").select("claim_id", "folded", "cited_doc"), "lost-claims")
         found = relocate(lost, docs).join(lost.select("claim_id", "folded"), "claim_id").join(docs.select("doc_id", "text"), "doc_id")
         found = found.withColumn("hit", F.instr(fold(F.col("text")), F.col("folded")))
         far = found.select("claim_id", "folded", "hit", "text", "doc_id", F.lit(0).alias("base"), F.lit(True).alias("relocated"))
         spans = spans.unionByName(span(far, "text"))
     owned = own(spans, chunks)
-    result = joined.join(owned, "claim_id", "left")
+    result = joined.join(owned, "claim_id", "left")  # a row for each claim
     reason = F.coalesce("early", F.when(F.col("verified_chunk_id").isNull(), "quote_not_found"))
     keep = ["span_doc_id", "span_start", "span_end", "source_text"]
     return result.select(
@@ -112,8 +114,8 @@ def own(spans: DataFrame, chunks: DataFrame) -> DataFrame:
 
     Equal documents first, then the range: a document has few passages.
     """
-    parts = chunks.select(F.col("doc_id").alias("span_doc_id"), F.col("chunk_id").alias("owner"), "index", "start", "end")
-    over = spans.join(parts, "span_doc_id").where("start <= span_start and end > span_start")
-    order = F.struct((F.col("end") < F.col("span_end")).alias("part"), "index")
-    owner = over.groupBy("claim_id").agg(F.min_by("owner", order).alias("verified_chunk_id"))
-    return spans.join(owner, "claim_id", "left")
+    parts = chunks.select(F.col("doc_id").alias("_doc"), F.col("chunk_id").alias("_owner"), F.col("index").alias("_index"), F.col("start").alias("_start"), F.col("end").alias("_end"))
+    over = spans.join(parts, (F.col("span_doc_id") == F.col("_doc")) & (F.col("_start") <= F.col("span_start")) & (F.col("_end") > F.col("span_start")))
+    order = F.struct((F.col("_end") < F.col("span_end")).alias("part"), "_index")
+    kept = [F.first(c).alias(c) for c in spans.columns if c != "claim_id"]
+    return over.groupBy("claim_id").agg(*kept, F.min_by("_owner", order).alias("verified_chunk_id"))

@@ -12,6 +12,7 @@ from ..operators import answers
 from ..operators.chunks import chunk_documents, number_chunks
 from ..operators.retrieval import gate, indexed, search
 from ..operators.verification import verify
+from ..sources.tables import saved
 
 
 @dataclass
@@ -26,8 +27,8 @@ class Prepared:
 
 def prepare(docs: DataFrame, questions: DataFrame, top_k: int = TOP_K) -> Prepared:
     """Passages, ranking, gate, and prompts of questions (question_id, question) that pass it; refused ones cost nothing."""
-    chunks = number_chunks(chunk_documents(docs))
-    retrieved = search(indexed(chunks), questions, top_k)
+    chunks = saved(number_chunks(chunk_documents(docs)), "chunks")
+    retrieved = saved(search(indexed(chunks), questions, top_k), "retrieved")
     gated = gate(questions, retrieved)
     prompts = answers.draft_messages(gated.where("relevant"), retrieved, chunks)
     return Prepared(chunks, retrieved, gated, prompts)
@@ -46,7 +47,7 @@ def finish(docs: DataFrame, prepared: Prepared, drafts: DataFrame, verdicts: Dat
     """Answers from drafts (question_id, state, raw, error) and, unless the second check is off, verdicts by claim_id."""
     answered = answers.read_drafts(prepared.gated, drafts)
     claims = answers.claims_of(answered)
-    checked = verify(docs, prepared.chunks, claims)
+    checked = saved(verify(docs, prepared.chunks, claims), "checked")
     sentences = answers.merge_verdicts(checked, verdicts) if verdicts is not None else checked.withColumn("entailment", F.lit(None).cast("string"))
     questions = answers.coverage(answered, sentences)
     return Result(questions, checked, sentences, answers.pending(checked), answers.reason_report(sentences))

@@ -190,7 +190,7 @@ ORACLES = {
     "dns_gate": "SELECT page_id, CASE page_id % 4 WHEN 1 THEN 'private_address' WHEN 2 THEN 'private_address' WHEN 3 THEN 'unresolved' END AS fault FROM pages",
     "request_tokens": """WITH t AS (SELECT conv_id, sum(CASE WHEN text = '' THEN 0 ELSE ceil(length(text) / 3.6::DOUBLE) END + 4)::BIGINT + 3 AS n FROM conversations GROUP BY conv_id)
         SELECT conv_id, n + 900 AS first_attempt, n + 1800 AS second_attempt FROM t""",
-    "budget_audit": """WITH r AS (SELECT event_id AS id, epoch_ms(ts) AS at_ms, ceil(value)::BIGINT AS tokens FROM events)
+    "budget_audit": """WITH r AS (SELECT event_id AS id, epoch_us(ts) // 1000 AS at_ms, ceil(value)::BIGINT AS tokens FROM events)
         SELECT id, at_ms, tokens, sum(tokens) OVER (ORDER BY at_ms RANGE BETWEEN 59999 PRECEDING AND CURRENT ROW)::BIGINT AS spent FROM r""",
     "burst_admission": """SELECT doc_id, 'done' AS state, (floor((row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1) / (8000 // 368)) * 60000)::BIGINT AS started_ms FROM documents""",
     "backoff_schedule": """WITH e AS (SELECT event_id, event_id % 8 + 1 AS a, (event_id % 10) / 10.0::DOUBLE AS r, CASE WHEN event_id % 3 = 0 THEN event_id % 5000 END AS asked FROM events),

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +14,7 @@ from ..operators.chunks import chunk_documents, number_chunks, running_sum
 from ..operators.retrieval import corpus_stats, gate, indexed, search, term_stats
 from ..operators.verification import relocate, verify
 from ..sources import documents as sources
+from ..sources.tables import folder, saved
 from ..streaming import events as streaming
 from . import ask
 from .fixtures import claims, documents, questions, reservations, table, task_events
@@ -55,7 +55,7 @@ def sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return number_chunks(chunk_documents(documents(spark, sf_dir)))
+    return saved(number_chunks(chunk_documents(documents(spark, sf_dir))), "chunks")
 
 
 @query
@@ -296,19 +296,13 @@ def state_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scheduling.histogram(scheduling.board(task_events(spark, sf_dir))).select("state", "n")
 
 
-def _folder(spark: SparkSession) -> str:
-    """A folder that driver and executors share."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared or 'file://' + tempfile.mkdtemp()}/events-{uuid.uuid4().hex}"
-
-
 @query
 def streamed_board(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same board, of events written to a folder and folded by a stream."""
-    folder, name = _folder(spark), f"board_{uuid.uuid4().hex}"
+    path, name = folder(spark, "events"), f"board_{uuid.uuid4().hex}"
     phases = spark.createDataFrame([(-1, "retrieving", "Indexing")], "seq long, phase string, detail string")
-    streaming.write_events(streaming.run_events(phases, task_events(spark, sf_dir).withColumn("phase", F.lit("draft"))), folder)
-    started = streaming.live_board(streaming.stream_events(spark, folder), name)
+    streaming.write_events(streaming.run_events(phases, task_events(spark, sf_dir).withColumn("phase", F.lit("draft"))), path)
+    started = streaming.live_board(streaming.stream_events(spark, path), name)
     started.awaitTermination()
     return spark.table(name).select("task_id", "label", "state", F.col("attempts").cast("long").alias("attempts"))
 
@@ -380,11 +374,11 @@ def request_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def budget_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reservations of each hundred users answered by the streaming budget, with a small window."""
-    folder, name = _folder(spark), f"budget_{uuid.uuid4().hex}"
+    path, name = folder(spark, "events"), f"budget_{uuid.uuid4().hex}"
     events = table(spark, sf_dir, "events")
     asked = events.select((F.col("user_id") % 100).cast("string").alias("budget_key"), F.lit("reserve").alias("op"), F.col("event_id").cast("string").alias("id"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at_ms"), F.ceil("value").cast("long").alias("tokens"))
-    asked.write.parquet(folder)
-    answered = streaming.stream_reservations(spark.readStream.schema(asked.schema).parquet(folder), 150, 3_600_000)
+    asked.write.parquet(path)
+    answered = streaming.stream_reservations(spark.readStream.schema(asked.schema).parquet(path), 150, 3_600_000)
     started = answered.writeStream.outputMode("append").format("memory").queryName(name).trigger(availableNow=True).start()
     started.awaitTermination()
     return spark.table(name)
