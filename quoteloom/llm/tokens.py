@@ -15,6 +15,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -153,6 +154,16 @@ class Encoder:
             self.stored += len(flat)
             self.memo.update(zip(some, range(known, known + n)))
 
+    def _slots(self, units: list[bytes], end: bytes | None = None) -> np.ndarray:
+        """Places of distinct units in the memo, learnt where they are new; -1 for ``end``."""
+        if len(self.memo) + len(units) > self.memo_units and self.memo:
+            self._forget()
+        slots = np.fromiter(map(self.memo.get, units, repeat(-1)), np.int64, len(units))
+        new = [i for i in np.flatnonzero(slots < 0).tolist() if units[i] != end]
+        slots[new] = np.arange(len(self.memo), len(self.memo) + len(new))
+        self._learn([units[i] for i in new])
+        return slots
+
     def _encode_buffer(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids and count by text, of texts without odd characters."""
         end = bytes([_END])
@@ -167,11 +178,7 @@ class Encoder:
         coded = units.dictionary_encode()
         distinct = coded.dictionary.to_pylist()
         which = coded.indices.to_numpy(zero_copy_only=False)
-        if len(self.memo) + len(distinct) > self.memo_units and self.memo:
-            self._forget()
-        self._learn([u for u in distinct if u not in self.memo and u != end])
-        memo = self.memo
-        slots = np.fromiter((memo.get(u, -1) for u in distinct), np.int64, len(distinct))
+        slots = self._slots(distinct, end)
         lengths = np.where(slots < 0, 0, self.lengths[slots])[which].astype(np.int64)
         ids = self.store[ragged(self.starts[slots][which], lengths)]
         run = np.cumsum(lengths)
@@ -180,11 +187,7 @@ class Encoder:
 
     def encode_units(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of distinct words without blanks, each encoded for itself, end to end, and each one's count."""
-        if len(self.memo) + len(units) > self.memo_units and self.memo:
-            self._forget()
-        self._learn([u for u in units if u not in self.memo])
-        memo = self.memo
-        slots = np.fromiter((memo[u] for u in units), np.int64, len(units))
+        slots = self._slots(units)
         lengths = self.lengths[slots].astype(np.int64)
         return self.store[ragged(self.starts[slots], lengths)], lengths
 
