@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import partitions, pick, written
+from .store import free_name, partitions, pick, written
 
 #: Deleted before texts are compared: space, tab, line feed, vertical tab, form feed, carriage return.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -139,12 +139,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fan_in: int = 16) -> DataFrame:
     """The documents that stay, all columns as they are; of rows repeated with id and text, one."""
     found = exact_dedup(docs, id_col, text_col, fan_in)
-    gone = written(found.select(F.col("doc_id").alias("_gone_id"), F.col("text_sha256").alias("_gone_text"), "kept", "best_rows"), "copies")
+    gone_id, gone_text, flat = (free_name(docs, n) for n in ("gone_id", "gone_text", "bare_text"))
+    gone = written(found.select(F.col("doc_id").alias(gone_id), F.col("text_sha256").alias(gone_text), "kept", "best_rows"), "copies")
     bare = F.translate(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), BLANKS, "")
-    same = docs[id_col].cast("long").eqNullSafe(F.col("_gone_id")) & (F.sha2(bare, 256) == F.col("_gone_text"))
-    rest = docs.join(gone.where("not kept"), same, "left_anti")
-    repeated = gone.where("kept and best_rows > 1").select("_gone_id", "_gone_text").distinct()
+    same = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col(gone_id)) & (F.sha2(bare, 256) == F.col(gone_text))
+    rest = docs.join(gone.where("not kept").select(gone_id, gone_text), same, "left_anti")
+    repeated = gone.where("kept and best_rows > 1").select(gone_id, gone_text).distinct()
     if repeated.isEmpty():
         return rest
-    once = rest.join(repeated, same, "left_semi").withColumn("_bare", bare).dropDuplicates([id_col, "_bare"]).drop("_bare")
+    once = rest.join(repeated, same, "left_semi").withColumn(flat, bare).dropDuplicates([id_col, flat]).drop(flat)
     return rest.join(repeated, same, "left_anti").unionByName(once)

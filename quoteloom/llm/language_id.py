@@ -7,8 +7,8 @@ sample, over the text's length, estimate the cross entropy, and the language
 with the least wins.
 
 An automaton becomes one table of transitions; where a phrase can't go on, the
-entry restarts at the root and carries a flag, so that parsing is one table look
-up a byte.  Texts are cut into slices of ``SLICE`` bytes that are parsed side by
+entry restarts at the root; whatever begins a phrase carries a flag, so that
+parsing is one table look-up a byte.  Texts are cut into slices of ``SLICE`` bytes that are parsed side by
 side; a phrase never crosses a slice, for all languages alike.
 """
 
@@ -92,6 +92,7 @@ class Parser:
             for state, step in enumerate(steps):
                 if step:
                     table[state, self.symbol[list(step)]] = np.fromiter(step.values(), np.int32, len(step)) * width << 1
+            table[0, :-1] |= 1  # what leaves the root begins a phrase
             self.tables.append(table.reshape(-1))
         self.bits = np.array([np.log2(max(2, len(samples[name]))) for name in self.languages])
 
@@ -105,7 +106,7 @@ class Parser:
         for text, at in zip(texts, (first * SLICE).tolist()):
             grid[at : at + len(text)] = self.symbol[np.frombuffer(text, np.uint8)]
         grid = grid.reshape(total, SLICE)
-        found = np.ones((total, len(self.languages)), np.int64)
+        found = np.zeros((total, len(self.languages)), np.int64)
         for a in range(0, total, slices_at_once):
             columns = np.ascontiguousarray(grid[a : a + slices_at_once].T)
             for which, table in enumerate(self.tables):

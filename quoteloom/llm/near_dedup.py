@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .bk_tree import Forest, dense, settle
 from .components import stars
 from .simhash import fingerprints
-from .store import partitions, written
+from .store import free_name, partitions, written
 
 #: Shards above this many members are cut by further blocks, then searched by elimination.
 TREE_MEMBERS = 256
@@ -138,5 +138,6 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 4, radius: int = 4) -> DataFrame:
     """Of each component the document of the smallest id, all columns as they are; rows without id stay."""
     found = near_components(docs, id_col, text_col, shingle_words, radius)
-    gone = written(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone_id")).distinct(), "near-copies")
-    return docs.join(gone, docs[id_col].cast("long") == gone["_gone_id"], "left_anti")
+    gone_id = free_name(docs, "gone_id")
+    gone = written(found.where("doc_id <> component_id").select(F.col("doc_id").alias(gone_id)).distinct(), "near-copies")
+    return docs.join(gone, F.col(f"`{id_col}`").cast("long") == F.col(gone_id), "left_anti")
