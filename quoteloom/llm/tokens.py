@@ -112,6 +112,11 @@ class Encoder:
         self.join = _MARK if self.keeps_blanks else f" {_MARK} "
         self.mark = self._library([f"a{self.join}a"])[0][1]
         self.vocab_size = self.tokenizer.get_vocab_size()
+        self.plain = re.compile((b" " if self.keeps_blanks else b" ?") + rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+        self.stopped = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+[.,]")
+        self.marks = np.zeros(self.vocab_size, bool)  # of ids that open (with a blank) or close a word
+        for token, i in self.tokenizer.get_vocab().items():
+            self.marks[i] = token.startswith("\u0120") if self.keeps_blanks else token.endswith("</w>")
         self._forget()
 
     def _forget(self) -> None:
@@ -124,18 +129,29 @@ class Encoder:
     def _library(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, units: list[bytes]) -> None:
+    def _learn(self, units: list[bytes], plain: bool) -> None:
+        """Encode units and add them to the memo in order.
+
+        Plain units, words of letters alone, are one pre-token each: in one text
+        the vocabulary's own word marks tell them apart.  Between others goes a
+        separator.
+        """
         for at in range(0, len(units), 65_536):
             some = units[at : at + 65_536]
             groups = [some[i : i + 512] for i in range(0, len(some), 512)]
             flats, counts = [], []
             tail = self.join.encode()
-            for group, ids in zip(groups, self._library([(tail.join(g) + tail).decode() for g in groups])):
+            glue = b"" if self.keeps_blanks else b" "
+            for group, ids in zip(groups, self._library([(glue.join(g) if plain else tail.join(g) + tail).decode() for g in groups])):
                 flat = np.array(ids, np.uint32)
-                ends = np.flatnonzero(flat == self.mark)
-                if len(ends) == len(group):
-                    counts.append(np.diff(ends, prepend=-1) - 1)
-                    flats.append(np.delete(flat, ends))
+                marks = np.flatnonzero(self.marks[flat] if plain else flat == self.mark)
+                if len(marks) == len(group) and plain:
+                    edges = np.append(marks, len(flat)) if self.keeps_blanks else np.concatenate([[0], marks + 1])
+                    counts.append(np.diff(edges))
+                    flats.append(flat)
+                elif len(marks) == len(group):
+                    counts.append(np.diff(marks, prepend=-1) - 1)
+                    flats.append(np.delete(flat, marks))
                 else:
                     own = self._library([u.decode() for u in group])
                     counts.append(np.array([len(x) for x in own]))
@@ -159,9 +175,16 @@ class Encoder:
         if len(self.memo) + len(units) > self.memo_units and self.memo:
             self._forget()
         slots = np.fromiter(map(self.memo.get, units, repeat(-1)), np.int64, len(units))
-        new = [i for i in np.flatnonzero(slots < 0).tolist() if units[i] != end]
-        slots[new] = np.arange(len(self.memo), len(self.memo) + len(new))
-        self._learn([units[i] for i in new])
+        is_plain = self.plain.fullmatch
+        plain, other = [], []
+        for i in np.flatnonzero(slots < 0).tolist():
+            if is_plain(units[i]):
+                plain.append(i)
+            elif units[i] != end:
+                other.append(i)
+        for new in (plain, other):
+            slots[new] = np.arange(len(self.memo), len(self.memo) + len(new))
+            self._learn([units[i] for i in new], new is plain)
         return slots
 
     def _encode_buffer(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -186,10 +209,27 @@ class Encoder:
         return ids, np.diff(at, prepend=0)
 
     def encode_units(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of distinct words without blanks, each encoded for itself, end to end, and each one's count."""
-        slots = self._slots(units)
+        """Ids of distinct words without blanks, each encoded for itself, end to end, and each one's count.
+
+        A stop or comma after letters is a pre-token of its own, so the word
+        before it is looked up alone.
+        """
+        is_stopped = self.stopped.fullmatch
+        stop = np.fromiter((u[-1] if is_stopped(u) else 0 for u in units), np.uint8, len(units))
+        place: dict[bytes, int] = {}
+        base = np.fromiter((place.setdefault(u[:-1] if s else u, len(place)) for u, s in zip(units, stop.tolist())), np.int64, len(units))
+        slots = self._slots(list(place))[base]
+        extra = (stop > 0).astype(np.int64)
         lengths = self.lengths[slots].astype(np.int64)
-        return self.store[ragged(self.starts[slots], lengths)], lengths
+        whole = lengths + extra
+        out = np.empty(int(whole.sum()), np.uint32)
+        first = np.cumsum(whole) - whole
+        out[ragged(first, lengths)] = self.store[ragged(self.starts[slots], lengths)]
+        for byte in np.unique(stop[stop > 0]).tolist():
+            (mark,) = self._library([chr(byte)])[0]
+            own = stop == byte
+            out[first[own] + lengths[own]] = mark
+        return out, whole
 
     def encode_array(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a string column, and each row's count of them."""

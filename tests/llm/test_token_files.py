@@ -71,6 +71,15 @@ def test_memoised_ids_equal_the_librarys_for_any_text(text):
 _shared: dict = {}
 
 
+def test_units_equal_the_librarys():
+    for name in (BYTE_BPE, WORD_BPE):
+        codec = Encoder(name)
+        units = ["word", "word.", "Word,", "wörd.", ".", ",", "a.b,", "x..", "3.", "it's.", "×.", "中."]
+        ids, counts = codec.encode_units([u.encode() for u in units])
+        parts = np.split(ids, np.cumsum(counts)[:-1])
+        assert [p.tolist() for p in parts] == [codec._library([u])[0] for u in units]
+
+
 def test_files_round_trip(spark):
     rows = [r for r in AWKWARD]
     got = {(r.doc_id, r.start): (r.n_tokens, r.ids_crc32) for r in token_files(documents(spark, rows).repartition(5), segment_ids=50).collect()}
