@@ -71,6 +71,8 @@ def verify(
     if allow_relocation and min_quote_words < 3:
         raise ValueError("relocation needs quotes of three words or more, as it finds them by an inner word")
     cited = chunks.select("chunk_id", F.col("doc_id").alias("cited_doc"), F.col("start").alias("cited_start"), F.col("text").alias("passage"))
+    # cited passages only: claims are few beside passages, whose texts then stay where they are
+    cited = cited.join(claims.select("chunk_id").distinct(), "chunk_id", "left_semi")
     joined = claims.join(cited, "chunk_id", "left").withColumn("folded", fold(F.coalesce("quote", F.lit(""))))
     joined = joined.withColumn("early", early_reason(F.col("quote"), F.col("chunk_id"), F.col("cited_start").isNotNull(), F.col("folded"), min_quote_words, min_quote_chars))
     joined = saved(joined, "cited-claims")

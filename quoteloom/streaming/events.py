@@ -40,11 +40,11 @@ def stream_events(spark: SparkSession, path: str) -> DataFrame:
 
 def run_events(phases: DataFrame, tasks: DataFrame) -> DataFrame:
     """Phase rows (seq, phase, detail) and task rows (seq, phase, task_id, label, state, attempts) as events."""
-    none = {c.split()[0]: F.lit(None).cast(c.split()[1]) for c in EVENT.split(", ")}
+    fields = dict(field.split() for field in EVENT.split(", "))
 
     def shaped(rows: DataFrame, kind: str) -> DataFrame:
-        known = set(rows.columns)
-        return rows.select(*[F.lit(kind).alias(n) if n == "type" else F.col(n).cast(v_type) if n in known else v.alias(n) for (n, v), v_type in zip(none.items(), [c.split()[1] for c in EVENT.split(", ")])])
+        given = {c: F.col(c) for c in rows.columns} | {"type": F.lit(kind)}
+        return rows.select(*[given.get(name, F.lit(None)).cast(of).alias(name) for name, of in fields.items()])
 
     return shaped(phases, "phase").unionByName(shaped(tasks, "scheduler"))
 
