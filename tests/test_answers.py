@@ -147,3 +147,28 @@ def test_highlight(spark):
     spans = spark.createDataFrame([("d", 4, 11)], "span_doc_id string, span_start int, span_end int")
     row = answers.highlight(spans, docs, 10).first()
     assert (row.before, row.marked, row.after) == ("The ", "harbour", " opened in")
+
+
+def test_run_with_models(spark, prepared):
+    docs, _ = prepared
+    texts = ["When was the harbour opened?", "How many boats does the harbour hold?", "Who won the cup in Lisbon?"]
+    questions = spark.createDataFrame(list(enumerate(texts)), "question_id long, question string")
+
+    def drafter(messages, attempt):
+        if "boats" in messages[1]["content"].split("QUESTION:")[1]:
+            raise TimeoutError("busy")
+        if attempt < 2:
+            raise TimeoutError("once")
+        quote = "harbour opened in 1890 after long delays"
+        return '{"sentences": [{"text": "In 1890.", "passage": "c0", "quote": "%s"}, {"text": "Late.", "passage": "c0", "quote": "%s"}]}' % (quote, quote), "drafter", 50
+
+    def judge(messages, attempt):
+        assert "PASSAGE" in messages[1]["content"] and "QUESTION" not in messages[1]["content"]
+        return '{"supported": %s}' % ("true" if "1890." in messages[1]["content"].split("STATEMENT")[1] else "false"), "judge", 9
+
+    result = ask.run(docs, questions, drafter, judge)
+    assert outcome(result) == {0: ("answered", 1, 2, 0.5), 1: ("draft_failed", 0, 0, 0.0), 2: ("no_relevant_source", 0, 0, 0.0)}
+    shown = {r.text: r for r in result.sentences.collect()}
+    assert shown["In 1890."].entailment.model == "judge" and shown["Late."].reason == "not_entailed"
+    assert "busy (after 5 attempt(s))" in {r.question_id: r.notice for r in result.questions.collect()}[1]
+    assert outcome(ask.run(docs, questions, drafter))[0] == ("answered", 2, 2, 1.0)
