@@ -81,18 +81,22 @@ def kept_at(sums: DataFrame, limits: list[int]) -> DataFrame:
     Between two lengths nothing is added to the histogram, so the row of the
     greatest length within the limit, or else the totals, answers.
     """
-    asked = sums.sparkSession.createDataFrame([(x,) for x in sorted(set(limits))], "asked long")
-    at = sums.join(F.broadcast(asked), F.col("context_limit") <= F.col("asked"))
-    best = at.groupBy("asked").agg(F.max_by(F.struct("documents_longer", "tokens_longer", "total_tokens"), "context_limit").alias("x"))
-    total = sums.agg(F.max("total_documents").alias("n"), F.max("total_tokens").alias("t"))
-    filled = asked.join(best, "asked", "left").crossJoin(F.broadcast(total))
-    longer = F.coalesce("x.documents_longer", "n", F.lit(0))
-    tokens_longer = F.coalesce("x.tokens_longer", "t", F.lit(0))
-    return filled.select(F.col("asked").alias("context_limit"), longer.alias("documents_longer"), (F.coalesce("t", F.lit(0)) - tokens_longer + F.col("asked") * longer).alias("tokens_kept"))
+    asked = sorted(set(limits))
+    row = F.struct("documents_longer", "tokens_longer")
+    best = [F.max_by(row, F.when(F.col("context_limit") <= x, F.col("context_limit"))).alias(f"_{i}") for i, x in enumerate(asked)]
+    found = sums.agg(F.coalesce(F.max("total_documents"), F.lit(0)).alias("n"), F.coalesce(F.max("total_tokens"), F.lit(0)).alias("t"), *best)
+
+    def answer(limit: int, at: str):
+        longer = F.coalesce(F.col(f"{at}.documents_longer"), "n")
+        kept = F.col("t") - F.coalesce(F.col(f"{at}.tokens_longer"), "t") + limit * longer
+        return F.struct(F.lit(limit).cast("long").alias("context_limit"), longer.alias("documents_longer"), kept.alias("tokens_kept"))
+
+    return found.select(F.inline(F.array(*[answer(x, f"_{i}") for i, x in enumerate(asked)])))
 
 
 def quantiles(sums: DataFrame, at: list[float]) -> DataFrame:
     """(quantile, length): the least length with at least that share of documents within it."""
-    asked = sums.sparkSession.createDataFrame([(float(q),) for q in at], "quantile double")
-    reached = sums.join(F.broadcast(asked), F.col("documents_within") >= F.greatest(F.ceil(F.col("quantile") * F.col("total_documents")), F.lit(1)))
-    return reached.groupBy("quantile").agg(F.min("context_limit").alias("length"))
+    need = [F.greatest(F.ceil(F.lit(float(q)) * F.col("total_documents")), F.lit(1)) for q in at]
+    least = [F.min(F.when(F.col("documents_within") >= n, F.col("context_limit"))).alias(f"_{i}") for i, n in enumerate(need)]
+    answers = F.array(*[F.struct(F.lit(float(q)).alias("quantile"), F.col(f"_{i}").alias("length")) for i, q in enumerate(at)])
+    return sums.agg(*least).select(F.inline(answers))
