@@ -80,7 +80,7 @@ def running_sum(rows: DataFrame, order: str, value: str, into: str, stride: int
     Ranges of the order are summed first, so that one task sees a row for each
     range only; the rest is summed within ranges.
     """
-    ranged = rows.withColumn("_range", F.floor(F.col(order) / stride).cast("long"))
+    ranged = rows.withColumn("_range", ((F.col(order) - F.pmod(F.col(order), F.lit(stride))) / stride).cast("long"))
     totals = ranged.groupBy("_range").agg(F.sum(value).alias("_sum"))
     earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.select("_range", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_base"))
@@ -95,7 +95,8 @@ def chunk_documents(docs: DataFrame, target: int = CHUNK_TARGET, overlap: int =
     Ids are ``<doc_id>#<index>``; :func:`number_chunks` numbers a whole corpus.
     No shuffle: a document's passages are made where it lies.
     """
-    spans = docs.select("doc_id", "doc_order", "title", "text", F.posexplode(chunk_spans(F.col("text"), target, overlap, least)).alias("index", "span"))
+    # outer, as a plain explode makes Spark compute the spans twice, to filter out empty ones first
+    spans = docs.select("doc_id", "doc_order", "title", "text", F.posexplode_outer(chunk_spans(F.col("text"), target, overlap, least)).alias("index", "span")).where("span is not null")
     return spans.select(
         F.concat(F.col("doc_id").cast("string"), F.lit("#"), F.col("index").cast("string")).alias("chunk_id"),
         "doc_id",

@@ -29,7 +29,7 @@ def corpus_stats(index: DataFrame) -> DataFrame:
 
 def term_stats(index: DataFrame) -> DataFrame:
     """(term, df, tf, idf) of every term: passages that hold it, and how often it occurs."""
-    per_chunk = index.select("chunk_id", F.explode("terms").alias("term")).groupBy("chunk_id", "term").agg(F.count("*").alias("tf"))
+    per_chunk = index.select("chunk_id", F.explode_outer("terms").alias("term")).where("term is not null").groupBy("chunk_id", "term").agg(F.count("*").alias("tf"))
     df = per_chunk.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
     stats = index.agg(F.count("*").alias("n"))
     return df.crossJoin(F.broadcast(stats)).select("term", "df", "tf", idf(F.col("n"), F.col("df")).alias("idf"))
@@ -46,7 +46,7 @@ def search(index: DataFrame, questions: DataFrame, top_k: int = TOP_K) -> DataFr
     asked = questions.select("question_id", F.posexplode(F.array_distinct(tokens(fold(F.col("question"))))).alias("pos", "term"))
     sizes = questions.select("question_id", F.size(F.array_distinct(tokens(fold(F.col("question"))))).alias("n_terms"))
     postings = (
-        index.select("chunk_id", "place", "length", F.explode("terms").alias("term"))
+        index.select("chunk_id", "place", "length", F.explode_outer("terms").alias("term"))  # outer: see chunk_documents
         .join(asked.select("term").distinct(), "term", "left_semi")
         .groupBy("term", "chunk_id", "place", "length")
         .agg(F.count("*").alias("f"))

@@ -30,7 +30,7 @@ def window_spent(reservations: DataFrame, window_ms: int = WINDOW_MS, key: str |
     frame = (-(window_ms - 1), 0)
     if key:
         return reservations.withColumn("spent", F.sum("tokens").over(Window.partitionBy(key).orderBy("at_ms").rangeBetween(*frame)))
-    cell = F.floor(F.col("at_ms") / window_ms).cast("long")
+    cell = ((F.col("at_ms") - F.pmod(F.col("at_ms"), F.lit(window_ms))) / window_ms).cast("long")
     twice = reservations.withColumn("_cell", F.explode(F.array(cell, cell + 1))).withColumn("_own", F.col("_cell") == cell)
     summed = twice.withColumn("spent", F.sum("tokens").over(Window.partitionBy("_cell").orderBy("at_ms").rangeBetween(*frame)))
     return summed.where("_own").drop("_cell", "_own")

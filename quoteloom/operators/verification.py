@@ -37,7 +37,8 @@ def relocate(lost: DataFrame, docs: DataFrame) -> DataFrame:
     """
     folded = docs.select("doc_id", "doc_order", fold(F.col("text")).alias("body"))
     inner = lost.select("claim_id", F.explode(F.array_distinct(F.expr("slice(split(folded, ' '), 2, size(split(folded, ' ')) - 2)"))).alias("word"))
-    held = folded.select("doc_id", F.explode(F.array_distinct(F.split("body", " "))).alias("word"))
+    # outer, as a plain explode makes Spark fold each text once more, to filter out empty ones first
+    held = folded.select("doc_id", F.explode_outer(F.array_distinct(F.split("body", " "))).alias("word"))
     held = saved(held.join(inner.select("word").distinct(), "word", "left_semi"), "held-words")
     often = held.groupBy("word").agg(F.count("*").alias("df"))
     # a word that no document holds rules its quote out; it counts as rarest

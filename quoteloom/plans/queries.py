@@ -50,7 +50,7 @@ def token_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(sentences(F.col("text"))).alias("idx", "s"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode_outer(sentences(F.col("text"))).alias("idx", "s")).where("s is not null")
     return rows.select("doc_id", F.col("idx").cast("long").alias("idx"), F.col("s.start").cast("long").alias("start"), F.col("s.end").cast("long").alias("end"), F.col("s.text").alias("sentence"))
 
 
@@ -344,7 +344,7 @@ def highlight_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def honest_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Claims of documents' first sentences of middling length: even ones get their own passage, odd ones another's; a judge compares."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(sentences(F.col("text"))).alias("s")).where((F.length("s.text") > 90) & (F.length("s.text") < 320))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode_outer(sentences(F.col("text"))).alias("s")).where((F.length("s.text") > 90) & (F.length("s.text") < 320))
     one = rows.groupBy("doc_id").agg(F.min_by("s.text", "s.start").alias("statement"))
     numbered = running_sum(one.withColumn("one", F.lit(1)), "doc_id", "one", "i")
     n = numbered.agg(F.count("*").alias("n"))
