@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .fm_index import FMIndex
 from .store import fresh, open_input, pick, small_batches
-from .tokens import ragged
+from .tokens import give_back_memory, ragged
 
 WINDOW_WORDS = 10
 #: Text of a block of the benchmark, and of a shard of the corpus.
@@ -237,6 +237,7 @@ def drop_contaminated(
             for batch in shard.batches:
                 yield batch.filter(pa.array(clean[first : first + batch.num_rows]))
                 first += batch.num_rows
+            give_back_memory()
 
     return docs.mapInArrow(run, docs.schema)
 

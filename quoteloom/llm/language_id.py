@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .store import pick, small_batches
+from .tokens import give_back_memory
 
 #: Bounds of the sample: excerpts of each language, and characters of each.
 SAMPLE_TEXTS, SAMPLE_CHARS = 96, 512
@@ -194,6 +195,7 @@ def keep_known(docs: DataFrame, samples: dict[str, bytes], text_col: str = "text
         for batch in batches:
             names, _ = parser.predict(batch.column(at).to_pylist())
             yield batch.filter(pa.array([n != UNKNOWN for n in names], pa.bool_()))
+            give_back_memory()
 
     small_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)

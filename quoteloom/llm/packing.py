@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .store import pick, small_batches
-from .tokens import WORD_BPE, encoder
+from .tokens import WORD_BPE, encoder, give_back_memory
 
 POOL_TOKENS = 2_000_000
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss long"
@@ -206,6 +206,7 @@ def _pack_task(batches: Iterator[pa.RecordBatch], ids_of, limits: Limits, pool_t
             docs = {k: v for k, v in docs.items() if k in wanted}
             packer.loss_before = {k: packer.loss_before[k] for k in wanted}
             held = sum(p[2] for p in pieces)
+            give_back_memory()
     done, pieces = packer.pool(pieces)
     yield emit(done + packer.tail(pieces))
 

@@ -45,7 +45,7 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def small_batches(spark: SparkSession, rows: int = 4096, size: int = 8_000_000) -> None:
+def small_batches(spark: SparkSession, rows: int = 4096, size: int = 4_000_000) -> None:
     """Bound Arrow batches to Python by bytes as well as rows, as texts may be long.
 
     Settings of the user's own that are lower stay.
