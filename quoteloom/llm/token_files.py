@@ -22,19 +22,22 @@ from .simple8b import pack_segment, unpack_segment
 from .store import fresh, open_input, open_output, partitions, pick, small_batches, written
 from .tokens import BYTE_BPE, crc_of_ids, encoder
 
+#: Larger than elsewhere, as a task holds little else: fewer look-ups a unit.
+MEMO_UNITS, BATCH_BYTES = 1_000_000, 8_000_000
+
 _MANIFEST = "part long, segment long, path string, at long, size long, documents long, ids long"
 
 
 def encode_documents(docs: DataFrame, folder: str, vocabulary: str, end_id: int, id_col: str, text_col: str, segment_ids: int) -> DataFrame:
     """Write the files; the manifest, as a written table."""
     spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(spark, size=BATCH_BYTES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
         part = task.partitionId()
         path = f"{folder}/part-{part:06d}-{task.taskAttemptId()}.s8b"
-        codec = encoder(vocabulary)
+        codec = encoder(vocabulary, MEMO_UNITS, BATCH_BYTES)
         rows, out, at = [], None, 0
         held: list[tuple[np.ndarray, ...]] = []
         n_held = 0

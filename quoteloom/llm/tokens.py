@@ -55,7 +55,7 @@ _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 _libc = ctypes.CDLL("libc.so.6") if sys.platform == "linux" and platform.libc_ver()[0] == "glibc" else None
 
-_loaded: dict[tuple[str, int], "Encoder"] = {}
+_loaded: dict[tuple[str, int, int], "Encoder"] = {}
 
 
 def give_back_memory() -> None:
@@ -124,6 +124,7 @@ class Encoder:
         self.join = _MARK if self.keeps_blanks else f" {_MARK} "
         self.mark = self._library([f"a{self.join}a"])[0][1]
         self.vocab_size = self.tokenizer.get_vocab_size()
+        self.alone = re.compile(rb"'|.*[ \n]\Z", re.DOTALL).match
         self.plain = re.compile((b" " if self.keeps_blanks else b" ?") + rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
         self.stopped = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+[.,]")
         self.marks = np.zeros(self.vocab_size, bool)  # of ids that open (with a blank) or close a word
@@ -141,12 +142,13 @@ class Encoder:
     def _library(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, units: list[bytes], plain: bool) -> None:
+    def _learn(self, units: list[bytes], plain: bool = False, alone: bool = False) -> None:
         """Encode units and add them to the memo in order.
 
         Plain units, words of letters alone, are one pre-token each: in one text
         the vocabulary's own word marks tell them apart.  Between others goes a
-        separator.
+        separator.  Blanks that end a text and words that begin with an
+        apostrophe are encoded alone, as their neighbours change how they are cut.
         """
         for at in range(0, len(units), 65_536):
             some = units[at : at + 65_536]
@@ -154,7 +156,8 @@ class Encoder:
             flats, counts = [], []
             tail = self.join.encode()
             glue = b"" if self.keeps_blanks else b" "
-            for group, ids in zip(groups, self._library([(glue.join(g) if plain else tail.join(g) + tail).decode() for g in groups])):
+            joined = [[]] * len(groups) if alone else self._library([(glue.join(g) if plain else tail.join(g) + tail).decode() for g in groups])
+            for group, ids in zip(groups, joined):
                 flat = np.array(ids, np.uint32)
                 marks = np.flatnonzero(self.marks[flat] if plain else flat == self.mark)
                 if len(marks) == len(group) and plain:
@@ -188,15 +191,15 @@ class Encoder:
             self._forget()
         slots = np.fromiter(map(self.memo.get, units, repeat(-1)), np.int64, len(units))
         is_plain = self.plain.fullmatch
-        plain, other = [], []
+        plain, other, alone = [], [], []
         for i in np.flatnonzero(slots < 0).tolist():
             if is_plain(units[i]):
                 plain.append(i)
             elif units[i] != end:
-                other.append(i)
-        for new in (plain, other):
+                (alone if self.alone(units[i]) else other).append(i)
+        for new in (plain, other, alone):
             slots[new] = np.arange(len(self.memo), len(self.memo) + len(new))
-            self._learn([units[i] for i in new], new is plain)
+            self._learn([units[i] for i in new], new is plain, new is alone)
         return slots
 
     def _encode_buffer(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -282,11 +285,11 @@ class Encoder:
 _ODD_ASCII = re.compile(rb"[\x00-\x08\x0b-\x1f\x7f]")
 
 
-def encoder(vocabulary: str, memo_units: int = 700_000) -> Encoder:
+def encoder(vocabulary: str, memo_units: int = 700_000, batch_bytes: int = 4_000_000) -> Encoder:
     """The process-wide encoder of a vocabulary file."""
-    key = (vocabulary, memo_units)
+    key = (vocabulary, memo_units, batch_bytes)
     if key not in _loaded:
-        _loaded[key] = Encoder(vocabulary, memo_units)
+        _loaded[key] = Encoder(*key)
     return _loaded[key]
 
 
