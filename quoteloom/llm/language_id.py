@@ -187,14 +187,18 @@ def predictions(docs: DataFrame, samples: dict[str, bytes], id_col: str = "doc_i
 
 
 def keep_known(docs: DataFrame, samples: dict[str, bytes], text_col: str = "text") -> DataFrame:
-    """The rows, all columns as they are, whose text has a language: others are ``und``."""
+    """The rows, all columns as they are, whose text has a language: others are ``und``.
+
+    Where nothing was labelled, texts with a letter stay.
+    """
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = _parser(samples)
         for batch in batches:
-            names, _ = parser.predict(batch.column(at).to_pylist())
-            yield batch.filter(pa.array([n != UNKNOWN for n in names], pa.bool_()))
+            texts = batch.column(at).to_pylist()
+            kept = [n != UNKNOWN for n in parser.predict(texts)[0]] if parser.languages else list(map(has_letter, texts))
+            yield batch.filter(pa.array(kept, pa.bool_()))
             give_back_memory()
 
     small_batches(docs.sparkSession)

@@ -77,3 +77,4 @@ def test_keep_known_keeps_columns(spark):
     assert left.columns == docs.columns
     assert {1, 2, 3, 10}.isdisjoint({r.doc_id for r in left.collect()})
     assert bare("A-b  C!") == b"a b c"
+    assert len(keep_known(docs, {}).collect()) == len(AWKWARD) + 1 - 4
