@@ -142,7 +142,8 @@ _CLOSE = r"[\"'’”)\]]"
 _MARK = "\u0001"
 #: A run that ends a sentence: it holds ! or ? or a full stop that is neither an initial's nor an abbreviation's.
 _FALSE = rf"(?<=(?<![A-Za-z])(?i:[a-z]|{'|'.join(ABBREVIATIONS)}))\.{_CLOSE}*+(?!{_RUN})"
-_END = rf"(?<!{_RUN})(?!{_FALSE})({_CLOSE}*+[.!?]{_RUN}*+)(?=[{SPACE}]|\z)"
+#: The first look-ahead fails at once at most places, before anything costly is tried.
+_END = rf"(?={_CLOSE}*+[.!?])(?<!{_RUN})(?!{_FALSE})({_CLOSE}*+[.!?]{_RUN}*+)(?=[{SPACE}]|\z)"
 
 SPANS = T.ArrayType(T.StructType([T.StructField("text", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 

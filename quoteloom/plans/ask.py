@@ -29,8 +29,8 @@ class Prepared:
 
 def prepare(docs: DataFrame, questions: DataFrame, top_k: int = TOP_K) -> Prepared:
     """Passages, ranking, gate, and prompts of questions (question_id, question) that pass it; refused ones cost nothing."""
-    chunks = saved(number_chunks(chunk_documents(docs)), "chunks")
-    retrieved = saved(search(indexed(chunks), questions, top_k), "retrieved")
+    chunks = saved(number_chunks(saved(chunk_documents(docs), "passages")), "chunks")
+    retrieved = saved(search(saved(indexed(chunks), "index"), questions, top_k), "retrieved")
     gated = gate(questions, retrieved)
     prompts = answers.draft_messages(gated.where("relevant"), retrieved, chunks)
     return Prepared(chunks, retrieved, gated, prompts)

@@ -17,7 +17,7 @@ from ..sources import documents as sources
 from ..sources.tables import folder, saved
 from ..streaming import events as streaming
 from . import ask
-from .fixtures import claims, documents, questions, reservations, table, task_events
+from .fixtures import claims, documents, questions, reservations, spread, table, task_events
 from .oracles import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -32,14 +32,14 @@ def query(f):
 
 @query
 def fold_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folded = table(spark, sf_dir, "documents").select("doc_id", fold(F.col("text")).alias("folded"))
+    folded = documents(spark, sf_dir).select("doc_id", fold(F.col("text")).alias("folded"))
     return folded.withColumn("n_words", folded_words(F.col("folded")).cast("long"))
 
 
 @query
 def token_counts_by_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = tokens(fold(F.col("text")))
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(kept).cast("long").alias("n_tokens"), F.size(F.array_distinct(kept)).cast("long").alias("n_distinct"))
+    return documents(spark, sf_dir).select("doc_id", F.size(kept).cast("long").alias("n_tokens"), F.size(F.array_distinct(kept)).cast("long").alias("n_distinct"))
 
 
 @query
@@ -50,12 +50,12 @@ def token_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode_outer(sentences(F.col("text"))).alias("idx", "s")).where("s is not null")
+    rows = documents(spark, sf_dir).select("doc_id", F.posexplode_outer(sentences(F.col("text"))).alias("idx", "s")).where("s is not null")
     return rows.select("doc_id", F.col("idx").cast("long").alias("idx"), F.col("s.start").cast("long").alias("start"), F.col("s.end").cast("long").alias("end"), F.col("s.text").alias("sentence"))
 
 
 def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return saved(number_chunks(chunk_documents(documents(spark, sf_dir))), "chunks")
+    return saved(number_chunks(saved(chunk_documents(documents(spark, sf_dir)), "passages")), "chunks")
 
 
 @query
@@ -71,7 +71,7 @@ def index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = search(indexed(_chunks(spark, sf_dir)), questions(spark, sf_dir))
+    found = search(saved(indexed(_chunks(spark, sf_dir)), "index"), questions(spark, sf_dir))
     return found.select("question_id", F.col("rank").cast("long").alias("rank"), "chunk_id", F.round("score", 6).alias("score"), F.round("coverage", 6).alias("coverage"))
 
 
@@ -144,7 +144,7 @@ def html_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", html.html_to_text(F.col("html")).alias("text"))
+    return spread(table(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", html.html_to_text(F.col("html")).alias("text"))
 
 
 @query
@@ -344,7 +344,7 @@ def highlight_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def honest_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Claims of documents' first sentences of middling length: even ones get their own passage, odd ones another's; a judge compares."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode_outer(sentences(F.col("text"))).alias("s")).where((F.length("s.text") > 90) & (F.length("s.text") < 320))
+    rows = documents(spark, sf_dir).select("doc_id", F.explode_outer(sentences(F.col("text"))).alias("s")).where((F.length("s.text") > 90) & (F.length("s.text") < 320))
     one = rows.groupBy("doc_id").agg(F.min_by("s.text", "s.start").alias("statement"))
     numbered = running_sum(one.withColumn("one", F.lit(1)), "doc_id", "one", "i")
     n = numbered.agg(F.count("*").alias("n"))
