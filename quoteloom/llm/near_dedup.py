@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 
 from .bk_tree import Forest, dense, settle
 from .components import stars
+from .similarity import signatures, similar_texts
 from .simhash import fingerprints
-from .store import free_name, partitions, written
+from .store import free_name, partitions, pick, small_batches, written
 
 #: Shards above this many members are cut by further blocks, then searched by elimination.
 TREE_MEMBERS = 256
@@ -135,9 +136,22 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 4, radius: int = 4) -> DataFrame:
-    """Of each component the document of the smallest id, all columns as they are; rows without id stay."""
-    found = near_components(docs, id_col, text_col, shingle_words, radius)
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """Of each component of similar texts the document of the smallest id, all columns as they are; rows without id stay.
+
+    Texts are linked where their sets of word shingles have at least this
+    Jaccard similarity, whatever their fingerprints.
+    """
+    small_batches(docs.sparkSession)
+    plain = pick(docs, id_col, text_col).toDF("doc_id", "text")
+    rows = written(signatures(plain, shingle_words), "signatures")
+    distinct = rows.groupBy("name").agg(F.min("doc_id").alias("least"), F.first("keys").alias("keys"))
+    nodes = written(distinct.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    star = stars(similar_texts(plain, nodes, shingle_words, similarity))
+    labelled = nodes.join(star, nodes.node == star.u, "left").select("name", "least", F.coalesce("v", "node").alias("label"))
+    least = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
+    named = labelled.join(least, "label").select("name", "component_id")
+    found = rows.select("doc_id", "name").join(named, "name")
     gone_id = free_name(docs, "gone_id")
     gone = written(found.where("doc_id <> component_id").select(F.col("doc_id").alias(gone_id)).distinct(), "near-copies")
     return docs.join(gone, F.col(f"`{id_col}`").cast("long") == F.col(gone_id), "left_anti")
