@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .bk_tree import Forest, dense, settle
 from .components import stars
-from .similarity import signatures, similar_texts
+from .similarity import signatures, similar_texts, text_key
 from .simhash import fingerprints
 from .store import free_name, partitions, pick, small_batches, written
 
@@ -140,7 +140,8 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """Of each component of similar texts the document of the smallest id, all columns as they are; rows without id stay.
 
     Texts are linked where their sets of word shingles have at least this
-    Jaccard similarity, whatever their fingerprints.
+    Jaccard similarity, whatever their fingerprints.  Rows go by id and text:
+    where an id occurs with several texts, each is judged by its own.
     """
     small_batches(docs.sparkSession)
     plain = pick(docs, id_col, text_col).toDF("doc_id", "text")
@@ -152,6 +153,7 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     least = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
     named = labelled.join(least, "label").select("name", "component_id")
     found = rows.select("doc_id", "name").join(named, "name")
-    gone_id = free_name(docs, "gone_id")
-    gone = written(found.where("doc_id <> component_id").select(F.col("doc_id").alias(gone_id)).distinct(), "near-copies")
-    return docs.join(gone, F.col(f"`{id_col}`").cast("long") == F.col(gone_id), "left_anti")
+    gone_id, gone_text = free_name(docs, "gone_id"), free_name(docs, "gone_text")
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(gone_id), F.col("name").alias(gone_text)).distinct()
+    same = (F.col(f"`{id_col}`").cast("long") == F.col(gone_id)) & (text_key(F.col(f"`{text_col}`")) == F.col(gone_text))
+    return docs.join(written(gone, "near-copies"), same, "left_anti")

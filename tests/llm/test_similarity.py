@@ -67,3 +67,9 @@ def test_short_wordless_and_missing_texts(spark):
     rows = [(1, None), (2, " "), (3, "one two"), (4, "ONE two"), (5, "one three"), (None, "one two"), (None, "")]
     left = drop_near_copies(documents(spark, rows))
     assert sorted((r.doc_id for r in left.collect()), key=str) == [1, 3, 5, None, None]
+
+
+def test_rows_that_share_an_id_are_judged_by_their_own_texts(spark):
+    rows = [(1, "a b c d e f"), (2, "A b c d e f"), (2, "u v w x y z"), (2, None)]
+    left = drop_near_copies(documents(spark, rows))
+    assert sorted((r.doc_id, r.text or "") for r in left.collect()) == [(1, "a b c d e f"), (2, ""), (2, "u v w x y z")]
