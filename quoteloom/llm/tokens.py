@@ -6,8 +6,9 @@ only white space is spaces and newlines is therefore the concatenation of
 *units* cut there, and its ids are the concatenation of the units' ids.  Units
 are cut and counted column-wise (numpy byte classes, Arrow dictionaries); each
 worker process keeps a bounded memo from unit to ids, and only unseen units
-reach the library.  Texts with any other white space or control character are
-encoded whole by the library.
+reach the library.  Texts with any other white space or control character, and
+texts that hold the string of an added token such as ``<|endoftext|>``, are
+encoded whole by the library, whose own treatment of such strings stands.
 """
 
 from __future__ import annotations
@@ -118,7 +119,11 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary_path(vocabulary))
-        self.tokenizer.encode_special_tokens = True
+        added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
+        # in any case of letters, as a normaliser may run before the strings are looked for
+        self.added = re.compile(b"|".join(map(re.escape, added)), re.IGNORECASE).search if added else None
+        start = os.path.commonprefix(added) if added else b""
+        self.added_start = start if start == start.swapcase() else b""  # looked for before the pattern, which is slower
         self.memo_units, self.batch_bytes = memo_units, batch_bytes
         self.keeps_blanks = self._library([" a"])[0] != self._library(["a"])[0]
         self.join = _MARK if self.keeps_blanks else f" {_MARK} "
@@ -257,8 +262,9 @@ class Encoder:
                 size += len(rows[to])
                 to += 1
             part = rows[at:to]
-            odd = [i for i, t in enumerate(part) if self._is_odd(t)]
-            clean = [b"" if i in set(odd) else t for i, t in enumerate(part)] if odd else part
+            odd = [i for i, t in enumerate(part) if self._is_odd(t) or self._has_added(t)]
+            whole_only = set(odd)
+            clean = [b"" if i in whole_only else t for i, t in enumerate(part)] if odd else part
             flat, count = self._encode_buffer(clean)
             if odd:
                 whole = {i: np.array(x, np.uint32) for i, x in zip(odd, self._library([part[i].decode() for i in odd]))}
@@ -271,6 +277,9 @@ class Encoder:
         give_back_memory()
         return (np.concatenate(ids) if ids else np.zeros(0, np.uint32)), counts
 
+    def _has_added(self, text: bytes) -> bool:
+        return self.added is not None and self.added_start in text and self.added(text) is not None
+
     @staticmethod
     def _is_odd(text: bytes) -> bool:
         if text.isascii():

@@ -1,13 +1,14 @@
 from quoteloom.llm.token_counts import kept_at, lengths, quantiles, suffix_sums
-from quoteloom.llm.tokens import BYTE_BPE, Encoder
+from quoteloom.llm.tokens import BYTE_BPE
 
 from .helpers import AWKWARD, documents
+from .test_token_files import library, with_added
 
 
-def test_sums_match_brute_force(spark):
-    codec = Encoder(BYTE_BPE)
-    sizes = sorted(len(x) for x in codec.encode([t for _, t in AWKWARD]))
-    sums = suffix_sums(lengths(documents(spark, AWKWARD))).cache()
+def test_sums_match_brute_force(spark, sf_dir):
+    texts = [t for _, t in AWKWARD] + with_added(BYTE_BPE) + [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    sizes = sorted(len(e.ids) for e in library(BYTE_BPE).encode_batch([t or "" for t in texts], add_special_tokens=False))
+    sums = suffix_sums(lengths(documents(spark, list(enumerate(texts))))).cache()
     for r in sums.collect():
         limit = r.context_limit
         assert r.documents == sizes.count(limit)

@@ -15,9 +15,16 @@ from .helpers import AWKWARD, documents
 def library(name):
     from tokenizers import Tokenizer
 
-    found = Tokenizer.from_file(vocabulary_path(name))
-    found.encode_special_tokens = True
-    return found
+    return Tokenizer.from_file(vocabulary_path(name))
+
+
+def with_added(name):
+    """Texts that hold the strings of added tokens: alone, doubled, within words, in upper case, cut short."""
+    texts = []
+    for token in library(name).get_added_tokens_decoder().values():
+        t = token.content
+        texts += [t, t + t, f"hello {t} world", f"ab{t}cd", f"a {t}\n{t.upper()} b", t.upper(), t[:-1], f"{t}'s. {t}, x", f"  {t}  ", f"é{t}é"]
+    return texts
 
 
 @pytest.mark.parametrize(
@@ -53,7 +60,7 @@ def test_segment_round_trip():
 
 @pytest.mark.parametrize("name", [BYTE_BPE, WORD_BPE])
 def test_memoised_ids_equal_the_librarys(name):
-    texts = [t for _, t in AWKWARD] + ["\n\n a  b\n", "a.b, c,, d. e? f’. é. «x». x».\ny", "ﬁ x y", "\tq  w", "a\x01b \x02", " .", ". ,", "a .", "<|endoftext|> ok", "ΑΣ. Σ, İ.", "\n\n", "'s a", "x\n's b", "y 'll\n'll", "'", "a\n\n", "a  ", " \n", "it's. don't, I'll.\nWe've"]
+    texts = [t for _, t in AWKWARD] + ["\n\n a  b\n", "a.b, c,, d. e? f’. é. «x». x».\ny", "ﬁ x y", "\tq  w", "a\x01b \x02", " .", ". ,", "a .", "<|endoftext|> ok", "ΑΣ. Σ, İ.", "\n\n", "'s a", "x\n's b", "y 'll\n'll", "'", "a\n\n", "a  ", " \n", "it's. don't, I'll.\nWe've", *with_added(name)]
     want = [e.ids for e in library(name).encode_batch([t or "" for t in texts], add_special_tokens=False)]
     codec = Encoder(name, memo_units=8, batch_bytes=64)
     assert [x.tolist() for x in codec.encode(texts)] == want
@@ -74,7 +81,7 @@ _shared: dict = {}
 def test_units_equal_the_librarys():
     for name in (BYTE_BPE, WORD_BPE):
         codec = Encoder(name)
-        units = ["word", "word.", "Word,", "wörd.", ".", ",", "a.b,", "x..", "3.", "it's.", "×.", "中."]
+        units = ["word", "word.", "Word,", "wörd.", ".", ",", "a.b,", "x..", "3.", "it's.", "×.", "中.", *[t for t in with_added(name) if not set(t) & set(" \n")]]
         ids, counts = codec.encode_units([u.encode() for u in units])
         parts = np.split(ids, np.cumsum(counts)[:-1])
         assert [p.tolist() for p in parts] == [codec._library([u])[0] for u in units]
@@ -92,5 +99,17 @@ def test_files_round_trip(spark):
     assert got == want
 
 
+def test_whole_table_equals_the_library(spark, sf_dir):
+    rows = sorted((r.doc_id, r.text or "") for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect())
+    rows += [(10_000 + i, t) for i, t in enumerate(with_added(BYTE_BPE))]
+    got = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in token_files(documents(spark, rows)).collect()}
+    codec, start, want = library(BYTE_BPE), 0, {}
+    for doc_id, text in rows:
+        ids = np.array(codec.encode(text, add_special_tokens=False).ids + [0], "<u4")
+        want[doc_id] = (start, len(ids), zlib.crc32(ids.tobytes()))
+        start += len(ids)
+    assert got == want
+
+
 def test_empty_table(spark):
     assert token_files(documents(spark, [])).count() == 0
