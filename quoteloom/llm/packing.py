@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from .preferences import render
 from .store import pick, small_batches
 from .tokens import WORD_BPE, encoder, give_back_memory
 
@@ -31,10 +32,17 @@ _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long
 
 @dataclass(frozen=True)
 class Limits:
+    """What a sequence holds at most; each limit is 1 or more, or nothing could ever be placed."""
+
     tokens: int = 2048
-    segments: int = 2048
+    segments: int = 64
     loss: int = 2048
 
+    def __post_init__(self) -> None:
+        for name in ("tokens", "segments", "loss"):
+            if getattr(self, name) < 1:
+                raise ValueError(f"a sequence needs room: {name} must be 1 or more")
+
 
 Piece = tuple[int, int, int]  # document, first token, tokens
 
@@ -64,7 +72,7 @@ class Packer:
         """Sequences that a long piece fills alone, and its remainder."""
         done, (doc, start, length) = [], piece
         while length > self.limits.tokens or self.loss((doc, start, length)) > self.limits.loss:
-            n = max(1, self.most((doc, start, length), self.limits.tokens, self.limits.loss))
+            n = self.most((doc, start, length), self.limits.tokens, self.limits.loss)
             done.append([(doc, start, n)])
             start, length = start + n, length - n
         if length == self.limits.tokens:
@@ -223,7 +231,7 @@ def pack_documents(
     """A row for each piece of each document's ids: all of them bear loss.
 
     Null text is the empty text and has the end id alone.  Rows repeated are
-    packed each for itself; a null doc_id is kept.
+    packed each for itself; a null doc_id is kept.  An empty table has no piece.
     """
     small_batches(docs.sparkSession)
 
@@ -251,6 +259,7 @@ def pack_examples(
     """As :func:`pack_documents`, of instruction examples: arrays of ids and, as long, of whether each bears loss.
 
     A null or empty array of ids gives no piece; null loss flags count as bearing none.
+    Another number of flags than ids is an error.
     """
     small_batches(examples.sparkSession)
 
@@ -264,3 +273,32 @@ def pack_examples(
     plain = pick(examples, id_col, ids_col, loss_col).toDF("doc_id", "ids", "loss")
     plain = plain.withColumn("doc_id", plain.doc_id.cast("long"))
     return plain.mapInArrow(lambda b: _pack_task(b, ids_of, limits, pool_tokens), _PIECES)
+
+
+def chat_examples(whole: DataFrame, vocabulary: str = WORD_BPE, end_id: int = 1) -> DataFrame:
+    """(doc_id, ids, loss) of conversations as :func:`quoteloom.llm.preferences.conversations` returns them.
+
+    Turns are rendered and encoded one after the other; ids of assistants' turns
+    bear loss, and so does the end id after an assistant's last turn.
+    """
+    small_batches(whole.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            talks = [[(t["role"], t["text"]) for t in turns] for turns in batch.column(1).to_pylist()]
+            encoded = iter(encoder(vocabulary).encode([render(turn) for talk in talks for turn in talk]))
+            ids, loss = [], []
+            for talk in talks:
+                parts, flags = [], []
+                for role, _ in talk:
+                    part = next(encoded)
+                    parts.append(part)
+                    flags.append(np.full(len(part), role == "assistant"))
+                parts.append(np.array([end_id]))
+                flags.append(np.array([bool(talk) and talk[-1][0] == "assistant"]))
+                ids.append(np.concatenate(parts).astype(np.int64))
+                loss.append(np.concatenate(flags))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int64())), pa.array(loss, pa.list_(pa.bool_()))], ["doc_id", "ids", "loss"])
+            give_back_memory()
+
+    return whole.select("conv_id", "turns").mapInArrow(run, "doc_id long, ids array<long>, loss array<boolean>")

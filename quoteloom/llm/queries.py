@@ -10,7 +10,7 @@ from .exact_dedup import exact_dedup
 from .language_id import identify
 from .lm_scoring import score
 from .near_dedup import near_components
-from .packing import pack_documents
+from .packing import Limits, chat_examples, pack_documents, pack_examples
 from .preferences import conversations, format_pairs, pairs_by_opening, with_digests
 from .token_counts import lengths, suffix_sums
 from .token_files import token_files
@@ -62,6 +62,12 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents")).drop("loss")
 
 
+def chat_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packing operator on conversations, where segments and loss-bearing tokens bind as well as tokens."""
+    examples = chat_examples(conversations(table(spark, sf_dir, "conversations")))
+    return pack_examples(examples, Limits(2048, 8, 1024)).withColumnRenamed("doc_id", "conv_id")
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_digest(decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
@@ -79,6 +85,7 @@ QUERIES = {
         op8_simhash_near_dedup,
         op9_packing,
         op10_decontamination,
+        chat_packing,
     )
 }
 
