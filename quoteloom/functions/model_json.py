@@ -12,6 +12,9 @@ from pyspark.sql import types as T
 
 from .text import js_trim, sentences
 
+# Reasons of verdicts that give none.
+STATED, NOT_STATED, UNREADABLE = "passage states it", "not stated in passage", "unreadable verdict"
+
 _FENCE = re.compile(r"\A\s*```(?:json)?|```\s*\Z", re.IGNORECASE)
 _STRUCTURE = re.compile(r'["\\{}]')
 
@@ -102,6 +105,6 @@ def verdict(found: Column, reason_chars: int = 120) -> Column:
     """struct<supported, reason> of an object's text: supported only if it says exactly true."""
     value = F.try_parse_json(found)
     supported = _is(value, "$.supported", True)
-    stated = F.when(supported, "passage states it").otherwise("not stated in passage")
-    reason = F.when(value.isNull(), "unreadable verdict").otherwise(F.substring(F.coalesce(as_string(value, "$.reason"), stated), 1, reason_chars))
+    stated = F.when(supported, STATED).otherwise(NOT_STATED)
+    reason = F.when(value.isNull(), UNREADABLE).otherwise(F.substring(F.coalesce(as_string(value, "$.reason"), stated), 1, reason_chars))
     return F.struct(supported.alias("supported"), reason.alias("reason"))

@@ -9,30 +9,30 @@ from ..constants import DRAFT_OUTPUT, HIGHLIGHT_CHARS, MAX_CLAIMS, MESSAGE_OVERH
 from ..functions.model_json import draft, json_object, verdict
 from ..functions.text import estimate_tokens
 
-DRAFT_RULES = """Answer from the numbered passages below and from nothing else.
-Each sentence of the answer needs a quote that stands word for word in one passage.
+# The shapes of replies that the parsers read, and the frames around passages and statements.
+DRAFT_SHAPE = '{"sufficient": true, "sentences": [{"text": "...", "passage": "c0", "quote": "..."}]}'
+DECLINED_SHAPE = '{"sufficient": false, "sentences": []}'
+PASSAGES_FRAME, QUESTION_FRAME = "PASSAGES:\n\n", "\n\nQUESTION: "
+PASSAGE_FRAME, STATEMENT_FRAME, FRAME_END = 'PASSAGE:\n"""', '"""\n\nSTATEMENT:\n"""', '"""'
+
+DRAFT_RULES = f"""A program reads this reply, so it has to be one JSON object:
+{DRAFT_SHAPE}
+An entry is one sentence (five entries are plenty), the id of the passage it rests on, and evidence: a stretch of that
+passage, half a dozen words or longer, typed over letter for letter. The program searches the passage for the evidence
+and throws away every entry whose evidence it can't find.
+Where the passages leave the question open, this object is the right reply:
+{DECLINED_SHAPE}"""
+
+VERDICT_RULES = """Suppose a reader has the passage and no other knowledge. Must that reader accept the whole statement?
+Reply with one JSON object: "supported" is true or false, "reason" says why in a few words."""
 
-Reply with JSON alone, shaped like
-{"sufficient": true, "sentences": [{"text": "...", "passage": "c0", "quote": "..."}]}
-
-- Copy quotes exactly, at least six words in a row; they are looked up by search.
-- Name only passages that are listed.
-- Give one to five entries, one sentence in each.
-- If the passages hold no answer, reply {"sufficient": false, "sentences": []}."""
-
-VERDICT_RULES = """Decide whether the passage supports the statement.
-Reply with JSON alone: {"supported": true, "reason": "<eight words at most>"}
-A statement that adds a fact, number, name or cause to the passage is not supported.
-Go by the passage, not by what you know."""
-
-# Labels of reasons in reports.
 REASON_LABELS = {
-    "no_citation": "no quote given",
-    "missing_source": "passage does not exist",
-    "quote_too_short": "quote proves nothing, being too short",
-    "quote_not_found": "quote in no source",
-    "not_entailed": "quote real, claim unsupported",
-    "check_failed": "second check did not finish",
+    "no_citation": "uncited",
+    "missing_source": "unknown passage",
+    "quote_too_short": "too few words quoted",
+    "quote_not_found": "words found nowhere",
+    "not_entailed": "judged unsupported",
+    "check_failed": "never judged",
 }
 
 
@@ -46,13 +46,13 @@ def draft_messages(questions: DataFrame, retrieved: DataFrame, chunks: DataFrame
     shown = F.concat(F.lit("["), F.col("chunk_id"), F.lit('] (from "'), F.col("doc_title"), F.lit('")\n'), F.col("text"))
     joined = passages.groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("rank", shown.alias("shown")))).alias("p"))
     text = F.array_join(F.transform("p", lambda p: p["shown"]), "\n\n")
-    asked = F.concat(F.lit("PASSAGES:\n\n"), text, F.lit("\n\nQUESTION: "), F.col("question"))
+    asked = F.concat(F.lit(PASSAGES_FRAME), text, F.lit(QUESTION_FRAME), F.col("question"))
     return questions.join(joined, "question_id").select("question_id", F.array(message("system", F.lit(DRAFT_RULES)), message("user", asked)).alias("messages"))
 
 
 def verdict_messages(sentence: Column, source: Column) -> Column:
     """What is asked about one sentence: only its passage and itself."""
-    asked = F.concat(F.lit('PASSAGE:\n"""'), source, F.lit('"""\n\nSTATEMENT:\n"""'), sentence, F.lit('"""'))
+    asked = F.concat(F.lit(PASSAGE_FRAME), source, F.lit(STATEMENT_FRAME), sentence, F.lit(FRAME_END))
     return F.array(message("system", F.lit(VERDICT_RULES)), message("user", asked))
 
 
@@ -157,8 +157,9 @@ def run_ledger(questions: DataFrame, checked: DataFrame, final: DataFrame, phase
     """One row for a run: its counters over both phases, and the tally of the first check.
 
     ``phases`` has a row for each scheduled phase (draft, verify) with the
-    counters of :func:`quoteloom.operators.scheduling.ledger`; peaks are the
-    greatest of the phases', other counters are summed.
+    counters of :func:`quoteloom.operators.scheduling.schedule`; peaks are the
+    greatest of the phases', other counters are summed.  :func:`quoteloom.plans.ask.scheduled`
+    makes them of the run's own requests.
     """
     sums = ["failed", "retries", "rate_limit_hits", "budget_waits", "tokens_estimated", "tokens_actual", "dispatched"]
     names = {"retries": "retries_absorbed", "dispatched": "model_calls"}

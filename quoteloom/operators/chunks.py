@@ -77,16 +77,26 @@ def chunk_spans(text: Column, target: int = CHUNK_TARGET, overlap: int = CHUNK_O
 def running_sum(rows: DataFrame, order: str, value: str, into: str, stride: int = 65_536) -> DataFrame:
     """``rows`` with the sum of ``value`` over all rows before in ``order``, a unique whole number.
 
-    Ranges of the order are summed first, so that one task sees a row for each
-    range only; the rest is summed within ranges.
+    Ranges of ``stride`` numbers are summed first; where numbers are far apart,
+    there are many ranges, which are summed by ranges of ranges, and so on.  No
+    task sees more than ``stride`` numbers of any level, however they are spread.
     """
-    ranged = rows.withColumn("_range", ((F.col(order) - F.pmod(F.col(order), F.lit(stride))) / stride).cast("long"))
-    totals = ranged.groupBy("_range").agg(F.sum(value).alias("_sum"))
-    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    bases = totals.select("_range", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_base"))
-    within = Window.partitionBy("_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    summed = ranged.withColumn("_within", F.coalesce(F.sum(value).over(within), F.lit(0)))
-    return summed.join(bases, "_range").withColumn(into, F.col("_base") + F.col("_within")).drop("_range", "_base", "_within")
+    low, high = rows.agg(F.min(order), F.max(order)).first()
+    return _summed_before(rows, order, value, into, stride, (high or 0) - (low or 0), 0)
+
+
+def _summed_before(rows: DataFrame, order: str, value: str, into: str, stride: int, spread: int, level: int) -> DataFrame:
+    part, base, within = (f"_{name}{level}" for name in ("range", "base", "within"))
+    ranged = rows.withColumn(part, F.expr(f"(`{order}` - pmod(`{order}`, {stride}L)) div {stride}L"))
+    totals = ranged.groupBy(part).agg(F.sum(value).alias("_sum"))
+    if spread // stride >= stride:
+        bases = _summed_before(totals, part, "_sum", base, stride, spread // stride, level + 1).select(part, base)
+    else:
+        before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+        bases = totals.select(part, F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias(base))
+    own = Window.partitionBy(part).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    summed = ranged.withColumn(within, F.coalesce(F.sum(value).over(own), F.lit(0)))
+    return summed.join(bases, part).withColumn(into, F.col(base) + F.col(within)).drop(part, base, within)
 
 
 def chunk_documents(docs: DataFrame, target: int = CHUNK_TARGET, overlap: int = CHUNK_OVERLAP, least: int = CHUNK_MIN) -> DataFrame:

@@ -14,6 +14,12 @@ from ..constants import MIN_CONTEXT_WINDOW
 NOT_CHAT = "(?i)whisper|orpheus|tts|stt|prompt-guard|safeguard|guard|embed|rerank|moderation"
 CATALOGUE_TTL_S = 300
 
+# How a wait is written, a reply that broke off while writing JSON, and words that name a refused parameter.
+WAIT_SHAPE = r"^\s*([\d.]+)\s*(ms|s|m)?\s*$"
+WAIT_UNITS = {"ms": 1.0, "s": 1000.0, "m": 60_000.0}
+BROKEN_JSON = "(?i)json_validate_failed|failed to generate json"
+REFUSED = {"reasoning_effort": ("reasoning",), "response_format": ("response_format", "json_object", "json mode")}
+
 
 def read_catalogue(raw: DataFrame) -> DataFrame:
     """(id, context_window, owned_by) of JSON replies (column raw); values of the wrong type take defaults."""
@@ -38,13 +44,24 @@ def chat_models(catalogue: DataFrame, least: int = MIN_CONTEXT_WINDOW) -> DataFr
     return fit.withColumn("place", F.row_number().over(order))
 
 
+def choose(available: DataFrame, preferences: DataFrame) -> DataFrame:
+    """(purpose, id): for each purpose of preferences (purpose, rank, id) the first preferred id that is live, or else the first available.
+
+    Without an available model the id is null.
+    """
+    first = available.agg(F.min_by("id", "place").alias("first"))  # one row
+    live = preferences.join(available.select("id", F.lit(True).alias("live")), "id", "left")
+    best = live.groupBy("purpose").agg(F.min_by("id", F.when(F.col("live"), F.col("rank"))).alias("preferred"))
+    return best.crossJoin(F.broadcast(first)).select("purpose", F.coalesce("preferred", "first").alias("id"))
+
+
 def pick_model(available: DataFrame, preference: list[str]) -> str:
     """The first preferred id that is live, or else the first available."""
-    wanted = available.sparkSession.createDataFrame(list(enumerate(preference)), "rank int, id string")
-    row = available.join(F.broadcast(wanted), "id", "left").agg(F.min_by("id", F.struct(F.coalesce("rank", F.lit(len(preference))).alias("r"), "place"))).first()
-    if row[0] is None:
+    wanted = available.sparkSession.createDataFrame([("", i, p) for i, p in enumerate(preference or [""])], "purpose string, rank int, id string")
+    row = choose(available, wanted).first()
+    if row.id is None:
         raise LookupError("no chat model is available")
-    return row[0]
+    return row.id
 
 
 class Catalogue:
@@ -69,16 +86,15 @@ class Catalogue:
 def retry_after_ms(retry_after: Column, reset_tokens: Column) -> Column:
     """Milliseconds that a reply asks to wait: ``12``, ``1.5s``, ``300ms`` or ``2m``; null where it says nothing readable."""
     raw = F.coalesce(retry_after, reset_tokens)
-    shape = r"^\s*([\d.]+)\s*(ms|s|m)?\s*$"
-    number = F.regexp_extract(raw, shape, 1)
+    number = F.regexp_extract(raw, WAIT_SHAPE, 1)
     value = F.when(number.rlike(r"^(\d+\.?\d*|\.\d+)$"), number.cast("double"))
-    unit = F.regexp_extract(raw, shape, 2)
-    return value * F.when(unit == "ms", 1.0).when(unit == "m", 60_000.0).otherwise(1000.0)
+    unit = F.regexp_extract(raw, WAIT_SHAPE, 2)
+    return value * F.when(unit == "ms", WAIT_UNITS["ms"]).when(unit == "m", WAIT_UNITS["m"]).otherwise(WAIT_UNITS["s"])
 
 
 def classify(status: Column, body: Column) -> Column:
     """What a reply's status means: ok, rate_limited, retryable or final; a null status is a failure on the way."""
-    unfinished = (status == 400) & F.substring(body, 1, 400).rlike("(?i)json_validate_failed|failed to generate json")
+    unfinished = (status == 400) & F.substring(body, 1, 400).rlike(BROKEN_JSON)
     return (
         F.when(status.isNull(), "retryable")
         .when(status.between(200, 299), "ok")
@@ -89,6 +105,18 @@ def classify(status: Column, body: Column) -> Column:
     )
 
 
+def refused_parameter(status: Column, reply: Column, sent: Column) -> Column:
+    """The parameter, of those sent (an array of names), that a reply of status 400 names; null where it names none."""
+    text = F.lower(reply)
+    found = F.lit(None).cast("string")
+    for name, words in reversed(REFUSED.items()):
+        named = F.lit(False)
+        for word in words:
+            named = named | text.contains(word)
+        found = F.when((status == 400) & named & F.array_contains(sent, name), name).otherwise(found)
+    return found
+
+
 def send(call: Callable[[dict], tuple[int, dict | str]], request: dict, json_mode: bool = True, effort: str | None = None) -> tuple[int, dict | str]:
     """A model call that drops parameters a provider refuses: at most two more attempts, effort before format.
 
@@ -96,11 +124,10 @@ def send(call: Callable[[dict], tuple[int, dict | str]], request: dict, json_mod
     """
     extra = {"response_format": {"type": "json_object"}} if json_mode else {}
     extra |= {"reasoning_effort": effort} if effort else {}
-    refusals = {"reasoning_effort": ("reasoning",), "response_format": ("response_format", "json_object", "json mode")}
     status, reply = call(request | extra)
     for _ in range(2):
         text = str(reply).lower()
-        named = next((k for k, words in refusals.items() if k in extra and any(w in text for w in words)), None)
+        named = next((k for k, words in REFUSED.items() if k in extra and any(w in text for w in words)), None)
         if status != 400 or named is None:
             break
         extra.pop(named)

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import heapq
-from collections import Counter
-from collections.abc import Callable, Iterable
+from collections import Counter, deque
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -43,11 +43,6 @@ def backoff_ms(attempt: Column, jitter: Column, retry_after_ms: Column, base: in
     return F.when(F.coalesce(retry_after_ms, F.lit(0)) > 0, asked).otherwise(doubling * (0.5 + 0.5 * jitter))
 
 
-def burst_start_ms(position: Column, cost: int, window_tokens: int = WINDOW_TOKENS, window_ms: int = WINDOW_MS) -> Column:
-    """When task number ``position`` of equal ``cost`` starts, if nothing but the budget holds it."""
-    return (F.floor(position / (window_tokens // cost)) * window_ms).cast("long")
-
-
 @dataclass
 class Budget:
     """Tokens reserved in a sliding window of time."""
@@ -107,6 +102,7 @@ class Task:
     error: str = ""
     tokens: int = 0
     started: list[float] = field(default_factory=list)
+    ended: float | None = None
 
     def tokens_for(self, attempt: int) -> int:
         return self.estimate(attempt) if callable(self.estimate) else self.estimate
@@ -135,10 +131,11 @@ def simulate(
     """
     budget = budget or Budget(WINDOW_TOKENS, WINDOW_MS)
     every = list(tasks)
-    queue = every.copy()
+    queue = deque(every)
     n: Counter = Counter(tasks=len(every))
     events: list[tuple[float, int, str, Task | None, Outcome | None]] = []
-    serial, now, running, cancelling, wake = 0, start_ms, 0, False, None
+    serial, now, running, wake = 0, start_ms, 0, None
+    cancelling = cancel_at is not None and cancel_at <= start_ms
 
     def at(when: float, kind: str, task: Task | None = None, outcome: Outcome | None = None) -> None:
         nonlocal serial
@@ -151,20 +148,20 @@ def simulate(
             on_event(now, task)
 
     def end(task: Task, state: str, error: str = "") -> None:
-        task.error = error or task.error
+        task.error, task.ended = error or task.error, now
         n[{"done": "completed"}.get(state, state)] += 1
         enter(task, state)
 
     def pump() -> None:
         nonlocal running, wake
         while cancelling and queue:
-            end(queue.pop(0), "cancelled")
+            end(queue.popleft(), "cancelled")
         while running < max(1, concurrency) and queue:
             task, attempt = queue[0], queue[0].attempts + 1
             need = task.tokens_for(attempt)
             verdict, again = budget.reserve(f"{task.id}#{attempt}", need, now)
             if verdict == "ok":
-                queue.pop(0)
+                queue.popleft()
                 task.attempts = attempt
                 task.started.append(now)
                 n["dispatched"] += 1
@@ -175,7 +172,7 @@ def simulate(
                 outcome = task.outcome(attempt, now)
                 at(now + outcome.latency_ms, "settled", task, outcome)
             elif verdict == "exceeds_ceiling":
-                queue.pop(0)
+                queue.popleft()
                 task.attempts = attempt
                 end(task, "failed", f"{need} tokens are more than the window of {budget.limit} ever holds")
             else:
@@ -246,32 +243,86 @@ def simulate(
     return every, {c: n[c] for c in COUNTERS}
 
 
-_RUN_OUT = "budget_key string, task_id string, position long, state string, attempts long, started_ms double, error string, tokens_used long"
+_RUN_OUT = "budget_key string, phase long, task_id string, position long, state string, attempts long, started_ms double, ended_ms double, error string, tokens_used long"
+_COUNTERS_OUT = "budget_key string, phase long, " + ", ".join(f"{c} {'double' if c == 'wall_clock_ms' else 'long'}" for c in COUNTERS)
+
+
+def _scripted(row: dict, latency_ms: float) -> Task:
+    """A task whose attempts end as its row says: the last outcome named stands for all later attempts."""
+    script = row.get("outcomes")
+    if script is None or not len(script):
+        script = [{"kind": "done", "latency_ms": latency_ms, "tokens": row.get("tokens_used") or 0}]
+    script = [o if isinstance(o, dict) else o.asDict() for o in script]
+    outcomes = [
+        Outcome(o["kind"], o.get("latency_ms") or 0, int(o.get("tokens") or 0), o.get("retry_after_ms"), o.get("error") or "") for o in script
+    ]
+    first, again = int(row["estimate"]), row.get("estimate_again")
+    later = first if again is None or pd.isna(again) else int(again)
+    return Task(row["task_id"], lambda attempt: first if attempt == 1 else later, lambda attempt, now: outcomes[min(attempt, len(outcomes)) - 1])
+
 
+def _simulated(rows: pd.DataFrame, limits: dict, latency_ms: float, jitter: float, cancel_at_ms: float | None) -> Iterator[tuple[int, pd.DataFrame, list[Task], dict]]:
+    """(phase, rows, tasks, counters) of one budget, a phase beginning when the one before has ended."""
+    budget, now = Budget(limits["window_tokens"], limits["window_ms"]), 0
+    if "phase" not in rows:
+        rows = rows.assign(phase=0)
+    for phase, part in rows.sort_values(["phase", "position", "task_id"]).groupby("phase"):
+        given = [_scripted(r, latency_ms) for r in part.to_dict("records")]
+        ended, found = simulate(given, limits["concurrency"], budget, limits["max_attempts"], jitter=lambda: jitter, start_ms=now, cancel_at=cancel_at_ms)
+        yield int(phase), part, ended, found
+        now += found["wall_clock_ms"]
 
-def schedule(tasks: DataFrame, concurrency: int = CONCURRENCY, window_tokens: int = WINDOW_TOKENS, window_ms: int = WINDOW_MS, latency_ms: float = 0) -> DataFrame:
-    """Admission of tasks (budget_key, position, task_id, estimate, tokens_used): state and first start of each.
 
-    A budget is one ordered state, so its tasks are simulated together; budgets
-    are independent of each other and run side by side.
+def schedule(
+    tasks: DataFrame,
+    concurrency: int = CONCURRENCY,
+    window_tokens: int = WINDOW_TOKENS,
+    window_ms: int = WINDOW_MS,
+    latency_ms: float = 0,
+    max_attempts: int = MAX_ATTEMPTS,
+    jitter: float = 0.5,
+    cancel_at_ms: float | None = None,
+    counters: bool = False,
+) -> DataFrame:
+    """How tasks (budget_key, position, task_id, estimate) run: state, attempts, first start, end, last error and tokens of each.
+
+    Optional columns: ``estimate_again``, the reservation from the second attempt
+    on; ``outcomes``, an array of struct<kind, latency_ms, tokens, retry_after_ms,
+    error> by attempt, kind being done, rate_limited, retryable or final, the
+    last one for all later attempts, without which a task is done at once with
+    ``tokens_used``; and ``phase``, a number: a budget's phases share its window
+    and follow each other.  At ``cancel_at_ms`` what has not ended is cancelled.  With
+    ``counters`` the result is instead a row of counters for each budget and phase.
+
+    A budget is one ordered state, so its tasks are simulated together, in memory
+    in proportion to that budget's tasks; budgets are independent of each other
+    and run side by side.
     """
+    limits = {"concurrency": concurrency, "window_tokens": window_tokens, "window_ms": window_ms, "max_attempts": max_attempts}
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("position")
-        given = [Task(r.task_id, int(r.estimate), lambda a, t, used=int(r.tokens_used): Outcome("done", latency_ms, used)) for r in rows.itertuples()]
-        ended, _ = simulate(given, concurrency, Budget(window_tokens, window_ms))
+        return pd.concat([told(*found) for found in _simulated(rows, limits, latency_ms, jitter, cancel_at_ms)])
+
+    def told(phase: int, rows: pd.DataFrame, ended: list[Task], _: dict) -> pd.DataFrame:
         return pd.DataFrame({
             "budget_key": rows["budget_key"].to_numpy(),
+            "phase": phase,
             "task_id": [t.id for t in ended],
             "position": rows["position"].to_numpy(),
             "state": [t.state for t in ended],
             "attempts": [t.attempts for t in ended],
             "started_ms": [t.started[0] if t.started else None for t in ended],
+            "ended_ms": [t.ended for t in ended],
             "error": [t.error for t in ended],
             "tokens_used": [t.tokens for t in ended],
         })
 
-    return tasks.groupBy("budget_key").applyInPandas(run, _RUN_OUT)
+    def count(rows: pd.DataFrame) -> pd.DataFrame:
+        key = rows["budget_key"].iloc[0]
+        return pd.DataFrame([{"budget_key": key, "phase": p} | n for p, _, _, n in _simulated(rows, limits, latency_ms, jitter, cancel_at_ms)])
+
+    groups = tasks.groupBy("budget_key")
+    return groups.applyInPandas(count, _COUNTERS_OUT) if counters else groups.applyInPandas(run, _RUN_OUT)
 
 
 def reconcile(reservations: DataFrame, actuals: DataFrame) -> DataFrame:

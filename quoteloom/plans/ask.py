@@ -9,8 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import MAX_ATTEMPTS, TOP_K
-from ..operators import answers
+from ..constants import MAX_ATTEMPTS, TOP_K, VERDICT_OUTPUT
+from ..operators import answers, scheduling
 from ..operators.chunks import chunk_documents, number_chunks
 from ..operators.retrieval import gate, indexed, search
 from ..operators.verification import verify
@@ -55,6 +55,33 @@ def finish(docs: DataFrame, prepared: Prepared, drafts: DataFrame, verdicts: Dat
     return Result(questions, checked, sentences, answers.pending(checked), answers.reason_report(sentences))
 
 
+#: Phases of a run, in order.
+PHASES = ("draft", "verify")
+
+
+def scheduled(prepared: Prepared, checked: DataFrame, draft_outcomes: DataFrame, verdict_outcomes: DataFrame, **limits) -> tuple[DataFrame, DataFrame]:
+    """(tasks, phases) of both passes, drafts and then verdicts, under one budget: every task as it ended, and each phase's counters.
+
+    Outcomes are (question_id or claim_id, outcomes), what each attempt comes to,
+    as :func:`quoteloom.operators.scheduling.schedule` takes them.
+    """
+
+    def tasks(requests: DataFrame, phase: str, key: str, output) -> DataFrame:
+        tokens = [output(F.lit(attempt)).cast("long").alias(name) for attempt, name in ((1, "estimate"), (2, "estimate_again"))]
+        named = F.concat_ws(":", F.lit(phase), F.col(key).cast("string")).alias("task_id")
+        number = F.lit(PHASES.index(phase))
+        return requests.select(F.lit("run").alias("budget_key"), number.alias("phase"), F.lit(0).cast("long").alias("position"), named, *tokens, "outcomes")
+
+    drafts = prepared.prompts.join(draft_outcomes, "question_id")
+    drafts = tasks(drafts, "draft", "question_id", lambda a: answers.draft_tokens(F.col("messages"), a))
+    verdicts = answers.pending(checked).join(verdict_outcomes, "claim_id")
+    verdicts = tasks(verdicts, "verify", "claim_id", lambda a: answers.request_tokens(F.col("messages"), answers.output_budget(VERDICT_OUTPUT, a)))
+    every = saved(drafts.unionByName(verdicts), "tasks")
+    name = F.element_at(F.array(*map(F.lit, PHASES)), (F.col("phase") + 1).cast("int"))
+    ended, phases = (scheduling.schedule(every, counters=c, **limits).withColumn("phase", name) for c in (False, True))
+    return ended, phases
+
+
 _REPLY = "key string, state string, raw string, error string, model string, attempts int, tokens_used int"
 
 

@@ -68,3 +68,13 @@ def reservations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, at_ms, tokens: events as reservations of their value."""
     events = table(spark, sf_dir, "events")
     return events.select(F.col("event_id").alias("id"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at_ms"), F.ceil("value").cast("long").alias("tokens"))
+
+
+#: Literal hosts in many notations, and what becomes of each.
+LITERALS = {
+    "[::1]": "blocked_address", "[::]": "blocked_address", "[::ffff:10.0.0.1]": "blocked_address", "[::ffff:a00:1]": "blocked_address",
+    "[::ffff:8.8.8.8]": "", "[fe80::1]": "blocked_address", "[FD00:0:0::1]": "blocked_address", "[ff02::1]": "blocked_address",
+    "[2001:4860:4860:0:0:0:0:8888]": "", "[::1": "invalid", "0x7f.1": "blocked_address", "0177.0.0.1": "blocked_address",
+    "3232235777": "blocked_address", "134744072": "", "08.8.8.8": "invalid", "256.1.1.1": "invalid", "10.0.0.1.": "blocked_address",
+    "169.254.169.254": "blocked_address", "100.64.0.1": "blocked_address", "100.128.0.1": "",
+}

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import html, model_json, url
@@ -14,10 +15,10 @@ from ..operators.chunks import chunk_documents, number_chunks, running_sum
 from ..operators.retrieval import corpus_stats, gate, indexed, search, term_stats
 from ..operators.verification import relocate, verify
 from ..sources import documents as sources
-from ..sources.tables import folder, saved
+from ..sources.tables import folder, open_output, saved
 from ..streaming import events as streaming
 from . import ask
-from .fixtures import claims, documents, questions, reservations, spread, table, task_events
+from .fixtures import LITERALS, claims, documents, questions, reservations, spread, table, task_events
 from .oracles import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -44,7 +45,7 @@ def token_counts_by_document(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def token_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stats = term_stats(indexed(documents(spark, sf_dir), "doc_id", ("doc_order",)))
+    stats = term_stats(saved(indexed(documents(spark, sf_dir), "doc_id", ("doc_order",)), "index"))
     return stats.withColumn("idf", F.round("idf", 6))
 
 
@@ -77,7 +78,7 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def bm25_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = search(indexed(documents(spark, sf_dir), "doc_id", ("doc_order",)), questions(spark, sf_dir))
+    found = search(saved(indexed(documents(spark, sf_dir), "doc_id", ("doc_order",)), "index"), questions(spark, sf_dir))
     return found.select("question_id", F.col("rank").cast("long").alias("rank"), F.col("chunk_id").alias("doc_id"), F.round("score", 6).alias("score"), F.round("coverage", 6).alias("coverage"))
 
 
@@ -87,12 +88,12 @@ def retrieval_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = questions(spark, sf_dir)
     off = asked.select((-1 - F.col("question_id")).alias("question_id"), F.concat(F.substring("question", 1, 9), F.lit(" qqqzzz xxyyzz zzqqxx")).alias("question"))
     asked = asked.union(off)
-    gated = gate(asked, search(indexed(documents(spark, sf_dir), "doc_id", ("doc_order",)), asked))
+    gated = gate(asked, search(saved(indexed(documents(spark, sf_dir), "doc_id", ("doc_order",)), "index"), asked))
     return gated.select("question_id", F.round("best_coverage", 6).alias("best_coverage"), "relevant")
 
 
-def _verified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return verify(documents(spark, sf_dir), _chunks(spark, sf_dir), claims(spark, sf_dir))
+def _verified(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
+    return verify(documents(spark, sf_dir), _chunks(spark, sf_dir), claims(spark, sf_dir), **options)
 
 
 @query
@@ -102,10 +103,16 @@ def verify_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def quote_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where verified quotes lie; their source folds to the quote."""
+    """Where verified quotes lie: document, offsets, the passage that owns them, and the source's own words."""
     found = _verified(spark, sf_dir).where("status = 'verified'")
-    same = fold(F.col("source_text")) == fold(F.col("quote"))
-    return found.select("claim_id", "span_doc_id", F.col("span_end") > F.col("span_start"), same.alias("source_is_quote")).toDF("claim_id", "span_doc_id", "span_is_real", "source_is_quote")
+    return found.select("claim_id", "span_doc_id", F.col("span_start").cast("long").alias("span_start"), F.col("span_end").cast("long").alias("span_end"), "verified_chunk_id", F.md5("source_text").alias("source_md5"), "relocated")
+
+
+@query
+def verify_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Longer quotes are asked for, and only the cited passage counts."""
+    found = _verified(spark, sf_dir, min_quote_words=9, min_quote_chars=60, allow_relocation=False)
+    return found.select("claim_id", "kind", "status", "reason", "detail", "verified_chunk_id")
 
 
 @query
@@ -159,6 +166,74 @@ def entity_decoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.md5(html.decode_entities(F.col("html"))).alias("decoded_md5"))
 
 
+@query
+def numeric_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose letters are written as decimal and hexadecimal references, with ones that name no character."""
+    coded = F.replace(F.replace(F.col("text"), F.lit("e"), F.lit("&#101;")), F.lit("t"), F.lit("&#X0074;"))
+    coded = F.concat(coded, F.lit("&#1114112;&#xD800;&#99999999999999;&bogus;&amp;lt;&#x1F600;"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(html.decode_entities(coded)).alias("decoded_md5"))
+
+
+@query
+def fetched_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages' bodies as their content type has them read."""
+    kind = F.element_at(F.array(F.lit("text/html; charset=utf-8"), F.lit("text/plain"), F.lit("application/xhtml+xml"), F.lit(None).cast("string")), (F.col("page_id") % 4 + 1).cast("int"))
+    pages = spread(table(spark, sf_dir, "pages").select("page_id", "html")).withColumn("kind", kind)
+    return pages.select("page_id", "kind", F.md5(html.body_to_text(F.col("html"), F.col("kind"))).alias("text_md5"))
+
+
+@query
+def body_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as bodies of requests, each hundredth very large."""
+    body = F.repeat("html", F.when(F.col("page_id") % 100 == 0, 900).otherwise(1))
+    return table(spark, sf_dir, "pages").select("page_id", sources.body_fault(body).alias("fault"))
+
+
+@query
+def file_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items as files of a folder: most are read, some are blank, too large, or of another kind."""
+    path = folder(spark, "files")
+    items = table(spark, sf_dir, "benchmark").repartition(spark.sparkContext.defaultParallelism)
+    turn = F.col("item_id") % 10
+    text = F.when(turn == 1, " \n ").when(turn == 2, F.repeat("text", (2_000_000 / F.length("text")).cast("int") + 1)).otherwise(F.col("text"))
+    rows = items.select(text.alias("text"), "item_id", F.when(turn == 3, "csv").when(turn == 4, "markdown").when(turn == 5, "txt").otherwise("md").alias("kind"))
+
+    def put(batches):
+        for batch in batches:
+            for text_, item, kind in zip(batch["text"], batch["item_id"], batch["kind"]):
+                with open_output(f"{path}/item-{item}.{kind}") as file:
+                    file.write(text_.encode())
+                yield pd.DataFrame({"item_id": [item]})
+
+    rows.mapInPandas(put, "item_id long").write.format("noop").mode("overwrite").save()
+    found = sources.files(spark, path)
+    return found.select("title", "origin", F.length("text").cast("long").alias("chars"), F.md5("text").alias("text_md5"), "fault")
+
+
+@query
+def redirect_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages' hosts redirect to paths, other schemes, private addresses in disguise, themselves, or nowhere."""
+    host = F.concat(F.lit("http://h"), F.col("page_id").cast("string"), F.lit(".example"))
+    pages = table(spark, sf_dir, "pages").select("page_id", F.concat(host, F.lit("/a/b?x")).alias("url"))
+    turn = F.col("page_id") % 10
+    secure = F.concat(F.lit("https://h"), F.col("page_id").cast("string"), F.lit(".example/s"))
+    given = {1: "/c", 2: "\\\\10.0.0.1\\y", 4: "/a/b?x", 6: "//169.254.169.254/meta", 7: "ftp:x", 8: "\t/\\127.0.0.1", 9: "../d e#f"}
+    location = F.when(turn == 3, secure)
+    for n, to in given.items():
+        location = location.when(turn == n, to)
+    redirects = pages.where(turn != 0).select("url", location.alias("location"))
+    dns = pages.select(F.concat(F.lit("h"), F.col("page_id").cast("string"), F.lit(".example")).alias("host"), F.lit("8.8.8.8").alias("address"))
+    walked = sources.followed(pages.select("url"), redirects, dns)
+    return walked.join(pages.withColumnRenamed("url", "start"), "start").select("page_id", F.col("url").alias("target"), F.col("hop").cast("long").alias("hop"), "fault")
+
+
+@query
+def literal_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page under literal hosts in many notations."""
+    pages = table(spark, sf_dir, "pages").select("page_id", F.explode(F.array(*map(F.lit, LITERALS))).alias("host"))
+    return pages.select("page_id", "host", url.url_fault(F.concat(F.lit("https://"), "host", F.lit("/"), F.col("page_id").cast("string"))).alias("fault"))
+
+
 @query
 def url_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages' URLs, and each with another scheme, port or host."""
@@ -219,6 +294,77 @@ def burst_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scheduling.schedule(given).select(F.col("position").alias("doc_id"), "state", F.col("started_ms").cast("long").alias("started_ms"))
 
 
+def _outcome(kind: str, latency_ms: float, tokens: int = 0, retry_after_ms: float | None = None, error: str = ""):
+    fields = (("kind", kind, "string"), ("latency_ms", latency_ms, "double"), ("tokens", tokens, "long"), ("retry_after_ms", retry_after_ms, "double"), ("error", error, "string"))
+    return F.struct(*[F.lit(v).cast(of).alias(n) for n, v, of in fields])
+
+
+def _attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as tasks that are done, refused, retried or fail, by event."""
+    scripts = (
+        [_outcome("done", 40, 50)],
+        [_outcome("rate_limited", 5, 0, 200, "slow down"), _outcome("done", 40, 60)],
+        [_outcome("retryable", 10, 0, None, "busy")],
+        [_outcome("retryable", 10, 0, None, "busy"), _outcome("final", 20, 0, None, "no")],
+        [_outcome("rate_limited", 5, 0, None, "slow down"), _outcome("retryable", 7, 0, None, "busy"), _outcome("done", 30, 70)],
+    )
+    turn = F.col("event_id") % 5
+    outcomes = F.when(turn == 0, F.array(*scripts[0]))
+    for n, script in enumerate(scripts[1:], 1):
+        outcomes = outcomes.when(turn == n, F.array(*script))
+    events = table(spark, sf_dir, "events")
+    return events.select(F.col("user_id").cast("string").alias("budget_key"), F.col("event_id").alias("position"), F.col("event_id").cast("string").alias("task_id"), F.lit(100).alias("estimate"), F.lit(200).alias("estimate_again"), outcomes.alias("outcomes"))
+
+
+#: Room enough that nothing waits: what is left are latencies and back-off.
+UNBOUND = {"concurrency": 1_000_000, "window_tokens": 1_000_000_000}
+
+
+@query
+def retried_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ended = scheduling.schedule(_attempts(spark, sf_dir), **UNBOUND)
+    return ended.select(F.col("position").alias("event_id"), "state", "attempts", "ended_ms", "error", "tokens_used")
+
+
+@query
+def cancelled_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, cancelled after a second."""
+    ended = scheduling.schedule(_attempts(spark, sf_dir), **UNBOUND, cancel_at_ms=1000)
+    return ended.select(F.col("position").alias("event_id"), "state", "attempts", "ended_ms", "error", "tokens_used")
+
+
+@query
+def run_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters of each user's tasks; none is dropped."""
+    found = scheduling.schedule(_attempts(spark, sf_dir), **UNBOUND, counters=True)
+    dropped = F.col("tasks") - F.col("completed") - F.col("failed") - F.col("cancelled")
+    return found.select(F.col("budget_key").alias("user_id"), *scheduling.COUNTERS, dropped.alias("dropped"))
+
+
+@query
+def task_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row over all tasks and attempts, from tables."""
+    given = _attempts(spark, sf_dir)
+    ended = saved(scheduling.schedule(given, **UNBOUND), "ended")
+    sent = ended.select(F.explode(F.sequence(F.lit(1), F.col("attempts").cast("int"))).alias("attempt")).select(F.when(F.col("attempt") == 1, 100).otherwise(200).alias("estimate"))
+    return scheduling.ledger(sent, ended)
+
+
+@query
+def budget_settled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reservations raised to what was used, without refused ones, that still count at a time."""
+    held = reservations(spark, sf_dir)
+    actuals = held.where("id % 5 = 0").select("id", (F.col("tokens") * F.when(F.col("id") % 10 == 0, 3).otherwise(0)).alias("actual"))
+    settled = scheduling.release(scheduling.reconcile(held, actuals), held.where("id % 7 = 0"))
+    return scheduling.live(settled, 1_705_000_000_000, 5 * 86_400_000).select("id", "at_ms", "tokens")
+
+
+@query
+def window_meter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spent = scheduling.window_spent(reservations(spark, sf_dir))
+    return spent.select("id", F.round(scheduling.meter_pct(F.col("spent"), F.when(F.col("id") % 50 == 0, 0).otherwise(120)), 6).alias("pct"))
+
+
 @query
 def backoff_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
@@ -259,14 +405,40 @@ def verdict_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.select("item_id", model_json.verdict(model_json.json_object(raw)).alias("v")).select("item_id", "v.supported", "v.reason")
 
 
+def _model_id():
+    return F.when(F.col("p_partkey") % 9 == 0, F.concat(F.lit("whisper-"), F.col("p_name"))).otherwise(F.concat(F.col("p_name"), F.lit("-"), F.col("p_partkey").cast("string")))
+
+
+def _catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = table(spark, sf_dir, "part")
+    raw = F.concat(F.lit('{"data":['), F.to_json(F.struct(_model_id().alias("id"), (F.col("p_size") * 1000).alias("context_window"))), F.lit(',{"id":5}]}'))
+    return models.read_catalogue(parts.select(raw.alias("raw")))
+
+
 @query
 def model_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as a model catalogue: fit ones, in order of preference."""
-    parts = table(spark, sf_dir, "part")
-    name = F.when(F.col("p_partkey") % 9 == 0, F.concat(F.lit("whisper-"), F.col("p_name"))).otherwise(F.concat(F.col("p_name"), F.lit("-"), F.col("p_partkey").cast("string")))
-    raw = F.concat(F.lit('{"data":['), F.to_json(F.struct(name.alias("id"), (F.col("p_size") * 1000).alias("context_window"))), F.lit(',{"id":5}]}'))
-    fit = models.chat_models(models.read_catalogue(parts.select(raw.alias("raw"))))
-    return fit.select("id", "context_window", "owned_by", F.col("place").cast("long").alias("place"))
+    return models.chat_models(_catalogue(spark, sf_dir)).select("id", "context_window", "owned_by", F.col("place").cast("long").alias("place"))
+
+
+@query
+def model_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The model of each brand: the first of its parts that is fit, or else the catalogue's first."""
+    fit = saved(models.chat_models(_catalogue(spark, sf_dir)), "models")
+    wanted = table(spark, sf_dir, "part").where("p_partkey % 3 <> 0 or p_size < 5").select(F.col("p_brand").alias("purpose"), F.col("p_partkey").alias("rank"), _model_id().alias("id"))
+    none = spark.range(1).select(F.lit("none").alias("purpose"), F.lit(1).alias("rank"), F.lit("no such model").alias("id"))
+    return models.choose(fit, wanted.union(none))
+
+
+@query
+def refused_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which parameter the next attempt leaves out, by status, reply and what was sent."""
+    events = table(spark, sf_dir, "events")
+    replies = ["unknown field Reasoning_effort", "response_format is not allowed", "JSON mode and reasoning are off", "bad request"]
+    reply = F.element_at(F.array(*map(F.lit, replies)), (F.col("event_id") % 4 + 1).cast("int"))
+    status = F.when(F.col("event_id") % 5 == 0, 500).otherwise(400)
+    sent = F.when(F.col("event_id") % 3 == 0, F.array(F.lit("response_format"))).otherwise(F.array(F.lit("response_format"), F.lit("reasoning_effort")))
+    return events.select("event_id", models.refused_parameter(status, reply, sent).alias("dropped"))
 
 
 @query
@@ -299,12 +471,11 @@ def state_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def streamed_board(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same board, of events written to a folder and folded by a stream."""
-    path, name = folder(spark, "events"), f"board_{uuid.uuid4().hex}"
+    path, to = folder(spark, "events"), folder(spark, "board")
     phases = spark.createDataFrame([(-1, "retrieving", "Indexing")], "seq long, phase string, detail string")
     streaming.write_events(streaming.run_events(phases, task_events(spark, sf_dir).withColumn("phase", F.lit("draft"))), path)
-    started = streaming.live_board(streaming.stream_events(spark, path), name)
-    started.awaitTermination()
-    return spark.table(name).select("task_id", "label", "state", F.col("attempts").cast("long").alias("attempts"))
+    streaming.live_board(streaming.stream_events(spark, path), to).awaitTermination()
+    return streaming.board_now(spark, to).select("task_id", "label", "state", F.col("attempts").cast("long").alias("attempts"))
 
 
 @query
@@ -343,10 +514,12 @@ def highlight_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def honest_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Claims of documents' first sentences of middling length: even ones get their own passage, odd ones another's; a judge compares."""
-    rows = documents(spark, sf_dir).select("doc_id", F.explode_outer(sentences(F.col("text"))).alias("s")).where((F.length("s.text") > 90) & (F.length("s.text") < 320))
-    one = rows.groupBy("doc_id").agg(F.min_by("s.text", "s.start").alias("statement"))
-    numbered = running_sum(one.withColumn("one", F.lit(1)), "doc_id", "one", "i")
+    """Claims of all passages' sentences of middling length, in order: even ones get their own sentence, odd ones another's; a judge compares."""
+    fitting = F.filter(sentences(F.col("text")), lambda x: (F.length(x["text"]) > 90) & (F.length(x["text"]) < 320))
+    kept = saved(_chunks(spark, sf_dir).select("chunk_order", F.transform(fitting, lambda x: x["text"]).alias("s")), "sentences")
+    bases = running_sum(kept.select("chunk_order", F.size("s").cast("long").alias("n")), "chunk_order", "n", "base").select("chunk_order", "base")
+    rows = kept.select("chunk_order", F.posexplode("s").alias("at", "statement")).join(bases, "chunk_order")
+    numbered = saved(rows.select((F.col("base") + F.col("at")).alias("i"), "statement"), "statements")
     n = numbered.agg(F.count("*").alias("n"))
     claims_ = numbered.crossJoin(F.broadcast(n)).withColumn("honest", F.col("i") % 2 == 0)
     claims_ = claims_.withColumn("j", F.when(F.col("honest"), F.col("i")).otherwise((F.col("i") * 7 + 13) % F.col("n")))
@@ -366,27 +539,41 @@ def request_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each conversation as a request whose documents and questions are its turns."""
     turns = table(spark, sf_dir, "conversations")
     doc = F.struct(F.concat(F.lit("d"), F.col("turn").cast("string")).alias("id"), F.col("role").alias("title"), F.when(F.col("role") == "system", "mail").otherwise("paste").alias("origin"), "text", F.lit(None).cast("string").alias("url"))
-    one = turns.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", doc.alias("d"), F.substring("text", 1, 600).alias("q")))), lambda t: t).alias("t"))
+    one = turns.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", doc.alias("d"), F.col("text").alias("q")))), lambda t: t).alias("t"))
     requests = one.select(F.col("conv_id").alias("request_id"), F.transform("t", lambda t: t["d"]).alias("docs"), F.transform("t", lambda t: t["q"]).alias("questions"), F.lit(100).alias("concurrency"), F.when(F.col("conv_id") % 10 == 0, 100).alias("tokens_per_window"), F.lit(None).cast("int").alias("top_k"))
     return sources.request_faults(requests).select("request_id", F.size("violations").cast("long").alias("n_violations"), "fault")
 
 
 @query
 def budget_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reservations of each hundred users answered by the streaming budget, with a small window."""
-    path, name = folder(spark, "events"), f"budget_{uuid.uuid4().hex}"
+    """Reservations of each hundred users answered by the streaming budget, with a small window; some are later raised or released."""
+    path, to = folder(spark, "requests"), folder(spark, "budget")
     events = table(spark, sf_dir, "events")
-    asked = events.select((F.col("user_id") % 100).cast("string").alias("budget_key"), F.lit("reserve").alias("op"), F.col("event_id").cast("string").alias("id"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at_ms"), F.ceil("value").cast("long").alias("tokens"))
+    at, tokens_ = F.unix_millis(F.col("ts").cast("timestamp")), F.ceil("value").cast("long")
+
+    def op(name: str, at_ms, amount):
+        return F.struct(F.lit(name).alias("op"), at_ms.alias("at_ms"), amount.alias("tokens"))
+
+    later = F.when(F.col("event_id") % 5 == 0, op("release", at + 1000, F.lit(0).cast("long"))).when(F.col("event_id") % 5 == 1, op("reconcile", at + 1000, tokens_ * 2))
+    rows = events.select((F.col("user_id") % 100).cast("string").alias("budget_key"), F.col("event_id").cast("string").alias("id"), F.explode(F.array_compact(F.array(op("reserve", at, tokens_), later))).alias("r"))
+    asked = rows.select("budget_key", "r.op", "id", "r.at_ms", "r.tokens")
     asked.write.parquet(path)
     answered = streaming.stream_reservations(spark.readStream.schema(asked.schema).parquet(path), 150, 3_600_000)
-    started = answered.writeStream.outputMode("append").format("memory").queryName(name).trigger(availableNow=True).start()
-    started.awaitTermination()
-    return spark.table(name)
+    streaming.answered_to(answered, to).awaitTermination()
+    return spark.read.schema(streaming.RESERVED).parquet(f"{to}/answers")
 
 
-@query
-def ask_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole run over all documents: each item's question, a draft that quotes the item, a verdict on most claims."""
+@dataclass
+class Run:
+    """A whole run over all documents: each item's question, a draft that quotes the item, a verdict on most claims."""
+
+    prepared: ask.Prepared
+    result: ask.Result
+    tasks: DataFrame
+    phases: DataFrame
+
+
+def _run(spark: SparkSession, sf_dir: str) -> Run:
     docs, asked = documents(spark, sf_dir), questions(spark, sf_dir)
     prepared = ask.prepare(docs, asked)
     items = table(spark, sf_dir, "benchmark")
@@ -398,4 +585,64 @@ def ask_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     drafts = items.join(first, "item_id").select(F.col("item_id").alias("question_id"), state.alias("state"), raw.alias("raw"), F.lit("timeout").alias("error"))
     verdicts = items.where("item_id % 4 <> 3").select(F.concat(F.col("item_id").cast("string"), F.lit(":0")).alias("claim_id"), F.lit("done").alias("state"), F.lit('{"supported": true}').alias("raw"), F.lit(None).cast("string").alias("error"), F.lit("judge").alias("model"), F.lit(1).alias("attempts"), F.lit(100).alias("tokens_used"))
     result = ask.finish(docs, prepared, drafts, verdicts)
-    return result.questions.select("question_id", "outcome", "verified", "total", F.round("ratio", 6).alias("ratio"))
+    failed = F.array(_outcome("final", 500, 0, None, "timeout"))
+    again = F.array(_outcome("retryable", 500, 0, None, "busy"), _outcome("done", 500, 300))
+    draft_outcomes = items.select(F.col("item_id").alias("question_id"), F.when(F.col("item_id") % 6 == 5, failed).when(F.col("item_id") % 6 == 4, again).otherwise(F.array(_outcome("done", 500, 300))).alias("outcomes"))
+    judged = items.select(F.concat(F.col("item_id").cast("string"), F.lit(":0")).alias("claim_id"), F.when(F.col("item_id") % 4 == 3, failed).otherwise(F.array(_outcome("done", 500, 100))).alias("outcomes"))
+    return Run(prepared, result, *ask.scheduled(prepared, result.checked, draft_outcomes, judged, **UNBOUND))
+
+
+@query
+def ask_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each question of a whole run comes to."""
+    found = _run(spark, sf_dir).result.questions
+    return found.select("question_id", "outcome", "verified", "total", F.round("ratio", 6).alias("ratio"), "notice")
+
+
+@query
+def run_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every sentence of a whole run as it is shown: why it is withheld, where its quote lies, what its question found."""
+    run = _run(spark, sf_dir)
+    rows = answers.answer_rows(run.result.sentences, run.prepared.retrieved)
+    return rows.select("claim_id", "question_id", "text", "status", "reason", "shown_passage", "span_doc_id", F.col("span_start").cast("long").alias("span_start"), F.col("span_end").cast("long").alias("span_end"), F.col("entailment.model").alias("judge"), F.col("n_retrieved").cast("long").alias("n_retrieved"), F.col("best_coverage_pct").cast("long").alias("best_coverage_pct"))
+
+
+@query
+def run_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What models are asked in a whole run: drafts by question, and second checks of claims whose quote was found."""
+    run = _run(spark, sf_dir)
+    drafts = run.prepared.prompts.select(F.lit("draft").alias("pass"), F.col("question_id").cast("string").alias("key"), "messages")
+    checks = run.result.pending.select(F.lit("verify").alias("pass"), F.col("claim_id").alias("key"), "messages")
+    both = drafts.union(checks)
+    content = [F.col("messages")[i]["content"] for i in range(2)]
+    return both.select("pass", "key", F.size("messages").cast("long").alias("n"), F.md5(content[0]).alias("rules_md5"), F.md5(content[1]).alias("asked_md5"))
+
+
+@query
+def run_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counters of a whole run: drafts and checks as scheduled, the tally of the search, and reasons."""
+    run = _run(spark, sf_dir)
+    row = answers.run_ledger(run.result.questions, run.result.checked, run.result.sentences, run.phases)
+    return row.withColumn("by_reason", F.to_json("by_reason"))
+
+
+@query
+def run_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events of a whole run, written as lines and read back: how many of each kind, and what they carry."""
+    run, path = _run(spark, sf_dir), folder(spark, "run")
+    phases = spark.createDataFrame([(i, p, p) for i, p in enumerate(("retrieving", "drafting", "checking", "entailing", "done"))], "seq long, phase string, detail string")
+    by_id = Window.orderBy("task_id")  # a run's tasks are few
+    tasks = run.tasks.withColumn("seq", F.lit(10) + F.row_number().over(by_id)).withColumn("label", F.lit(None).cast("string"))
+    asked = run.result.questions
+    pending = run.result.pending.groupBy("question_id").agg(F.sort_array(F.collect_list("claim_id")).alias("claims"))
+    others = {
+        "models": spark.createDataFrame([(1, "drafter", "judge")], "seq long, draft string, verify string"),
+        "claims": pending.select((100_000 + F.col("question_id")).alias("seq"), "question_id", "claims"),
+        "result": asked.select((200_000 + F.col("question_id")).alias("seq"), "question_id", "outcome", "verified", "total"),
+        "error": asked.where("outcome = 'draft_failed'").select((300_000 + F.col("question_id")).alias("seq"), F.col("notice").alias("message")),
+    }
+    streaming.write_events(streaming.run_events(phases, tasks, **others), path)
+    read = streaming.read_events(spark, path)
+    field = {n: F.get_json_object("payload", f"$.{n}") for n in ("draft", "outcome", "verified", "message", "claims[0]")}
+    told = F.concat_ws("|", "phase", "state", "task_id", *field.values())
+    return read.select("type", "seq", F.when(F.col("type") == "scheduler", None).otherwise(F.col("seq")).alias("at"), told.alias("told")).drop("seq")

@@ -26,17 +26,20 @@ def pasted(texts: DataFrame) -> DataFrame:
 def files(spark: SparkSession, path: str) -> DataFrame:
     """Documents of text and markdown files in a folder: one a file, cut to the limit, oversized and blank ones with a fault.
 
-    Sizes come from the listing, so that an oversized file isn't read.
+    Sizes come from the listing: of an oversized file nothing is read.  Bytes
+    that are no UTF-8 become replacement characters.
     """
-    listed = spark.read.option("pathGlobFilter", "*.{txt,md,markdown}").option("recursiveFileLookup", "true").text(path, wholetext=True)
-    known = listed.select("value", "_metadata.file_name", "_metadata.file_path", "_metadata.file_size")
-    fault = F.when(F.col("file_size") > MAX_BODY_BYTES, "too_large").when(js_trim(F.col("value")) == "", "blank")
-    return known.select(
-        F.col("file_path").alias("doc_id"),
-        F.col("file_name").alias("title"),
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.{txt,md,markdown}").option("recursiveFileLookup", "true").load(path)
+    fits = F.col("length") <= MAX_BODY_BYTES  # a filter of the listing
+    text = F.make_valid_utf8(F.col("content").cast("string"))
+    read = listed.where(fits).select("path", text.alias("text"), F.when(js_trim(text) == "", "blank").alias("fault"))
+    skipped = listed.where(~fits).select("path", F.lit(None).cast("string").alias("text"), F.lit("too_large").alias("fault"))
+    return read.unionByName(skipped).select(
+        F.col("path").alias("doc_id"),
+        F.element_at(F.split("path", "/"), -1).alias("title"),
         F.lit("file").alias("origin"),
-        F.substring("value", 1, MAX_DOC_CHARS).alias("text"),
-        fault.alias("fault"),
+        F.substring("text", 1, MAX_DOC_CHARS).alias("text"),
+        "fault",
     )
 
 

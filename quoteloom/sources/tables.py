@@ -11,9 +11,11 @@ _own: list[str] = []
 
 
 def folder(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder of ``spark.checkpoint.dir``; a temporary one only where that is unset (one machine)."""
+    """A fresh path in the folder of ``spark.checkpoint.dir``; a temporary one only on one machine, where that may be unset."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         if not _own:
             _own.append("file://" + tempfile.mkdtemp(prefix="quoteloom-"))
         shared = _own[0]
@@ -25,3 +27,12 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     path = folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def open_output(uri: str):
+    """A binary stream to a new file of a shared folder, from within a task."""
+    from pyarrow import fs
+
+    system, path = fs.FileSystem.from_uri(uri)
+    system.create_dir(path.rsplit("/", 1)[0], recursive=True)
+    return system.open_output_stream(path, compression=None)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -16,11 +16,6 @@ from ..operators.scheduling import Budget, board
 EVENT = "seq long, type string, phase string, detail string, task_id string, label string, state string, attempts int, payload string"
 
 
-def event_json(seq: Column, type_: Column, **fields: Column) -> Column:
-    """One event as a line of JSON; absent fields are left out."""
-    return F.to_json(F.struct(seq.alias("seq"), type_.alias("type"), *[c.alias(n) for n, c in fields.items()]))
-
-
 def write_events(events: DataFrame, path: str) -> None:
     """Append events to a folder, a line each."""
     events.write.mode("append").json(path)
@@ -38,21 +33,45 @@ def stream_events(spark: SparkSession, path: str) -> DataFrame:
     return lines.where("type is not null").drop("_broken")
 
 
-def run_events(phases: DataFrame, tasks: DataFrame) -> DataFrame:
-    """Phase rows (seq, phase, detail) and task rows (seq, phase, task_id, label, state, attempts) as events."""
+def run_events(phases: DataFrame, tasks: DataFrame, **others: DataFrame) -> DataFrame:
+    """Events of a run: phase rows (seq, phase, detail), task rows (seq, phase, task_id, label, state, attempts), and others.
+
+    Others go by their type (models, claims, result, error): rows of seq and
+    whatever columns the event carries, which become its payload as JSON.
+    """
     fields = dict(field.split() for field in EVENT.split(", "))
 
     def shaped(rows: DataFrame, kind: str) -> DataFrame:
         given = {c: F.col(c) for c in rows.columns} | {"type": F.lit(kind)}
         return rows.select(*[given.get(name, F.lit(None)).cast(of).alias(name) for name, of in fields.items()])
 
-    return shaped(phases, "phase").unionByName(shaped(tasks, "scheduler"))
+    events = shaped(phases, "phase").unionByName(shaped(tasks, "scheduler"))
+    for kind, rows in others.items():
+        payload = F.to_json(F.struct(*[c for c in rows.columns if c != "seq"]))
+        events = events.unionByName(shaped(rows.select("seq", payload.alias("payload")), kind))
+    return events
+
+
+def live_board(events: DataFrame, path: str) -> StreamingQuery:
+    """Start the board over a stream of events: state is one row a task, and each batch writes the tasks that changed.
 
+    ``path`` takes the changes and the checkpoint that a failed stream resumes
+    from; a batch that is repeated overwrites its own changes.
+    """
+
+    def put(changed: DataFrame, number: int) -> None:
+        changed.write.mode("overwrite").parquet(f"{path}/changes/batch={number}")
+
+    tasks = board(events.where("task_id is not null"))
+    put(events.sparkSession.createDataFrame([], tasks.schema), -1)  # so that there is something to read
+    return tasks.writeStream.outputMode("update").option("checkpointLocation", f"{path}/checkpoint").foreachBatch(put).trigger(availableNow=True).start()
 
-def live_board(events: DataFrame, name: str) -> StreamingQuery:
-    """Start the board over a stream of events as an in-memory table: state is one row a task."""
-    tasks = events.where("task_id is not null")
-    return board(tasks).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+
+def board_now(spark: SparkSession, path: str) -> DataFrame:
+    """(task_id, label, state, attempts) of a live board's last batches."""
+    changes = spark.read.parquet(f"{path}/changes")
+    last = F.max_by(F.struct("label", "state", "attempts"), "batch")
+    return changes.groupBy("task_id").agg(last.alias("s")).select("task_id", "s.label", "s.state", "s.attempts")
 
 
 RESERVED = "budget_key string, id string, at_ms long, tokens long, verdict string, retry_at_ms long"
@@ -63,7 +82,9 @@ def stream_reservations(requests: DataFrame, limit: int = WINDOW_TOKENS, window_
 
     ``op`` is reserve, reconcile or release; only reservations are answered:
     verdict ok, window_full with the time to try again, or exceeds_ceiling.  The
-    state of a budget is its live reservations, at most what the window holds.
+    state of a budget is its live reservations, at most what the window holds; a
+    task holds one budget's requests of one batch, which the source's
+    ``maxFilesPerTrigger`` bounds.
     """
 
     def answer(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -71,7 +92,7 @@ def stream_reservations(requests: DataFrame, limit: int = WINDOW_TOKENS, window_
         if state.exists:
             held, at, tokens = state.get
             budget.entries = [list(e) for e in zip(held, at, tokens)]
-        rows = pd.concat(list(batches)).sort_values(["at_ms", "id"], kind="stable")
+        rows = pd.concat(list(batches)).sort_values(["at_ms", "id", "op"], kind="stable")
         found = []
         for r in rows.itertuples():
             if r.op == "reserve":
@@ -91,3 +112,9 @@ def stream_reservations(requests: DataFrame, limit: int = WINDOW_TOKENS, window_
     return requests.groupBy("budget_key").applyInPandasWithState(
         answer, RESERVED, "ids array<string>, at array<long>, tokens array<long>", "append", GroupStateTimeout.NoTimeout
     )
+
+
+def answered_to(answers: DataFrame, path: str) -> StreamingQuery:
+    """Start writing a stream's answers as files under ``path``, with the checkpoint it resumes from."""
+    files = answers.writeStream.outputMode("append").format("parquet").option("checkpointLocation", f"{path}/checkpoint")
+    return files.trigger(availableNow=True).start(f"{path}/answers")

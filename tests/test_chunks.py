@@ -1,6 +1,8 @@
 import random
 
-from quoteloom.operators.chunks import chunk_documents, number_chunks
+import pytest
+
+from quoteloom.operators.chunks import chunk_documents, number_chunks, running_sum
 
 SCHEMA = "doc_id string, doc_order long, title string, text string"
 
@@ -40,3 +42,13 @@ def test_numbers_follow_documents(spark):
     rows = number_chunks(chunk_documents(docs, target=100, overlap=10)).collect()
     rows.sort(key=lambda r: (r.doc_order, r["index"]))
     assert [r.chunk_id for r in rows] == [f"c{i}" for i in range(len(rows))]
+
+
+@pytest.mark.parametrize("ids", [list(range(50)), [7**k for k in range(20)] + [-5, -(2**61), 2**62, 2**62 + 1], [], [3]])
+def test_running_sums_over_sparse_numbers(spark, ids):
+    rows = [(i, n * 10 + 1) for n, i in enumerate(ids)]
+    df = spark.createDataFrame(rows, "i long, v long")
+    want, total = {}, 0
+    for i, v in sorted(rows):
+        want[i], total = total, total + v
+    assert {r.i: r.before for r in running_sum(df, "i", "v", "before", stride=4096).collect()} == want

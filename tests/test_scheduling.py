@@ -1,3 +1,4 @@
+import random
 from itertools import cycle
 
 import pytest
@@ -107,6 +108,35 @@ def test_schedule_by_key(spark):
     assert found == {f"{k}{i}": 60_000.0 * (i // 2) for k in "ab" for i in range(5)}
 
 
+def test_schedule_with_outcomes_equals_the_simulation(spark):
+    rng = random.Random(3)
+    kinds = ("done", "done", "rate_limited", "retryable", "final")
+    rows = []
+    for key in "abc":
+        for i in range(30):
+            script = [(rng.choice(kinds), float(rng.randrange(1, 900)), rng.randrange(500), rng.choice([None, 300.0]), "e") for _ in range(rng.randrange(1, 4))]
+            rows.append((key, i % 2, i, f"{key}{i}", rng.randrange(50, 400), rng.choice([None, 350]), script))
+    outcome = "array<struct<kind:string,latency_ms:double,tokens:long,retry_after_ms:double,error:string>>"
+    df = spark.createDataFrame(rows, f"budget_key string, phase int, position long, task_id string, estimate long, estimate_again long, outcomes {outcome}")
+    limits = {"concurrency": 5, "window_tokens": 1000, "window_ms": 2000}
+    for cancel in (None, 4000.0):
+        found = {r.task_id: (r.state, r.attempts, r.ended_ms, r.error, r.tokens_used) for r in scheduling.schedule(df, **limits, cancel_at_ms=cancel).collect()}
+        counted = {(r.budget_key, r.phase): r.asDict() for r in scheduling.schedule(df, **limits, cancel_at_ms=cancel, counters=True).collect()}
+        for key in "abc":
+            budget, now = Budget(1000, 2000), 0
+            for phase in (0, 1):
+                given = []
+                for _, _, _, name, first, again, script in (r for r in rows if r[0] == key and r[1] == phase):
+                    outs = [Outcome(k, ms, t, wait, e) for k, ms, t, wait, e in script]
+                    given.append(Task(name, lambda a, f=first, g=again: f if a == 1 or g is None else g, lambda a, t, o=outs: o[min(a, len(o)) - 1]))
+                ended, n = simulate(given, 5, budget, start_ms=now, cancel_at=cancel)
+                now += n["wall_clock_ms"]
+                assert all(found[t.id] == (t.state, t.attempts, t.ended, t.error, t.tokens) for t in ended)
+                assert {c: counted[key, phase][c] for c in scheduling.COUNTERS} == n
+                assert n["tasks"] == n["completed"] + n["failed"] + n["cancelled"]
+        assert cancel is None or "cancelled" in {x[0] for x in found.values()}
+
+
 def test_window_spent_without_key_equals_brute_force(spark):
     rows = [(i, (i * 7919) % 400_000, i % 50) for i in range(500)] + [(500, 60_000, 5), (501, 120_000, 5), (502, 119_999, 5)]
     df = spark.createDataFrame(rows, "id long, at_ms long, tokens long")

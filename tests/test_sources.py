@@ -9,8 +9,8 @@ def test_pasted_and_files(spark, tmp_path):
     assert [(r.title, r.fault) for r in sources.pasted(texts).orderBy("position").collect()] == [("Pasted text 1", None), ("Pasted text 2", "blank"), ("Pasted text 3", "doc_too_large")]
     for name, text in {"a.txt": "text", "b.md": "y" * 400_100, "c.markdown": "  ", "d.html": "<p>", "e.txt": "z" * 2_000_001}.items():
         (tmp_path / name).write_text(text)
-    found = {r.title: (len(r.text), r.fault) for r in sources.files(spark, str(tmp_path)).collect()}
-    assert found == {"a.txt": (4, None), "b.md": (400_000, None), "c.markdown": (2, "blank"), "e.txt": (400_000, "too_large")}
+    found = {r.title: (r.text and len(r.text), r.fault) for r in sources.files(spark, str(tmp_path)).collect()}
+    assert found == {"a.txt": (4, None), "b.md": (400_000, None), "c.markdown": (2, "blank"), "e.txt": (None, "too_large")}
 
 
 def test_fetched(spark):
@@ -44,7 +44,8 @@ def test_request_faults(spark):
         0: [], 1: ["docs"], 2: ["questions.0"], 3: ["docs.0.id", "docs.0.origin"], 4: ["concurrency", "tokens_per_window", "top_k"], 5: ["all_blank"],
         6: [f"docs.{i}.url" for i in range(4)], 7: ["corpus_too_large"], 8: ["docs", "questions"],
     }
-    assert sources.body_fault(F.lit("x")) is not None
+    sizes = spark.createDataFrame([("x",), ("é" * 1_000_000,), ("é" * 1_000_000 + "x",), (None,)], "body string")
+    assert [r.f for r in sizes.select(sources.body_fault(F.col("body")).alias("f")).collect()] == [None, None, "body_too_large", None]
 
 
 def test_events_round_trip_and_broken_lines(spark, tmp_path):
@@ -54,8 +55,33 @@ def test_events_round_trip_and_broken_lines(spark, tmp_path):
     streaming.write_events(streaming.run_events(phases, tasks), path)
     (tmp_path / "events" / "cut.json").write_text('\n{"seq": 9, "type": "sched\n')
     assert [r.type for r in streaming.read_events(spark, path).orderBy("seq").collect()] == ["phase", "scheduler", "scheduler"]
-    streaming.live_board(streaming.stream_events(spark, path), "board_test").awaitTermination()
-    assert [(r.task_id, r.label, r.state) for r in spark.table("board_test").collect()] == [("a", "A", "done")]
+    to = str(tmp_path / "board")
+    streaming.live_board(streaming.stream_events(spark, path), to).awaitTermination()
+    assert [(r.task_id, r.label, r.state) for r in streaming.board_now(spark, to).collect()] == [("a", "A", "done")]
+    more = spark.createDataFrame([(3, "draft", "b", None, "running", 1), (4, "draft", "a", None, "failed", 2)], tasks.schema)
+    streaming.write_events(streaming.run_events(phases.limit(0), more), path)
+    streaming.live_board(streaming.stream_events(spark, path), to).awaitTermination()  # resumes where it stopped
+    assert sorted((r.task_id, r.label, r.state, r.attempts) for r in streaming.board_now(spark, to).collect()) == [("a", "A", "failed", 2), ("b", "b", "running", 1)]
+
+
+def test_other_events_carry_a_payload(spark):
+    phases = spark.createDataFrame([(0, "done", "Complete")], "seq long, phase string, detail string")
+    tasks = spark.createDataFrame([], "seq long, phase string, task_id string, label string, state string, attempts int")
+    models = spark.createDataFrame([(1, "a", "b")], "seq long, draft string, verify string")
+    error = spark.createDataFrame([(2, "it broke")], "seq long, message string")
+    found = {r.type: r.payload for r in streaming.run_events(phases, tasks, models=models, error=error).collect()}
+    assert found == {"phase": None, "models": '{"draft":"a","verify":"b"}', "error": '{"message":"it broke"}'}
+
+
+def test_oversized_files_are_not_read(spark, tmp_path):
+    big = tmp_path / "big.md"
+    big.write_text("x" * 2_000_001)
+    (tmp_path / "a.txt").write_bytes(b"ab\xffc")
+    (tmp_path / "b.markdown").write_text(" \n")
+    (tmp_path / "c.csv").write_text("no")
+    rows = sources.files(spark, str(tmp_path))
+    big.chmod(0)
+    assert {r.title: (r.text, r.fault) for r in rows.collect()} == {"a.txt": ("ab\ufffdc", None), "b.markdown": (" \n", "blank"), "big.md": (None, "too_large")}
 
 
 def test_streamed_budget(spark, tmp_path):
@@ -64,6 +90,7 @@ def test_streamed_budget(spark, tmp_path):
     path = str(tmp_path / "asked")
     spark.createDataFrame(rows, schema).coalesce(1).write.parquet(path)
     out = streaming.stream_reservations(spark.readStream.schema(schema).parquet(path), 1000, 60_000)
-    out.writeStream.outputMode("append").format("memory").queryName("budget_test").trigger(availableNow=True).start().awaitTermination()
-    found = {r.id: (r.verdict, r.retry_at_ms) for r in spark.table("budget_test").collect()}
+    to = str(tmp_path / "budget")
+    streaming.answered_to(out, to).awaitTermination()
+    found = {r.id: (r.verdict, r.retry_at_ms) for r in spark.read.parquet(f"{to}/answers").collect()}
     assert found == {"a": ("ok", None), "b": ("window_full", 60_000), "c": ("window_full", 60_000), "d": ("ok", None), "e": ("exceeds_ceiling", None), "f": ("ok", None)}

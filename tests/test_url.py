@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from quoteloom.functions.url import assess, blocked_address, is_blocked_ipv4, parse_ipv4
+from quoteloom.functions.url import assess, blocked_address, is_blocked_ipv4, parse_ipv4, resolve
 from quoteloom.sources.documents import followed, guarded
 
 
@@ -37,6 +37,21 @@ def test_addresses(spark, address, blocked):
         assert row.o is None
 
 
+@pytest.mark.parametrize(
+    ("location", "target", "fault"),
+    [
+        (r"\\10.0.0.1/y", "https://10.0.0.1/y", "blocked_address"), (r"/\10.0.0.1/y", "https://10.0.0.1/y", "blocked_address"),
+        ("/\t/10.0.0.1/y", "https://10.0.0.1/y", "blocked_address"), ("ht\ntp://127.0.0.1", "http://127.0.0.1", "blocked_address"),
+        (r"https:\\10.0.0.1", "https://10.0.0.1", "blocked_address"), (r"http:\10.0.0.1", "http://10.0.0.1", "blocked_address"),
+        ("http:10.0.0.1", "http://10.0.0.1", "blocked_address"), ("https:c", "https://a.com/p/c", ""), ("////8.8.8.8/x", "https://8.8.8.8/x", ""),
+        (r"b\..\c?d=\e", r"https://a.com/p/c?d=\e", ""), ("  /q#f ", "https://a.com/q#f", ""), ("?z", "https://a.com/p/x?z", ""),
+        ("x:y", "x:y", "scheme"), ("./x:y", "https://a.com/p/x:y", ""), ("javascript:alert(1)", "javascript:alert(1)", "scheme"),
+    ],
+)
+def test_redirects_as_browsers_resolve_them(location, target, fault):
+    assert resolve(location, "https://a.com/p/x") == target and assess(target) == fault
+
+
 def test_names_and_redirects(spark):
     urls = spark.createDataFrame([(f"http://{h}/",) for h in ("pub.org", "mixed.org", "none.org", "8.8.8.8")], "url string")
     dns = spark.createDataFrame([("pub.org", "8.8.8.8"), ("mixed.org", "8.8.8.8"), ("mixed.org", "10.0.0.1")], "host string, address string")
