@@ -5,18 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import drop, written
+from .store import drop, join_one, written
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, many: int) -> DataFrame:
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+    found = join_one(both, least, "u", "n", 2 * many)
+    return found.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+def _small_star(edges: DataFrame, many: int) -> DataFrame:
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    moved = join_one(edges, least, "u", "n", many).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -28,17 +29,21 @@ def _state(edges: DataFrame) -> tuple[int, int]:
 def stars(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     """(u, v): the smallest member v of u's component, for every u but the smallest itself.
 
-    ``edges`` has columns u > v.  Each round is written to the shared folder, so
-    lineage stays short and a lost executor costs one round.
+    ``edges`` has columns u > v.  Both halves of a round are written to the shared
+    folder, so lineage stays short and a lost executor costs half a round.  What
+    has very many neighbours is met by broadcast, a thousand such at most, so
+    that no task holds all links of a hub.
     """
     now = written(edges.select("u", "v").distinct(), "links")
     state = _state(now)
     for _ in range(max_rounds):
         if not state[0]:
             return now
-        after = written(_small_star(_large_star(now)), "links")
+        large = written(_large_star(now, state[0]), "large-star")
+        after = written(_small_star(large, state[0]), "links")
         new = _state(after)
         drop(now, now.sparkSession)
+        drop(large, now.sparkSession)
         now = after
         if new == state:
             return now

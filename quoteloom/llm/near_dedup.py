@@ -25,10 +25,12 @@ from .bk_tree import Forest, dense, settle
 from .components import stars
 from .similarity import signatures, similar_texts, text_key
 from .simhash import fingerprints
-from .store import free_name, partitions, pick, small_batches, written
+from .store import free_name, join_one, partitions, pick, small_batches, written
 
 #: Shards above this many members are cut by further blocks, then searched by elimination.
 TREE_MEMBERS = 256
+#: Members of one shard in one task, twice over where a larger shard is cut into pieces.
+HOLD = 400_000
 
 
 def blocks(bits: list[int], n: int) -> list[int]:
@@ -86,13 +88,19 @@ def shard_links(shard: np.ndarray, values: np.ndarray, radius: int, fixed: np.nd
     return [(order[a], order[b]) for a, b in found]
 
 
-def near_links(nodes: DataFrame, count: int, radius: int = 4, hold: int = 400_000) -> DataFrame:
-    """(u, v), u > v: links that connect every pair of distinct fingerprints at most ``radius`` apart."""
+def near_links(nodes: DataFrame, count: int, radius: int = 4, hold: int = HOLD) -> DataFrame:
+    """(u, v), u > v: links that connect every pair of distinct fingerprints at most ``radius`` apart.
+
+    A shard of more than ``hold`` members is cut into pieces of about that many
+    by hash, and every two pieces meet in a task of their own, so that no task
+    holds more than two.  Pairs of pieces grow with the square of such a shard
+    (a group of 5 million distinct near copies is 10 pieces and 55 tasks).
+    """
     masks = masks_for(count, radius)
     signed = np.array(masks, np.uint64).view(np.int64).tolist()
 
-    def search(keys: np.ndarray, which: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
-        _, shard = np.unique(np.stack([which.astype(np.uint64), keys], 1), axis=0, return_inverse=True)
+    def search(keys: np.ndarray, which: np.ndarray, pair: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
+        _, shard = np.unique(np.stack([which.astype(np.uint64), keys, pair.astype(np.uint64)], 1), axis=0, return_inverse=True)
         pairs = shard_links(shard.reshape(-1), values, radius, np.array(masks, np.uint64)[which])
         a, b = (np.concatenate(x) for x in zip(*pairs)) if pairs else (np.zeros(0, np.int64),) * 2
         a, b = values[a].view(np.int64), values[b].view(np.int64)
@@ -102,23 +110,33 @@ def near_links(nodes: DataFrame, count: int, radius: int = 4, hold: int = 400_00
         held: list[np.ndarray] = []
         rows = 0
         for batch in batches:
-            held.append(np.stack([batch.column(i).to_numpy().view(np.uint64) for i in range(3)]))
+            held.append(np.stack([batch.column(i).to_numpy().view(np.uint64) for i in range(4)]))
             rows += batch.num_rows
             if rows >= hold:
                 whole = np.concatenate(held, 1)
-                last = (whole[0] == whole[0, -1]) & (whole[1] == whole[1, -1])
+                last = (whole[:3] == whole[:3, -1:]).all(axis=0)
                 if not last.all():
-                    yield search(whole[1, ~last], whole[0, ~last].astype(np.int64), whole[2, ~last])
+                    yield search(whole[1, ~last], whole[0, ~last].astype(np.int64), whole[2, ~last], whole[3, ~last])
                     whole = whole[:, last]
                 held, rows = [whole], (whole.shape[1] if whole.shape[1] < hold else 0)
         if held and (whole := np.concatenate(held, 1)).size:
-            yield search(whole[1], whole[0].astype(np.int64), whole[2])
+            yield search(whole[1], whole[0].astype(np.int64), whole[2], whole[3])
 
     dealt = nodes.select(F.posexplode(F.array(*[F.lit(m) for m in signed])).alias("which", "mask"), "fp").select(
         F.col("which").cast("long"), F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp"
     )
+    pieces = F.lit(1).cast("long")
+    if count > hold:  # else no shard can be larger
+        large = dealt.groupBy("which", "key").agg(F.count("*").alias("n")).where(F.col("n") > hold)
+        large = large.select("which", "key", F.ceil(F.col("n") / hold).alias("pieces"))
+        # at most one in ``hold`` of the rows dealt
+        dealt = dealt.join(F.broadcast(written(large, "large-shards")), ["which", "key"], "left")
+        pieces = F.coalesce("pieces", pieces)
+    own = F.pmod(F.xxhash64("fp"), pieces)
+    pair = F.transform(F.sequence(F.lit(0).cast("long"), pieces - 1), lambda other: F.least(own, other) * pieces + F.greatest(own, other))
+    dealt = dealt.select("which", "key", F.explode(pair).alias("pair"), "fp")
     n = partitions(nodes.sparkSession)
-    return dealt.repartition(n, "which", "key").sortWithinPartitions("which", "key").mapInArrow(run, "u long, v long").where("u > v")
+    return dealt.repartition(n, "which", "key", "pair").sortWithinPartitions("which", "key", "pair").mapInArrow(run, "u long, v long").where("u > v")
 
 
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 4, radius: int = 4) -> DataFrame:
@@ -128,12 +146,18 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     doc_id never is a component's id unless all its members' are null.
     """
     rows = written(fingerprints(docs, id_col, text_col, shingle_words), "fingerprints")
-    nodes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    star = stars(near_links(nodes, nodes.count(), radius))
-    labelled = nodes.join(star, nodes.fp == star.u, "left").select("fp", "least", F.coalesce("v", "fp").alias("label"))
-    least = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
-    named = labelled.join(least, "label").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    nodes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "nodes")
+    count, total = nodes.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    star = stars(near_links(nodes, count, radius))
+    named = components_of(nodes.withColumnRenamed("fp", "node"), star, count).withColumnRenamed("node", "fp")
+    return join_one(rows, written(named, "named"), "fp", "n", total).select("doc_id", "fp", "component_id")
+
+
+def components_of(nodes: DataFrame, star: DataFrame, count: int) -> DataFrame:
+    """``nodes`` (node, least, n and more) with component_id, the smallest ``least`` of those that ``star`` joins."""
+    labelled = nodes.join(star, nodes.node == star.u, "left").drop("u").withColumn("label", F.coalesce("v", "node")).drop("v")
+    least = labelled.groupBy("label").agg(F.min("least").alias("component_id"), F.count("*").alias("members"))
+    return join_one(labelled, least, "label", "members", count).drop("label", "least")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -146,13 +170,12 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     small_batches(docs.sparkSession)
     plain = pick(docs, id_col, text_col).toDF("doc_id", "text")
     rows = written(signatures(plain, shingle_words), "signatures")
-    distinct = rows.groupBy("name").agg(F.min("doc_id").alias("least"), F.first("keys").alias("keys"))
+    distinct = rows.groupBy("name").agg(F.min("doc_id").alias("least"), F.first("keys").alias("keys"), F.count("*").alias("n"))
     nodes = written(distinct.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    count, total = nodes.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     star = stars(similar_texts(plain, nodes, shingle_words, similarity))
-    labelled = nodes.join(star, nodes.node == star.u, "left").select("name", "least", F.coalesce("v", "node").alias("label"))
-    least = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
-    named = labelled.join(least, "label").select("name", "component_id")
-    found = rows.select("doc_id", "name").join(named, "name")
+    named = written(components_of(nodes.drop("keys"), star, count).drop("node"), "named")
+    found = join_one(rows.select("doc_id", "name"), named, "name", "n", total)
     gone_id, gone_text = free_name(docs, "gone_id"), free_name(docs, "gone_text")
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(gone_id), F.col("name").alias(gone_text)).distinct()
     same = (F.col(f"`{id_col}`").cast("long") == F.col(gone_id)) & (text_key(F.col(f"`{text_col}`")) == F.col(gone_text))

@@ -12,10 +12,12 @@ _own: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one only where that is unset (one machine)."""
+    """The folder in ``spark.checkpoint.dir``; a temporary one only on one machine, where that may be unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not _own:
         _own.append("file://" + tempfile.mkdtemp(prefix="quoteloom-"))
     return _own[0]
@@ -41,6 +43,21 @@ def drop(df_or_path: DataFrame | str, spark: SparkSession) -> None:
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def join_one(rows: DataFrame, side: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """``rows`` with the columns of ``side``, which has one row for each ``key`` and, as ``size``, how many rows have it.
+
+    Keys of more than a thousandth of all ``total`` rows, a thousand keys at
+    most, are broadcast: no task gets all rows of a common key.  The others meet
+    by an ordinary join.
+    """
+    most = max(16, total // 1000)
+    given = [c for c in side.columns if c not in (key, size)]
+    often = F.broadcast(side.where(F.col(size) > most).select(F.col(key).alias("_often"), *given))
+    common = rows.join(often, F.col(key) == F.col("_often")).select(*rows.columns, *given)
+    rest = rows.join(often.select("_often"), F.col(key) == F.col("_often"), "left_anti")
+    return common.unionByName(rest.join(side.where(F.col(size) <= most).select(key, *given), key).select(*rows.columns, *given))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

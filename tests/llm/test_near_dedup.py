@@ -91,11 +91,27 @@ def test_links_and_components_match_brute_force(spark):
     values = clustered(rng, 600)
     signed = values.view(np.int64)
     nodes = spark.createDataFrame([(int(v),) for v in signed], "fp long")
-    star = {r.u: r.v for r in stars(near_links(nodes, len(values), 4)).collect()}
     label = brute_labels(values)
-    for want in np.unique(label):
-        members = signed[label == want].tolist()
-        assert {star.get(m, m) for m in members} == {min(members)}
+    for hold in (400_000, 12):  # at once, and in pieces that meet two by two
+        star = {r.u: r.v for r in stars(near_links(nodes, len(values), 4, hold)).collect()}
+        for want in np.unique(label):
+            members = signed[label == want].tolist()
+            assert {star.get(m, m) for m in members} == {min(members)}
+
+
+def test_hubs_and_chains_become_stars(spark):
+    rng = np.random.default_rng(8)
+    edges = [(i, 0) for i in range(1, 400)] + [(1000 + i, 999 + i) for i in range(1, 60)] + [(2000 + i, 100 + i) for i in range(50)]
+    edges += [(5000, i) for i in range(3000, 3200)] + [(int(a), int(b)) for a, b in np.sort(rng.integers(6000, 6300, (250, 2)))[:, ::-1] if a != b]
+    found = {r.u: r.v for r in stars(spark.createDataFrame(edges, "u long, v long")).collect()}
+    label = {x: x for e in edges for x in e}
+    for _ in range(400):
+        before = dict(label)
+        for u, v in edges:
+            label[u] = label[v] = min(label[u], label[v])
+        if before == label:
+            break
+    assert {x: found.get(x, x) for x in label} == label
 
 
 def test_awkward_documents(spark):

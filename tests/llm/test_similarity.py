@@ -1,9 +1,12 @@
 import numpy as np
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from quoteloom.llm.near_dedup import drop_near_copies
-from quoteloom.llm.similarity import shingle_set, similar_links
+from quoteloom.llm.similarity import shingle_set, signatures, similar_links, similar_texts
 from quoteloom.llm.simhash import fingerprint
+from quoteloom.llm.store import written
 
 from .helpers import documents
 
@@ -63,6 +66,32 @@ def test_links_connect_what_similar_pairs_connect_and_are_few():
     assert set(range(len(texts))) - {a for a, _ in pairs} == brute_kept(rows)
 
 
+def linked(spark, rows, **bounds):
+    """Components of similar_texts by brute-force settling of its links."""
+    plain = documents(spark, rows).select("doc_id", "text")
+    nodes = written(signatures(plain, 5).select(F.col("doc_id").alias("node"), "name", "keys"), "test-nodes")
+    label = {i: i for i, _ in rows}
+    links = [(r.u, r.v) for r in similar_texts(plain, nodes, **bounds).collect()]
+    assert all(u > v for u, v in links)
+    for _ in rows:
+        for u, v in links:
+            label[u] = label[v] = min(label[u], label[v])
+    return label
+
+
+def test_large_buckets_in_pieces_lose_no_link(spark):
+    rng = np.random.default_rng(11)
+    words = [f"w{x}" for x in rng.integers(0, 3000, 200)]
+    rows = [" ".join(words)]
+    for _ in range(60):  # chains: later ones are far from the first
+        rows.append(edited(rows[rng.integers(len(rows))].split(), rng, int(rng.integers(1, 5))))
+    rows = list(enumerate(dict.fromkeys(rows)))
+    want = linked(spark, rows)
+    assert 1 < len({x for x in want.values()}) + 1 < len(rows)
+    for bounds in ({"hold_bytes": 8_000}, {"hold_bytes": 2_500, "hold_members": 3}, {"hold_members": 10}):
+        assert linked(spark, rows, **bounds) == want
+
+
 def test_short_wordless_and_missing_texts(spark):
     rows = [(1, None), (2, " "), (3, "one two"), (4, "ONE two"), (5, "one three"), (None, "one two"), (None, "")]
     left = drop_near_copies(documents(spark, rows))
