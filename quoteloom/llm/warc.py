@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import drop, fresh, open_input, open_output, partitions, pick, small_batches, written
+from .store import drop, fresh, join_one, open_input, open_output, partitions, pick, small_batches, written
 
 LEAST_SHARED = 1000
 BLOCK_LINES = 3000
@@ -127,13 +127,15 @@ def write_archives(pages: DataFrame, folder: str, id_col: str, url_col: str, htm
     plain = pick(pages, id_col, url_col, html_col).toDF("page_id", "url", "html")
     plain = plain.select(F.col("page_id").cast("long"), "url", html.alias("html"), F.sha1(html.cast("binary")).alias("digest"))
     long_enough = F.octet_length("html") >= LEAST_SHARED
-    shared = plain.where(long_enough).groupBy("digest").agg(F.max("page_id").alias("first_id"), F.count("*").alias("n"))
-    shared = written(shared.where("n > 1").select("digest", "first_id"), "shared-payloads")
-    marked = plain.withColumn("shared_digest", F.when(long_enough, F.col("digest"))).join(
-        shared.withColumnRenamed("digest", "shared_digest"), "shared_digest", "left"
-    )
-    refers = F.when(~F.col("page_id").eqNullSafe(F.col("first_id")), F.col("first_id"))
-    rows = marked.select("page_id", "url", F.col("html").cast("binary").alias("html"), "digest", refers.alias("refers_to"))
+    narrow = written(plain.where(long_enough).select("page_id", "digest"), "digests")
+    shared = narrow.groupBy("digest").agg(F.max("page_id").alias("first_id"), F.count("*").alias("n"))
+    shared = written(shared.where("n > 1"), "shared-payloads")
+    total = shared.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    # only ids and digests meet the shared payloads, however common one is; pages then meet marks of their own
+    marks = join_one(narrow, shared, "digest", "n", total).where(~F.col("page_id").eqNullSafe(F.col("first_id"))).distinct()
+    marks = written(marks.select(F.col("page_id").alias("own_id"), F.col("digest").alias("own_digest"), F.col("first_id").alias("refers_to")), "revisits")
+    same = F.col("page_id").eqNullSafe(F.col("own_id")) & (F.col("digest") == F.col("own_digest"))
+    rows = plain.join(marks, same, "left").select("page_id", "url", F.col("html").cast("binary").alias("html"), "digest", "refers_to")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
@@ -156,7 +158,8 @@ def write_archives(pages: DataFrame, folder: str, id_col: str, url_col: str, htm
             out.close()
 
     captures = written(rows.mapInArrow(run, "key string, path string, at long, size long"), "captures")
-    drop(shared, spark)
+    for table in (narrow, shared, marks):
+        drop(table, spark)
     return captures
 
 
@@ -250,7 +253,7 @@ def look_up(wanted: DataFrame, shards: list[tuple[str, str, int, int]]) -> DataF
 
     n = partitions(wanted.sparkSession)
     ordered = wanted.select("key").distinct().repartitionByRange(n, "key").sortWithinPartitions("key")
-    return ordered.mapInArrow(run, "path string, at long, size long")
+    return written(ordered.mapInArrow(run, "path string, at long, size long"), "places")  # read twice by the next range partitioning
 
 
 def read_records(places: DataFrame, payloads: bool = False) -> DataFrame:
