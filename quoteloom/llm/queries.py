@@ -11,7 +11,7 @@ from .language_id import identify
 from .lm_scoring import score
 from .near_dedup import near_components
 from .packing import Limits, chat_examples, pack_documents, pack_examples
-from .preferences import conversations, format_pairs, pairs_by_opening, with_digests
+from .preferences import conversations, format_pairs, pairs_by_opening, pairs_by_reply, with_bounds
 from .token_counts import lengths, suffix_sums
 from .token_files import token_files
 from .warc import archive_round_trip
@@ -31,10 +31,9 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs by opening and, as chosen and rejected often lie side by side, each even id with the next."""
+    """Every conversation against itself with another's reply, and against the best one of its opening."""
     whole = conversations(table(spark, sf_dir, "conversations"))
-    beside = whole.where("conv_id % 2 = 0").select(F.col("conv_id").alias("chosen_id"), (F.col("conv_id") + 1).alias("rejected_id"))
-    return with_digests(format_pairs(whole, pairs_by_opening(whole).union(beside)))
+    return with_bounds(format_pairs(whole, pairs_by_opening(whole).union(pairs_by_reply(whole))))
 
 
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,29 +109,39 @@ ORACLES = {
     "op5_preferences": r"""
         WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
                           row_number() OVER (PARTITION BY conv_id ORDER BY turn, coalesce(role, ''), coalesce(text, '')) AS i
-                   FROM conversations),
+                   FROM conversations WHERE conv_id IS NOT NULL),
         r AS (SELECT *, '<|' || role || '|>' || chr(10) || replace(text, '<|', '< |') || '<|end|>' || chr(10) AS shown FROM t),
-        f AS (SELECT conv_id, coalesce(min(i) FILTER (role = 'user'), 1) AS k,
-                     sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS weight, count(*) AS n FROM t GROUP BY conv_id),
-        o AS (SELECT f.conv_id, f.weight, f.n, list((r.role, r.text) ORDER BY r.i) AS opening
-              FROM f JOIN r ON f.conv_id = r.conv_id AND r.i <= f.k GROUP BY f.conv_id, f.weight, f.n),
+        f AS (SELECT conv_id, coalesce(min(i) FILTER (role = 'user'), 1) AS k, max(i) FILTER (role = 'assistant') AS last,
+                     arg_max(text, i) FILTER (role = 'assistant') AS reply,
+                     sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS weight FROM t GROUP BY conv_id),
+        o AS (SELECT f.conv_id, f.weight, list((r.role, r.text) ORDER BY r.i) AS opening
+              FROM f JOIN r ON f.conv_id = r.conv_id AND r.i <= f.k GROUP BY f.conv_id, f.weight),
         c AS (SELECT *, first_value(conv_id) OVER (PARTITION BY opening ORDER BY weight DESC, conv_id) AS chosen_id FROM o),
-        q AS (SELECT chosen_id, conv_id AS rejected_id FROM c WHERE chosen_id <> conv_id
-              UNION SELECT conv_id, conv_id + 1 FROM c WHERE conv_id % 2 = 0 AND conv_id + 1 IN (SELECT conv_id FROM c)),
-        p AS (SELECT q.chosen_id, q.rejected_id, coalesce(min(a.i) FILTER (b.i IS NULL OR a.role <> b.role OR a.text <> b.text), max(a.i) + 1) - 1 AS n
-              FROM q JOIN r a ON a.conv_id = q.chosen_id LEFT JOIN r b ON b.conv_id = q.rejected_id AND b.i = a.i
-              GROUP BY ALL),
-        s AS (SELECT chosen_id, rejected_id, n,
-                     (SELECT coalesce(string_agg(shown, '' ORDER BY i), '') FROM r WHERE conv_id = chosen_id AND i <= n) AS prompt,
-                     (SELECT coalesce(string_agg(shown, '' ORDER BY i), '') FROM r WHERE conv_id = chosen_id AND i > n) AS chosen,
-                     (SELECT coalesce(string_agg(shown, '' ORDER BY i), '') FROM r WHERE conv_id = rejected_id AND i > n) AS rejected,
-                     (SELECT coalesce(sum(length(shown) - length(role) - 5), 0) FROM r WHERE conv_id = chosen_id AND i > n AND role = 'assistant') AS cl,
-                     (SELECT coalesce(sum(length(shown) - length(role) - 5), 0) FROM r WHERE conv_id = rejected_id AND i > n AND role = 'assistant') AS rl
-              FROM p)
-        SELECT chosen_id, rejected_id, n::BIGINT AS prompt_turns, length(prompt) AS prompt_chars, sha256(prompt) AS prompt_sha256,
-               length(chosen) AS chosen_chars, sha256(chosen) AS chosen_sha256, length(rejected) AS rejected_chars,
-               sha256(rejected) AS rejected_sha256, cl::BIGINT AS chosen_loss_chars, rl::BIGINT AS rejected_loss_chars
-        FROM s""",
+        many AS (SELECT greatest(0, ceil(log(greatest(1, count(*)) / 4096.0) / log(16) - 1e-9))::INT AS digits FROM f WHERE reply IS NOT NULL),
+        dealt AS (SELECT conv_id, reply, md5(reply) AS h, substr(md5(conv_id::VARCHAR), 1, digits) AS bucket FROM f, many WHERE reply IS NOT NULL),
+        circle AS (SELECT bucket, h, min(conv_id) AS giver FROM dealt GROUP BY bucket, h),
+        following AS (SELECT bucket, h, coalesce(lead(giver) OVER w, first_value(giver) OVER w) AS rejected_id, count(*) OVER (PARTITION BY bucket) AS n
+                      FROM circle WINDOW w AS (PARTITION BY bucket ORDER BY h)),
+        q AS (SELECT 'opening' AS kind, chosen_id, conv_id AS rejected_id FROM c WHERE chosen_id <> conv_id
+              UNION SELECT 'reply', conv_id, rejected_id FROM dealt JOIN following USING (bucket, h) WHERE n > 1),
+        sides AS (SELECT q.*, 'chosen' AS side, r.i, r.role, r.text, r.shown FROM q JOIN f ON f.conv_id = q.chosen_id JOIN r ON r.conv_id = q.chosen_id AND (q.kind = 'opening' OR r.i <= f.last)
+                  UNION ALL SELECT q.*, 'rejected', r.i, r.role, r.text, r.shown FROM q JOIN r ON r.conv_id = q.rejected_id WHERE q.kind = 'opening'
+                  UNION ALL SELECT q.*, 'rejected', r.i, r.role, r.text, r.shown FROM q JOIN f ON f.conv_id = q.chosen_id JOIN r ON r.conv_id = q.chosen_id AND r.i < f.last WHERE q.kind = 'reply'
+                  UNION ALL SELECT q.*, 'rejected', f.last, r.role, r.text, r.shown FROM q JOIN f ON f.conv_id = q.chosen_id JOIN f g ON g.conv_id = q.rejected_id JOIN r ON r.conv_id = q.rejected_id AND r.i = g.last
+                            WHERE q.kind = 'reply'),
+        p AS (SELECT a.kind, a.chosen_id, a.rejected_id, coalesce(min(a.i) FILTER (b.i IS NULL OR a.role <> b.role OR a.text <> b.text), max(a.i) + 1) - 1 AS n
+              FROM sides a LEFT JOIN sides b ON b.side = 'rejected' AND b.kind = a.kind AND b.chosen_id = a.chosen_id AND b.rejected_id = a.rejected_id AND b.i = a.i
+              WHERE a.side = 'chosen' GROUP BY ALL),
+        placed AS (SELECT s.*, p.n, coalesce(sum(CASE WHEN s.i > p.n THEN length(shown) END) OVER (PARTITION BY s.kind, s.chosen_id, s.rejected_id, side ORDER BY s.i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first
+                   FROM sides s JOIN p USING (kind, chosen_id, rejected_id)),
+        told AS (SELECT kind, chosen_id, rejected_id, any_value(n)::BIGINT AS prompt_turns,
+                        coalesce(string_agg(shown, '' ORDER BY i) FILTER (side = 'chosen' AND i <= n), '') AS prompt,
+                        coalesce(string_agg(shown, '' ORDER BY i) FILTER (side = 'chosen' AND i > n), '') AS chosen,
+                        coalesce(string_agg(shown, '' ORDER BY i) FILTER (side = 'rejected' AND i > n), '') AS rejected,
+                        coalesce(string_agg((first + length(role) + 5) || '-' || (first + length(shown)), ',' ORDER BY i) FILTER (side = 'chosen' AND i > n AND role = 'assistant'), '') AS chosen_loss,
+                        coalesce(string_agg((first + length(role) + 5) || '-' || (first + length(shown)), ',' ORDER BY i) FILTER (side = 'rejected' AND i > n AND role = 'assistant'), '') AS rejected_loss
+                 FROM placed GROUP BY kind, chosen_id, rejected_id)
+        SELECT *, CASE WHEN prompt_turns = 0 THEN 'no_prompt' WHEN chosen_loss = '' OR rejected_loss = '' THEN 'no_loss' ELSE 'ok' END AS status FROM told""",
     "op10_decontamination": r"""
         WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(
                      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
