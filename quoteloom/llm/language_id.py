@@ -24,8 +24,10 @@ from pyspark.sql import functions as F
 from .store import pick, small_batches
 from .tokens import give_back_memory
 
-#: Bounds of the sample: excerpts of each language, and characters of each.
-SAMPLE_TEXTS, SAMPLE_CHARS = 96, 512
+#: Bounds of the sample: excerpts of each language, characters of each, and characters in all: with many languages
+#: excerpts are shorter, so that the tables of a worker stay within some hundred MB.
+SAMPLE_TEXTS, SAMPLE_CHARS, ALL_CHARS = 96, 512, 8 * 96 * 512
+#: Languages that are learnt: of more labels, those that most documents have.
 MAX_LANGUAGES = 256
 SLICE = 256
 UNKNOWN = "und"
@@ -138,20 +140,24 @@ class Parser:
         return names, scores
 
 
-def sample(labelled: DataFrame, texts: int = SAMPLE_TEXTS, chars: int = SAMPLE_CHARS) -> dict[str, bytes]:
+def sample(labelled: DataFrame, texts: int = SAMPLE_TEXTS, chars: int = SAMPLE_CHARS, most: int = MAX_LANGUAGES, all_chars: int = ALL_CHARS) -> dict[str, bytes]:
     """Excerpts by language, of columns text and lang: at most ``texts`` distinct texts of ``chars`` characters each.
 
     Texts are chosen by their hash, so that copies count once and the choice
-    doesn't depend on how rows are dealt.
+    doesn't depend on how rows are dealt.  All languages together have at most
+    ``all_chars`` characters, by shorter excerpts of each.  Of more than ``most``
+    labels, those that most documents have are learnt, ties going to the first
+    in order; the others are never predicted.
     """
-    hashed = labelled.where("text is not null and lang is not null").withColumn("h", F.xxhash64("text"))
-    chosen = hashed.groupBy("lang", F.pmod("h", F.lit(texts)).alias("b")).agg(F.min("h").alias("h"))
-    rows = chosen.limit(texts * MAX_LANGUAGES + 1).collect()
-    if len(rows) > texts * MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    if not rows:
+    known = labelled.where("text is not null and lang is not null")
+    counted = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most)
+    langs = [r.lang for r in counted.collect()]  # ``most`` at most
+    if not langs:
         return {}
+    chars = max(1, min(chars, all_chars // (texts * len(langs))))
     spark = labelled.sparkSession
+    hashed = known.join(F.broadcast(spark.createDataFrame([(x,) for x in langs], "lang string")), "lang", "left_semi").withColumn("h", F.xxhash64("text"))
+    rows = hashed.groupBy("lang", F.pmod("h", F.lit(texts)).alias("b")).agg(F.min("h").alias("h")).collect()  # texts * most at most
     keys = F.broadcast(spark.createDataFrame([(r.lang, r.h) for r in rows], "lang string, h long"))
     excerpts = hashed.join(keys, ["lang", "h"], "left_semi").select("lang", "h", F.substring("text", 1, chars).alias("text"))
     found: dict[str, list[bytes]] = {}

@@ -78,3 +78,12 @@ def test_keep_known_keeps_columns(spark):
     assert {1, 2, 3, 10}.isdisjoint({r.doc_id for r in left.collect()})
     assert bare("A-b  C!") == b"a b c"
     assert len(keep_known(docs, {}).collect()) == len(AWKWARD) + 1 - 4
+
+
+def test_many_labels_share_the_sample(spark):
+    rows = [(i, f"word{i % 300} " * 200, f"l{i % 300:03}") for i in range(600)] + [(1000 + i, f"often {i}", "l299") for i in range(3)]
+    labelled = documents(spark, rows).select("text", "lang")
+    found = sample(labelled, texts=4, chars=100, most=20, all_chars=4 * 20 * 30)
+    assert sorted(found) == [f"l{i:03}" for i in range(19)] + ["l299"]
+    assert all(len(x) <= 4 * 31 for x in found.values())
+    assert len(sample(labelled, texts=4, most=1000)) == 300
