@@ -5,14 +5,17 @@ searches all windows of the benchmark in it at once; occurrences are located
 and merged into removal spans of words.  Only runs of consecutive words that the
 benchmark uses, at least as long as its shortest window, can hold an occurrence,
 so only these are indexed.  The benchmark is written once, in blocks of bounded
-size, to the shared folder; a task reads one block at a time, whatever the
-benchmark's size.  Documents are never shuffled.
+size, to the shared folder.  A task holds one block at a time, whatever the
+benchmark's size, and takes a group of shards through each, so that a block is
+read once for a group.  Documents are never shuffled.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +30,8 @@ from .tokens import give_back_memory, ragged
 WINDOW_WORDS = 10
 #: Text of a block of the benchmark, and of a shard of the corpus.
 BLOCK_BYTES, SHARD_BYTES = 8_000_000, 8_000_000
+#: Shards that go through the blocks of a benchmark together, where it has several.
+SHARDS_AT_ONCE = 8
 
 
 def _word_bytes() -> bytes:
@@ -129,15 +134,37 @@ class Shard:
         pair = np.unique(np.repeat(own, many) * n_items + items)
         return pair // n_items, pair % n_items
 
-    def searched(self, blocks: list[str], window_words: int) -> tuple[list[np.ndarray], list[set[str]]]:
-        """Of each document: which words are hit, and ids of the items that occur."""
-        covered = [np.zeros(len(t.split()), bool) for t in self.texts]
-        items: list[set[str]] = [set() for _ in self.texts]
+
+def searched(shards: Iterator[Shard], blocks: list[str], window_words: int) -> Iterator[tuple[Shard, list[np.ndarray], list[set[str]]]]:
+    """Each shard with, for its documents, which words are hit, and ids of the items that occur."""
+    while group := list(islice(shards, SHARDS_AT_ONCE if len(blocks) > 1 else 1)):
+        covered = [[np.zeros(len(t.split()), bool) for t in shard.texts] for shard in group]
+        items: list[list[set[str]]] = [[set() for _ in shard.texts] for shard in group]
         for path in blocks:
             names, phrases = read_block(path, window_words)
-            for doc, item in zip(*(x.tolist() for x in self.matches(phrases, covered))):
-                items[doc].add(names[item])
-        return covered, items
+            for shard, hit, found in zip(group, covered, items):
+                for doc, item in zip(*(x.tolist() for x in shard.matches(phrases, hit))):
+                    found[doc].add(names[item])
+        yield from zip(group, covered, items)
+
+
+def spans_of(hit: np.ndarray) -> list[tuple[int, int]]:
+    """[start, end) of runs of hit words, in order."""
+    if not hit.any():
+        return []
+    return [tuple(x) for x in np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]]))).reshape(-1, 2).tolist()]
+
+
+def without_spans(text: bytes, spans: list[tuple[int, int]]) -> bytes:
+    """A text without the words of some spans, and what stands between them."""
+    if not spans:
+        return text
+    words = [m.span() for m in re.finditer(rb"[^ ]+", text.translate(_TABLE))]
+    parts, at = [], 0
+    for start, end in spans:
+        parts.append(text[at : words[start][0]])
+        at = words[end - 1][1]
+    return b"".join(parts) + text[at:]
 
 
 def write_blocks(benchmark: DataFrame, id_col: str, text_col: str) -> list[str]:
@@ -194,18 +221,16 @@ def decontaminate(
     """A row for each document: doc_id, n_words, n_hit, items (ordered as strings), spans of hit words.
 
     Null text has no words.  An item without words has no window; a null item id
-    is the empty string.  Spans are [start, end) in words, merged and in order.
+    is the empty string.  Repeated rows have a row each, repeated items count once
+    by id.  Empty tables give no row, or rows without hits.  Spans are [start, end) in words, merged and in order.
     """
     spark = docs.sparkSession
     small_batches(spark)
     blocks = write_blocks(benchmark, item_col, item_text_col)
 
-    def results(shard: Shard) -> pa.RecordBatch:
-        covered, items = shard.searched(blocks, window_words)
-        spans = []
-        for mask in covered:
-            edge = np.flatnonzero(np.diff(np.concatenate([[0], mask.view(np.int8), [0]]))).reshape(-1, 2) if mask.any() else ()
-            spans.append([{"start": int(a), "end": int(z)} for a, z in edge])
+    def results(found: tuple[Shard, list[np.ndarray], list[set[str]]]) -> pa.RecordBatch:
+        shard, covered, items = found
+        spans = [[{"start": a, "end": z} for a, z in spans_of(mask)] for mask in covered]
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         columns = [
             pa.concat_arrays([b.column(0) for b in shard.batches]),
@@ -219,7 +244,7 @@ def decontaminate(
     plain = pick(docs, id_col, text_col).toDF("doc_id", "text")
     plain = plain.withColumn("doc_id", plain.doc_id.cast("long"))
     schema = "doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>"
-    return plain.mapInArrow(lambda batches: map(results, _shards(batches, 1)), schema)
+    return plain.mapInArrow(lambda batches: map(results, searched(_shards(batches, 1), blocks, window_words)), schema)
 
 
 def drop_contaminated(
@@ -231,8 +256,8 @@ def drop_contaminated(
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard in _shards(batches, at):
-            clean = np.array([not m.any() for m in shard.searched(blocks, window_words)[0]], bool)
+        for shard, covered, _ in searched(_shards(batches, at), blocks, window_words):
+            clean = np.array([not m.any() for m in covered], bool)
             first = 0
             for batch in shard.batches:
                 yield batch.filter(pa.array(clean[first : first + batch.num_rows]))
@@ -242,6 +267,31 @@ def drop_contaminated(
     return docs.mapInArrow(run, docs.schema)
 
 
+def remove_contaminated(
+    docs: DataFrame, benchmark: DataFrame, window_words: int = WINDOW_WORDS, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text"
+) -> DataFrame:
+    """All documents, all columns as they are but for the text, which loses the merged spans of words that any window hits.
+
+    What stands between the words of a span goes with them; null text stays null.
+    """
+    small_batches(docs.sparkSession)
+    blocks = write_blocks(benchmark, item_col, item_text_col)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard, covered, _ in searched(_shards(batches, at), blocks, window_words):
+            first = 0
+            for batch in shard.batches:
+                texts = batch.column(at).cast(pa.binary()).to_pylist()
+                masks = covered[first : first + batch.num_rows]
+                left = [None if t is None else without_spans(t, spans_of(m)).decode() for t, m in zip(texts, masks)]
+                yield pa.RecordBatch.from_arrays([pa.array(left, batch.schema.field(at).type) if i == at else c for i, c in enumerate(batch.columns)], schema=batch.schema)
+                first += batch.num_rows
+            give_back_memory()
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def with_digest(found: DataFrame) -> DataFrame:
     """Results with items as their number and a SHA-256 of their ids, comma-joined."""
     return found.select(

@@ -3,7 +3,7 @@ import re
 import numpy as np
 
 from quoteloom.llm import decontamination
-from quoteloom.llm.decontamination import decontaminate, drop_contaminated, with_digest
+from quoteloom.llm.decontamination import decontaminate, drop_contaminated, remove_contaminated, with_digest
 from quoteloom.llm.fm_index import FMIndex, Wavelet, suffix_order
 
 from .helpers import AWKWARD, documents
@@ -84,6 +84,7 @@ def test_small_blocks_and_shards_change_nothing(spark, monkeypatch):
     want = found(decontaminate(documents(spark, AWKWARD), bench))
     blocks = decontamination.write_blocks
     monkeypatch.setattr(decontamination, "BLOCK_BYTES", 40)
+    monkeypatch.setattr(decontamination, "SHARD_BYTES", 30)
     assert len(blocks(bench, "item_id", "text")) > 1
     assert found(decontaminate(documents(spark, AWKWARD), bench)) == want
 
@@ -108,3 +109,13 @@ def test_drop_contaminated_keeps_clean_rows_and_columns(spark):
     left = drop_contaminated(docs, bench)
     assert left.columns == docs.columns
     assert {r.doc_id for r in left.collect()} == {1, 2, 3, 4, 5, 6, 7, 10, 11, None}
+
+
+def test_spans_are_removed(spark):
+    item = "one two three four five six seven eight nine ten"
+    rows = [(1, f"Before, {item.upper()}! after"), (2, f"{item} -- {item}; x"), (3, "clean text"), (4, None), (5, f"é {item.replace(' ', '  ')}é"), (6, item)]
+    benchmark = spark.createDataFrame([(1, item)], "item_id long, text string")
+    docs = documents(spark, rows)
+    left = remove_contaminated(docs, benchmark)
+    assert left.columns == docs.columns
+    assert {r.doc_id: r.text for r in left.collect()} == {1: "Before, ! after", 2: "; x", 3: "clean text", 4: None, 5: f"é {item.replace(' ', '  ')}é", 6: ""}
