@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import free_name, partitions, pick, written
+from .store import free_name, join_one, partitions, pick, suspected, written
 
 #: Deleted before texts are compared: space, tab, line feed, vertical tab, form feed, carriage return.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -124,8 +124,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     the runs and to carry the result back to each document.
     """
     rows = written(digests(docs, id_col, text_col), "digests")
-    winners = tree_merge(rows, fan_in)
-    return rows.join(winners, "digest").select(
+    winners = written(tree_merge(rows, fan_in), "winners").withColumn("n", F.col("group_size"))
+    found = join_one(rows, winners, "digest", "n", rows.count())
+    return found.select(
         "doc_id",
         "keep_id",
         "group_size",
@@ -137,15 +138,23 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fan_in: int = 16) -> DataFrame:
-    """The documents that stay, all columns as they are; of rows repeated with id and text, one."""
+    """The documents that stay, all columns as they are; of rows repeated with id and text, one.
+
+    Texts stay where they are but for rows whose id is, or by its hash may be,
+    that of a copy: only these are hashed again and matched by id and text.
+    """
     found = exact_dedup(docs, id_col, text_col, fan_in)
     gone_id, gone_text, flat = (free_name(docs, n) for n in ("gone_id", "gone_text", "bare_text"))
-    gone = written(found.select(F.col("doc_id").alias(gone_id), F.col("text_sha256").alias(gone_text), "kept", "best_rows"), "copies")
+    gone = found.where("not kept or best_rows > 1").select(F.col("doc_id").alias(gone_id), F.col("text_sha256").alias(gone_text), "kept").distinct()
+    gone = written(gone, "copies")
+    own_id = F.col(f"`{id_col}`").cast("long")
+    clear, others = suspected(docs, own_id, gone.select(gone_id))
     bare = F.translate(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), BLANKS, "")
-    same = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col(gone_id)) & (F.sha2(bare, 256) == F.col(gone_text))
-    rest = docs.join(gone.where("not kept").select(gone_id, gone_text), same, "left_anti")
-    repeated = gone.where("kept and best_rows > 1").select(gone_id, gone_text).distinct()
+    same = own_id.eqNullSafe(F.col(gone_id)) & (F.sha2(bare, 256) == F.col(gone_text))
+    left = others.join(gone.where("not kept").drop("kept"), same, "left_anti")
+    repeated = gone.where("kept").drop("kept")
     if repeated.isEmpty():
-        return rest
-    once = rest.join(repeated, same, "left_semi").withColumn(flat, bare).dropDuplicates([id_col, flat]).drop(flat)
-    return rest.join(repeated, same, "left_anti").unionByName(once)
+        return clear.union(left)
+    left = written(left, "suspected")
+    once = left.join(repeated, same, "left_semi").withColumn(flat, bare).dropDuplicates([id_col, flat]).drop(flat)
+    return clear.union(left.join(repeated, same, "left_anti")).union(once)

@@ -1,6 +1,9 @@
 import hashlib
 
+from pyspark.sql import functions as F
+
 from quoteloom.llm.exact_dedup import digests, drop_copies, exact_dedup, tree_merge
+from quoteloom.llm.store import suspected
 
 from .helpers import AWKWARD, DOCS, documents
 
@@ -58,3 +61,15 @@ def test_drop_copies_keeps_columns_and_one_of_each(spark):
     assert len(kept) == len({bare(t) for _, t in AWKWARD})
     assert sorted(k[0] for k in kept if k[1] and k[1].startswith(("one two", "ONE"))) == [8, 9]
     assert DOCS.split()[0] in left.columns
+
+
+def test_rows_that_surely_stay_are_told_from_others(spark):
+    rows = [(i, "t") for i in range(0, 4000, 3)] + [(None, "t"), (-5, "u"), (2**62, "v")]
+    docs = documents(spark, rows).withColumn("_map", F.lit(1)).withColumn("_bits", F.lit(2))
+    ids = {i for i, _ in rows if i is None or i % 5 == 0}
+    clear, others = suspected(docs, F.col("doc_id"), spark.createDataFrame([(i,) for i in ids], "gone long"))
+    assert clear.columns == others.columns == docs.columns
+    kept, moved = [r.doc_id for r in clear.collect()], [r.doc_id for r in others.collect()]
+    assert sorted(kept + moved, key=str) == sorted((i for i, _ in rows), key=str)
+    assert ids <= set(moved) and len(moved) < len(ids) + 5
+    assert suspected(docs, F.col("doc_id"), spark.createDataFrame([], "gone long"))[0].count() == len(rows)
