@@ -25,7 +25,7 @@ from .bk_tree import Forest, dense, settle
 from .components import stars
 from .similarity import signatures, similar_texts, text_key
 from .simhash import fingerprints
-from .store import free_name, join_one, partitions, pick, small_batches, written
+from .store import free_name, join_one, partitions, pick, small_batches, suspected, written
 
 #: Shards above this many members are cut by further blocks, then searched by elimination.
 TREE_MEMBERS = 256
@@ -125,16 +125,17 @@ def near_links(nodes: DataFrame, count: int, radius: int = 4, hold: int = HOLD)
     dealt = nodes.select(F.posexplode(F.array(*[F.lit(m) for m in signed])).alias("which", "mask"), "fp").select(
         F.col("which").cast("long"), F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp"
     )
-    pieces = F.lit(1).cast("long")
-    if count > hold:  # else no shard can be larger
+    if count <= hold:  # no shard can be larger
+        dealt = dealt.select("which", "key", F.lit(0).cast("long").alias("pair"), "fp")
+    else:
         large = dealt.groupBy("which", "key").agg(F.count("*").alias("n")).where(F.col("n") > hold)
         large = large.select("which", "key", F.ceil(F.col("n") / hold).alias("pieces"))
         # at most one in ``hold`` of the rows dealt
         dealt = dealt.join(F.broadcast(written(large, "large-shards")), ["which", "key"], "left")
-        pieces = F.coalesce("pieces", pieces)
-    own = F.pmod(F.xxhash64("fp"), pieces)
-    pair = F.transform(F.sequence(F.lit(0).cast("long"), pieces - 1), lambda other: F.least(own, other) * pieces + F.greatest(own, other))
-    dealt = dealt.select("which", "key", F.explode(pair).alias("pair"), "fp")
+        pieces = F.coalesce("pieces", F.lit(1).cast("long"))
+        own = F.pmod(F.xxhash64("fp"), pieces)
+        pair = F.transform(F.sequence(F.lit(0).cast("long"), pieces - 1), lambda other: F.least(own, other) * pieces + F.greatest(own, other))
+        dealt = dealt.select("which", "key", F.explode(pair).alias("pair"), "fp")
     n = partitions(nodes.sparkSession)
     return dealt.repartition(n, "which", "key", "pair").sortWithinPartitions("which", "key", "pair").mapInArrow(run, "u long, v long").where("u > v")
 
@@ -178,5 +179,8 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     found = join_one(rows.select("doc_id", "name"), named, "name", "n", total)
     gone_id, gone_text = free_name(docs, "gone_id"), free_name(docs, "gone_text")
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(gone_id), F.col("name").alias(gone_text)).distinct()
-    same = (F.col(f"`{id_col}`").cast("long") == F.col(gone_id)) & (text_key(F.col(f"`{text_col}`")) == F.col(gone_text))
-    return docs.join(written(gone, "near-copies"), same, "left_anti")
+    gone = written(gone, "near-copies")
+    own_id = F.col(f"`{id_col}`").cast("long")
+    clear, others = suspected(docs, own_id, gone.select(gone_id))
+    same = (own_id == F.col(gone_id)) & (text_key(F.col(f"`{text_col}`")) == F.col(gone_text))
+    return clear.union(others.join(gone, same, "left_anti"))

@@ -114,7 +114,7 @@ class Encoder:
     costs time only.  ``batch_bytes`` bounds the text held as units at a time.
     """
 
-    def __init__(self, vocabulary: str, memo_units: int = 700_000, batch_bytes: int = 4_000_000):
+    def __init__(self, vocabulary: str, memo_units: int = 500_000, batch_bytes: int = 4_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -294,7 +294,7 @@ class Encoder:
 _ODD_ASCII = re.compile(rb"[\x00-\x08\x0b-\x1f\x7f]")
 
 
-def encoder(vocabulary: str, memo_units: int = 700_000, batch_bytes: int = 4_000_000) -> Encoder:
+def encoder(vocabulary: str, memo_units: int = 500_000, batch_bytes: int = 4_000_000) -> Encoder:
     """The process-wide encoder of a vocabulary file."""
     key = (vocabulary, memo_units, batch_bytes)
     if key not in _loaded:
