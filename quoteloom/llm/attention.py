@@ -95,6 +95,11 @@ def make_classes(counts: np.ndarray, context: np.ndarray, classes: int = 64, sin
     return Classes(of.astype(np.uint8), np.log(smooth / total[of]).astype(np.float32), classes, prior.astype(np.float32))
 
 
+def _small(x: np.ndarray) -> bool:
+    """Whether exponentials of these need no shift by their rows' largest."""
+    return bool(x.size) and x.max() < 40 and x.min() > -40
+
+
 class Attention:
     """Parameters and passes of the class model."""
 
@@ -106,7 +111,7 @@ class Attention:
         shapes = [(classes + 1, d), (WINDOW, d), (d, d), (d, d), (d, d), (d, d), (d, classes)]
         self.params = [(rng.standard_normal(x) * s / np.sqrt(d if i > 1 else 1)).astype(np.float32) for i, x in enumerate(shapes)]
         self.params.append(log_prior.astype(np.float32).copy())
-        self.mask = np.where(np.tri(WINDOW, dtype=bool), np.float32(0), np.float32(-1e9))
+        self.mask = np.tri(WINDOW, dtype=np.float32)
         self.scale = np.float32(1 / np.sqrt(d))
 
     def flat(self) -> np.ndarray:
@@ -115,77 +120,94 @@ class Attention:
     def load(self, flat: np.ndarray) -> "Attention":
         at = 0
         for i, p in enumerate(self.params):
-            self.params[i] = flat[at : at + p.size].reshape(p.shape).astype(np.float32)
+            self.params[i] = flat[at : at + p.size].reshape(p.shape).astype(np.float32, copy=False)
             at += p.size
         return self
 
     def hidden(self, inputs: np.ndarray, keep: bool = False):
         """Hidden states of windows of input classes."""
         embed, place, wq, wk, wv, wo = self.params[:6]
-        x = embed[inputs] + place
-        qkv = x @ np.concatenate([wq * self.scale, wk, wv], 1)
+        x = embed[inputs]
+        x += place
+        # one product over all windows; a stack of windows would be one each
+        qkv = (x.reshape(-1, WIDTH) @ np.concatenate([wq * self.scale, wk, wv], 1)).reshape(*inputs.shape, 3 * WIDTH)
         q, k, v = qkv[..., :WIDTH], qkv[..., WIDTH : 2 * WIDTH], qkv[..., 2 * WIDTH :]
         a = q @ k.transpose(0, 2, 1)
-        a += self.mask
-        a -= a.max(-1, keepdims=True)
-        np.exp(a, out=a)
-        a /= a.sum(-1, keepdims=True)
+        if _small(a):
+            np.exp(a, out=a)
+            a *= self.mask
+        else:
+            a += np.where(self.mask > 0, np.float32(0), np.float32(-1e9))
+            a -= a.max(-1, keepdims=True)
+            np.exp(a, out=a)
+        total = (a.reshape(-1, WINDOW) @ np.ones(WINDOW, a.dtype)).reshape(*inputs.shape, 1)
         o = a @ v
-        h = x + o @ wo
-        return (h, x, q, k, v, a, o) if keep else h
+        o /= total
+        h = x + (o.reshape(-1, WIDTH) @ wo).reshape(x.shape)
+        return (h, x, q, k, v, a, total, o) if keep else h
 
     def step(self, inputs: np.ndarray, targets: np.ndarray, live: np.ndarray) -> list[np.ndarray]:
         """Gradient of the mean negative log likelihood of the live targets."""
-        h, x, q, k, v, a, o = self.hidden(inputs, keep=True)
+        h, x, q, k, v, a, total, o = self.hidden(inputs, keep=True)
         _, _, wq, wk, wv, wo, u, b = self.params
-        z = h @ u + b
-        z -= z.max(-1, keepdims=True)
-        p = np.exp(z)
-        p /= p.sum(-1, keepdims=True)
-        rows, cols = np.indices(targets.shape)
-        p[rows, cols, targets] -= 1
-        p *= (live / max(1, live.sum()))[..., None].astype(np.float32)
-        flat = lambda t: t.reshape(-1, t.shape[-1])
-        dh = p @ u.T
-        do = dh @ wo.T
+        h, x, flat_o = h.reshape(-1, WIDTH), x.reshape(-1, WIDTH), o.reshape(-1, WIDTH)
+        some = np.flatnonzero(live)
+        h = h[some]
+        p = h @ u
+        p += b
+        if not _small(p):
+            p -= p.max(-1, keepdims=True)
+        np.exp(p, out=p)
+        p *= (1 / (max(1, len(some)) * (p @ np.ones(p.shape[1], p.dtype))))[:, None]
+        p[np.arange(len(some)), targets.reshape(-1)[some]] -= 1 / max(1, len(some))
+        dh = np.zeros_like(x)
+        dh[some] = p @ u.T
+        do = (dh @ wo.T).reshape(o.shape)
+        do /= total  # as ``a`` is not divided by its sums
         da = do @ v.transpose(0, 2, 1)
-        ds = a * (da - (da * a).sum(-1, keepdims=True))
-        dq, dk, dv = ds @ k, ds.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ do
-        dx = dh + self.scale * (dq @ wq.T) + dk @ wk.T + dv @ wv.T
-        hot = np.zeros((inputs.size, len(self.params[0])), np.float32)
+        da -= np.einsum("nij,nij->ni", do, o)[..., None]
+        da *= a
+        d = np.concatenate([da @ k, da.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ do], 2).reshape(-1, 3 * WIDTH)
+        dx = dh + d @ np.concatenate([wq * self.scale, wk, wv], 1).T
+        hot = np.zeros((inputs.size, len(self.params[0])), x.dtype)
         hot[np.arange(inputs.size), inputs.reshape(-1)] = 1
-        xf = flat(x).T
+        dw = x.T @ d
         return [
-            hot.T @ flat(dx),
-            dx.sum(0),
-            self.scale * (xf @ flat(dq)),
-            xf @ flat(dk),
-            xf @ flat(dv),
-            flat(o).T @ flat(dh),
-            flat(h).T @ flat(p),
-            flat(p).sum(0),
+            hot.T @ dx,
+            dx.reshape(*inputs.shape, WIDTH).sum(0),
+            self.scale * dw[:, :WIDTH],
+            dw[:, WIDTH : 2 * WIDTH],
+            dw[:, 2 * WIDTH :],
+            flat_o.T @ dh,
+            h.T @ p,
+            np.ones(len(p), p.dtype) @ p,
         ]
 
     def train(self, inputs: np.ndarray, targets: np.ndarray, live: np.ndarray, rate: float = 0.01, batch: int = 32) -> None:
         """One pass over windows, by Adam."""
-        first = [np.zeros_like(p) for p in self.params]
-        second = [np.zeros_like(p) for p in self.params]
+        flat = self.flat()
+        first, second = np.zeros_like(flat), np.zeros_like(flat)
         for t, at in enumerate(range(0, len(inputs), batch), 1):
-            grads = self.step(inputs[at : at + batch], targets[at : at + batch], live[at : at + batch])
-            for i, g in enumerate(grads):
-                first[i] += 0.1 * (g - first[i])
-                second[i] += 0.01 * (g * g - second[i])
-                self.params[i] = self.params[i] - rate * (first[i] / (1 - 0.9**t)) / (np.sqrt(second[i] / (1 - 0.99**t)) + 1e-8)
+            self.load(flat)
+            grad = np.concatenate([g.reshape(-1) for g in self.step(inputs[at : at + batch], targets[at : at + batch], live[at : at + batch])])
+            first += 0.1 * (grad - first)
+            grad *= grad
+            second += 0.01 * (grad - second)
+            size = np.sqrt(second / (1 - 0.99**t))
+            size += 1e-8
+            flat -= (rate / (1 - 0.9**t)) * first / size
+        self.load(flat)
 
     def log_classes(self, inputs: np.ndarray, targets: np.ndarray, live: np.ndarray) -> np.ndarray:
         """Natural-log probability of the live targets, in order."""
-        h = self.hidden(inputs)[live]
-        z = h @ self.params[6]
+        some = np.flatnonzero(live)
+        z = self.hidden(inputs).reshape(-1, WIDTH)[some] @ self.params[6]
         z += self.params[7]
-        z -= z.max(-1, keepdims=True)
-        chosen = z[np.arange(len(z)), targets[live]]
+        if not _small(z):
+            z -= z.max(-1, keepdims=True)
+        chosen = z[np.arange(len(z)), targets.reshape(-1)[some]]
         np.exp(z, out=z)
-        return chosen - np.log(z.sum(-1))
+        return chosen - np.log(z @ np.ones(z.shape[1], z.dtype))
 
 
 def windows(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -220,14 +242,15 @@ def sums_of(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def log_probabilities(model: Attention, classes: Classes, tokens: np.ndarray, counts: np.ndarray, at_once: int = 256) -> np.ndarray:
+def log_probabilities(model: Attention, classes: Classes, tokens: np.ndarray, counts: np.ndarray, at_once: int = 32) -> np.ndarray:
     """log10 probability of each text, of token ids laid end to end."""
     kinds = classes.of[tokens]
     plan = windows(counts)
     score = np.zeros(len(tokens), np.float64)
-    for a in range(0, len(plan[0]), at_once):
-        inputs, targets, live, at = gathered(kinds, counts, classes.count, slice(a, a + at_once), plan)
-        score[at[live]] = model.log_classes(inputs, targets, live)
+    for a in range(0, len(plan[0]), 64 * at_once):
+        inputs, targets, live, at = gathered(kinds, counts, classes.count, slice(a, a + 64 * at_once), plan)
+        found = [model.log_classes(*(x[b : b + at_once] for x in (inputs, targets, live))) for b in range(0, len(inputs), at_once)]
+        score[at[live]] = np.concatenate(found)
     if classes.log_after is None:
         score += classes.log_share[tokens]
     else:

@@ -8,8 +8,8 @@ each block gets the corpus-wide counts of just the words it holds, and neither a
 vocabulary nor (document, word) pairs are ever moved whole.
 
 The attention model learns from all training documents: subword counts and
-neighbours give token classes, and of the windows of every training document a
-share, chosen by hash, is kept for each round of training.  Windows of a round
+neighbours give token classes, and every window of every training document is
+trained on, in the round of training that its hash says.  Windows of a round
 are dealt by hash into groups of about GROUP, each of which is trained on in
 order from the parameters of the round before; parameters are averaged in order
 of groups.  Neither choice nor order depends on how rows were dealt, so a text's
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .attention import WINDOW, Attention, Classes, log_probabilities, make_classes, sums_of, windows
 from .simple8b import decode, encode
 from .store import drop, fresh, open_input, open_output, partitions, pick, small_batches, written
-from .tokens import WORD_BPE, encoder, give_back_memory, ragged
+from .tokens import WORD_BPE, encoder, give_back_memory, keep_memory, ragged
 
 BLOCK_BYTES = 16_000_000
 #: Bound of the memo beside a block in memory.
@@ -39,8 +39,9 @@ MEMO_UNITS = 600_000
 FOLD, HELD_OUT = 7, 2
 #: Hashed neighbours on each side, for classes.
 BUCKETS = 8
-#: Rounds of training, the share of all windows that each uses (one in so many), and windows of a group.
-ROUNDS, TRAIN_SHARE, GROUP = 3, 64, 8192
+#: Rounds of training, the share of all windows that each uses (one in so many: together they use all), and windows of a group.
+ROUNDS, GROUP = 3, 8192
+TRAIN_SHARE = ROUNDS
 _END_WORD = ""  # no word is empty; the words of the table keep the blank after them
 
 
@@ -212,11 +213,11 @@ _MIX = tuple(np.random.default_rng(11).integers(1, 1 << 63, 5, dtype=np.uint64)
 
 
 def _window_hash(crc: np.ndarray, which: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """63 bits that name a window by its document's id, its place there, and its first and last token."""
+    """31 bits that name a window by its document's id, its place there, and its first and last token."""
     parts = (x.astype(np.uint64) * m for x, m in zip((crc, which, first, last), _MIX))
     mixed = sum(parts, np.zeros(len(crc), np.uint64))
     mixed = (mixed ^ (mixed >> np.uint64(31))) * _MIX[4]
-    return (mixed ^ (mixed >> np.uint64(29))) >> np.uint64(1)
+    return (mixed ^ (mixed >> np.uint64(29))) >> np.uint64(33)
 
 
 def training_data(blocks: DataFrame, folder: str, classes: Classes, rounds: int, share: int) -> DataFrame:
@@ -228,11 +229,12 @@ def training_data(blocks: DataFrame, folder: str, classes: Classes, rounds: int,
     """
     width = len(classes.of)
     names = ["cell", "n", "turn", "h", "window"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
 
     def some(**given) -> pa.RecordBatch:
         rows = len(next(iter(given.values())))
-        return pa.RecordBatch.from_arrays([pa.array(given[n], k) if n in given else pa.nulls(rows, k) for n, k in zip(names, kinds)], names)
+        columns = [pa.nulls(rows, k) if n not in given else given[n] if isinstance(given[n], pa.Array) else pa.array(given[n], k) for n, k in zip(names, kinds)]
+        return pa.RecordBatch.from_arrays(columns, names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((classes.count + 1) * width, np.int64)
@@ -249,14 +251,18 @@ def training_data(blocks: DataFrame, folder: str, classes: Classes, rounds: int,
                     h = _window_hash(block.crc[part][text], start, ids[first], ids[first + size - 1])
                     turn = (h % np.uint64(share)).astype(np.int64)
                     kept = np.flatnonzero(turn < rounds)
-                    of = classes.of[ids].tobytes()
-                    rows = zip(scored[kept].tolist(), before[first[kept]].tolist(), first[kept].tolist(), size[kept].tolist())
-                    yield some(turn=turn[kept], h=h[kept].astype(np.int64), window=[bytes((c, b)) + of[a : a + n] for c, b, a, n in rows])
+                    rows = np.empty((len(kept), WINDOW + 2), np.uint8)
+                    rows[:, 0], rows[:, 1] = scored[kept], before[first[kept]]
+                    rows[:, 2:] = np.lib.stride_tricks.sliding_window_view(np.pad(classes.of[ids], (0, WINDOW)), WINDOW)[first[kept]]
+                    ends = np.concatenate([[0], np.cumsum(size[kept] + 2)]).astype(np.int32)
+                    flat = rows[np.arange(WINDOW + 2) < size[kept][:, None] + 2]
+                    cells = pa.Array.from_buffers(pa.binary(), len(kept), [None, pa.py_buffer(ends), pa.py_buffer(flat)])
+                    yield some(turn=turn[kept].astype(np.int32), h=h[kept].astype(np.int32), window=cells)
         cell = np.flatnonzero(total)
         for a in range(0, len(cell), 100_000):
             yield some(cell=cell[a : a + 100_000], n=total[cell[a : a + 100_000]])
 
-    return written(blocks.mapInArrow(run, "cell long, n long, turn long, h long, window binary"), "training-data")
+    return written(blocks.mapInArrow(run, "cell long, n long, turn int, h int, window binary"), "training-data")
 
 
 def pair_counts(data: DataFrame, classes: Classes) -> np.ndarray:
@@ -298,6 +304,7 @@ def train(data: DataFrame, classes: Classes, rounds: int, sums: int = 32) -> np.
 
         def run(batches: Iterator[pa.RecordBatch], turn: int = turn, weights: np.ndarray = weights) -> Iterator[pa.RecordBatch]:
             now, model, seen, held = None, None, 0, []
+            keep_memory()
 
             def learn() -> None:
                 nonlocal seen
@@ -347,6 +354,7 @@ def score(
     words = write_blocks(docs, folder, vocabulary, id_col, text_col)
     blocks = written(words.where("place = -1").select("block"), "block-list").repartition(n, "block")
     counted = written(corpus_counts(words), "word-counts")
+    drop(words, spark)
     row = counted.agg(F.sum("trained").alias("n"), F.count_if(F.col("first") & (F.col("c") > 0)).alias("v")).first()
     tokens, distinct = row.n or 0, row.v
     vocab_size = encoder(vocabulary, MEMO_UNITS).vocab_size
@@ -384,6 +392,7 @@ def score(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # a partition's rows are a few blocks' words, as numbers
+        keep_memory()
         held = [[b.column(i).to_numpy() for i in range(3)] for b in batches]
         if not held:
             return

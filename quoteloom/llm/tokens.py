@@ -66,6 +66,13 @@ def give_back_memory() -> None:
         _libc.malloc_trim(0)
 
 
+def keep_memory(array: int = 4_000_000, free: int = 32_000_000) -> None:
+    """Let arrays up to so many bytes reuse what earlier ones left, as mapping each anew costs more than small steps take."""
+    if _libc is not None:
+        _libc.mallopt(-3, array)  # M_MMAP_THRESHOLD
+        _libc.mallopt(-1, free)  # M_TRIM_THRESHOLD
+
+
 def vocabulary_path(name: str) -> str:
     """Where the named public vocabulary file lies; an absolute path is kept."""
     if os.path.isabs(name):

@@ -8,7 +8,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from quoteloom.llm import lm_scoring
+from quoteloom.llm import attention, lm_scoring
 from quoteloom.llm.attention import STRIDE, WINDOW, Attention, Classes, gathered, log_probabilities, make_classes, windows
 from quoteloom.llm.lm_scoring import unpacked
 from quoteloom.llm.tokens import WORD_BPE, Encoder
@@ -87,6 +87,30 @@ def test_every_training_document_can_teach(spark, monkeypatch):
     assert (targets[live] == 0).sum() == len(teach)
 
 
+def test_rounds_as_given_train_on_every_window(spark, monkeypatch):
+    rows = [(i, " ".join(f"w{(i * 7 + k) % 50}" for k in range(3 + i % 190))) for i in range(300)]
+    seen = []
+    monkeypatch.setattr(lm_scoring, "train", lambda data, classes, rounds: seen.append((data.where("window is not null").collect(), rounds)) or Attention(classes.count, classes.log_prior).flat())
+    lm_scoring.score(documents(spark, rows)).count()
+    (found, rounds), codec = seen[0], Encoder(WORD_BPE)
+    _, _, live = unpacked([bytes(r.window) for r in found])
+    teach = [t for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2]
+    assert live.sum() == sum(1 + sum(len(codec.encode([w])[0]) for w in t.split()) for t in teach)
+    assert {r.turn for r in found} == set(range(rounds))
+
+
+def test_shifted_and_plain_exponentials_agree(monkeypatch):
+    rng = np.random.default_rng(6)
+    model = tiny(rng)
+    inputs, targets = rng.integers(0, 8, (5, WINDOW)), rng.integers(0, 7, (5, WINDOW))
+    live = rng.random((5, WINDOW)) < 0.8
+    found = []
+    for small in (True, False):
+        monkeypatch.setattr(attention, "_small", lambda x, small=small: small)
+        found.append([model.hidden(inputs), model.log_classes(inputs, targets, live), *model.step(inputs, targets, live)])
+    assert all(np.allclose(a, b, atol=1e-5) for a, b in zip(*found))
+
+
 def brute_log10(model, classes, ids):
     """log10 probability of one text by loops over windows, places and earlier places."""
     embed, place, wq, wk, wv, wo, u, b = (p.astype(np.float64) for p in model.params)
