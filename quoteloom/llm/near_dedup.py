@@ -161,22 +161,34 @@ def components_of(nodes: DataFrame, star: DataFrame, count: int) -> DataFrame:
     return join_one(labelled, least, "label", "members", count).drop("label", "least")
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, similarity: float = 0.8) -> DataFrame:
+def fingerprint_clusters(nodes: DataFrame, radius: int) -> DataFrame:
+    """(cluster, node) of those ``nodes`` (node, fp) whose fingerprint is within ``radius`` of another's, or the same."""
+    prints = written(nodes.groupBy("fp").agg(F.count("*").alias("n")), "prints")
+    star = stars(near_links(prints, prints.count(), radius))
+    linked = star.select("u", "v").union(star.select("v", "v").distinct())
+    cluster = prints.join(linked, prints.fp == linked.u, "left").where("u is not null or n > 1").select("fp", F.coalesce("v", "fp").alias("cluster"), "n")
+    return join_one(nodes.select("node", "fp"), cluster, "fp", "n", nodes.count()).select("cluster", "node")
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, similarity: float = 0.8, radius: int = 4) -> DataFrame:
     """Of each component of similar texts the document of the smallest id, all columns as they are; rows without id stay.
 
-    Texts are linked where their sets of word shingles have at least this
-    Jaccard similarity, whatever their fingerprints.  Rows go by id and text:
-    where an id occurs with several texts, each is judged by its own.
+    Texts whose fingerprints the trees link within ``radius`` are candidates, and
+    so are those that share a band of least hashes, as edits that leave this much
+    flip more bits than trees can search.  Candidates are linked where their sets
+    of word shingles have at least this Jaccard similarity.  Rows go by id and
+    text: where an id occurs with several texts, each is judged by its own.
     """
     small_batches(docs.sparkSession)
     plain = pick(docs, id_col, text_col).toDF("doc_id", "text")
-    rows = written(signatures(plain, shingle_words), "signatures")
-    distinct = rows.groupBy("name").agg(F.min("doc_id").alias("least"), F.first("keys").alias("keys"), F.count("*").alias("n"))
+    distinct = signatures(plain, shingle_words).groupBy("name").agg(F.min("doc_id").alias("least"), F.first("keys").alias("keys"), F.first("fp").alias("fp"), F.count("*").alias("n"))
     nodes = written(distinct.withColumn("node", F.monotonically_increasing_id()), "nodes")
     count, total = nodes.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    star = stars(similar_texts(plain, nodes, shingle_words, similarity))
-    named = written(components_of(nodes.drop("keys"), star, count).drop("node"), "named")
-    found = join_one(rows.select("doc_id", "name"), named, "name", "n", total)
+    clusters = written(fingerprint_clusters(nodes, radius), "clusters")
+    star = stars(similar_texts(plain, nodes, shingle_words, similarity, clusters=clusters))
+    named = written(components_of(nodes.drop("keys", "fp"), star, count).drop("node"), "named")
+    rows = plain.select(F.col("doc_id").cast("long"), text_key(F.col("text")).alias("name"))
+    found = join_one(rows, named, "name", "n", total)
     gone_id, gone_text = free_name(docs, "gone_id"), free_name(docs, "gone_text")
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(gone_id), F.col("name").alias(gone_text)).distinct()
     gone = written(gone, "near-copies")

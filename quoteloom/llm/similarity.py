@@ -1,13 +1,15 @@
 """Pairs of texts whose sets of word shingles have a Jaccard similarity of at least some bound.
 
-SimHash can't serve here: edits that leave four fifths of the shingles flip up to
-13 of 64 bits, and at that radius shards by agreeing bit blocks hold much of the
-corpus.  Candidates are texts that agree on the ``ROWS`` least hashes of one of
-``BANDS`` bands; a pair at similarity 0.8 has no such band with a chance of 5e-8.
-Every candidate is confirmed on its whole set.  Within a bucket a text, once
-reached, is compared with those not reached yet and leaves, so that a cluster is
-gone after a few comparisons and pairs are never listed; a bucket of the same
-members as another is looked at once.
+Candidates are told in two ways.  Texts whose SimHash fingerprints are linked, by
+the trees of ``near_dedup``, are a bucket.  Edits that leave four fifths of the
+shingles flip up to 13 of 64 bits and more, and at that radius shards by agreeing
+bit blocks hold much of the corpus; so texts that agree on the ``ROWS`` least hashes
+of one of ``BANDS`` bands are buckets too, and a pair at similarity 0.8 has no such
+band with a chance of 5e-8.  Every candidate is confirmed on its whole set.  Within a
+bucket a text, once reached, is compared with those not reached yet and leaves, so
+that a cluster is gone after a few comparisons and pairs are never listed; a bucket
+of the same members as another is looked at once.  Buckets that share members go to
+one task together, so that a text's shingles are sent once.
 """
 
 from __future__ import annotations
@@ -16,12 +18,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .simhash import SEED
-from .store import join_one, partitions, small_batches, written
+from .components import stars
+from .simhash import SEED, majority, shingle_hashes
+from .store import drop, join_one, partitions, small_batches, written
 from .tokens import ragged
 
 BANDS, ROWS = 32, 4
@@ -29,6 +31,8 @@ BANDS, ROWS = 32, 4
 SLOTS = 1 << 23
 #: Shingles of one bucket in one task, twice over where a larger bucket is cut into pieces.
 HOLD_BYTES = 64_000_000
+#: Shingles of buckets that share members, in one task together; each bucket of more goes for itself.
+GROUP_BYTES = 16_000_000
 #: Members of buckets in one task while buckets with the same members are looked for; and what stands for the size of one that has more.
 HOLD_MEMBERS, CROWD = 2_000_000, 1 << 60
 _MIX = np.random.default_rng(SEED).integers(0, 1 << 64, (3, BANDS * ROWS), dtype=np.uint64)
@@ -37,15 +41,7 @@ _FLIP, _TIMES, _ROW_TIMES = _MIX[0], _MIX[1] | np.uint64(1), _MIX[2] | np.uint64
 
 def shingle_set(text: bytes | None, shingle_words: int = 5) -> np.ndarray:
     """Distinct hashes, ascending, of a text's word shingles; a shorter text is one shingle, a wordless one has none."""
-    words = text.lower().split() if text else []
-    if not words:
-        return np.zeros(0, np.uint64)
-    joined = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    size = min(shingle_words, len(words))
-    starts = np.concatenate([[0], ends[:-1] + 1])[: len(words) - size + 1]
-    digest, seed = xxhash.xxh64_intdigest, SEED
-    return np.unique(np.array([digest(joined[a:z], seed) for a, z in zip(starts.tolist(), ends[size - 1 :].tolist())], np.uint64))
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(text, shingle_words)]))
 
 
 def band_keys(shingles: np.ndarray, step: int = 1024) -> np.ndarray:
@@ -102,23 +98,38 @@ def text_key(text: Column) -> Column:
 
 
 def signatures(docs: DataFrame, shingle_words: int) -> DataFrame:
-    """(doc_id, name, keys) of every row of doc_id, text."""
+    """(doc_id, name, keys, fp) of every row of doc_id, text; fp is the SimHash fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = [band_keys(shingle_set(t, shingle_words)) for t in batch.column(2).cast(pa.binary()).to_pylist()]
-            offsets = pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BANDS)
-            flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(offsets, flat)], ["doc_id", "name", "keys"])
+            keys, prints = [np.zeros(0, np.int64)], []
+            for text in batch.column(2).cast(pa.binary()).to_pylist():
+                hashes = list(shingle_hashes(text, shingle_words))
+                keys.append(band_keys(np.unique(np.concatenate([np.zeros(0, np.uint64), *hashes]))))
+                prints.append(majority(hashes))
+            offsets = pa.array(np.arange(len(prints) + 1, dtype=np.int32) * BANDS)
+            columns = [batch.column(0), batch.column(1), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(keys)))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.array(prints, np.uint64).view(np.int64))], ["doc_id", "name", "keys", "fp"])
 
     named = docs.select(F.col("doc_id").cast("long"), text_key(F.col("text")).alias("name"), "text")
-    return named.mapInArrow(run, "doc_id long, name string, keys array<long>")
-
-
-def similar_texts(docs: DataFrame, nodes: DataFrame, shingle_words: int = 5, similarity: float = 0.8, hold_bytes: int = HOLD_BYTES, hold_members: int = HOLD_MEMBERS) -> DataFrame:
+    return named.mapInArrow(run, "doc_id long, name string, keys array<long>, fp long")
+
+
+def similar_texts(
+    docs: DataFrame,
+    nodes: DataFrame,
+    shingle_words: int = 5,
+    similarity: float = 0.8,
+    hold_bytes: int = HOLD_BYTES,
+    hold_members: int = HOLD_MEMBERS,
+    group_bytes: int = GROUP_BYTES,
+    clusters: DataFrame | None = None,
+) -> DataFrame:
     """(u, v), u > v: links between ``nodes`` (node, name, keys) that connect all texts of at least ``similarity``.
 
-    A bucket whose sets take more than ``hold_bytes`` is cut into pieces of about
+    ``clusters`` (cluster, node), if given, are candidates too, as buckets of their own.
+    Buckets that share members, directly or by others, are a group; groups whose sets
+    take up to ``group_bytes`` are looked at by one task each.  Beyond that a bucket whose sets take more than ``hold_bytes`` is cut into pieces of about
     that size: each meets the bucket's least node, and then the members that it
     does not reach.  No task holds more than two pieces, and no pair is lost.
     """
@@ -171,11 +182,19 @@ def similar_texts(docs: DataFrame, nodes: DataFrame, shingle_words: int = 5, sim
         if len(key):
             yield from told(key, node)
 
-    dealt = nodes.select(F.explode("keys").alias("key"), "node").repartition(n, "key").sortWithinPartitions("key")
+    dealt = nodes.select(F.explode("keys").alias("key"), "node")
+    if clusters is not None:
+        dealt = dealt.union(clusters.select(F.xxhash64("cluster"), "node"))
+    dealt = dealt.repartition(n, "key").sortWithinPartitions("key")
     several = written(dealt.mapInArrow(shared, "key long, node long, n long, s long, x long"), "shared-keys")
     buckets = several.groupBy("n", "s", "x").agg(F.min("key").alias("key")).select("key", "n")
     members = written(join_one(several.select("key", "node"), buckets, "key", "n", several.count()), "buckets")
-    names = written(nodes.join(members.select("node").distinct(), "node").select("node", "name"), "candidates")
+    drop(several, spark)
+    least = members.groupBy("key").agg(F.min("node").alias("v"), F.count("*").alias("n"))
+    label = stars(join_one(members, least, "key", "n", members.count()).select(F.col("node").alias("u"), "v").where("u > v"))
+    held = members.groupBy("node").agg(F.collect_list("key").alias("own"))  # a key for each band at most, and that of a cluster
+    held = held.join(label, held.node == label.u, "left").select("node", "own", F.coalesce("v", "node").alias("group"))
+    names = written(nodes.select("node", "name").join(held, "node"), "candidates")
     slot = F.pmod(F.xxhash64("name"), F.lit(SLOTS))
     some = np.zeros(SLOTS, bool)
     some[names.select(slot.alias("slot")).distinct().toArrow()["slot"].to_numpy()] = True  # at most SLOTS rows
@@ -190,15 +209,24 @@ def similar_texts(docs: DataFrame, nodes: DataFrame, shingle_words: int = 5, sim
 
     texts = docs.select(text_key(F.col("text")).alias("name"), "text").withColumn("slot", slot)
     found = texts.mapInArrow(shingled, "name string, shingles binary").groupBy("name").agg(F.first("shingles").alias("shingles"))  # copies are one
-    sets = written(found.join(names, "name").select("node", "shingles"), "shingles")
-
+    sets = written(found.join(names, "name").select("node", "own", "group", "shingles"), "shingles")
+
+    sizes = sets.select("node", "group", (F.octet_length("shingles") + 64).alias("bytes"))
+    crowded = sizes.groupBy("group").agg(F.sum("bytes").alias("bytes")).where(F.col("bytes") > min(group_bytes, hold_bytes)).select("group")
+    crowded = written(crowded, "large-groups")
+    few = F.broadcast(crowded)  # at most one for each ``group_bytes`` of candidates' shingles
+    grouped = _grouped(sets.join(few, "group", "left_anti"), n, similarity)
+    if crowded.isEmpty():
+        return grouped
+    sets = written(sets.join(few, "group", "left_semi").select("node", "shingles"), "large-group-shingles")
     sizes = sets.select("node", (F.octet_length("shingles") + 64).alias("bytes"))
+    members = written(members.join(sizes.select("node"), "node").select("key", "node"), "large-group-members")
     many = members.join(sizes, "node").groupBy("key").agg(F.sum("bytes").alias("bytes"), F.min("node").alias("pivot"))
     many = written(many.where(F.col("bytes") > hold_bytes).withColumn("pieces", F.ceil(F.col("bytes") / hold_bytes)), "large-buckets")
     large = F.broadcast(many.drop("bytes"))  # at most one for each ``hold_bytes`` of candidates' shingles
     small = members.join(F.broadcast(many.select("key")), "key", "left_anti")
     together = small.join(sets, "node").select("key", F.lit(0).cast("long").alias("pair"), "node", "shingles")
-    found = _linked(together, n, similarity)
+    found = grouped.union(_linked(together, n, similarity))
     if many.isEmpty():
         return found
     piece = F.pmod(F.xxhash64("node"), F.col("pieces"))
@@ -222,6 +250,41 @@ def similar_texts(docs: DataFrame, nodes: DataFrame, shingle_words: int = 5, sim
     return found.union(near.select("u", "v")).union(cross)
 
 
+def _grouped(sets: DataFrame, n: int, similarity: float) -> DataFrame:
+    """(u, v) that connect what is similar within a bucket, of rows (group, node, own buckets, shingles), group by group."""
+
+    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def links() -> pa.RecordBatch:
+            buckets: dict[int, list[int]] = {}
+            for i, (_, own, _) in enumerate(held):
+                for key in own:
+                    buckets.setdefault(key, []).append(i)
+            label, pairs = np.arange(len(held)), []
+            for _, at in sorted(buckets.items()):
+                if len(at) > 1 and len(set(label[at].tolist())) > 1:  # or else they are connected already
+                    for a, b in similar_links([held[i][2] for i in at], similarity):
+                        a, b = at[a], at[b]
+                        pairs.append((held[a][0], held[b][0]))
+                        if label[a] != label[b]:
+                            label[label == label[a]] = label[b]
+            return pa.RecordBatch.from_arrays([pa.array([f(p) for p in pairs], pa.int64()) for f in (max, min)], ["u", "v"])
+
+        for batch in batches:
+            for group, node, own, raw in zip(*(c.to_pylist() for c in batch.columns)):
+                if group != now:
+                    if len(held) > 1:
+                        yield links()
+                    now, held = group, []
+                held.append((node, own, np.frombuffer(raw, np.uint64)))
+        if len(held) > 1:
+            yield links()
+
+    dealt = sets.select("group", "node", "own", "shingles").repartition(n, "group").sortWithinPartitions("group", "node")
+    return dealt.mapInArrow(confirm, "u long, v long")
+
+
 def _linked(together: DataFrame, n: int, similarity: float, pivot: bool = False) -> DataFrame:
     """(u, v) that connect what is similar among the rows (node, shingles) of each key and pair.
 

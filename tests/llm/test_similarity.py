@@ -3,6 +3,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from quoteloom.llm import near_dedup
 from quoteloom.llm.near_dedup import drop_near_copies
 from quoteloom.llm.similarity import shingle_set, signatures, similar_links, similar_texts
 from quoteloom.llm.simhash import fingerprint
@@ -92,6 +93,42 @@ def test_large_buckets_in_pieces_lose_no_link(spark):
         assert linked(spark, rows, **bounds) == want
 
 
+def test_groups_of_buckets_find_what_each_bucket_finds(spark):
+    rows = corpus()
+    assert linked(spark, rows) == linked(spark, rows, group_bytes=0)
+    assert len(set(linked(spark, rows, group_bytes=3_000).values())) == len(brute_kept(rows))
+
+
+def test_stage_searches_fingerprints_and_confirms_on_whole_sets(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    words = [f"w{x}" for x in rng.integers(0, 3000, 400)]
+    rows = [" ".join(words)] + [edited(words, rng, n) for n in (1, 1, 2, 40, 120)] + ["two words", "x y z"]
+    prints = [fingerprint(t.encode(), 5) for t in rows]
+    rows = list(enumerate(rows))
+    found = []
+    monkeypatch.setattr(near_dedup, "similar_texts", lambda plain, nodes, *a, clusters: found.append((plain, nodes, clusters)) or similar_texts(plain, nodes, *a, clusters=clusters))
+    assert {r.doc_id for r in drop_near_copies(documents(spark, rows), radius=8).collect()} == brute_kept(rows)
+    plain, nodes, clusters = found[0]
+    label = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if (prints[i] ^ prints[j]).bit_count() <= 8:
+                a, b = label[i], label[j]
+                label = [min(a, b) if x in (a, b) else x for x in label]
+    own = {r.node: r.least for r in nodes.collect()}
+    got = {}
+    for r in clusters.collect():
+        got.setdefault(r.cluster, set()).add(own[r.node])
+    want = {}
+    for i, x in enumerate(label):
+        want.setdefault(x, set()).add(i)
+    assert sorted(map(sorted, got.values())) == sorted(sorted(x) for x in want.values() if len(x) > 1) != []
+    # without any band the trees' clusters are still confirmed
+    apart = nodes.withColumn("keys", F.array((F.col("node") + 1) * 1000))
+    links = {(own[r.u], own[r.v]) for r in similar_texts(plain, apart, clusters=clusters).collect()}
+    assert links and {max(p) for p in links} <= set(range(len(rows))) - brute_kept(rows)
+
+
 def test_short_wordless_and_missing_texts(spark):
     rows = [(1, None), (2, " "), (3, "one two"), (4, "ONE two"), (5, "one three"), (None, "one two"), (None, "")]
     left = drop_near_copies(documents(spark, rows))
