@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .fm_index import FMIndex
 from .store import fresh, open_input, pick, small_batches
-from .tokens import give_back_memory, ragged
+from .tokens import give_back_memory, kept, ragged
 
 WINDOW_WORDS = 10
 #: Text of a block of the benchmark, and of a shard of the corpus.
@@ -177,19 +177,16 @@ def write_blocks(benchmark: DataFrame, id_col: str, text_col: str) -> list[str]:
     return sorted(spark.read.schema(items.schema).parquet(folder).inputFiles())
 
 
-_read: dict[tuple[str, int], tuple[list[str], Phrases]] = {}
-
-
 def read_block(path: str, window_words: int) -> tuple[list[str], Phrases]:
     """Item ids and windows of a block; the last block read is kept."""
-    key = (path, window_words)
-    if key not in _read:
-        _read.clear()
+    read, key = kept("benchmark"), (path, window_words)
+    if key not in read:
+        read.clear()
         with open_input(path) as source:
             block = pq.read_table(source)
         texts = block["text"].cast(pa.binary()).to_pylist()
-        _read[key] = ([i or "" for i in block["item_id"].to_pylist()], Phrases.of(texts, window_words))
-    return _read[key]
+        read[key] = ([i or "" for i in block["item_id"].to_pylist()], Phrases.of(texts, window_words))
+    return read[key]
 
 
 def _shards(batches: Iterator[pa.RecordBatch], text_at: int) -> Iterator[Shard]:

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import free_name, join_one, partitions, pick, suspected, written
+from .tokens import kept
 
 #: Deleted before texts are compared: space, tab, line feed, vertical tab, form feed, carriage return.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -67,6 +68,7 @@ def _reduced(table: pa.Table) -> pa.Table:
 
 def _streamed(batches: Iterator[pa.RecordBatch], run_of) -> Iterator[pa.RecordBatch]:
     """Merge records that arrive in order; the last digest of a batch waits for the next batch."""
+    kept("merge")
     held: pa.Table | None = None
     for batch in batches:
         if not batch.num_rows:

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .store import pick, small_batches
-from .tokens import give_back_memory
+from .tokens import give_back_memory, kept
 
 #: Bounds of the sample: excerpts of each language, characters of each, and characters in all: with many languages
 #: excerpts are shorter, so that the tables of a worker stay within some hundred MB.
@@ -166,15 +166,12 @@ def sample(labelled: DataFrame, texts: int = SAMPLE_TEXTS, chars: int = SAMPLE_C
     return {lang: b" ".join(parts) for lang, parts in found.items() if any(parts)}
 
 
-_parsers: dict[int, Parser] = {}
-
-
 def _parser(samples: dict[str, bytes]) -> Parser:
-    key = hash(tuple(sorted(samples.items())))
-    if key not in _parsers:
-        _parsers.clear()
-        _parsers[key] = Parser(samples)
-    return _parsers[key]
+    parsers, key = kept("parser"), hash(tuple(sorted(samples.items())))
+    if key not in parsers:
+        parsers.clear()
+        parsers[key] = Parser(samples)
+    return parsers[key]
 
 
 def predictions(docs: DataFrame, samples: dict[str, bytes], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .attention import WINDOW, Attention, Classes, log_probabilities, make_classes, sums_of, windows
 from .simple8b import decode, encode
 from .store import drop, fresh, open_input, open_output, partitions, pick, small_batches, written
-from .tokens import WORD_BPE, encoder, give_back_memory, keep_memory, ragged
+from .tokens import WORD_BPE, encoder, give_back_memory, keep_memory, kept, ragged
 
 BLOCK_BYTES = 16_000_000
 #: Bound of the memo beside a block in memory.
@@ -160,17 +160,15 @@ def written_classes(classes: Classes, path: str) -> str:
     return path
 
 
-_classes: dict[str, Classes] = {}
-
-
 def read_classes(path: str) -> Classes:
     """What :func:`written_classes` wrote; the last one read is kept."""
-    if path not in _classes:
+    classes = kept("classes")
+    if path not in classes:
         with open_input(path) as source:
             held = np.load(io.BytesIO(source.read()))
-        _classes.clear()
-        _classes[path] = Classes(held["of"], held["log_share"], int(held["count"]), held["log_prior"], held["log_after"])
-    return _classes[path]
+        classes.clear()
+        classes[path] = Classes(held["of"], held["log_share"], int(held["count"]), held["log_prior"], held["log_after"])
+    return classes[path]
 
 
 def corpus_counts(words: DataFrame) -> DataFrame:

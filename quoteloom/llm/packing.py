@@ -27,6 +27,8 @@ from .store import pick, small_batches
 from .tokens import WORD_BPE, encoder, give_back_memory
 
 POOL_TOKENS = 2_000_000
+#: Text encoded at a time, which takes many times its size beside it.
+PART_BYTES = 2_000_000
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss long"
 
 
@@ -236,7 +238,7 @@ def pack_documents(
     small_batches(docs.sparkSession)
 
     def ids_of(batch: pa.RecordBatch):
-        flat, counts = encoder(vocabulary).encode_array(batch.column(1))
+        flat, counts = encoder(vocabulary, batch_bytes=PART_BYTES).encode_array(batch.column(1))
         ends = np.cumsum(counts)
         flat = np.insert(flat, ends, end_id).astype("<u4")
         ends += np.arange(1, len(ends) + 1)

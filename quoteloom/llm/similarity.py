@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .components import stars
 from .simhash import SEED, majority, shingle_hashes
 from .store import drop, join_one, partitions, small_batches, written
-from .tokens import ragged
+from .tokens import kept, ragged
 
 BANDS, ROWS = 32, 4
 #: Of a filter by hash that keeps most texts that have no candidate out of the exchange; it lets others pass, never the reverse.
@@ -101,6 +101,7 @@ def signatures(docs: DataFrame, shingle_words: int) -> DataFrame:
     """(doc_id, name, keys, fp) of every row of doc_id, text; fp is the SimHash fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("similarity")
         for batch in batches:
             keys, prints = [np.zeros(0, np.int64)], []
             for text in batch.column(2).cast(pa.binary()).to_pylist():
@@ -201,6 +202,7 @@ def similar_texts(
     some = spark.sparkContext.broadcast(np.packbits(some))
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("similarity")
         wanted = np.unpackbits(some.value).astype(bool)
         for batch in batches:
             own = batch.filter(pa.array(wanted[batch.column(2).to_numpy()]))

@@ -56,7 +56,7 @@ _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 _libc = ctypes.CDLL("libc.so.6") if sys.platform == "linux" and platform.libc_ver()[0] == "glibc" else None
 
-_loaded: dict[tuple[str, int, int], "Encoder"] = {}
+_kept: dict[str, dict] = {}
 
 
 def give_back_memory() -> None:
@@ -66,6 +66,18 @@ def give_back_memory() -> None:
         _libc.malloc_trim(0)
 
 
+def kept(owner: str) -> dict:
+    """What a worker keeps of this operator from task to task; what another one left is let go.
+
+    Workers outlive their stage, so that the tables of all stages would add up in each.
+    """
+    if owner not in _kept:
+        _kept.clear()
+        give_back_memory()
+        _kept[owner] = {}
+    return _kept[owner]
+
+
 def keep_memory(array: int = 4_000_000, free: int = 32_000_000) -> None:
     """Let arrays up to so many bytes reuse what earlier ones left, as mapping each anew costs more than small steps take."""
     if _libc is not None:
@@ -303,10 +315,10 @@ _ODD_ASCII = re.compile(rb"[\x00-\x08\x0b-\x1f\x7f]")
 
 def encoder(vocabulary: str, memo_units: int = 500_000, batch_bytes: int = 4_000_000) -> Encoder:
     """The process-wide encoder of a vocabulary file."""
-    key = (vocabulary, memo_units, batch_bytes)
-    if key not in _loaded:
-        _loaded[key] = Encoder(*key)
-    return _loaded[key]
+    loaded, key = kept("encoder"), (vocabulary, memo_units, batch_bytes)
+    if key not in loaded:
+        loaded[key] = Encoder(*key)
+    return loaded[key]
 
 
 def crc_of_ids(ids: np.ndarray) -> int:

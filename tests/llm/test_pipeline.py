@@ -1,5 +1,11 @@
+import weakref
+
 import corpus_pipeline
+import pyarrow as pa
+import pyarrow.parquet  # noqa: F401
+import pytest
 
+from quoteloom.llm import decontamination, exact_dedup, language_id, packing, tokens
 from quoteloom.llm.decontamination import decontaminate
 from quoteloom.llm.queries import ORACLES, QUERIES
 
@@ -47,3 +53,21 @@ def test_stages_take_empty_tables(spark, sf_dir):
 def test_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES if n.startswith("op")) == list(range(1, 11))
     assert set(ORACLES) <= set(QUERIES) and decontaminate is not None
+
+
+@pytest.mark.parametrize("then", ["packing", "merge", "decontamination"])
+def test_a_worker_keeps_the_tables_of_one_stage(then, tmp_path):
+    """Workers outlive a stage: what it left must not stay beside the tables of the next."""
+    codec = weakref.ref(tokens.encoder(tokens.WORD_BPE))
+    parser = weakref.ref(language_id._parser({"en": b"a word and another"}))
+    assert codec() is None and parser() is not None
+    assert language_id._parser({"en": b"a word and another"}) is parser()
+    if then == "packing":
+        tokens.encoder(tokens.WORD_BPE, batch_bytes=packing.PART_BYTES)
+    elif then == "merge":
+        list(exact_dedup._merge(iter([])))
+    else:
+        path = str(tmp_path / "block.parquet")
+        pa.parquet.write_table(pa.table({"item_id": ["x"], "text": ["one two three"]}), path)
+        decontamination.read_block(f"file://{path}", 10)
+    assert parser() is None
