@@ -3,6 +3,7 @@ import re
 import numpy as np
 import xxhash
 
+from quoteloom.llm import components
 from quoteloom.llm.bk_tree import Forest, dense, settle
 from quoteloom.llm.components import stars
 from quoteloom.llm.near_dedup import blocks, drop_near_copies, masks_for, near_components, near_links, shard_links
@@ -114,6 +115,16 @@ def test_hubs_and_chains_become_stars(spark):
     assert {x: found.get(x, x) for x in label} == label
 
 
+def test_few_links_need_no_rounds(spark, monkeypatch):
+    edges = [(i + 1, i) for i in range(-30, 300)] + [(1000 + i, 500) for i in range(50)] + [(5, 3), (1 << 62, -(1 << 62))]
+    links = spark.createDataFrame(edges, "u long, v long")
+    by_rounds = {tuple(r) for r in stars(links, one_task=0).collect()}
+    partly = {tuple(r) for r in stars(links, one_task=len(edges) - 2).collect()}
+    monkeypatch.setattr(components, "_large_star", None)
+    assert {tuple(r) for r in stars(links).collect()} == by_rounds == partly
+    assert (300, -30) in by_rounds and (1 << 62, -(1 << 62)) in by_rounds
+
+
 def test_awkward_documents(spark):
     rows = {(r.doc_id, r.component_id) for r in near_components(documents(spark, AWKWARD)).collect()}
     assert {(1, 1), (2, 1), (3, 1), (4, 4), (None, 4), (5, 5), (6, 5), (8, 8), (9, 8)} <= rows
