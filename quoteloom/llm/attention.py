@@ -95,9 +95,9 @@ def make_classes(counts: np.ndarray, context: np.ndarray, classes: int = 64, sin
     return Classes(of.astype(np.uint8), np.log(smooth / total[of]).astype(np.float32), classes, prior.astype(np.float32))
 
 
-def _small(x: np.ndarray) -> bool:
-    """Whether exponentials of these need no shift by their rows' largest."""
-    return bool(x.size) and x.max() < 40 and x.min() > -40
+def _small(total: np.ndarray) -> bool:
+    """Whether sums of exponentials are such that these needed no shift by their rows' largest."""
+    return bool(total.size) and bool(total.max() < 1e15) and bool(total.min() > 1e-15)
 
 
 class Attention:
@@ -124,63 +124,98 @@ class Attention:
             at += p.size
         return self
 
-    def hidden(self, inputs: np.ndarray, keep: bool = False):
-        """Hidden states of windows of input classes."""
-        embed, place, wq, wk, wv, wo = self.params[:6]
-        x = embed[inputs]
-        x += place
+    def _mixed(self) -> np.ndarray:
+        """Query by key, and value by output: as only these products count, half the columns are multiplied."""
+        _, _, wq, wk, wv, wo = self.params[:6]
+        return np.concatenate([(wq * self.scale) @ wk.T, wv @ wo], 1)
+
+    def hidden(self, inputs: np.ndarray, keep: bool = False, least: int = 0):
+        """Hidden states of windows of input classes, from the place ``least`` on."""
+        x = self.params[0].take(inputs, 0)
+        x += self.params[1]
+        mixed = self._mixed()
         # one product over all windows; a stack of windows would be one each
-        qkv = (x.reshape(-1, WIDTH) @ np.concatenate([wq * self.scale, wk, wv], 1)).reshape(*inputs.shape, 3 * WIDTH)
-        q, k, v = qkv[..., :WIDTH], qkv[..., WIDTH : 2 * WIDTH], qkv[..., 2 * WIDTH :]
-        a = q @ k.transpose(0, 2, 1)
-        if _small(a):
+        both = (x.reshape(-1, WIDTH) @ mixed).reshape(*inputs.shape, 2 * WIDTH)
+        t, y, keys, mask = both[:, least:, :WIDTH], both[..., WIDTH:], x.transpose(0, 2, 1), self.mask[least:]
+        ones = np.ones(WINDOW, x.dtype)
+        with np.errstate(over="ignore", invalid="ignore"):
+            a = t @ keys
             np.exp(a, out=a)
-            a *= self.mask
-        else:
-            a += np.where(self.mask > 0, np.float32(0), np.float32(-1e9))
+            a *= mask
+            total = a.reshape(-1, WINDOW) @ ones
+        if not _small(total):
+            a = t @ keys
+            a += np.where(mask > 0, np.float32(0), np.float32(-1e9))
             a -= a.max(-1, keepdims=True)
             np.exp(a, out=a)
-        total = (a.reshape(-1, WINDOW) @ np.ones(WINDOW, a.dtype)).reshape(*inputs.shape, 1)
-        o = a @ v
+            total = a.reshape(-1, WINDOW) @ ones
+        total = total.reshape(*a.shape[:2], 1)
+        o = a @ y
         o /= total
-        h = x + (o.reshape(-1, WIDTH) @ wo).reshape(x.shape)
-        return (h, x, q, k, v, a, total, o) if keep else h
+        h = x[:, least:] + o
+        return (h, x, t, y, a, total, o, mixed) if keep else h
+
+    def _odds(self, h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Odds of the classes: (p, by class what p is to be multiplied by, each row's total, logarithms at ``at`` of p laid flat)."""
+        u, b = self.params[6:]
+        with np.errstate(over="ignore", invalid="ignore"):
+            p = h @ u
+            chosen = p.reshape(-1).take(at)
+            np.exp(p, out=p)
+            factor = np.exp(b)
+            total = p @ factor
+        chosen += b.take(at % len(b))
+        if not (_small(total) and factor.min() > 1e-15):
+            p = h @ u
+            p += b
+            p -= p.max(-1, keepdims=True)
+            chosen = p.reshape(-1).take(at)
+            np.exp(p, out=p)
+            factor = np.ones_like(b)
+            total = p @ factor
+        return p, factor, total, chosen
 
     def step(self, inputs: np.ndarray, targets: np.ndarray, live: np.ndarray) -> list[np.ndarray]:
         """Gradient of the mean negative log likelihood of the live targets."""
-        h, x, q, k, v, a, total, o = self.hidden(inputs, keep=True)
-        _, _, wq, wk, wv, wo, u, b = self.params
-        h, x, flat_o = h.reshape(-1, WIDTH), x.reshape(-1, WIDTH), o.reshape(-1, WIDTH)
-        some = np.flatnonzero(live)
-        h = h[some]
-        p = h @ u
-        p += b
-        if not _small(p):
-            p -= p.max(-1, keepdims=True)
-        np.exp(p, out=p)
-        p *= (1 / (max(1, len(some)) * (p @ np.ones(p.shape[1], p.dtype))))[:, None]
-        p[np.arange(len(some)), targets.reshape(-1)[some]] -= 1 / max(1, len(some))
-        dh = np.zeros_like(x)
-        dh[some] = p @ u.T
-        do = (dh @ wo.T).reshape(o.shape)
-        do /= total  # as ``a`` is not divided by its sums
-        da = do @ v.transpose(0, 2, 1)
-        da -= np.einsum("nij,nij->ni", do, o)[..., None]
+        least = int(live.any(0).argmax())  # nothing is asked of earlier places
+        h, x, t, y, a, total, o, mixed = self.hidden(inputs, True, least)
+        _, _, wq, wk, wv, wo, u, _ = self.params
+        some = np.flatnonzero(live[:, least:])
+        hs = h.reshape(-1, WIDTH).take(some, 0)
+        hit = targets[:, least:].reshape(-1).take(some)
+        at = np.arange(0, len(hit) * len(u.T), len(u.T)) + hit
+        p, factor, odds, _ = self._odds(hs, at)
+        p.reshape(-1)[at] -= odds / factor.take(hit)
+        weight = 1 / (max(1, len(some)) * odds)
+        dh = np.zeros_like(h)
+        ds = p @ (u * factor).T
+        ds *= weight[:, None]
+        dh.reshape(-1, WIDTH)[some] = ds
+        hs *= weight[:, None]
+        do = dh / total  # as ``a`` is not divided by its sums
+        da = do @ y.transpose(0, 2, 1)
+        o *= do
+        da -= (o.reshape(-1, WIDTH) @ np.ones(WIDTH, o.dtype)).reshape(*total.shape)
         da *= a
-        d = np.concatenate([da @ k, da.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ do], 2).reshape(-1, 3 * WIDTH)
-        dx = dh + d @ np.concatenate([wq * self.scale, wk, wv], 1).T
-        hot = np.zeros((inputs.size, len(self.params[0])), x.dtype)
-        hot[np.arange(inputs.size), inputs.reshape(-1)] = 1
-        dw = x.T @ d
+        d = np.empty((*inputs.shape, 2 * WIDTH), x.dtype)
+        d[:, :least, :WIDTH] = 0
+        d[:, least:, :WIDTH] = da @ x
+        d[..., WIDTH:] = a.transpose(0, 2, 1) @ do
+        dx = (d.reshape(-1, 2 * WIDTH) @ mixed.T).reshape(x.shape)
+        dx += da.transpose(0, 2, 1) @ t
+        dx[:, least:] += dh
+        dm = x.reshape(-1, WIDTH).T @ d.reshape(-1, 2 * WIDTH)
+        dqk, dvo = self.scale * dm[:, :WIDTH], dm[:, WIDTH:]
+        cell = inputs.reshape(-1, 1) * WIDTH + np.arange(WIDTH)
         return [
-            hot.T @ dx,
-            dx.reshape(*inputs.shape, WIDTH).sum(0),
-            self.scale * dw[:, :WIDTH],
-            dw[:, WIDTH : 2 * WIDTH],
-            dw[:, 2 * WIDTH :],
-            flat_o.T @ dh,
-            h.T @ p,
-            np.ones(len(p), p.dtype) @ p,
+            np.bincount(cell.reshape(-1), dx.reshape(-1), self.params[0].size).reshape(-1, WIDTH).astype(x.dtype),
+            dx.sum(0),
+            dqk @ wk,
+            dqk.T @ wq,
+            dvo @ wo.T,
+            wv.T @ dvo,
+            (hs.T @ p) * factor,
+            (weight @ p) * factor,
         ]
 
     def train(self, inputs: np.ndarray, targets: np.ndarray, live: np.ndarray, rate: float = 0.01, batch: int = 32) -> None:
@@ -200,14 +235,12 @@ class Attention:
 
     def log_classes(self, inputs: np.ndarray, targets: np.ndarray, live: np.ndarray) -> np.ndarray:
         """Natural-log probability of the live targets, in order."""
-        some = np.flatnonzero(live)
-        z = self.hidden(inputs).reshape(-1, WIDTH)[some] @ self.params[6]
-        z += self.params[7]
-        if not _small(z):
-            z -= z.max(-1, keepdims=True)
-        chosen = z[np.arange(len(z)), targets.reshape(-1)[some]]
-        np.exp(z, out=z)
-        return chosen - np.log(z @ np.ones(z.shape[1], z.dtype))
+        least = int(live.any(0).argmax()) if live.size else 0
+        some = np.flatnonzero(live[:, least:])
+        h = self.hidden(inputs, least=least).reshape(-1, WIDTH).take(some, 0)
+        at = np.arange(0, len(h) * len(self.params[7]), len(self.params[7])) + targets[:, least:].reshape(-1).take(some)
+        _, _, total, chosen = self._odds(h, at)
+        return chosen - np.log(total)
 
 
 def windows(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -2,10 +2,10 @@
 
 One pass cuts the corpus into blocks.  A block's file holds its texts as numbers
 of the block's own words, and each of those words' subword ids; its words go
-into a table with their training counts.  That table is dealt by word once,
-summed and joined to itself there, and goes back to the blocks as numbers alone:
-each block gets the corpus-wide counts of just the words it holds, and neither a
-vocabulary nor (document, word) pairs are ever moved whole.
+into a table with their training counts, packed by bucket of their hash.  That
+table is dealt by bucket, summed there, and goes back to the blocks as numbers
+alone: each block gets the corpus-wide counts of just the words it holds, and
+neither a vocabulary nor (document, word) pairs are ever moved whole.
 
 The attention model learns from all training documents: subword counts and
 neighbours give token classes, and every window of every training document is
@@ -32,6 +32,7 @@ from .attention import WINDOW, Attention, Classes, log_probabilities, make_class
 from .simple8b import decode, encode
 from .store import drop, fresh, open_input, open_output, partitions, pick, small_batches, written
 from .tokens import WORD_BPE, encoder, give_back_memory, keep_memory, kept, ragged
+from .word_bpe import word_encoder
 
 BLOCK_BYTES = 16_000_000
 #: Bound of the memo beside a block in memory.
@@ -42,29 +43,69 @@ BUCKETS = 8
 #: Rounds of training, the share of all windows that each uses (one in so many: together they use all), and windows of a group.
 ROUNDS, GROUP = 3, 8192
 TRAIN_SHARE = ROUNDS
-_END_WORD = ""  # no word is empty; the words of the table keep the blank after them
+#: Buckets of words by hash, buckets of a round's groups at most, and slices of a table of counts: what is one row each.
+WORD_BUCKETS, GROUP_BUCKETS, SLICES = 2048, 4096, 16
+_END_WORD = b" "  # no word is empty; the words of the table keep the blank after them
+#: Bytes of a packed window: hash, place where scoring starts, size, class before, classes.
+PACKED = 4 + 3 + WINDOW
 
 
 def _crc(doc_id: int | None) -> int:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode())
 
 
-def _words(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """Distinct words, most frequent first, the words of all texts as their numbers, and each text's number of words."""
+def _words(texts: list[bytes]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Distinct words with the blank after each, most frequent first, the words of all texts as their numbers, and each text's number of words."""
     lines = [b" ".join(t.lower().split()) for t in texts]
     joined = b" ".join(x for x in lines if x) + b" "
     counts = np.array([x.count(b" ") + 1 if x else 0 for x in lines], np.int64)
     if not counts.sum():
-        return [], np.zeros(0, np.int64), counts
-    blank = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
-    offsets = np.concatenate([[0], blank + 1]).astype(np.int32)
-    column = pa.Array.from_buffers(pa.binary(), len(blank), [None, pa.py_buffer(offsets), pa.py_buffer(joined)]).dictionary_encode()
+        return pa.array([], pa.binary()), np.zeros(0, np.int64), counts
+    column = _split(np.frombuffer(joined, np.uint8)).dictionary_encode()
     codes = column.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     often = np.bincount(codes)
     order = np.argsort(-often, kind="stable")
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
-    return column.dictionary.take(pa.array(order)).to_pylist(), rank[codes], counts
+    return column.dictionary.take(pa.array(order)), rank[codes], counts
+
+
+def _split(raw: np.ndarray) -> pa.Array:
+    """Words with the blank after each, of a buffer of such."""
+    offsets = np.concatenate([[0], np.flatnonzero(raw == 32) + 1]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(raw)])
+
+
+def _buckets(words: pa.Array, buckets: int) -> np.ndarray:
+    """Bucket of each word, of so many, by a hash of its bytes."""
+    if not len(words):
+        return np.zeros(0, np.uint16)
+    offsets = np.frombuffer(words.buffers()[1], np.int32)[: len(words) + 1].astype(np.int64)
+    raw = np.frombuffer(words.buffers()[2], np.uint8)[: offsets[-1]]
+    size = np.diff(offsets)
+    place = np.arange(len(raw)) - np.repeat(offsets[:-1], size)
+    mixed = np.add.reduceat((raw + np.uint64(1)) * _PLACES[place % len(_PLACES)], offsets[:-1])  # no word is empty
+    mixed = (mixed ^ (mixed >> np.uint64(31))) * _MIX[0]
+    return ((mixed >> np.uint64(40)) % np.uint64(buckets)).astype(np.uint16)
+
+
+def _rows_of(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """A binary column of runs of values, up to each end."""
+    offsets = (np.concatenate([[0], ends]) * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _bytes_of(column: pa.Array) -> np.ndarray:
+    """The bytes of a binary column, end to end."""
+    if not len(column) or column.buffers()[2] is None:
+        return np.zeros(0, np.uint8)
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+
+
+def _sizes_of(column: pa.Array) -> np.ndarray:
+    """Bytes of each row of a binary column."""
+    return np.diff(np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]).astype(np.int64)
 
 
 def _path(folder: str, number: int) -> str:
@@ -78,6 +119,7 @@ class Block:
         with open_input(_path(folder, number)) as source:
             held = np.load(io.BytesIO(source.read()))
         self.doc_ids, self.known, self.crc, self.counts = (held[k] for k in ("doc_ids", "known", "crc", "counts"))
+        self.bucket = held["bucket"]
         self.words = decode(held["coded"], held["offsets"], held["escaped"], int(self.counts.sum())).astype(np.int64)
         self.sub_counts, self.sub_ids = held["sub_counts"].astype(np.int64), held["sub_ids"].astype(np.int64)
         self.held_out = self.crc % FOLD == HELD_OUT
@@ -103,7 +145,7 @@ class Block:
 
 
 def write_blocks(docs: DataFrame, folder: str, vocabulary: str, id_col: str, text_col: str) -> DataFrame:
-    """Write the blocks; the table (block, place, word, trained) of their words, place -1 being the end of a text."""
+    """Write the blocks; the table (block, bucket, words, trained) of their words with counts, bucket -1 being the end of a text."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,24 +158,29 @@ def write_blocks(docs: DataFrame, folder: str, vocabulary: str, id_col: str, tex
             nonlocal serial, size
             number = (task.taskAttemptId() << 20) + serial  # a repeated attempt writes files of its own
             words, numbers, counts = _words(texts)
-            sub_ids, sub_counts = encoder(vocabulary, MEMO_UNITS).encode_units([w[:-1] for w in words])
+            sub_ids, sub_counts = word_encoder(vocabulary, MEMO_UNITS).encode(words, tail=1)
             coded, offsets, escaped = encode(numbers.astype(np.uint64))
             crc = np.array([_crc(i) for i in ids], np.int64)
+            bucket = _buckets(words, WORD_BUCKETS)
+            order = np.argsort(bucket, kind="stable")
             out = io.BytesIO()
             known = np.array([i is not None for i in ids])
-            np.savez(out, doc_ids=np.array([i or 0 for i in ids], np.int64), known=known, crc=crc, counts=counts, coded=coded, offsets=offsets, escaped=escaped, sub_counts=sub_counts.astype(np.int32 if len(sub_counts) and sub_counts.max() > 255 else np.uint8), sub_ids=sub_ids.astype(np.uint16 if encoder(vocabulary, MEMO_UNITS).vocab_size < 65_000 else np.uint32))
+            np.savez(out, bucket=bucket, doc_ids=np.array([i or 0 for i in ids], np.int64), known=known, crc=crc, counts=counts, coded=coded, offsets=offsets, escaped=escaped, sub_counts=sub_counts.astype(np.int32 if len(sub_counts) and sub_counts.max() > 255 else np.uint8), sub_ids=sub_ids.astype(np.uint16 if encoder(vocabulary, MEMO_UNITS).vocab_size < 65_000 else np.uint32))
             with open_output(_path(folder, number)) as file:
                 file.write(out.getvalue())
             learnt = np.repeat(crc % FOLD != HELD_OUT, counts)
             trained = np.bincount(numbers[learnt], minlength=len(words))
             serial += 1
-            rows = [*(w.decode() for w in words), _END_WORD]
-            place = np.append(np.arange(len(words)), -1).astype(np.int32)
-            trained = np.append(trained, int((crc % FOLD != HELD_OUT).sum()))
+            last = np.flatnonzero(np.diff(bucket[order], append=WORD_BUCKETS)) + 1  # one past each bucket's last word
+            dealt = words.take(pa.array(order))
+            ends = np.frombuffer(dealt.buffers()[1], np.int32)[last] if len(words) else last
+            packed = pa.concat_arrays([pa.array([_END_WORD], pa.binary()), _rows_of(_bytes_of(dealt), ends)])
+            own = np.append(int((crc % FOLD != HELD_OUT).sum()), trained[order]).astype(np.int32)
+            rows = [pa.array(np.full(len(packed), number)), pa.array(np.append(-1, bucket[order][last - 1].astype(np.int32)).astype(np.int32)), packed, _rows_of(own, np.append(1, last + 1))]
             ids.clear()
             texts.clear()
             size = 0
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), number)), pa.array(place), pa.array(rows, pa.string()), pa.array(trained)], ["block", "place", "word", "trained"])
+            return pa.RecordBatch.from_arrays(rows, ["block", "bucket", "words", "trained"])
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
@@ -148,7 +195,7 @@ def write_blocks(docs: DataFrame, folder: str, vocabulary: str, id_col: str, tex
 
     plain = pick(docs, id_col, text_col).toDF("doc_id", "text")
     plain = plain.withColumn("doc_id", plain.doc_id.cast("long"))
-    return written(plain.mapInArrow(run, "block long, place int, word string, trained long"), "words")
+    return written(plain.mapInArrow(run, "block long, bucket int, words binary, trained binary"), "words")
 
 
 def written_classes(classes: Classes, path: str) -> str:
@@ -172,42 +219,100 @@ def read_classes(path: str) -> Classes:
 
 
 def corpus_counts(words: DataFrame) -> DataFrame:
-    """(block, place, trained, c, first): c is the word's training count in all blocks; one row of each word is its first."""
-    dealt = words.repartition(partitions(words.sparkSession), "word")  # read twice, moved once
-    # both sides use the same columns, or else they would be two exchanges
-    totals = dealt.groupBy("word").agg(F.sum("trained").alias("c"), F.min("block").alias("least"), F.max("place").alias("most"))
-    joined = dealt.join(totals.hint("shuffle_hash"), "word")
-    return joined.select("block", "place", "trained", "c", ((F.col("block") == F.col("least")) & (F.col("place") <= F.col("most"))).alias("first"))
+    """(block, bucket, c, n, v): c are the training counts in all blocks of the words of each row, in order.
+
+    n sums to the training tokens of all blocks, v to the distinct ones.
+    """
+    names = ["block", "bucket", "words", "trained"]
+
+    def counted(rows: pa.RecordBatch) -> pa.RecordBatch:
+        codes = _split(_bytes_of(rows["words"])).dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        trained = _bytes_of(rows["trained"]).view(np.int32)
+        total = np.bincount(codes, trained).astype(np.int64)
+        ends = np.cumsum(_sizes_of(rows["trained"]) // 4)
+        n = np.diff(np.concatenate([[0], np.cumsum(trained, dtype=np.int64)])[ends], prepend=0)
+        v = np.zeros(len(ends), np.int64)
+        v[0] = (total > 0).sum()
+        return pa.RecordBatch.from_arrays([rows["block"], rows["bucket"], _rows_of(total[codes], ends), pa.array(n), pa.array(v)], ["block", "bucket", "c", "n", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # of the last bucket, which may go on, and what came with its beginning
 
+        def joined() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.concat_arrays([b.column(i) for b in held]) for i in range(4)], names)
 
-def neighbour_counts(blocks: DataFrame, folder: str, vocab_size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Corpus counts of each token of training documents (the last is the end), and of its hashed neighbours."""
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            if batch.column(1)[-1] == held[0].column(1)[0]:
+                continue
+            rows = joined()
+            bucket = rows["bucket"].to_numpy()
+            edge = int(np.searchsorted(bucket, bucket[-1]))
+            yield counted(rows.slice(0, edge))
+            held = [rows.slice(edge)]
+        if held:
+            yield counted(joined())
+
+    dealt = words.repartition(partitions(words.sparkSession), "bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(run, "block long, bucket int, c binary, n long, v long")
+
+
+def _sliced(total: np.ndarray) -> list[pa.Array]:
+    """Counts of a table that aren't zero, as columns (slice, cells, n) of few rows."""
+    cell = np.flatnonzero(total)
+    ends = np.searchsorted(cell, -(-len(total) // SLICES) * np.arange(1, SLICES + 1))
+    return [pa.array(np.arange(SLICES, dtype=np.int32)), _rows_of(cell.astype(np.int32), ends), _rows_of(total[cell].astype(np.int64), ends)]
+
+
+def _summed(parts: DataFrame, size: int) -> np.ndarray:
+    """The table of ``size`` counts that columns (slice, cells, n) add up to."""
+    width = -(-size // SLICES)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for number, cells, n in zip(*(c.to_pylist() for c in batch.columns)):
+                totals.setdefault(number, np.zeros(width, np.int64))[np.frombuffer(cells, np.int32) - number * width] += np.frombuffer(n, np.int64)
+        for number, total in totals.items():
+            cell = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([(cell + number * width).astype(np.int32).tobytes()]), pa.array([total[cell].tobytes()])], ["slice", "cells", "n"])
+
+    spark = parts.sparkSession
+    found = parts.repartition(min(SLICES, partitions(spark)), "slice").mapInArrow(run, "slice int, cells binary, n binary").toArrow()
+    total = np.zeros(size, np.int64)
+    for cells, n in zip(found["cells"].to_pylist(), found["n"].to_pylist()):
+        total[np.frombuffer(cells, np.int32)] = np.frombuffer(n, np.int64)
+    return total
+
+
+def neighbour_counts(blocks: DataFrame, folder: str, vocab_size: int, share: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Corpus counts of each token of training documents (the last is the end), of its hashed neighbours, and of windows by turn."""
     width = 2 * BUCKETS + 1
+    size = (vocab_size + 1) * width
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((vocab_size + 1) * width, np.int64)
+        total, seen = np.zeros(size + share, np.int64), False
         for batch in batches:
             for number in batch.column(0).to_pylist():
-                block = Block(folder, number)
+                block, seen = Block(folder, number), True
                 for part in block.parts(np.flatnonzero(~block.held_out)):
-                    ids, _ = block.tokens(part, vocab_size)
+                    ids, counts = block.tokens(part, vocab_size)
                     bucket = ids * 40_503 % 65_537 % BUCKETS
                     for cell in (ids * width, ids[1:] * width + 1 + bucket[:-1], ids[:-1] * width + 1 + BUCKETS + bucket[1:]):
-                        total += np.bincount(cell, minlength=len(total))
-        cell = np.flatnonzero(total)
-        for a in range(0, len(cell), 100_000):
-            some = cell[a : a + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["cell", "n"])
+                        total[:size] += np.bincount(cell, minlength=size)
+                    total[size:] += np.bincount(_hashed_windows(block, part, ids, counts)[-1] % share, minlength=share)
+        if seen:
+            yield pa.RecordBatch.from_arrays(_sliced(total), ["slice", "cells", "n"])
 
-    summed = blocks.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-    found = summed.toArrow()  # at most a row for each token and bucket of the vocabulary file
-    total = np.zeros((vocab_size + 1) * width, np.int64)
-    total[found["cell"].to_numpy()] = found["n"].to_numpy()
-    total = total.reshape(-1, width)
-    return total[:, 0], total[:, 1:]
+    total = _summed(blocks.mapInArrow(run, "slice int, cells binary, n binary"), size + share)  # the size of the vocabulary file
+    table = total[:size].reshape(-1, width)
+    return table[:, 0], table[:, 1:], total[size:]
 
 
 _MIX = tuple(np.random.default_rng(11).integers(1, 1 << 63, 5, dtype=np.uint64) | np.uint64(1))
+_PLACES = np.random.default_rng(12).integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
 
 
 def _window_hash(crc: np.ndarray, which: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -218,73 +323,108 @@ def _window_hash(crc: np.ndarray, which: np.ndarray, first: np.ndarray, last: np
     return (mixed ^ (mixed >> np.uint64(29))) >> np.uint64(33)
 
 
-def training_data(blocks: DataFrame, folder: str, classes: Classes, rounds: int, share: int) -> DataFrame:
+def _hashed_windows(block: Block, part: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first token, size, scored from, hash) of the windows of some documents."""
+    start, text, scored = windows(counts)
+    first = (np.cumsum(counts) - counts)[text] + start
+    size = np.minimum(counts[text] - start, WINDOW)
+    return first, size, scored, _window_hash(block.crc[part][text], start, ids[first], ids[first + size - 1]).astype(np.int64)
+
+
+def _groups(h: np.ndarray, groups: int) -> np.ndarray:
+    """The group of each window of a round, by its hash."""
+    mixed = h.astype(np.uint64) * _MIX[1]
+    return ((mixed ^ (mixed >> np.uint64(29))) * _MIX[2] >> np.uint64(33)).astype(np.int64) % max(1, groups)
+
+
+def training_data(blocks: DataFrame, folder: str, classes: Classes, rounds: int, share: int, many: np.ndarray) -> DataFrame:
     """One pass over training documents, as a written table of two kinds of rows.
 
-    (cell, n) are partial counts by (class before, token); (turn, h, window) are
-    the windows of each round: where scoring starts, the class before, and the
-    classes themselves.
+    (slice, cells, n) are partial counts by (class before, token); (turn,
+    groups, bucket, window) are the windows of each round, those of a bucket of
+    its groups packed end to end: hash, where scoring starts, size, the class
+    before, and the classes themselves.  ``many`` are the windows of each turn.
     """
     width = len(classes.of)
-    names = ["cell", "n", "turn", "h", "window"]
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+    names = ["slice", "cells", "n", "turn", "groups", "bucket", "window"]
+    kinds = [pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+    groups = [-(-int(x) // GROUP) for x in many]
 
-    def some(**given) -> pa.RecordBatch:
-        rows = len(next(iter(given.values())))
-        columns = [pa.nulls(rows, k) if n not in given else given[n] if isinstance(given[n], pa.Array) else pa.array(given[n], k) for n, k in zip(names, kinds)]
+    def some(*given: pa.Array, at: int) -> pa.RecordBatch:
+        columns = [given[i - at] if 0 <= i - at < len(given) else pa.nulls(len(given[0]), k) for i, k in enumerate(kinds)]
         return pa.RecordBatch.from_arrays(columns, names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((classes.count + 1) * width, np.int64)
+        total, seen = np.zeros((classes.count + 1) * width, np.int64), False
         for batch in batches:
             for number in batch.column(0).to_pylist():
-                block = Block(folder, number)
+                block, seen = Block(folder, number), True
+                packed, dealt = [], []
                 for part in block.parts(np.flatnonzero(~block.held_out)):
                     ids, counts = block.tokens(part, width - 1)
                     before = classes.before(ids, counts)
                     total += np.bincount(before * width + ids, minlength=len(total))
-                    start, text, scored = windows(counts)
-                    first = (np.cumsum(counts) - counts)[text] + start
-                    size = np.minimum(counts[text] - start, WINDOW)
-                    h = _window_hash(block.crc[part][text], start, ids[first], ids[first + size - 1])
-                    turn = (h % np.uint64(share)).astype(np.int64)
-                    kept = np.flatnonzero(turn < rounds)
-                    rows = np.empty((len(kept), WINDOW + 2), np.uint8)
-                    rows[:, 0], rows[:, 1] = scored[kept], before[first[kept]]
-                    rows[:, 2:] = np.lib.stride_tricks.sliding_window_view(np.pad(classes.of[ids], (0, WINDOW)), WINDOW)[first[kept]]
-                    ends = np.concatenate([[0], np.cumsum(size[kept] + 2)]).astype(np.int32)
-                    flat = rows[np.arange(WINDOW + 2) < size[kept][:, None] + 2]
-                    cells = pa.Array.from_buffers(pa.binary(), len(kept), [None, pa.py_buffer(ends), pa.py_buffer(flat)])
-                    yield some(turn=turn[kept].astype(np.int32), h=h[kept].astype(np.int32), window=cells)
-        cell = np.flatnonzero(total)
-        for a in range(0, len(cell), 100_000):
-            yield some(cell=cell[a : a + 100_000], n=total[cell[a : a + 100_000]])
-
-    return written(blocks.mapInArrow(run, "cell long, n long, turn int, h int, window binary"), "training-data")
+                    first, size, scored, h = _hashed_windows(block, part, ids, counts)
+                    turn = h % share
+                    for now in range(rounds):
+                        own = np.flatnonzero(turn == now)
+                        rows = np.empty((len(own), PACKED), np.uint8)
+                        rows[:, :4] = h[own].astype("<u4").view(np.uint8).reshape(-1, 4)
+                        rows[:, 4], rows[:, 5], rows[:, 6] = scored[own], size[own], before[first[own]]
+                        rows[:, 7:] = np.lib.stride_tricks.sliding_window_view(np.pad(classes.of[ids], (0, WINDOW)), WINDOW)[first[own]]
+                        rows[:, 7:] *= np.arange(WINDOW) < size[own][:, None]
+                        packed.append(rows)
+                        dealt.append(now * GROUP_BUCKETS + _groups(h[own], groups[now]) % GROUP_BUCKETS)
+                if not packed or not sum(map(len, packed)):
+                    continue
+                rows, key = np.concatenate(packed), np.concatenate(dealt)
+                order = np.argsort(key, kind="stable")
+                key = key[order]
+                ends = np.flatnonzero(np.diff(key, append=-1)) + 1
+                turn, bucket = np.divmod(key[ends - 1], GROUP_BUCKETS)
+                window = _rows_of(rows[order].reshape(-1), ends * PACKED)
+                yield some(pa.array(turn, pa.int32()), pa.array(np.array(groups)[turn], pa.int32()), pa.array(bucket, pa.int32()), window, at=3)
+        if seen:
+            yield some(*_sliced(total), at=0)
+
+    schema = "slice int, cells binary, n binary, turn int, groups int, bucket int, window binary"
+    return written(blocks.mapInArrow(run, schema), "training-data")
 
 
 def pair_counts(data: DataFrame, classes: Classes) -> np.ndarray:
     """Corpus counts by (class before, token) of training documents."""
-    found = data.where("cell is not null").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # at most a row for each class and token
-    total = np.zeros((classes.count + 1) * len(classes.of))
-    total[found["cell"].to_numpy()] = found["n"].to_numpy()
-    return total.reshape(-1, len(classes.of))
+    found = _summed(data.where("slice is not null").select("slice", "cells", "n"), (classes.count + 1) * len(classes.of))  # a number for each class and token
+    return found.astype(float).reshape(-1, len(classes.of))
+
+
+def in_order(packed: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray]:
+    """Packed windows in order of their group, hash and classes, and the group of each."""
+    packed = packed.reshape(-1, PACKED)
+    h = np.ascontiguousarray(packed[:, :4]).view("<u4").reshape(-1).astype(np.int64)
+    key = _groups(h, groups) << 32 | h
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    same = np.concatenate([[False], key[1:] == key[:-1]])
+    tied = np.flatnonzero(same | np.append(same[1:], False))
+    if len(tied):  # windows of one hash are ordered by all of their bytes
+        rows = packed[order[tied]]
+        order[tied] = order[tied][np.lexsort([*rows.T[::-1], key[tied]])]
+    return packed[order], key >> 32
 
 
 def unpacked(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Inputs, targets and which of them are scored, of windows as :func:`training_data` writes them."""
-    size = np.fromiter(map(len, rows), np.int64, len(rows)) - 2
-    grid = np.frombuffer(b"".join(r.ljust(WINDOW + 2, b"\0") for r in rows), np.uint8).reshape(len(rows), WINDOW + 2).astype(np.int64)
+    grid = np.frombuffer(b"".join(rows), np.uint8).reshape(-1, PACKED)[:, 4:].astype(np.int64)
     place = np.arange(WINDOW)
-    live = (place < size[:, None]) & (place >= grid[:, :1])
-    return grid[:, 1:-1], grid[:, 2:], live
+    live = (place < grid[:, 1:2]) & (place >= grid[:, :1])
+    return grid[:, 2:-1], grid[:, 3:], live
 
 
 def train(data: DataFrame, classes: Classes, rounds: int, sums: int = 32) -> np.ndarray:
     """Parameters after some rounds, each over its own windows of all training documents."""
     weights = Attention(classes.count, classes.log_prior).flat()
-    chosen = data.where("window is not null").select("turn", "h", "window")
-    many = {r.turn: r.n for r in chosen.groupBy("turn").agg(F.count("*").alias("n")).collect()}  # a row for each round
+    chosen = data.where("window is not null").select("turn", "groups", "bucket", "window")
+    groups = {r.turn: r.n for r in chosen.groupBy("turn").agg(F.max("groups").alias("n")).collect()}  # a row for each round
     n = partitions(data.sparkSession)
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -297,39 +437,39 @@ def train(data: DataFrame, classes: Classes, rounds: int, sums: int = 32) -> np.
             yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in ((slot, pa.int64()), (0, pa.int64()), (seen, pa.int64()), (total.tobytes(), pa.binary()))], ["slot", "group", "seen", "weights"])
 
     for turn in range(rounds):
-        if turn not in many:
+        if turn not in groups:
             continue
 
         def run(batches: Iterator[pa.RecordBatch], turn: int = turn, weights: np.ndarray = weights) -> Iterator[pa.RecordBatch]:
-            now, model, seen, held = None, None, 0, []
             keep_memory()
+            now, held = None, []
 
-            def learn() -> None:
-                nonlocal seen
-                model.train(*unpacked(held), rate=0.01 / (turn + 1))
-                seen += len(held)
+            def learnt() -> Iterator[pa.RecordBatch]:
+                rows, group = in_order(np.concatenate(held), groups[turn])
                 held.clear()
-
-            def done() -> pa.RecordBatch:
-                learn()
-                row = ((now % sums, pa.int64()), (now, pa.int64()), (seen, pa.int64()), (model.flat().astype(np.float64).tobytes(), pa.binary()))
-                return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in row], ["slot", "group", "seen", "weights"])
+                for a, z in zip(edges := np.flatnonzero(np.diff(group, prepend=-1, append=-1)), edges[1:]):
+                    model = Attention(classes.count, classes.log_prior).load(weights)
+                    for at in range(a, z, 2 * GROUP):
+                        model.train(*unpacked([rows[at : min(z, at + 2 * GROUP)].tobytes()]), rate=0.01 / (turn + 1))
+                    name = int(group[a])
+                    row = ((name % sums, pa.int64()), (name, pa.int64()), (int(z - a), pa.int64()), (model.flat().astype(np.float64).tobytes(), pa.binary()))
+                    yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in row], ["slot", "group", "seen", "weights"])
 
             for batch in batches:
-                for group, window in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    if group != now:
-                        if now is not None:
-                            yield done()
-                        now, model, seen = group, Attention(classes.count, classes.log_prior).load(weights), 0
-                    held.append(window)
-                    if len(held) >= 2 * GROUP:
-                        learn()
-            if now is not None:
-                yield done()
-
-        groups = -(-many[turn] // GROUP)
-        dealt = chosen.where(F.col("turn") == turn).select(F.pmod(F.xxhash64("h"), F.lit(groups)).alias("group"), "window", "h")
-        dealt = dealt.repartition(min(n, groups), "group").sortWithinPartitions("group", "h", "window").select("group", "window")
+                bucket = batch.column(0).to_numpy()
+                sizes = np.cumsum(_sizes_of(batch.column(1)))
+                raw = _bytes_of(batch.column(1))
+                ends = np.flatnonzero(np.diff(bucket, append=-1))
+                for number, part in zip(bucket[ends].tolist(), np.split(raw, sizes[ends])):
+                    if held and number != now:
+                        yield from learnt()
+                    now = number
+                    held.append(part)
+            if held:
+                yield from learnt()
+
+        dealt = chosen.where(F.col("turn") == turn).select("bucket", "window")
+        dealt = dealt.repartition(min(n, groups[turn]), "bucket").sortWithinPartitions("bucket")
         schema = "slot long, group long, seen long, weights binary"
         summed = dealt.mapInArrow(run, schema).repartition(min(n, sums), "slot").sortWithinPartitions("slot", "group").mapInArrow(partial, schema)
         rows = sorted(summed.collect(), key=lambda r: r.slot)  # at most ``sums`` rows
@@ -350,22 +490,25 @@ def score(
     spark = docs.sparkSession
     folder, n = fresh(spark, "blocks"), partitions(spark)
     words = write_blocks(docs, folder, vocabulary, id_col, text_col)
-    blocks = written(words.where("place = -1").select("block"), "block-list").repartition(n, "block")
+    blocks = written(words.where("bucket = -1").select("block"), "block-list").repartition(n, "block")
     counted = written(corpus_counts(words), "word-counts")
     drop(words, spark)
-    row = counted.agg(F.sum("trained").alias("n"), F.count_if(F.col("first") & (F.col("c") > 0)).alias("v")).first()
+    row = counted.agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
     tokens, distinct = row.n or 0, row.v
     vocab_size = encoder(vocabulary, MEMO_UNITS).vocab_size
-    classes = make_classes(*neighbour_counts(blocks, folder, vocab_size))
-    data = training_data(blocks, folder, classes, rounds, share)
+    counts, context, many = neighbour_counts(blocks, folder, vocab_size, share)
+    classes = make_classes(counts, context)
+    data = training_data(blocks, folder, classes, rounds, share, many)
     weights = train(data, classes, rounds)
     shared = written_classes(classes.with_pairs(pair_counts(data, classes)), f"{folder}/classes")
     drop(data, spark)
 
     del classes
 
-    def scored(number: int, counts: np.ndarray, end_count: int) -> pa.RecordBatch:
-        block = Block(folder, number)
+    def scored(number: int, by_bucket: np.ndarray) -> pa.RecordBatch:
+        block, end_count = Block(folder, number), by_bucket[0]  # the end of a text comes first
+        counts = np.empty(len(block.bucket), np.int64)
+        counts[np.argsort(block.bucket, kind="stable")] = by_bucket[1:]
         log = np.log10((counts + 1) / (tokens + distinct + 1))
 
         def summed(values: np.ndarray) -> np.ndarray:
@@ -389,19 +532,23 @@ def score(
         return pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # a partition's rows are a few blocks' words, as numbers
         keep_memory()
-        held = [[b.column(i).to_numpy() for i in range(3)] for b in batches]
-        if not held:
-            return
-        number, place, count = (np.concatenate(x) for x in zip(*held))
-        order = np.lexsort((place, number))
-        number, count = number[order], count[order]
-        edges = np.flatnonzero(np.diff(number, prepend=-1, append=-1))
-        for a, z in zip(edges, edges[1:]):  # the end of a text comes first
-            yield scored(int(number[a]), count[a + 1 : z], int(count[a]))
+        now, held = None, []
+        for batch in batches:
+            number = batch.column(0).to_numpy()
+            sizes = np.cumsum(_sizes_of(batch.column(1)))
+            ends = np.flatnonzero(np.diff(number, append=-1))
+            for own, part in zip(number[ends].tolist(), np.split(_bytes_of(batch.column(1)), sizes[ends])):
+                if held and own != now:
+                    yield scored(now, np.concatenate(held).view(np.int64))
+                    give_back_memory()
+                    held.clear()
+                now = own
+                held.append(part)
+        if held:
+            yield scored(now, np.concatenate(held).view(np.int64))
             give_back_memory()
 
-    dealt = counted.select("block", "place", "c").repartition(n, "block")
+    dealt = counted.repartition(n, "block").sortWithinPartitions("block", "bucket").select("block", "c")
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return dealt.mapInArrow(run, schema)

@@ -4,6 +4,8 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from pyspark.sql import functions as F
@@ -12,6 +14,7 @@ from quoteloom.llm import attention, lm_scoring
 from quoteloom.llm.attention import STRIDE, WINDOW, Attention, Classes, gathered, log_probabilities, make_classes, windows
 from quoteloom.llm.lm_scoring import unpacked
 from quoteloom.llm.tokens import WORD_BPE, Encoder
+from quoteloom.llm.word_bpe import WordEncoder
 
 from .helpers import AWKWARD, documents
 
@@ -219,3 +222,56 @@ def test_training_beats_the_untrained_model():
     for _ in range(10):
         model.train(inputs, targets, live)
     assert log_probabilities(model, classes, tokens, counts).sum() > before / 4
+
+
+def test_words_and_windows_are_packed(spark, tmp_path, monkeypatch):
+    """A block's words are a row a bucket, and windows a row a bucket of groups, not a row each."""
+    monkeypatch.setattr(lm_scoring, "WORD_BUCKETS", 16)
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(40))) for i in range(100)]
+    words = lm_scoring.write_blocks(documents(spark, rows).coalesce(1), f"file://{tmp_path}/blocks", WORD_BPE, "doc_id", "text").collect()
+    assert sorted(r.bucket for r in words) == list(range(-1, 16))
+    assert sorted(w for r in words for w in bytes(r.words).split()) == sorted(w.encode() for _, t in rows for w in t.split())
+    seen = []
+    monkeypatch.setattr(lm_scoring, "train", lambda data, classes, rounds: seen.extend(data.where("window is not null").collect()) or Attention(classes.count, classes.log_prior).flat())
+    lm_scoring.score(documents(spark, rows).coalesce(1)).count()
+    assert len(seen) == lm_scoring.ROUNDS and len(unpacked([bytes(r.window) for r in seen])[0]) > 100
+
+
+def test_buckets_that_are_cut_into_batches(spark, monkeypatch):
+    rows = [(i, " ".join(f"w{(i * j) % 97}" for j in range(30))) for i in range(60)]
+    monkeypatch.setattr(lm_scoring, "BLOCK_BYTES", 90)
+    want = sorted(brute_base(rows))
+    small = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(small)
+    spark.conf.set(small, "2")
+    try:
+        for buckets in (1, 3):
+            monkeypatch.setattr(lm_scoring, "WORD_BUCKETS", buckets)
+            monkeypatch.setattr(lm_scoring, "GROUP_BUCKETS", buckets)
+            monkeypatch.setattr(lm_scoring, "GROUP", 8)
+            found = sorted((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score) for r in lm_scoring.score(documents(spark, rows).repartition(4)).collect())
+            for a, b in zip(found, want, strict=True):
+                assert a[:5] == b[:5] and a[5] == pytest.approx(b[5])
+    finally:
+        spark.conf.set(small, before)
+
+
+def test_order_of_windows_depends_on_their_bytes_alone():
+    rng = np.random.default_rng(8)
+    packed = rng.integers(0, 3, (500, lm_scoring.PACKED)).astype(np.uint8)
+    packed[:, 1:4] = 0  # three hashes
+    found = [lm_scoring.in_order(packed[rng.permutation(500)].reshape(-1), 2) for _ in range(3)]
+    assert all((rows == found[0][0]).all() and (group == found[0][1]).all() for rows, group in found)
+    assert sorted(map(bytes, found[0][0])) == sorted(map(bytes, packed)) and (np.diff(found[0][1]) >= 0).all()
+
+
+def test_words_encoded_at_once_equal_the_librarys(sf_dir):
+    codec = Encoder(WORD_BPE)
+    texts = pq.read_table(f"{sf_dir}/documents.parquet")["text"].to_pylist()
+    words = {w for t in texts for w in (t or "").lower().split()}
+    words |= {"a", "z.", "é", "ÀÉÞ", "ß,", "×", "÷.", "x..", ".", ",", "it's", "3.5", "中文", "naïve.", "x" * 64, "ab" * 33, "ꟃ", "Ç", "ﬁ", "<|endoftext|>", "é"}
+    column = pa.array([w.encode() + b" " for w in sorted(words)], pa.binary())
+    for some in (column, column.slice(3, 50), column[:0]):
+        ids, counts = WordEncoder(codec).encode(some, tail=1)
+        units = [w[:-1].decode() for w in some.to_pylist()]
+        assert [p.tolist() for p in np.split(ids, np.cumsum(counts)[:-1])][: len(units)] == [codec._library([u])[0] for u in units]
