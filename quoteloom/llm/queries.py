@@ -9,6 +9,7 @@ from .decontamination import decontaminate, with_digest
 from .exact_dedup import exact_dedup
 from .language_id import identify
 from .lm_scoring import score
+from .merkle import merkle_manifest
 from .near_dedup import near_components
 from .packing import Limits, chat_examples, pack_documents, pack_examples
 from .preferences import conversations, format_pairs, pairs_by_opening, pairs_by_reply, with_bounds
@@ -71,6 +72,12 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_digest(decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest of documents by source, verified against a copy that lost line breaks in about half its rows."""
+    lost = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    return merkle_manifest(table(spark, sf_dir, "documents"), changed=(lost, {"text": F.expr(r"replace(text, '\n', '')")}))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -84,6 +91,7 @@ QUERIES = {
         op8_simhash_near_dedup,
         op9_packing,
         op10_decontamination,
+        op13_merkle,
         chat_packing,
     )
 }
@@ -164,4 +172,53 @@ ORACLES = {
                coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(joined, '')) AS items_sha256,
                coalesce(n_hit, 0) > 0 AS contaminated
         FROM d LEFT JOIN places ON d.doc_id = places.doc_id LEFT JOIN items ON d.doc_id = items.doc_id""",
+    "op13_merkle": r"""
+        WITH RECURSIVE kept AS (
+          SELECT doc_id, source,
+                 coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+                   || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head,
+                 text,
+                 list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda d: ascii(d)::BIGINT),
+                   lambda c, b: list_reduce(range(8), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, xor(c, b)),
+                   4294967295::BIGINT) AS crc
+          FROM documents),
+        leaves AS (
+          SELECT doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+                 CASE WHEN xor(crc, 4294967295) % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS other, head FROM kept),
+        placed AS (
+          SELECT doc_id, source, leaf, sha256(head || coalesce(strlen(other) || ':' || other, '-')) AS now,
+                 row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n FROM leaves),
+        tree AS (
+          SELECT source, 0 AS step, pos, n, leaf AS h FROM placed
+          UNION ALL
+          SELECT source, step + 1, pos // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY pos)) FROM tree WHERE n > 1 GROUP BY source, step, pos // 3, n),
+        tops AS (SELECT source, step AS depth, h AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM tree WHERE n = 1),
+        upper_tree AS (
+          SELECT 0 AS step, pos, n, subroot AS h FROM tops
+          UNION ALL
+          SELECT step + 1, pos // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY pos)) FROM upper_tree WHERE n > 1 GROUP BY step, pos // 3, n),
+        inner_ways AS (
+          SELECT s.source, s.step, s.pos, coalesce(string_agg(o.h, '' ORDER BY o.pos) FILTER (o.pos < s.pos), '') AS l,
+                 coalesce(string_agg(o.h, '' ORDER BY o.pos) FILTER (o.pos > s.pos), '') AS r
+          FROM tree s LEFT JOIN tree o ON o.source IS NOT DISTINCT FROM s.source AND o.step = s.step AND o.pos // 3 = s.pos // 3 AND o.pos <> s.pos
+          WHERE s.n > 1 GROUP BY ALL),
+        upper_ways AS (
+          SELECT s.step, s.pos, coalesce(string_agg(o.h, '' ORDER BY o.pos) FILTER (o.pos < s.pos), '') AS l,
+                 coalesce(string_agg(o.h, '' ORDER BY o.pos) FILTER (o.pos > s.pos), '') AS r
+          FROM upper_tree s LEFT JOIN upper_tree o ON o.step = s.step AND o.pos // 3 = s.pos // 3 AND o.pos <> s.pos
+          WHERE s.n > 1 GROUP BY ALL),
+        inner_fold AS (
+          SELECT source, pos AS place, 0 AS step, pos, now, '' AS way FROM placed
+          UNION ALL
+          SELECT f.source, f.place, f.step + 1, f.pos // 3, sha256(w.l || f.now || w.r), f.way || w.l || w.r
+          FROM inner_fold f JOIN inner_ways w ON w.source IS NOT DISTINCT FROM f.source AND w.step = f.step AND w.pos = f.pos),
+        upper_fold AS (
+          SELECT f.source, f.place, 0 AS step, t.pos, f.now, f.way FROM inner_fold f JOIN tops t ON t.source IS NOT DISTINCT FROM f.source AND t.depth = f.step
+          UNION ALL
+          SELECT f.source, f.place, f.step + 1, f.pos // 3, sha256(w.l || f.now || w.r), f.way || w.l || w.r
+          FROM upper_fold f JOIN upper_ways w ON w.step = f.step AND w.pos = f.pos),
+        ended AS (SELECT source, place, arg_max(now, step) AS folded_root, arg_max(way, step) AS way FROM upper_fold GROUP BY ALL)
+        SELECT p.doc_id, p.leaf, t.subroot, u.h AS root, sha256(e.way) AS proof_sha256, e.folded_root, e.folded_root = u.h AS verified
+        FROM placed p JOIN tops t ON t.source IS NOT DISTINCT FROM p.source JOIN upper_tree u ON u.n = 1
+        JOIN ended e ON e.source IS NOT DISTINCT FROM p.source AND e.place = p.pos""",
 }
