@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .decontamination import decontaminate, with_digest
 from .exact_dedup import exact_dedup
+from .importance import resample
 from .language_id import identify
 from .lm_scoring import score
 from .merkle import merkle_manifest
@@ -72,6 +73,11 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_digest(decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A twentieth of the documents of 20 words or more, drawn towards the benchmark."""
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The manifest of documents by source, verified against a copy that lost line breaks in about half its rows."""
     lost = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
@@ -91,6 +97,7 @@ QUERIES = {
         op8_simhash_near_dedup,
         op9_packing,
         op10_decontamination,
+        op12_importance,
         op13_merkle,
         chat_packing,
     )
@@ -172,6 +179,30 @@ ORACLES = {
                coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(joined, '')) AS items_sha256,
                coalesce(n_hit, 0) > 0 AS contaminated
         FROM d LEFT JOIN places ON d.doc_id = places.doc_id LEFT JOIN items ON d.doc_id = items.doc_id""",
+    "op12_importance": r"""
+        WITH bytes AS (SELECT list(list_reduce(range(8), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, v) ORDER BY v) AS t FROM range(256) r(v)),
+        texts AS (SELECT 'd' AS side, doc_id AS id, text FROM documents UNION ALL SELECT 'b', item_id, text FROM benchmark),
+        split AS (SELECT side, id, list_filter(regexp_split_to_array(
+                    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w FROM texts),
+        grams AS (SELECT side, id, array_to_string(w[i : i + m - 1], ' ') AS g
+                  FROM (SELECT side, id, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM split, range(1, 4) r(m) WHERE len(w) >= m)),
+        counted AS (SELECT side, id, g, count(*) AS c FROM grams GROUP BY ALL),
+        distinct_grams AS (SELECT g, hex(encode(g)) AS x FROM (SELECT DISTINCT g FROM counted)),
+        hashed AS (SELECT g, xor(list_reduce(list_transform(range(1, len(x), 2), lambda i: ('0x' || x[i : i + 1])::BIGINT),
+                                 lambda c, b: xor(t[xor(c & 255, b) + 1], c >> 8), 4294967295::BIGINT), 4294967295) % 10000 AS bucket
+                   FROM distinct_grams, bytes),
+        featured AS (SELECT side, id, bucket, sum(c)::BIGINT AS c FROM counted JOIN hashed USING (g) GROUP BY ALL),
+        sides AS (SELECT bucket, coalesce(sum(c) FILTER (side = 'd'), 0)::DOUBLE AS s, coalesce(sum(c) FILTER (side = 'b'), 0)::DOUBLE AS t FROM featured GROUP BY bucket),
+        totals AS (SELECT sum(s) AS all_s, sum(t) AS all_t FROM sides),
+        gain AS (SELECT bucket, floor(1000 * ln((t + 1) * (all_s + 10000) / ((s + 1) * (all_t + 10000))))::BIGINT AS gain FROM sides, totals),
+        weighed AS (SELECT id, sum(c)::BIGINT AS n_features, sum(c * gain)::BIGINT AS weight FROM featured JOIN gain USING (bucket) WHERE side = 'd' GROUP BY id),
+        noise AS (SELECT id AS doc_id, len(w) AS words, ('0x' || sha256('42:' || id)[1:8])::BIGINT AS h FROM split WHERE side = 'd'),
+        scored AS (SELECT doc_id, words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+                          coalesce(weight, 0) + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+                   FROM noise LEFT JOIN weighed ON doc_id = id),
+        placed AS (SELECT *, row_number() OVER (PARTITION BY words >= 20 ORDER BY score DESC, doc_id) AS place, count(*) OVER (PARTITION BY words >= 20) AS n FROM scored)
+        SELECT doc_id, n_features, weight, score, CASE WHEN words >= 20 AND place <= 5 * n // 100 THEN place END AS rank FROM placed""",
     "op13_merkle": r"""
         WITH RECURSIVE kept AS (
           SELECT doc_id, source,
