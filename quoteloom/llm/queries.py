@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .best_fit import best_fit_pack
 from .decontamination import decontaminate, with_digest
 from .exact_dedup import exact_dedup
 from .importance import resample
@@ -73,6 +74,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_digest(decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op11_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit_pack(table(spark, sf_dir, "documents"))
+
+
 def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A twentieth of the documents of 20 words or more, drawn towards the benchmark."""
     return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -97,6 +102,7 @@ QUERIES = {
         op8_simhash_near_dedup,
         op9_packing,
         op10_decontamination,
+        op11_best_fit,
         op12_importance,
         op13_merkle,
         chat_packing,
