@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..constants import MIN_QUOTE_CHARS, MIN_QUOTE_WORDS
 from ..functions.text import fold, folded_words, js_trim, project_span
 from ..sources.tables import saved
+from .relocation import relocate
 
 
 def early_reason(quote: Column, chunk_id: Column, known: Column, folded: Column, min_words: int, min_chars: int) -> Column:
@@ -27,57 +28,6 @@ def detail(reason: Column, chunk_id: Column, words: Column, min_words: int) -> C
     )
 
 
-#: Inner words in a row that name a quote; shorter quotes are named by what they have.
-GRAM_WORDS = 3
-
-
-def _grams(words: Column, size: int) -> Column:
-    """Hashes of all runs of so many words."""
-    at = F.sequence(F.lit(0), F.size(words) - size)
-    runs = F.transform(at, lambda i: F.xxhash64(F.lit(size), *[F.get(words, i + j) for j in range(size)]))
-    return F.when(F.size(words) >= size, runs).otherwise(F.array().cast("array<long>"))
-
-
-def relocate(lost: DataFrame, docs: DataFrame) -> DataFrame:
-    """(claim_id, doc_id, hit): the first document that holds each lost quote, the cited one before others, and where it folds to.
-
-    ``lost`` has claim_id, folded and cited_doc.  A match begins and ends within
-    words at most, so the inner words of a quote are whole words, in a row, of
-    any document that holds it.  Runs of three of them are rare: documents are
-    folded once for the runs that some quote has, and the rarest run of a quote
-    picks the documents that are looked into.  Nothing is lost by that, and no
-    document is paired with every quote.  Only those documents are folded again,
-    where they lie; what travels is runs and quotes.
-    """
-    words = F.split("folded", " ")
-    inner = F.slice(words, F.lit(2), F.size(words) - 2)
-    size = F.least(F.lit(GRAM_WORDS), F.size(words) - 2)
-    sizes = sorted(r[0] for r in lost.select(size).distinct().collect())  # at most GRAM_WORDS rows
-    if not sizes:
-        return lost.join(docs.select("doc_id"), F.lit(False)).select("claim_id", "doc_id", F.lit(0).alias("hit"))
-    grams = F.lit(None).cast("array<long>")
-    for n in sizes:
-        grams = F.when(size == n, _grams(inner, n)).otherwise(grams)
-    asked = lost.select("claim_id", F.explode(F.array_distinct(grams)).alias("gram"))
-    body = F.split(fold(F.col("text")), " ")
-    # outer, as a plain explode makes Spark fold each text once more, to filter out empty ones first;
-    # an array of one, as the words are used several times
-    found = F.transform(F.array(body), lambda w: F.array_distinct(F.concat(*[_grams(w, n) for n in sizes])))[0]
-    held = docs.select("doc_id", F.explode_outer(found).alias("gram")).join(asked.select("gram").distinct(), "gram", "left_semi")
-    held = saved(held, "held-runs")
-    often = held.groupBy("gram").agg(F.count("*").alias("df"))
-    # a run that no document holds rules its quote out; it counts as rarest
-    rarest = (
-        asked.join(often, "gram", "left")
-        .groupBy("claim_id")
-        .agg(F.min_by("gram", F.struct(F.coalesce("df", F.lit(0)).alias("df"), F.col("gram").alias("g"))).alias("gram"))
-    )
-    candidates = held.join(rarest, "gram").join(lost, "claim_id").select("doc_id", "claim_id", "folded", "cited_doc")
-    looked = docs.join(candidates, "doc_id").withColumn("hit", F.instr(fold(F.col("text")), F.col("folded"))).where("hit > 0")
-    order = F.struct((~F.col("doc_id").eqNullSafe(F.col("cited_doc"))).alias("other"), "doc_order")
-    return looked.groupBy("claim_id").agg(F.min_by(F.struct("doc_id", "hit"), order).alias("best")).select("claim_id", "best.doc_id", "best.hit")
-
-
 def verify(
     docs: DataFrame,
     chunks: DataFrame,
@@ -90,12 +40,13 @@ def verify(
 
     Adds status, reason, detail, verified_chunk_id, relocated, span_doc_id,
     span_start, span_end and source_text.  The cited passage is searched first;
-    what isn't there is looked for in the cited document and then in all others.
+    what isn't there is looked for in the cited document and then in all others
+    (:func:`quoteloom.operators.relocation.relocate`).
     ``docs`` has doc_id, doc_order and text; ``chunks`` has chunk_id, doc_id,
     index, start, end and text.
     """
     if allow_relocation and min_quote_words < 3:
-        raise ValueError("relocation needs quotes of three words or more, as it finds them by an inner word")
+        raise ValueError("relocation needs quotes of three words or more, as it finds them by their inner words")
     cited = chunks.select("chunk_id", F.col("doc_id").alias("cited_doc"), F.col("start").alias("cited_start"), F.col("text").alias("passage"))
     # cited passages only: claims are few beside passages, whose texts then stay where they are
     cited = cited.join(claims.select("chunk_id").distinct(), "chunk_id", "left_semi")
@@ -118,10 +69,8 @@ def verify(
     spans = span(near, "passage")
     if allow_relocation:
         lost = saved(sought.where("hit = 0").select("claim_id", "folded", "cited_doc"), "lost-claims")
-        found = saved(relocate(lost, docs).join(lost.select("claim_id", "folded"), "claim_id"), "relocated")
-        found = docs.select("doc_id", "text").join(found, "doc_id")
-        far = found.select("claim_id", "folded", "hit", "text", "doc_id", F.lit(0).alias("base"), F.lit(True).alias("relocated"))
-        spans = spans.unionByName(span(far, "text"))
+        far = saved(relocate(lost, docs), "relocated")
+        spans = spans.unionByName(far.select("claim_id", F.col("doc_id").alias("span_doc_id"), "span_start", "span_end", "source_text", F.lit(True).alias("relocated")))
     owned = own(spans, chunks)
     result = joined.join(owned, "claim_id", "left")  # a row for each claim
     reason = F.coalesce("early", F.when(F.col("verified_chunk_id").isNull(), "quote_not_found"))

@@ -13,7 +13,8 @@ from ..functions.text import fold, folded_words, sentences, tokens
 from ..operators import answers, models, scheduling
 from ..operators.chunks import chunk_documents, number_chunks, running_sum
 from ..operators.retrieval import corpus_stats, gate, indexed, search, term_stats
-from ..operators.verification import relocate, verify
+from ..operators.relocation import relocate
+from ..operators.verification import verify
 from ..sources import documents as sources
 from ..sources.tables import folder, open_output, saved
 from ..streaming import events as streaming

@@ -36,3 +36,19 @@ def open_output(uri: str):
     system, path = fs.FileSystem.from_uri(uri)
     system.create_dir(path.rsplit("/", 1)[0], recursive=True)
     return system.open_output_stream(path, compression=None)
+
+
+def open_input(uri: str):
+    """Random access to a file of a shared folder, from within a task."""
+    from pyarrow import fs
+
+    system, path = fs.FileSystem.from_uri(uri)
+    return system.open_input_file(path)
+
+
+def arrow_batches(spark: SparkSession, rows: int = 4096, size: int = 4_000_000) -> None:
+    """Bound Arrow batches to Python by rows and bytes, as texts may be long; lower settings of the user's own stay."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        now = spark.conf.get(key).removesuffix("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))

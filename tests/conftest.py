@@ -29,3 +29,8 @@ def spark():
 @pytest.fixture(scope="session")
 def sf_dir():
     return SF
+
+
+def plan_of(df):
+    """The physical plan as text, with what each node takes in."""
+    return df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")

@@ -1,10 +1,16 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from quoteloom.functions.text import fold_map
+from quoteloom.operators import relocation
 from quoteloom.operators.chunks import chunk_documents, number_chunks
-from quoteloom.operators.verification import relocate, verify
+from quoteloom.operators.relocation import relocate
+from quoteloom.operators.verification import verify
+from quoteloom.sources.tables import saved
+
+from .conftest import plan_of
 
 ONE = (
     "The lighthouse was built in 1872\nby a crew of forty men. It’s twelve storeys high, and cost 3.5 million.\n\n"
@@ -77,20 +83,55 @@ def test_empty_corpus(spark, corpus):
     assert check(spark, (docs.limit(0), chunks.limit(0)), "c0", "built in 1872 by a crew").reason == "missing_source"
 
 
-def test_relocation_equals_the_nested_loop(spark):
+@pytest.mark.parametrize("block", [16_000_000, 200])
+def test_relocation_equals_the_nested_loop(spark, monkeypatch, block):
+    monkeypatch.setattr(relocation, "BLOCK_CHARS", block)
     rng = random.Random(0)
-    words = ["ab", "abc", "b", "cab", "x", "yx", "zz"]
-    bodies = [" ".join(rng.choice(words) for _ in range(60)) for _ in range(40)]
-    docs = spark.createDataFrame([(i, i, b) for i, b in enumerate(bodies)], "doc_id long, doc_order long, text string")
+    words = ["ab", "abc", "b", "cab", "x", "yx", "zz", "Éa", "1"]
+    bodies = [" ".join(rng.choice(words) + rng.choice(["", "", ",", " —"]) for _ in range(60)) for _ in range(40)] + ["", "ab", "ab b"]
+    folded = [fold_map(b)[0] for b in bodies]
+    docs = spark.createDataFrame([(f"d{i}", i, b) for i, b in enumerate(bodies)], "doc_id string, doc_order long, text string").repartition(5)
     quotes = []
-    for i in range(120):
-        body = rng.choice(bodies)
-        a = rng.randrange(len(body) - 20)
-        quote = fold_map(body[a : a + rng.randint(9, 20)])[0]
+    for i in range(150):
+        body = rng.choice(folded[:40])
+        a = rng.randrange(len(body) - 30)
+        quote = body[a : a + rng.randint(6, 30)].strip()
         if len(quote.split()) >= 3:
-            quotes.append((i, quote, rng.randrange(40)))
-    lost = spark.createDataFrame(quotes, "claim_id long, folded string, cited_doc long")
-    found = {r.claim_id: r.doc_id for r in relocate(lost, docs).collect()}
+            quotes += [(10 * i + k, quote, f"d{rng.randrange(43)}") for k in range(1 + i % 3)]  # some quotes are claimed again
+    quotes += [(5000, "ab b x nowhere at all", "d1"), (5001, "ab b x nowhere at all", None)]
+    lost = spark.createDataFrame(quotes, "claim_id long, folded string, cited_doc string").repartition(3)
+    found = {r.claim_id: r for r in relocate(lost, docs).collect()}
     for i, quote, cited in quotes:
-        hits = [d for d, b in enumerate(bodies) if quote in b]
-        assert found.get(i) == (cited if cited in hits else min(hits)), quote
+        hits = [d for d, b in enumerate(folded) if quote in b]
+        if not hits:
+            assert i not in found
+            continue
+        d = int(cited[1:]) if cited and int(cited[1:]) in hits else min(hits)
+        row = found[i]
+        assert (row.doc_id, row.hit) == (f"d{d}", folded[d].index(quote) + 1)
+        assert row.source_text == bodies[d][row.span_start : row.span_end] and fold_map(row.source_text)[0] == quote
+
+
+def test_quotes_that_share_all_their_runs(spark):
+    """Every place of the text meets every quote of one word repeated; all are told apart."""
+    docs = spark.createDataFrame([(i, i, "la " * n) for i, n in enumerate((3, 50, 20))], "doc_id long, doc_order long, text string")
+    lost = spark.createDataFrame([(n, " ".join(["la"] * n), None) for n in range(3, 60)], "claim_id long, folded string, cited_doc long")
+    found = {r.claim_id: r.doc_id for r in relocate(lost, docs).collect()}
+    assert found == {n: 0 if n == 3 else 1 for n in range(3, 51)}
+
+
+def test_no_text_of_documents_is_shuffled(spark, sf_dir, monkeypatch):
+    plans = []
+    monkeypatch.setattr(relocation, "saved", lambda df, name: plans.append((name, plan_of(df))) or saved(df, name))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.col("doc_id").alias("doc_order"), "text")
+    lost = spark.createDataFrame([(1, "words that nobody wrote", 3)], "claim_id long, folded string, cited_doc long")
+    assert relocate(lost, docs).count() == 0
+    scan = dict(plans)["found"]
+    assert "MapInArrow" in scan and "Exchange" not in scan and "Generate" not in scan
+
+
+def test_no_quotes(spark):
+    docs = spark.createDataFrame([(1, 1, "some text of five words")], "doc_id long, doc_order long, text string")
+    lost = spark.createDataFrame([], "claim_id long, folded string, cited_doc long")
+    assert relocate(lost, docs).collect() == []
+    assert relocate(lost.union(spark.createDataFrame([(1, "some text", None)], lost.schema)), docs).collect() == []  # no inner word
