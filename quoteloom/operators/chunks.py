@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..constants import CHUNK_MIN, CHUNK_OVERLAP, CHUNK_TARGET
 from ..functions.text import js_trim, sentences
+from .numbering import as_ranges, numbered
 
 _MARK = "\u0001"
 _SPANS = "array<struct<start:int,end:int>>"
@@ -103,8 +104,10 @@ def chunk_documents(docs: DataFrame, target: int = CHUNK_TARGET, overlap: int =
     """Passages of docs (doc_id, doc_order, title, text): chunk_id, doc_id, doc_order, doc_title, index, start, end, text.
 
     Ids are ``<doc_id>#<index>``; :func:`number_chunks` numbers a whole corpus.
-    No shuffle: a document's passages are made where it lies.
+    A document's passages are made where it lies; only documents out of order are
+    dealt by ranges of it first.
     """
+    docs = as_ranges(docs, "doc_order")
     # outer, as a plain explode makes Spark compute the spans twice, to filter out empty ones first
     spans = docs.select("doc_id", "doc_order", "title", "text", F.posexplode_outer(chunk_spans(F.col("text"), target, overlap, least)).alias("index", "span")).where("span is not null")
     return spans.select(
@@ -120,8 +123,9 @@ def chunk_documents(docs: DataFrame, target: int = CHUNK_TARGET, overlap: int =
 
 
 def number_chunks(chunks: DataFrame) -> DataFrame:
-    """Chunks with ids c0, c1, ... in document order, and that number as chunk_order."""
-    counts = chunks.groupBy("doc_id", "doc_order").agg(F.count("*").alias("n"))
-    bases = running_sum(counts, "doc_order", "n", "base").select("doc_id", "base")
-    numbered = chunks.join(bases, "doc_id").withColumn("chunk_order", F.col("base") + F.col("index"))
-    return numbered.withColumn("chunk_id", F.concat(F.lit("c"), F.col("chunk_order").cast("string"))).drop("base")
+    """Chunks, written once, with ids c0, c1, ... in document order, and that number as chunk_order.
+
+    No passage moves if documents lie in order (:mod:`quoteloom.operators.numbering`).
+    """
+    found = numbered(chunks, ("doc_order", "index"), "chunk_order", "chunks")
+    return found.withColumn("chunk_id", F.concat(F.lit("c"), F.col("chunk_order").cast("string")))

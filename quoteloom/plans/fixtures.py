@@ -12,15 +12,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """``df`` over all cores where its files make fewer splits: texts take far longer to work on than to move."""
+def spread(df: DataFrame, *order: str) -> DataFrame:
+    """``df`` over all cores where its files make fewer splits, by ranges of an order if any: texts take far longer to work on than to move."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df
+    if 2 * df.rdd.getNumPartitions() > cores:
+        return df
+    return df.repartitionByRange(cores, *order) if order else df.repartition(cores)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, doc_order, title, text."""
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     return docs.select("doc_id", F.col("doc_id").alias("doc_order"), F.concat(F.lit("Document "), F.col("doc_id").cast("string")).alias("title"), "text")
 
 

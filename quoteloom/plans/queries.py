@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from ..functions import html, model_json, url
 from ..functions.text import fold, folded_words, sentences, tokens
 from ..operators import answers, models, scheduling
-from ..operators.chunks import chunk_documents, number_chunks, running_sum
+from ..operators.chunks import chunk_documents, number_chunks
+from ..operators.numbering import numbered
 from ..operators.retrieval import corpus_stats, gate, indexed, search, term_stats
 from ..operators.relocation import relocate
 from ..operators.verification import verify
@@ -57,7 +58,7 @@ def sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return saved(number_chunks(saved(chunk_documents(documents(spark, sf_dir)), "passages")), "chunks")
+    return number_chunks(chunk_documents(documents(spark, sf_dir)))
 
 
 @query
@@ -517,14 +518,15 @@ def highlight_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 def honest_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Claims of all passages' sentences of middling length, in order: even ones get their own sentence, odd ones another's; a judge compares."""
     fitting = F.filter(sentences(F.col("text")), lambda x: (F.length(x["text"]) > 90) & (F.length(x["text"]) < 320))
-    kept = saved(_chunks(spark, sf_dir).select("chunk_order", F.transform(fitting, lambda x: x["text"]).alias("s")), "sentences")
-    bases = running_sum(kept.select("chunk_order", F.size("s").cast("long").alias("n")), "chunk_order", "n", "base").select("chunk_order", "base")
-    rows = kept.select("chunk_order", F.posexplode("s").alias("at", "statement")).join(bases, "chunk_order")
-    numbered = saved(rows.select((F.col("base") + F.col("at")).alias("i"), "statement"), "statements")
-    n = numbered.agg(F.count("*").alias("n"))
-    claims_ = numbered.crossJoin(F.broadcast(n)).withColumn("honest", F.col("i") % 2 == 0)
+    rows = chunk_documents(documents(spark, sf_dir)).select("doc_order", "index", F.posexplode_outer(F.transform(fitting, lambda x: x["text"])).alias("at", "statement"))
+    # texts are told apart by length and two digests, and stay where they are
+    digest = F.concat_ws(":", F.length("statement"), F.md5("statement"), F.xxhash64("statement"))
+    told = rows.where("statement is not null").select("doc_order", "index", "at", digest.alias("statement"))
+    numbers = numbered(told, ("doc_order", "index", "at"), "i", "statements").select("i", "statement")
+    n = numbers.agg(F.count("*").alias("n"))
+    claims_ = numbers.crossJoin(F.broadcast(n)).withColumn("honest", F.col("i") % 2 == 0)
     claims_ = claims_.withColumn("j", F.when(F.col("honest"), F.col("i")).otherwise((F.col("i") * 7 + 13) % F.col("n")))
-    passages = numbered.select(F.col("i").alias("j"), F.col("statement").alias("passage"))
+    passages = numbers.select(F.col("i").alias("j"), F.col("statement").alias("passage"))
     judged = claims_.join(passages, "j").withColumn("upheld", F.col("passage") == F.col("statement"))
     return judged.groupBy("honest").agg(F.count("*").alias("claims"), F.count_if("upheld").alias("upheld"))
 

@@ -13,6 +13,7 @@ from ..functions.html import body_to_text, content_type_allowed, title
 from ..functions.text import js_trim
 from ..functions.url import is_blocked_address, resolve_url, url_fault, url_place
 from ..operators.chunks import running_sum
+from .tables import saved
 
 
 def pasted(texts: DataFrame) -> DataFrame:
@@ -99,12 +100,26 @@ def followed(starts: DataFrame, redirects: DataFrame, dns: DataFrame, hops: int
 
 
 def admitted(docs: DataFrame, order: str = "doc_order", most_doc: int = MAX_DOC_CHARS, most_corpus: int = MAX_CORPUS_CHARS) -> DataFrame:
-    """Documents with chars_before and a fault: too long alone, or too long with all before them."""
-    sized = running_sum(docs.withColumn("_chars", F.length("text").cast("long")), order, "_chars", "chars_before")
+    """Of each document all but its text, with chars_before and a fault: too long alone, or too long with all before it.
+
+    Lengths are taken where documents lie; what is summed and joined has no text.
+    """
+    sizes = docs.withColumn("_chars", F.length("text").cast("long")).drop("text")
+    sized = running_sum(sizes, order, "_chars", "chars_before")
     fault = F.when(F.col("_chars") > most_doc, "doc_too_large").when(F.col("_chars") + F.col("chars_before") > most_corpus, "corpus_too_large")
     return sized.withColumn("fault", fault).drop("_chars")
 
 
+#: Documents let in whose order is broadcast; blank ones count towards no limit, so there may be more.
+MOST_SENT = 1_000_000
+
+
+def let_in(docs: DataFrame, order: str = "doc_order", most_doc: int = MAX_DOC_CHARS, most_corpus: int = MAX_CORPUS_CHARS) -> DataFrame:
+    """The documents without fault, whole: what they have in all fits the corpus, so their order is sent to where documents lie."""
+    fit = saved(admitted(docs, order, most_doc, most_corpus).where("fault is null").select(order), "let-in")
+    return docs.join(F.broadcast(fit) if fit.count() <= MOST_SENT else fit, order, "left_semi")
+
+
 def body_fault(body: Column) -> Column:
     """Why a raw body is refused, or null."""
     return F.when(F.octet_length(body) > MAX_BODY_BYTES, "body_too_large")

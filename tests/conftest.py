@@ -1,4 +1,5 @@
 import os
+import re
 import sys
 
 import pytest
@@ -34,3 +35,9 @@ def sf_dir():
 def plan_of(df):
     """The physical plan as text, with what each node takes in."""
     return df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+
+
+def exchanged(df):
+    """Names of all columns that some exchange of a plan carries."""
+    nodes = re.findall(r"^\(\d+\) (?:Broadcast)?Exchange\nInput \[\d+\]: \[(.*)\]", plan_of(df), re.MULTILINE)
+    return {name for node in nodes for name in re.findall(r"(\w+)#\d+", node)}

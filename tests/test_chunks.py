@@ -1,8 +1,13 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from quoteloom.operators import numbering
 from quoteloom.operators.chunks import chunk_documents, number_chunks, running_sum
+from quoteloom.sources.tables import saved
+
+from .conftest import exchanged
 
 SCHEMA = "doc_id string, doc_order long, title string, text string"
 
@@ -44,6 +49,32 @@ def test_numbers_follow_documents(spark):
     assert [r.chunk_id for r in rows] == [f"c{i}" for i in range(len(rows))]
 
 
+@pytest.mark.parametrize("parts", [1, 3, 7])
+@pytest.mark.parametrize("in_order", [True, False])
+def test_numbers_of_documents_in_any_layout(spark, parts, in_order):
+    docs = spark.createDataFrame([(f"d{i}", i * 11 - 50, "t", "One. Two words. " * (i % 13)) for i in range(90)], SCHEMA)
+    docs = docs.repartitionByRange(parts, "doc_order") if in_order else docs.repartition(parts, "doc_id")
+    chunks_ = chunk_documents(docs, target=60, overlap=10, least=5)
+    rows = sorted(number_chunks(chunks_).collect(), key=lambda r: (r.doc_order, r["index"]))
+    assert [r.chunk_id for r in rows] == [f"c{i}" for i in range(len(rows))] and len(rows) > 90
+    assert all(r.chunk_order == i and r.text for i, r in enumerate(rows))
+
+
+def test_no_text_moves_where_documents_lie_in_order(spark, sf_dir, monkeypatch):
+    written = []
+    monkeypatch.setattr(numbering, "saved", lambda df, name: written.append(exchanged(df)) or saved(df, name))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.col("doc_id").alias("doc_order"), F.lit("t").alias("title"), "text")
+    found = number_chunks(chunk_documents(docs))
+    assert len(written) == 2 and "text" not in set.union(*written) | exchanged(found)
+    assert found.where("text is null").count() == 0
+
+
+def test_rows_out_of_order_are_dealt_when_they_are_numbered(spark):
+    rows = spark.createDataFrame([(i * 7 % 100, str(i)) for i in range(100)], "k long, v string").repartition(4)
+    assert {r.k: r.n for r in numbering.numbered(rows, ("k",), "n", "rows").collect()} == {i: i for i in range(100)}
+    assert numbering.numbered(rows.limit(0), ("k",), "n", "rows").collect() == []
+
+
 @pytest.mark.parametrize("ids", [list(range(50)), [7**k for k in range(20)] + [-5, -(2**61), 2**62, 2**62 + 1], [], [3]])
 def test_running_sums_over_sparse_numbers(spark, ids):
     rows = [(i, n * 10 + 1) for n, i in enumerate(ids)]

@@ -3,6 +3,8 @@ from pyspark.sql import functions as F
 from quoteloom.sources import documents as sources
 from quoteloom.streaming import events as streaming
 
+from .conftest import exchanged
+
 
 def test_pasted_and_files(spark, tmp_path):
     texts = spark.createDataFrame([(0, " hi \n"), (1, " \n"), (2, "x" * 400_001)], "position long, text string")
@@ -28,6 +30,8 @@ def test_admission(spark):
     rows = sources.admitted(docs).orderBy("doc_order").collect()
     assert [r.fault for r in rows] == [None, "doc_too_large", None, "corpus_too_large", "corpus_too_large"]
     assert [r.chars_before for r in rows][:3] == [0, 300_000, 700_001]
+    assert sorted((r.doc_id, len(r.text)) for r in sources.let_in(docs).collect()) == [(0, 300_000), (2, 300_000)]
+    assert "text" not in exchanged(sources.admitted(docs))
     assert [r.doc_id for r in sources.first_docs(docs, held=18).collect()] == [0, 1]
 
 
