@@ -239,12 +239,12 @@ def best_fit_pack(
     if tokens < 1:
         raise ValueError("a sequence needs room: tokens must be 1 or more")
     pieces = written(cut_documents(docs, vocabulary, end_id, tokens, id_col, text_col), "pieces")
-    counts = written(pieces.groupBy("part", "length").agg(F.count("*").alias("n")), "counts")
     histogram = np.zeros(tokens + 1, np.int64)
-    for row in counts.groupBy("length").agg(F.sum("n").alias("n")).collect():  # a row for each length, ``tokens`` at most
+    for row in pieces.groupBy("length").agg(F.count("*").alias("n")).collect():  # a row for each length, ``tokens`` at most
         histogram[row.length] = row.n
     plan = Plan.of(histogram, tokens)
     earlier = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = pieces.groupBy("part", "length").agg(F.count("*").alias("n"))
     bases = counts.select("part", "length", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
