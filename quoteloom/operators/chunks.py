@@ -122,10 +122,10 @@ def chunk_documents(docs: DataFrame, target: int = CHUNK_TARGET, overlap: int =
     )
 
 
-def number_chunks(chunks: DataFrame) -> DataFrame:
-    """Chunks, written once, with ids c0, c1, ... in document order, and that number as chunk_order.
+def number_chunks(chunks: DataFrame, first: int = 0) -> DataFrame:
+    """Chunks, written once, with ids c0, c1, ... (or from ``first``) in document order, and that number as chunk_order.
 
     No passage moves if documents lie in order (:mod:`quoteloom.operators.numbering`).
     """
-    found = numbered(chunks, ("doc_order", "index"), "chunk_order", "chunks")
+    found = numbered(chunks, ("doc_order", "index"), "chunk_order", "chunks").withColumn("chunk_order", F.col("chunk_order") + first)
     return found.withColumn("chunk_id", F.concat(F.lit("c"), F.col("chunk_order").cast("string")))

@@ -35,28 +35,33 @@ def term_stats(index: DataFrame) -> DataFrame:
     return df.crossJoin(F.broadcast(stats)).select("term", "df", "tf", idf(F.col("n"), F.col("df")).alias("idf"))
 
 
-def search(index: DataFrame, questions: DataFrame, top_k: int = TOP_K) -> DataFrame:
-    """(question_id, rank, chunk_id, score, coverage): the best passages of each question.
+def asked_terms(questions: DataFrame) -> DataFrame:
+    """(question_id, n_terms, pos, term) of questions: their different terms, in order."""
+    terms = F.array_distinct(tokens(fold(F.col("question"))))
+    return questions.select("question_id", terms.alias("terms")).select("question_id", F.size("terms").alias("n_terms"), F.posexplode("terms").alias("pos", "term"))
 
-    Only postings of terms that some question asks for leave the scan: terms are
-    joined before anything is counted, and counts are partial in each task.
-    Ties keep document order; a score is summed in the order of the question's
-    terms, so it is the same on every run.
-    """
-    asked = questions.select("question_id", F.posexplode(F.array_distinct(tokens(fold(F.col("question"))))).alias("pos", "term"))
-    sizes = questions.select("question_id", F.size(F.array_distinct(tokens(fold(F.col("question"))))).alias("n_terms"))
-    postings = (
+
+def postings(index: DataFrame, asked: DataFrame) -> DataFrame:
+    """(term, chunk_id, place, length, f) of the terms asked for: no other leaves the scan, and counts are partial in each task."""
+    return (
         index.select("chunk_id", "place", "length", F.explode_outer("terms").alias("term"))  # outer: see chunk_documents
         .join(asked.select("term").distinct(), "term", "left_semi")
         .groupBy("term", "chunk_id", "place", "length")
         .agg(F.count("*").alias("f"))
     )
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    weighted = asked.join(df, "term").join(sizes, "question_id").crossJoin(F.broadcast(corpus_stats(index)))
+
+
+def ranked(held: DataFrame, df: DataFrame, stats: DataFrame, asked: DataFrame, top_k: int) -> DataFrame:
+    """(question_id, rank, chunk_id, score, coverage), from postings, the passages of each term (term, df), and the one row of :func:`corpus_stats`.
+
+    Ties keep document order; a score is summed in the order of the question's
+    terms, so it is the same on every run.
+    """
+    weighted = asked.join(df, "term").crossJoin(F.broadcast(stats))
     average = F.when(F.col("avg_length") == 0, 1.0).otherwise(F.col("avg_length"))
     norm = F.col("f") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("length") / average)
     part = idf(F.col("n"), F.col("df")) * (F.col("f") * (BM25_K1 + 1)) / norm
-    parts = postings.join(weighted, "term").select("question_id", "n_terms", "chunk_id", "place", F.struct("pos", part.alias("part")).alias("part"))
+    parts = held.join(weighted, "term").select("question_id", "n_terms", "chunk_id", "place", F.struct("pos", part.alias("part")).alias("part"))
     scored = parts.groupBy("question_id", "n_terms", "chunk_id", "place").agg(F.array_sort(F.collect_list("part")).alias("parts"))
     scored = scored.select(
         "question_id",
@@ -66,8 +71,19 @@ def search(index: DataFrame, questions: DataFrame, top_k: int = TOP_K) -> DataFr
         (F.size("parts") / F.col("n_terms")).alias("coverage"),
     ).where("score > 0")
     best = Window.partitionBy("question_id").orderBy(F.desc("score"), "place")
-    ranked = scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top_k)
-    return ranked.select("question_id", "rank", "chunk_id", "score", "coverage")
+    found = scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top_k)
+    return found.select("question_id", "rank", "chunk_id", "score", "coverage")
+
+
+def search(index: DataFrame, questions: DataFrame, top_k: int = TOP_K) -> DataFrame:
+    """(question_id, rank, chunk_id, score, coverage): the best passages of each question, in one pass over all of them.
+
+    For batch after batch, :mod:`quoteloom.operators.stored_index` keeps postings.
+    """
+    asked = asked_terms(questions)
+    held = postings(index, asked)
+    df = held.groupBy("term").agg(F.count("*").alias("df"))
+    return ranked(held, df, corpus_stats(index), asked, top_k)
 
 
 def gate(questions: DataFrame, retrieved: DataFrame, floor: float = COVERAGE_FLOOR) -> DataFrame:

@@ -238,6 +238,11 @@ ORACLES = {
     "index_stats": f"WITH RECURSIVE {_CHUNKS} SELECT count(*) AS n, round(avg(len({_tokens('text')})), 6) AS avg_length FROM chunks",
     "bm25_topk": f"""WITH RECURSIVE {_CHUNKS}, {_QUESTIONS}, passages AS (SELECT chunk_id AS id, place, text FROM chunks), {_search("passages")}
         SELECT question_id, rank, id AS chunk_id, round(score, 6) AS score, round(coverage, 6) AS coverage FROM ranked WHERE rank <= 6""",
+    "stored_index_batches": f"""WITH RECURSIVE {_CHUNKS}, {_QUESTIONS}, halves AS (SELECT chunk_id AS id, place, text, doc_id <= (SELECT (min(doc_id) + max(doc_id)) // 2 FROM documents) AS early FROM chunks)
+        SELECT 0 AS batch, question_id, rank, id AS chunk_id, round(score, 6) AS score, round(coverage, 6) AS coverage FROM (
+          WITH passages AS (SELECT * FROM halves WHERE early), evens AS (SELECT * FROM questions WHERE question_id % 2 = 0), {_search("passages", "evens")} SELECT * FROM ranked WHERE rank <= 6)
+        UNION ALL SELECT 1, question_id, rank, id, round(score, 6), round(coverage, 6) FROM (
+          WITH passages AS (SELECT * FROM halves), others AS (SELECT * FROM questions WHERE question_id % 2 = 1), {_search("passages", "others")} SELECT * FROM ranked WHERE rank <= 6)""",
     "bm25_documents": f"""WITH {_QUESTIONS}, passages AS (SELECT doc_id AS id, doc_id AS place, text FROM documents), {_search("passages")}
         SELECT question_id, rank, id AS doc_id, round(score, 6) AS score, round(coverage, 6) AS coverage FROM ranked WHERE rank <= 6""",
     "retrieval_gate": f"""WITH {_QUESTIONS}, both_ AS (SELECT * FROM questions UNION ALL SELECT -1 - question_id, substr(question, 1, 9) || ' qqqzzz xxyyzz zzqqxx' FROM questions),

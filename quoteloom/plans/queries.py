@@ -13,6 +13,7 @@ from ..functions.text import fold, folded_words, sentences, tokens
 from ..operators import answers, models, scheduling
 from ..operators.chunks import chunk_documents, number_chunks
 from ..operators.numbering import numbered
+from ..operators.stored_index import StoredIndex
 from ..operators.retrieval import corpus_stats, gate, indexed, search, term_stats
 from ..operators.relocation import relocate
 from ..operators.verification import verify
@@ -78,6 +79,22 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("question_id", F.col("rank").cast("long").alias("rank"), "chunk_id", F.round("score", 6).alias("score"), F.round("coverage", 6).alias("coverage"))
 
 
+@query
+def stored_index_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two batches of questions to a stored index: half of them to the first half of all documents, the others once the second half was added."""
+    docs, asked = documents(spark, sf_dir), questions(spark, sf_dir)
+    middle = docs.agg(F.floor((F.min("doc_order") + F.max("doc_order")) / 2)).first()[0] or 0
+    index = StoredIndex(spark, folder(spark, "stored-index"))
+    batches = []
+    for batch, half in enumerate((F.col("doc_order") <= middle, F.col("doc_order") > middle)):
+        held = index.stats().first().n
+        index.append(indexed(number_chunks(chunk_documents(docs.where(half)), first=held), order_cols=("chunk_order",)))
+        found = index.search(asked.where(F.col("question_id") % 2 == batch))
+        batches.append(found.withColumn("batch", F.lit(batch).cast("long")))
+    rows = batches[0].unionByName(batches[1])
+    return rows.select("batch", "question_id", F.col("rank").cast("long").alias("rank"), "chunk_id", F.round("score", 6).alias("score"), F.round("coverage", 6).alias("coverage"))
+
+
 @query
 def bm25_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = search(saved(indexed(documents(spark, sf_dir), "doc_id", ("doc_order",)), "index"), questions(spark, sf_dir))

@@ -2,7 +2,11 @@ import math
 
 import pytest
 
-from quoteloom.operators.retrieval import corpus_stats, gate, indexed, search
+from quoteloom.operators import stored_index
+from quoteloom.operators.retrieval import asked_terms, corpus_stats, gate, indexed, search
+from quoteloom.operators.stored_index import StoredIndex
+
+from .conftest import plan_of
 
 CHUNKS = [
     ("c0", 0, "The moon orbits the planet slowly."),
@@ -50,3 +54,72 @@ def test_limits_and_empties(spark, index):
 def test_gate(spark, index):
     _, gated = ask(spark, index, "moon orbit", "quantum chromodynamics cheese lattice", "zzz")
     assert [r.relevant for r in gated.orderBy("question_id").collect()] == [True, False, False]
+
+
+def stored(spark, path, rows, **options):
+    return StoredIndex(spark, f"file://{path}", **options), [indexed(spark.createDataFrame([(i, o, t) for i, o, t in part], "chunk_id string, chunk_order long, text string"), order_cols=("chunk_order",)) for part in rows]
+
+
+def asked(spark, *texts):
+    return spark.createDataFrame(list(enumerate(texts)), "question_id long, question string")
+
+
+def test_additions_equal_one_index(spark, tmp_path):
+    """Any number of additions, and all of them made one, give what a pass over all passages gives."""
+    questions = asked(spark, "moon orbit", "water", "cheese caves sea", "zzz", "")
+    index, parts = stored(spark, tmp_path / "a", [CHUNKS[:3], CHUNKS[3:4], [("c9", 9, ". !")], CHUNKS[4:]], buckets=4)
+    assert index.search(questions).collect() == []
+    told = []
+    for n, part in enumerate(parts):
+        index.append(part)
+        whole = parts[0]
+        for more in parts[1 : n + 1]:
+            whole = whole.unionByName(more)
+        told.append(sorted(index.search(questions).collect()))
+        assert told[-1] == sorted(search(whole, questions).collect())
+    assert len(told[0]) < len(told[-1])
+    index.compact()
+    assert index.segments().count() == 1 and sorted(index.search(questions).collect()) == told[-1]
+    assert StoredIndex(spark, index.path, buckets=4).stats().first().n == 7
+
+
+def test_a_generation_is_taken_once(spark, tmp_path):
+    index, (part,) = stored(spark, tmp_path / "a", [CHUNKS])
+    index.append(part)
+    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
+        index._publish(index.segments(), 0)
+    (tmp_path / "a" / "generations" / "2").mkdir()  # of an attempt that failed
+    assert index.stats().first().n == 6
+
+
+def rows_scanned(spark, df):
+    """Rows that a plan's scan of files puts out."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    df = df.select("*")  # planned anew
+    try:
+        df.collect()
+        leaves = df._jdf.queryExecution().executedPlan().collectLeaves()
+        metrics = [leaves.apply(i).metrics() for i in range(leaves.size()) if leaves.apply(i).nodeName().startswith("Scan")]
+        return max(m.apply("numOutputRows").value() for m in metrics)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_a_search_reads_the_buckets_of_its_terms(spark, tmp_path):
+    words = [f"word{i}" for i in range(400)]
+    index, (part,) = stored(spark, tmp_path / "a", [[(f"c{i}", i, " ".join(words[i : i + 5])) for i in range(396)]], buckets=16)
+    index.append(part)
+    found = index.postings(asked_terms(asked(spark, "word100 word101 nowhere")))
+    assert len(found.collect()) == 10
+    plan = plan_of(found)
+    assert "PartitionFilters" in plan and "In(term, [" in plan
+    assert rows_scanned(spark, found) <= 400 * 3 / 16 * 2
+    assert rows_scanned(spark, index._blocks()) == 400
+
+
+def test_a_common_term_is_many_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(stored_index, "BLOCK", 10)
+    index, (part,) = stored(spark, tmp_path / "a", [[(f"c{i}", i, "common") for i in range(95)]])
+    index.append(part)
+    assert sorted(len(r.postings) for r in index._blocks().collect()) == [5] + [10] * 9
+    assert index.search(asked(spark, "common"), 3).orderBy("rank").select("chunk_id").collect() == [("c0",), ("c1",), ("c2",)]
