@@ -361,6 +361,31 @@ ORACLES = {
         SELECT purpose, coalesce(arg_min(w.id, rank) FILTER (w.id IN (SELECT id FROM fit)), (SELECT arg_min(id, place) FROM fit)) AS id FROM wanted w GROUP BY purpose""",
     "refused_parameters": """SELECT event_id, CASE WHEN event_id % 5 = 0 THEN NULL WHEN event_id % 4 = 0 THEN CASE WHEN event_id % 3 <> 0 THEN 'reasoning_effort' END
         WHEN event_id % 4 = 1 THEN 'response_format' WHEN event_id % 4 = 2 THEN CASE WHEN event_id % 3 = 0 THEN 'response_format' ELSE 'reasoning_effort' END END AS dropped FROM events""",
+    "joined_lines": f"WITH {_BOARD} SELECT * FROM board",
+    "budget_wakes": """WITH RECURSIVE e AS (SELECT user_id % 100 AS key, event_id, epoch_us(ts) // 1000 AS at_ms, ceil(value)::BIGINT AS tokens FROM events),
+        ops AS (SELECT key, 'reserve' AS op, event_id::VARCHAR AS id, at_ms, tokens FROM e UNION ALL SELECT key, 'release', event_id::VARCHAR, at_ms + 1000, 0 FROM e WHERE event_id % 5 = 0
+                UNION ALL SELECT key, 'reconcile', event_id::VARCHAR, at_ms + 1000, tokens * 2 FROM e WHERE event_id % 5 = 1
+                UNION ALL SELECT DISTINCT key, 'tick', '', (SELECT max(at_ms) + 2000000000 FROM e), 0 FROM e),
+        steps AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY at_ms, id, op) AS k FROM ops),
+        walk AS (SELECT DISTINCT key, 1::BIGINT AS k, NULL::BIGINT AS clock, []::STRUCT(id VARCHAR, at_ms BIGINT, tokens BIGINT)[] AS held, []::STRUCT(id VARCHAR, at_ms BIGINT, tokens BIGINT)[] AS line,
+                        NULL::STRUCT(id VARCHAR, at_ms BIGINT, tokens BIGINT) AS told, NULL::VARCHAR AS verdict, NULL::BIGINT AS admitted FROM steps
+                 UNION ALL
+                 SELECT key, CASE WHEN room <= at_ms THEN k ELSE k + 1 END, CASE WHEN room <= at_ms THEN room ELSE at_ms END,
+                        CASE WHEN room <= at_ms THEN held || [{'id': line[1].id, 'at_ms': room, 'tokens': line[1].tokens}]
+                             WHEN op = 'release' THEN list_filter(held, lambda x: x.id <> id)
+                             WHEN op = 'reconcile' THEN list_transform(held, lambda x: CASE WHEN x.id = id THEN {'id': x.id, 'at_ms': x.at_ms, 'tokens': greatest(x.tokens, tokens, 0)} ELSE x END)
+                             ELSE list_filter(held, lambda x: x.at_ms > at_ms - 3600000) END,
+                        CASE WHEN room <= at_ms THEN line[2:] WHEN op = 'reserve' AND tokens <= 150 THEN line || [{'id': id, 'at_ms': at_ms, 'tokens': tokens}]
+                             WHEN op = 'release' THEN list_filter(line, lambda x: x.id <> id) ELSE line END,
+                        CASE WHEN room <= at_ms THEN line[1] WHEN op = 'reserve' AND tokens > 150 THEN {'id': id, 'at_ms': at_ms, 'tokens': tokens}
+                             WHEN op = 'release' THEN list_filter(line, lambda x: x.id = id)[1] END,
+                        CASE WHEN room <= at_ms THEN 'ok' WHEN op = 'reserve' AND tokens > 150 THEN 'exceeds_ceiling' WHEN op = 'release' THEN 'released' END,
+                        CASE WHEN room <= at_ms THEN room END
+                 FROM (SELECT w.key, w.k, w.held, w.line, s.op, s.id, s.at_ms, s.tokens,
+                              list_min(list_filter([w.clock] || list_transform(w.held, lambda x: x.at_ms + 3600000), lambda t: t >= w.clock AND len(w.line) > 0
+                                AND coalesce(list_sum(list_transform(list_filter(w.held, lambda x: x.at_ms > t - 3600000), lambda x: x.tokens)), 0) + w.line[1].tokens <= 150)) AS room
+                       FROM walk w JOIN steps s ON s.key = w.key AND s.k = w.k))
+        SELECT key::VARCHAR AS budget_key, told.id AS id, told.at_ms AS asked_ms, told.tokens AS tokens, verdict, admitted AS admitted_ms FROM walk WHERE told IS NOT NULL""",
     "budget_stream": """WITH RECURSIVE e AS (SELECT user_id % 100 AS key, event_id, epoch_us(ts) // 1000 AS at_ms, ceil(value)::BIGINT AS tokens FROM events),
         ops AS (SELECT key, 'reserve' AS op, event_id::VARCHAR AS id, at_ms, tokens FROM e UNION ALL SELECT key, 'release', event_id::VARCHAR, at_ms + 1000, 0 FROM e WHERE event_id % 5 = 0
                 UNION ALL SELECT key, 'reconcile', event_id::VARCHAR, at_ms + 1000, tokens * 2 FROM e WHERE event_id % 5 = 1),

@@ -20,6 +20,7 @@ from ..operators.verification import verify
 from ..sources import documents as sources
 from ..sources.tables import folder, open_output, saved
 from ..streaming import events as streaming
+from ..streaming import stateful
 from . import ask
 from .fixtures import LITERALS, claims, documents, questions, reservations, spread, table, task_events
 from .oracles import ORACLES
@@ -84,7 +85,7 @@ def stored_index_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two batches of questions to a stored index: half of them to the first half of all documents, the others once the second half was added."""
     docs, asked = documents(spark, sf_dir), questions(spark, sf_dir)
     middle = docs.agg(F.floor((F.min("doc_order") + F.max("doc_order")) / 2)).first()[0] or 0
-    index = StoredIndex(spark, folder(spark, "stored-index"))
+    index = StoredIndex(spark, folder(spark, "stored-index"), buckets=16)
     batches = []
     for batch, half in enumerate((F.col("doc_order") <= middle, F.col("doc_order") > middle)):
         held = index.stats().first().n
@@ -497,6 +498,27 @@ def streamed_board(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streaming.board_now(spark, to).select("task_id", "label", "state", F.col("attempts").cast("long").alias("attempts"))
 
 
+@query
+def joined_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same board, of lines that arrive as bytes cut anywhere, most of them in two: some before a stream stops, the others after it goes on."""
+    path, to = folder(spark, "chunks"), folder(spark, "lines")
+    given = task_events(spark, sf_dir).withColumns({"type": F.lit("scheduler"), "detail": F.lit("é — 😀")})
+    line = F.encode(F.concat(F.to_json(F.struct(*given.columns)), F.lit("\n")), "utf-8")
+    cut = F.pmod(F.xxhash64("seq"), F.octet_length("line") + 1).cast("int")
+    lines = given.select((F.substring("task_id", 2, 9).cast("long") % 50).cast("string").alias("stream"), "seq", line.alias("line")).withColumn("cut", cut)
+    in_order = Window.partitionBy("stream").orderBy("seq")
+    head, tail = F.expr("substring(line, 1, cut)"), F.expr("substring(line, cut + 1)")
+    cutup = lines.select("stream", (F.row_number().over(in_order) - 1).cast("long").alias("n"), F.concat(F.coalesce(F.lag(tail).over(in_order), F.lit(b"")), head).alias("chunk"), F.lead("seq").over(in_order).alias("next"), tail.alias("tail"))
+    last = F.when(F.col("next").isNull(), F.struct((F.col("n") + 1).alias("seq"), F.col("tail").alias("chunk")))
+    chunks = saved(cutup.select("stream", F.inline(F.array_compact(F.array(F.struct(F.col("n").alias("seq"), "chunk"), last)))), "cut")
+    for part in (F.col("seq") % 5 < 3, F.col("seq") % 5 >= 3):  # what is missing in the first comes in the second
+        chunks.where(part).write.mode("append").parquet(path)
+        source = spark.readStream.schema(chunks.schema).option("maxFilesPerTrigger", 50).parquet(path)
+        streaming.answered_to(stateful.stream_lines(source), to).awaitTermination()
+    events = stateful.events_of(spark.read.schema(stateful.LINES).parquet(f"{to}/answers"))
+    return scheduling.board(events).select("task_id", "label", "state", F.col("attempts").cast("long").alias("attempts"))
+
+
 @query
 def doc_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = sources.admitted(documents(spark, sf_dir), most_doc=20_000)
@@ -564,10 +586,8 @@ def request_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sources.request_faults(requests).select("request_id", F.size("violations").cast("long").alias("n_violations"), "fault")
 
 
-@query
-def budget_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reservations of each hundred users answered by the streaming budget, with a small window; some are later raised or released."""
-    path, to = folder(spark, "requests"), folder(spark, "budget")
+def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reservations of each hundred users; some are later raised or released."""
     events = table(spark, sf_dir, "events")
     at, tokens_ = F.unix_millis(F.col("ts").cast("timestamp")), F.ceil("value").cast("long")
 
@@ -576,13 +596,36 @@ def budget_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     later = F.when(F.col("event_id") % 5 == 0, op("release", at + 1000, F.lit(0).cast("long"))).when(F.col("event_id") % 5 == 1, op("reconcile", at + 1000, tokens_ * 2))
     rows = events.select((F.col("user_id") % 100).cast("string").alias("budget_key"), F.col("event_id").cast("string").alias("id"), F.explode(F.array_compact(F.array(op("reserve", at, tokens_), later))).alias("r"))
-    asked = rows.select("budget_key", "r.op", "id", "r.at_ms", "r.tokens")
+    return rows.select("budget_key", "r.op", "id", "r.at_ms", "r.tokens")
+
+
+@query
+def budget_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reservations answered by the streaming budget, with a small window."""
+    path, to = folder(spark, "requests"), folder(spark, "budget")
+    asked = _requests(spark, sf_dir)
     asked.write.parquet(path)
     answered = streaming.stream_reservations(spark.readStream.schema(asked.schema).parquet(path), 150, 3_600_000)
     streaming.answered_to(answered, to).awaitTermination()
     return spark.read.schema(streaming.RESERVED).parquet(f"{to}/answers")
 
 
+@query
+def budget_wakes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same reservations, which wait in line: when each is admitted.  They arrive in three parts, and at last the time alone."""
+    path, to = folder(spark, "requests"), folder(spark, "wakes")
+    asked = saved(_requests(spark, sf_dir), "asked")
+    low, high = asked.agg(F.min("at_ms"), F.max("at_ms")).first()
+    ticks = asked.select("budget_key").distinct().select("budget_key", F.lit("tick").alias("op"), F.lit("").alias("id"), F.lit((high or 0) + 1_000_000_000).alias("at_ms"), F.lit(0).cast("long").alias("tokens"))
+    third = ((high or 0) - (low or 0)) // 3
+    bounds = [low or 0, (low or 0) + third, (low or 0) + 2 * third, (high or 0) + 2_000_000_000]
+    for since, until in zip(bounds, bounds[1:]):
+        asked.union(ticks).where(F.col("at_ms").between(since, until - 1)).write.mode("append").parquet(path)
+        source = spark.readStream.schema(asked.schema).parquet(path)
+        streaming.answered_to(stateful.stream_admissions(source, 150, 3_600_000), to).awaitTermination()
+    return spark.read.schema(stateful.ADMITTED).parquet(f"{to}/answers")
+
+
 @dataclass
 class Run:
     """A whole run over all documents: each item's question, a draft that quotes the item, a verdict on most claims."""
