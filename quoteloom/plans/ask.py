@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import MAX_ATTEMPTS, TOP_K, VERDICT_OUTPUT
+from ..constants import DRAFT_OUTPUT, TOP_K, VERDICT_OUTPUT
 from ..operators import answers, scheduling
+from ..operators.calls import Limits, ask_models
 from ..operators.chunks import chunk_documents, number_chunks
 from ..operators.retrieval import gate, indexed, search
 from ..operators.verification import verify
@@ -82,10 +82,11 @@ def scheduled(prepared: Prepared, checked: DataFrame, draft_outcomes: DataFrame,
     return ended, phases
 
 
-_REPLY = "key string, state string, raw string, error string, model string, attempts int, tokens_used int"
+#: For models that set no limit of their own.
+UNBOUND = Limits(window_tokens=1 << 60, backoff_base_ms=10)
 
 
-def call_model(requests: DataFrame, model: Callable[[list[dict[str, str]], int], tuple[str, str, int]], max_attempts: int = MAX_ATTEMPTS) -> DataFrame:
+def call_model(requests: DataFrame, model: Callable[[list[dict[str, str]], int], tuple[str, str, int]], limits: Limits = UNBOUND, output: int = DRAFT_OUTPUT) -> DataFrame:
     """Replies to requests (key, messages), asked in the tasks: state done or failed, by key.
 
     ``model`` takes messages and the number of the attempt, and returns the text
@@ -93,41 +94,32 @@ def call_model(requests: DataFrame, model: Callable[[list[dict[str, str]], int],
     attempt.  Replies are written once, as calls cost money.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for key, messages in zip(batch["key"], batch["messages"]):
-                asked = [{"role": m["role"], "content": m["content"]} for m in messages]
-                row = (key, "failed", None, None, None, max_attempts, 0)
-                for attempt in range(1, max_attempts + 1):
-                    try:
-                        raw, name, tokens = model(asked, attempt)
-                    except Exception as e:  # whatever a provider's client raises withholds the answer
-                        row = (key, "failed", None, f"{e} (after {attempt} attempt(s))", None, attempt, 0)
-                    else:
-                        row = (key, "done", raw, None, name, attempt, tokens)
-                        break
-                rows.append(row)
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in _REPLY.split(", ")])
-
-    return saved(requests.select("key", "messages").mapInPandas(run, _REPLY), "replies")
-
-
-def run(docs: DataFrame, questions: DataFrame, draft_model, judge_model=None, top_k: int = TOP_K) -> Result:
+    def call(body: dict, attempt: int) -> tuple[int, dict, dict]:
+        text, name, tokens = model(body["messages"], attempt)
+        return 200, {"model": name, "choices": [{"message": {"content": text}}], "usage": {"total_tokens": tokens}}, {}
+
+    def allowance(attempt):
+        return answers.output_budget(output, attempt)
+
+    called = ask_models(requests, call, lambda attempt: answers.request_tokens(F.col("messages"), allowance(attempt)), allowance, limits, json_mode=False)
+    return called.replies.select("key", "state", "raw", "error", "model", "attempts", "tokens_used")
+
+
+def run(docs: DataFrame, questions: DataFrame, draft_model, judge_model=None, top_k: int = TOP_K, limits: Limits = UNBOUND) -> Result:
     """Both passes with models of the caller's own; without a judge the second check is off.
 
     Only questions that pass the gate are drafted, and only claims whose quote
-    was found are judged.
+    was found are judged.  ``limits`` are the provider's, for each of the two passes.
     """
     prepared = prepare(docs, questions, top_k)
     key = F.col("question_id").cast("string").alias("key")
-    replies = call_model(prepared.prompts.select(key, "messages"), draft_model)
+    replies = call_model(prepared.prompts.select(key, "messages"), draft_model, limits)
     kind = questions.schema["question_id"].dataType
     drafts = replies.select(F.col("key").cast(kind).alias("question_id"), "state", "raw", "error")
     first = finish(docs, prepared, drafts, None)
     if judge_model is None:
         return first
-    verdicts = call_model(first.pending.select(F.col("claim_id").alias("key"), "messages"), judge_model).withColumnRenamed("key", "claim_id")
+    verdicts = call_model(first.pending.select(F.col("claim_id").alias("key"), "messages"), judge_model, limits, VERDICT_OUTPUT).withColumnRenamed("key", "claim_id")
     sentences = answers.merge_verdicts(first.checked, verdicts)
     answered = answers.read_drafts(prepared.gated, drafts)
     return Result(answers.coverage(answered, sentences), first.checked, sentences, first.pending, answers.reason_report(sentences))

@@ -361,6 +361,11 @@ ORACLES = {
         SELECT purpose, coalesce(arg_min(w.id, rank) FILTER (w.id IN (SELECT id FROM fit)), (SELECT arg_min(id, place) FROM fit)) AS id FROM wanted w GROUP BY purpose""",
     "refused_parameters": """SELECT event_id, CASE WHEN event_id % 5 = 0 THEN NULL WHEN event_id % 4 = 0 THEN CASE WHEN event_id % 3 <> 0 THEN 'reasoning_effort' END
         WHEN event_id % 4 = 1 THEN 'response_format' WHEN event_id % 4 = 2 THEN CASE WHEN event_id % 3 = 0 THEN 'response_format' ELSE 'reasoning_effort' END END AS dropped FROM events""",
+    "model_calls": """WITH c AS (SELECT conv_id, sum(length(text))::BIGINT AS size FROM conversations GROUP BY conv_id), t AS (SELECT *, size % 6 AS turn FROM c)
+        SELECT conv_id, CASE WHEN turn IN (3, 4) THEN 'failed' ELSE 'done' END AS state, CASE WHEN turn NOT IN (3, 4) THEN size || ' characters' END AS raw,
+               CASE turn WHEN 3 THEN 'busy (after 3 attempt(s))' WHEN 4 THEN 'no such model (after 1 attempt(s))' END AS error, CASE WHEN turn NOT IN (3, 4) THEN 'stub' END AS model,
+               CASE WHEN turn IN (1, 2) THEN 2 WHEN turn = 3 THEN 3 ELSE 1 END AS attempts, CASE WHEN turn IN (3, 4) THEN 0 WHEN turn IN (1, 2) THEN size % 97 + 2 ELSE size % 97 + 1 END AS tokens_used,
+               CASE turn WHEN 3 THEN 'retryable' WHEN 4 THEN 'final' ELSE 'ok' END AS kind, false AS over FROM t""",
     "joined_lines": f"WITH {_BOARD} SELECT * FROM board",
     "budget_wakes": """WITH RECURSIVE e AS (SELECT user_id % 100 AS key, event_id, epoch_us(ts) // 1000 AS at_ms, ceil(value)::BIGINT AS tokens FROM events),
         ops AS (SELECT key, 'reserve' AS op, event_id::VARCHAR AS id, at_ms, tokens FROM e UNION ALL SELECT key, 'release', event_id::VARCHAR, at_ms + 1000, 0 FROM e WHERE event_id % 5 = 0

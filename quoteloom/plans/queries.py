@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions import html, model_json, url
 from ..functions.text import fold, folded_words, sentences, tokens
-from ..operators import answers, models, scheduling
+from ..constants import DRAFT_OUTPUT
+from ..operators import answers, calls, models, scheduling
 from ..operators.chunks import chunk_documents, number_chunks
 from ..operators.numbering import numbered
 from ..operators.stored_index import StoredIndex
@@ -478,6 +479,38 @@ def reply_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.select("event_id", models.classify(status, body).alias("kind"))
 
 
+def _stub(body: dict, attempt: int) -> tuple[int, dict | str, dict]:
+    """A provider that answers, refuses, breaks off or fails by the length of what it is asked."""
+    size = sum(len(m["content"]) for m in body["messages"])
+    answer = {"model": "stub", "choices": [{"message": {"content": f"{size} characters"}}], "usage": {"total_tokens": size % 97 + attempt}}
+    turn = size % 6
+    if turn == 1 and attempt == 1:
+        return 429, "slow down", {"Retry-After": "3ms"}
+    if turn == 2 and attempt == 1:
+        return 400, "json_validate_failed", {}
+    if turn == 3:
+        return 503, "busy", {}
+    if turn == 4:
+        return 404, "no such model", {}
+    if turn == 5 and "reasoning_effort" in body:
+        return 400, "reasoning is off", {}
+    return 200, answer, {}
+
+
+@query
+def model_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each conversation sent to a provider that answers, refuses, breaks off or fails: what comes of it, and whether any window held more than it may."""
+    turns = table(spark, sf_dir, "conversations")
+    asked = turns.groupBy(F.col("conv_id").cast("string").alias("key")).agg(F.collect_list(F.struct("role", F.col("text").alias("content"))).alias("messages"))
+    limits = calls.Limits(window_tokens=20_000_000, window_ms=5_000, max_attempts=3, backoff_base_ms=2)
+    estimate, output = lambda a: answers.draft_tokens(F.col("messages"), a), lambda a: answers.output_budget(DRAFT_OUTPUT, a)
+    called = calls.ask_models(asked, _stub, estimate, output, limits, effort="low")
+    sent = called.attempts.select("at_ms", F.col("estimate").alias("tokens"))
+    over = scheduling.window_spent(sent, limits.window_ms).agg(F.coalesce(F.max("spent") > limits.window_tokens, F.lit(False)).alias("over"))
+    rows = called.replies.crossJoin(F.broadcast(over))
+    return rows.select(F.col("key").cast("long").alias("conv_id"), "state", "raw", "error", "model", F.col("attempts").cast("long").alias("attempts"), "tokens_used", "kind", "over")
+
+
 @query
 def state_board(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scheduling.board(task_events(spark, sf_dir)).select("task_id", "label", "state", F.col("attempts").cast("long").alias("attempts"))
