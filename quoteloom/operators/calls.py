@@ -20,7 +20,9 @@ from dataclasses import dataclass
 from queue import Empty, SimpleQueue
 
 import pandas as pd
+from py4j.protocol import Py4JError
 from pyspark import TaskContext
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -130,7 +132,7 @@ def _lane(batches: Iterator[pd.DataFrame], call: Call, lease: int, window_ms: in
 
 @dataclass
 class Called:
-    """``replies``: a row a request: key, state (done or failed), raw, error, model, attempts, tokens_used, kind.  ``attempts``: every reply as it came."""
+    """``replies``: a row a request: key, state (done, failed or cancelled), raw, error, model, attempts, tokens_used, kind.  ``attempts``: every reply as it came."""
 
     replies: DataFrame
     attempts: DataFrame
@@ -149,7 +151,8 @@ def ask_models(
 
     ``estimate`` and ``output`` give a request's tokens and output allowance from
     the number of the attempt.  A request larger than a window fails unasked.
-    Calls of a task that is lost are made again, after a window.
+    Calls of a task that is lost are made again, after a window.  If a round's job
+    is cancelled, replies of earlier rounds stay and open requests are cancelled.
     """
     spark = requests.sparkSession
     arrow_batches(spark, rows=256)
@@ -166,7 +169,13 @@ def ask_models(
         number = F.lit(attempt)
         shaped = now.select("key", "messages", "lane", "ready_ms", number.alias("attempt"), estimate(number).cast("long").alias("estimate"), output(number).cast("int").alias("output"))
         dealt = shaped.repartitionById(lanes, "lane").sortWithinPartitions("ready_ms", "key")
-        told = saved(dealt.mapInPandas(lambda b, held=held: _lane(b, call, lease, limits.window_ms, flights, held, json_mode, effort), schema), "replies")
+        asked = dealt.mapInPandas(lambda b, held=held: _lane(b, call, lease, limits.window_ms, flights, held, json_mode, effort), schema)
+        try:
+            told = saved(asked, "replies")
+        except (Py4JError, PySparkException) as e:
+            if "cancelled" not in str(e):
+                raise
+            break  # what had ended stays
         kind = classify(F.col("status"), F.col("reply"))
         wish = F.when(kind == "rate_limited", retry_after_ms(F.col("retry_after"), F.col("reset_tokens")))
         jitter = F.pmod(F.xxhash64("key", "attempt"), F.lit(1000)) / 1000
@@ -182,13 +191,15 @@ def ask_models(
         held = {}
         for r in sorted(rows, key=lambda r: r.at_ms):
             held.setdefault(r.lane, []).append([r.key, r.at_ms, r.tokens])
-    every = history[0]
-    for more in history[1:]:
+    every = spark.createDataFrame([], f"{_REPLY}, kind string, ready_ms long")
+    for more in history:
         every = every.unionByName(more)
     final = every.groupBy("key").agg(F.max_by(F.struct("kind", "text", "reply", "model", "attempt"), "attempt").alias("r"), F.sum("tokens_used").alias("tokens_used"))
-    done = F.col("r.kind") == "ok"
+    done, open_ = F.col("r.kind") == "ok", F.col("r.kind").isin("rate_limited", "retryable") & (F.col("r.attempt") < last)
     error = F.when(~done, F.concat(F.substring("r.reply", 1, 400), F.lit(" (after "), F.col("r.attempt").cast("string"), F.lit(" attempt(s))")))
-    replies = final.select("key", F.when(done, "done").otherwise("failed").alias("state"), F.when(done, F.col("r.text")).alias("raw"), error.alias("error"), F.when(done, F.col("r.model")).alias("model"), F.col("r.attempt").alias("attempts"), "tokens_used", F.col("r.kind").alias("kind"))
+    replies = final.select("key", F.when(done, "done").when(open_, "cancelled").otherwise("failed").alias("state"), F.when(done, F.col("r.text")).alias("raw"), error.alias("error"), F.when(done, F.col("r.model")).alias("model"), F.col("r.attempt").alias("attempts"), "tokens_used", F.col("r.kind").alias("kind"))
     none = F.lit(None).cast("string")
     unasked = sized.where(~fits).select("key", F.lit("failed").alias("state"), none.alias("raw"), F.lit("The request is larger than a window allows.").alias("error"), none.alias("model"), F.lit(0).alias("attempts"), F.lit(0).cast("long").alias("tokens_used"), F.lit("too_large").alias("kind"))
-    return Called(replies.unionByName(unasked), every)
+    lost = sized.where(fits).join(final, "key", "left_anti")  # none but in a run that was cancelled
+    cancelled = lost.select("key", F.lit("cancelled").alias("state"), none.alias("raw"), none.alias("error"), none.alias("model"), F.lit(0).alias("attempts"), F.lit(0).cast("long").alias("tokens_used"), none.alias("kind"))
+    return Called(replies.unionByName(unasked).unionByName(cancelled), every)

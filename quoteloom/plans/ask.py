@@ -15,6 +15,7 @@ from ..operators.chunks import chunk_documents, number_chunks
 from ..operators.retrieval import gate, indexed, search
 from ..operators.verification import verify
 from ..sources.tables import saved
+from .progress import Progress, Quiet, observed
 
 
 @dataclass
@@ -27,12 +28,15 @@ class Prepared:
     prompts: DataFrame
 
 
-def prepare(docs: DataFrame, questions: DataFrame, top_k: int = TOP_K) -> Prepared:
+def prepare(docs: DataFrame, questions: DataFrame, top_k: int = TOP_K, progress: Progress = Quiet()) -> Prepared:
     """Passages, ranking, gate, and prompts of questions (question_id, question) that pass it; refused ones cost nothing."""
+    progress.tell("retrieving", "Passages are made and ranked.")
     chunks = number_chunks(chunk_documents(docs))
-    retrieved = saved(search(saved(indexed(chunks), "index"), questions, top_k), "retrieved")
-    gated = gate(questions, retrieved)
+    index, seen = observed(indexed(chunks), "index", passages=F.count("*"), words=F.sum("length"))
+    retrieved = saved(search(index, questions, top_k), "retrieved")
+    gated, told = observed(gate(questions, retrieved), "gated", questions=F.count("*"), relevant=F.count_if("relevant"))
     prompts = answers.draft_messages(gated.where("relevant"), retrieved, chunks)
+    progress.tell("drafting", "Questions that sources come close to are drafted.", **seen, **told)
     return Prepared(chunks, retrieved, gated, prompts)
 
 
@@ -45,14 +49,21 @@ class Result:
     reasons: DataFrame
 
 
-def finish(docs: DataFrame, prepared: Prepared, drafts: DataFrame, verdicts: DataFrame | None) -> Result:
+def finish(docs: DataFrame, prepared: Prepared, drafts: DataFrame, verdicts: DataFrame | None, progress: Progress = Quiet()) -> Result:
     """Answers from drafts (question_id, state, raw, error) and, unless the second check is off, verdicts by claim_id."""
     answered = answers.read_drafts(prepared.gated, drafts)
-    claims = answers.claims_of(answered)
-    checked = saved(verify(docs, prepared.chunks, claims), "checked")
+    progress.tell("checking", "Quotes are looked for in the sources.")
+    checked, seen = observed(verify(docs, prepared.chunks, answers.claims_of(answered)), "checked", claims=F.count("*"), traced=F.count_if(F.col("reason").isNull()))
+    progress.tell("entailing" if verdicts is not None else "done", "Traced sentences are judged." if verdicts is not None else "The second check is off.", **seen)
+    return _merged(prepared, answered, checked, verdicts, progress)
+
+
+def _merged(prepared: Prepared, answered: DataFrame, checked: DataFrame, verdicts: DataFrame | None, progress: Progress) -> Result:
     sentences = answers.merge_verdicts(checked, verdicts) if verdicts is not None else checked.withColumn("entailment", F.lit(None).cast("string"))
-    questions = answers.coverage(answered, sentences)
-    return Result(questions, checked, sentences, answers.pending(checked), answers.reason_report(sentences))
+    if verdicts is not None:
+        sentences, seen = observed(sentences, "sentences", verified=F.count_if(F.col("reason").isNull()), withheld=F.count_if(F.col("reason").isNotNull()))
+        progress.tell("done", "The run has ended.", **seen)
+    return Result(answers.coverage(answered, sentences), checked, sentences, answers.pending(checked), answers.reason_report(sentences))
 
 
 #: Phases of a run, in order.
@@ -105,21 +116,29 @@ def call_model(requests: DataFrame, model: Callable[[list[dict[str, str]], int],
     return called.replies.select("key", "state", "raw", "error", "model", "attempts", "tokens_used")
 
 
-def run(docs: DataFrame, questions: DataFrame, draft_model, judge_model=None, top_k: int = TOP_K, limits: Limits = UNBOUND) -> Result:
+def run(
+    docs: DataFrame, questions: DataFrame, draft_model, judge_model=None, top_k: int = TOP_K, limits: Limits = UNBOUND, progress: Progress = Quiet()
+) -> Result:
     """Both passes with models of the caller's own; without a judge the second check is off.
 
     Only questions that pass the gate are drafted, and only claims whose quote
     was found are judged.  ``limits`` are the provider's, for each of the two passes.
+    A pass whose jobs are cancelled (``sparkContext.addJobTag`` before the run,
+    ``cancelJobsWithTag`` from any other thread) keeps the replies of the rounds that
+    had ended; what is still open is cancelled, and its sentences are withheld.
     """
-    prepared = prepare(docs, questions, top_k)
+    prepared = prepare(docs, questions, top_k, progress)
     key = F.col("question_id").cast("string").alias("key")
     replies = call_model(prepared.prompts.select(key, "messages"), draft_model, limits)
     kind = questions.schema["question_id"].dataType
-    drafts = replies.select(F.col("key").cast(kind).alias("question_id"), "state", "raw", "error")
-    first = finish(docs, prepared, drafts, None)
-    if judge_model is None:
-        return first
-    verdicts = call_model(first.pending.select(F.col("claim_id").alias("key"), "messages"), judge_model, limits, VERDICT_OUTPUT).withColumnRenamed("key", "claim_id")
-    sentences = answers.merge_verdicts(first.checked, verdicts)
+    drafts = saved(replies.select(F.col("key").cast(kind).alias("question_id"), "state", "raw", "error"), "drafts")
     answered = answers.read_drafts(prepared.gated, drafts)
-    return Result(answers.coverage(answered, sentences), first.checked, sentences, first.pending, answers.reason_report(sentences))
+    progress.tell("checking", "Quotes are looked for in the sources.")
+    checked, seen = observed(verify(docs, prepared.chunks, answers.claims_of(answered)), "checked", claims=F.count("*"), traced=F.count_if(F.col("reason").isNull()))
+    if judge_model is None:
+        progress.tell("done", "The second check is off.", **seen)
+        return _merged(prepared, answered, checked, None, progress)
+    progress.tell("entailing", "Traced sentences are judged.", **seen)
+    asked = answers.pending(checked).select(F.col("claim_id").alias("key"), "messages")
+    verdicts = saved(call_model(asked, judge_model, limits, VERDICT_OUTPUT).withColumnRenamed("key", "claim_id"), "verdicts")
+    return _merged(prepared, answered, checked, verdicts, progress)

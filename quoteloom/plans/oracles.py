@@ -338,6 +338,14 @@ ORACLES = {
                WHEN 8 THEN 'http://127.0.0.1' WHEN 9 THEN host || '/d e#f' ELSE host || '/a/b?x' END AS target,
                CASE WHEN t IN (0, 5) THEN 0 WHEN t = 4 THEN 4 ELSE 1 END::BIGINT AS hop,
                CASE WHEN t IN (2, 6, 8) THEN 'blocked_address' WHEN t = 4 THEN 'too_many_redirects' WHEN t = 5 THEN 'no_destination' WHEN t = 7 THEN 'scheme' END AS fault FROM p""",
+    "url_documents": rf"""WITH regions AS (SELECT page_id, {_region()} AS html FROM pages), plain AS (SELECT page_id, {_markup('html')} AS text FROM regions), {_link_runs('plain', 'page_id')},
+        p AS (SELECT page_id, page_id % 10 AS t, 'http://h' || page_id || '.example' AS host, {_TITLE} AS title, length(html) > 400000 AS truncated,
+                     CASE WHEN page_id % 4 = 0 THEN r.text ELSE regexp_replace(regexp_replace(html, '\r\n?', chr(10), 'g'), '^\s+|\s+$', '', 'g') END AS text FROM pages JOIN runless r USING (page_id)),
+        w AS (SELECT *, CASE t WHEN 1 THEN host || '/c' WHEN 2 THEN 'http://10.0.0.1/y' WHEN 3 THEN 'https' || substr(host, 5) || '/s' WHEN 6 THEN 'http://169.254.169.254/meta' WHEN 7 THEN 'ftp:x'
+                      WHEN 8 THEN 'http://127.0.0.1' WHEN 9 THEN host || '/d e#f' ELSE host || '/a/b?x' END AS target, CASE WHEN t IN (0, 5) THEN 0 WHEN t = 4 THEN 4 ELSE 1 END::BIGINT AS hop,
+                     CASE WHEN t IN (2, 6, 8) THEN 'blocked_address' WHEN t = 4 THEN 'too_many_redirects' WHEN t = 5 THEN 'no_destination' WHEN t = 7 THEN 'scheme'
+                          WHEN page_id % 13 = 0 THEN 'unreachable' WHEN page_id % 7 = 0 THEN 'http_status' WHEN page_id % 4 = 2 THEN 'content_type' WHEN page_id % 11 = 0 THEN 'too_large' END AS fault FROM p)
+        SELECT page_id, target, hop, CASE WHEN fault IS NULL THEN title END AS title, CASE WHEN fault IS NULL THEN md5(text) END AS text_md5, CASE WHEN fault IS NULL THEN truncated END AS truncated, fault FROM w""",
     "literal_hosts": f"SELECT page_id, host, fault FROM pages, (VALUES {', '.join(str(x) for x in LITERALS.items())}) AS l(host, fault)",
     "retried_tasks": f"""WITH {_ATTEMPTS} SELECT event_id, state, attempts, ended_ms, error, tokens_used FROM events JOIN ends ON turn = event_id % 5""",
     "cancelled_tasks": f"""WITH {_ATTEMPTS} SELECT event_id, CASE WHEN ended_ms > 1000 THEN 'cancelled' ELSE state END AS state, CASE WHEN ended_ms > 1000 THEN 2 ELSE attempts END::BIGINT AS attempts,
@@ -410,6 +418,11 @@ ORACLES = {
         SELECT claim_id, question_id, sentence AS text, CASE WHEN final_reason IS NULL THEN 'verified' ELSE 'unverified' END AS status, final_reason AS reason,
                q.verified_chunk_id || CASE WHEN f.relocated THEN '*' ELSE '' END AS shown_passage, q.span_doc_id, span_start, span_end, CASE WHEN final_reason IS NULL THEN 'judge' END AS judge, n_retrieved, best_coverage_pct
         FROM final f LEFT JOIN quoted q USING (claim_id) LEFT JOIN n USING (question_id)""",
+    "run_progress": f"""WITH RECURSIVE {_RUN}, p(seq, phase) AS (VALUES (0, 'retrieving'), (2, 'drafting'), (4, 'checking'), (6, 'entailing'), (8, 'done')),
+        n AS (SELECT (SELECT count(*) FROM chunks) AS passages, (SELECT sum(len(terms))::BIGINT FROM bag) AS words, (SELECT count(*) FROM outcomes) AS questions, (SELECT count(*) FROM outcomes WHERE outcome <> 'no_relevant_source') AS relevant,
+                     (SELECT count(*) FROM checked) AS claims, (SELECT count(*) FROM checked WHERE reason IS NULL) AS traced, (SELECT count(*) FROM final WHERE final_reason IS NULL) AS verified, (SELECT count(*) FROM final WHERE final_reason IS NOT NULL) AS withheld)
+        SELECT seq, phase, CASE WHEN seq = 2 THEN passages END AS passages, CASE WHEN seq = 2 THEN words END AS words, CASE WHEN seq = 2 THEN questions END AS questions, CASE WHEN seq = 2 THEN relevant END AS relevant,
+               CASE WHEN seq = 6 THEN claims END AS claims, CASE WHEN seq = 6 THEN traced END AS traced, CASE WHEN seq = 8 THEN verified END AS verified, CASE WHEN seq = 8 THEN withheld END AS withheld FROM p, n""",
     "run_prompts": f"""WITH RECURSIVE {_RUN} SELECT 'draft' AS pass, question_id::VARCHAR AS key, 2::BIGINT AS n, md5({_text(DRAFT_RULES)}) AS rules_md5, md5(content) AS asked_md5 FROM asked_drafts
         UNION ALL SELECT 'verify', claim_id, 2, md5({_text(VERDICT_RULES)}), md5(content) FROM asked_checks""",
     "run_ledger": f"""WITH RECURSIVE {_RUN}, r AS (SELECT *, CASE phase WHEN 'draft' THEN CASE WHEN attempts = 2 THEN 500 + 375 + 500 ELSE 500 END ELSE 500 END AS took,

@@ -25,6 +25,7 @@ from ..streaming import stateful
 from . import ask
 from .fixtures import LITERALS, claims, documents, questions, reservations, spread, table, task_events
 from .oracles import ORACLES
+from .progress import Progress, Quiet
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -231,9 +232,8 @@ def file_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("title", "origin", F.length("text").cast("long").alias("chars"), F.md5("text").alias("text_md5"), "fault")
 
 
-@query
-def redirect_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages' hosts redirect to paths, other schemes, private addresses in disguise, themselves, or nowhere."""
+def _redirects(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pages' hosts (page_id, url) that redirect to paths, other schemes, private addresses in disguise, themselves, or nowhere; and what they resolve to."""
     host = F.concat(F.lit("http://h"), F.col("page_id").cast("string"), F.lit(".example"))
     pages = table(spark, sf_dir, "pages").select("page_id", F.concat(host, F.lit("/a/b?x")).alias("url"))
     turn = F.col("page_id") % 10
@@ -244,10 +244,34 @@ def redirect_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
         location = location.when(turn == n, to)
     redirects = pages.where(turn != 0).select("url", location.alias("location"))
     dns = pages.select(F.concat(F.lit("h"), F.col("page_id").cast("string"), F.lit(".example")).alias("host"), F.lit("8.8.8.8").alias("address"))
+    return pages, redirects, dns
+
+
+@query
+def redirect_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages, redirects, dns = _redirects(spark, sf_dir)
     walked = sources.followed(pages.select("url"), redirects, dns)
     return walked.join(pages.withColumnRenamed("url", "start"), "start").select("page_id", F.col("url").alias("target"), F.col("hop").cast("long").alias("hop"), "fault")
 
 
+@query
+def url_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same URLs as documents: where each ends, some replies are no text, fail, announce too much, or were never recorded."""
+    pages, redirects, dns = _redirects(spark, sf_dir)
+    host = F.concat(F.lit("http://h"), F.col("page_id").cast("string"), F.lit(".example"))
+    turn = F.col("page_id") % 10
+    target = F.when(turn == 0, F.concat(host, F.lit("/a/b?x"))).when(turn == 1, F.concat(host, F.lit("/c"))).when(turn == 3, F.concat(F.lit("https"), F.substring(host, 5, 99), F.lit("/s"))).when(turn == 9, F.concat(host, F.lit("/d e#f")))
+    kind = F.element_at(F.array(F.lit("text/html; charset=utf-8"), F.lit("text/plain"), F.lit("image/png"), F.lit(None).cast("string")), (F.col("page_id") % 4 + 1).cast("int"))
+    status = F.when(F.col("page_id") % 7 == 0, 404).otherwise(200)
+    declared = F.when(F.col("page_id") % 11 == 0, 2_000_001).otherwise(F.octet_length("html"))
+    last = spread(table(spark, sf_dir, "pages")).where(target.isNotNull() & (F.col("page_id") % 13 != 0))
+    last = last.select(target.alias("url"), status.alias("status"), F.lit(None).cast("string").alias("location"), kind.alias("content_type"), declared.cast("long").alias("declared"), F.col("html").alias("body"))
+    none = F.lit(None).cast("string")
+    replies = last.unionByName(redirects.select("url", F.lit(302).alias("status"), "location", none.alias("content_type"), F.lit(None).cast("long").alias("declared"), none.alias("body")))
+    found = sources.from_urls(pages.select("url"), replies, dns)
+    return found.join(pages, "url").select("page_id", "target", F.col("hop").cast("long").alias("hop"), "title", F.md5("text").alias("text_md5"), "truncated", "fault")
+
+
 @query
 def literal_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page under literal hosts in many notations."""
@@ -669,9 +693,9 @@ class Run:
     phases: DataFrame
 
 
-def _run(spark: SparkSession, sf_dir: str) -> Run:
+def _run(spark: SparkSession, sf_dir: str, progress: Progress = Quiet()) -> Run:
     docs, asked = documents(spark, sf_dir), questions(spark, sf_dir)
-    prepared = ask.prepare(docs, asked)
+    prepared = ask.prepare(docs, asked, progress=progress)
     items = table(spark, sf_dir, "benchmark")
     first = prepared.retrieved.where("rank = 1").select(F.col("question_id").alias("item_id"), "chunk_id")
     claim = F.struct(F.lit("The source says so.").alias("text"), F.col("chunk_id").alias("passage"), F.col("text").alias("quote"))
@@ -680,7 +704,7 @@ def _run(spark: SparkSession, sf_dir: str) -> Run:
     state = F.when(F.col("item_id") % 6 == 5, "failed").otherwise("done")
     drafts = items.join(first, "item_id").select(F.col("item_id").alias("question_id"), state.alias("state"), raw.alias("raw"), F.lit("timeout").alias("error"))
     verdicts = items.where("item_id % 4 <> 3").select(F.concat(F.col("item_id").cast("string"), F.lit(":0")).alias("claim_id"), F.lit("done").alias("state"), F.lit('{"supported": true}').alias("raw"), F.lit(None).cast("string").alias("error"), F.lit("judge").alias("model"), F.lit(1).alias("attempts"), F.lit(100).alias("tokens_used"))
-    result = ask.finish(docs, prepared, drafts, verdicts)
+    result = ask.finish(docs, prepared, drafts, verdicts, progress)
     failed = F.array(_outcome("final", 500, 0, None, "timeout"))
     again = F.array(_outcome("retryable", 500, 0, None, "busy"), _outcome("done", 500, 300))
     draft_outcomes = items.select(F.col("item_id").alias("question_id"), F.when(F.col("item_id") % 6 == 5, failed).when(F.col("item_id") % 6 == 4, again).otherwise(F.array(_outcome("done", 500, 300))).alias("outcomes"))
@@ -742,3 +766,15 @@ def run_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     field = {n: F.get_json_object("payload", f"$.{n}") for n in ("draft", "outcome", "verified", "message", "claims[0]")}
     told = F.concat_ws("|", "phase", "state", "task_id", *field.values())
     return read.select("type", "seq", F.when(F.col("type") == "scheduler", None).otherwise(F.col("seq")).alias("at"), told.alias("told")).drop("seq")
+
+
+@query
+def run_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The phases of a whole run in the order in which they were told, with what was counted while their rows were written."""
+    path = folder(spark, "progress")
+    _run(spark, sf_dir, Progress(spark, path))
+    told = streaming.read_events(spark, path)
+    names = ("passages", "words", "questions", "relevant", "claims", "traced", "verified", "withheld")
+    counters = [F.get_json_object("payload", f"$.{n}").cast("long").alias(n) for n in names]
+    counted = told.where("type = 'counters'").select(F.get_json_object("payload", "$.phase").alias("phase"), *counters)
+    return told.where("type = 'phase'").select("seq", "phase").join(counted, "phase", "left")

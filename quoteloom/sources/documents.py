@@ -79,24 +79,56 @@ def guarded(urls: DataFrame, dns: DataFrame) -> DataFrame:
 def followed(starts: DataFrame, redirects: DataFrame, dns: DataFrame, hops: int = MAX_REDIRECTS) -> DataFrame:
     """(start, url, hop, fault): where each start (column url) ends after its redirects (url, location), every hop guarded.
 
-    A null location is a redirect without destination.
+    A null location is a redirect without destination.  A hop is written before
+    the next one, so that each is worked out once, and reads only those still on
+    their way; it ends when none is.
     """
     now = starts.select(F.col("url").alias("start"), "url", F.lit(0).alias("hop"))
-    ended = None
     table = redirects.select(F.col("url").alias("_from"), "location")
+    ended = []
     for hop in range(hops + 1):
-        checked = guarded(now, dns)
-        bad = checked.where("fault is not null")
-        moved = checked.where("fault is null").drop("fault").join(table, F.col("url") == F.col("_from"), "left")
-        there = moved.where("_from is null").select("start", "url", "hop", F.lit(None).cast("string").alias("fault"))
-        lost = moved.where("_from is not null and location is null").select("start", "url", "hop", F.lit("no_destination").alias("fault"))
-        more = moved.where("location is not null")
-        part = bad.select("start", "url", "hop", "fault").union(there).union(lost)
-        if hop == hops:
-            part = part.union(more.select("start", "url", "hop", F.lit("too_many_redirects").alias("fault")))
-        ended = part if ended is None else ended.union(part)
-        now = more.select("start", resolve_url("location", "url").alias("url"), F.lit(hop + 1).alias("hop"))
-    return ended
+        moved = saved(guarded(now, dns).join(table, F.col("url") == F.col("_from"), "left"), "hop")
+        goes_on = F.col("fault").isNull() & F.col("location").isNotNull()
+        lost = F.when(F.col("_from").isNotNull(), F.when(F.col("location").isNull(), "no_destination").when(F.lit(hop == hops), "too_many_redirects"))
+        stays = moved.where(F.lit(hop == hops) | ~goes_on)
+        ended.append(stays.select("start", "url", "hop", F.coalesce("fault", lost).alias("fault")))
+        now = moved.where(goes_on).select("start", resolve_url("location", "url").alias("url"), F.lit(hop + 1).alias("hop"))
+        if hop == hops or now.isEmpty():
+            break
+    found = ended[0]
+    for part in ended[1:]:
+        found = found.unionByName(part)
+    return found
+
+
+def from_urls(urls: DataFrame, replies: DataFrame, dns: DataFrame, hops: int = MAX_REDIRECTS) -> DataFrame:
+    """Documents of URLs (column url), from recorded replies (url, status, location, content_type, declared, body): guard, redirects, checks and text.
+
+    A row for each URL: url, target, hop, title, origin, text, truncated, fault.
+    Redirects are the replies of status 3xx, every hop of which is guarded; what
+    no reply is recorded of is ``unreachable``.  ``declared`` is the size that a
+    reply announces, or null.  A page that several URLs lead to is read once.
+    """
+    is_redirect = F.col("status").between(300, 399)
+    ends = saved(followed(urls.distinct(), replies.where(is_redirect).select("url", "location"), dns, hops), "ends")
+    wanted = ends.where("fault is null").select("url").distinct()
+    pages = replies.where(~is_redirect).join(wanted, "url", "left_semi")
+    large = pages.where(F.col("declared") > MAX_BODY_BYTES).select("url")
+    read = fetched(pages).withColumnsRenamed({"url": "_page", "fault": "_fault"})
+    read = read.join(large.select(F.col("url").alias("_large")).distinct(), F.col("_page") == F.col("_large"), "left")
+    # what is declared is known before the body is read, but after status and type
+    early = F.col("_fault").isin("http_status", "content_type")
+    read = read.withColumn("_fault", F.when(early | F.col("_large").isNull(), F.col("_fault")).otherwise("too_large"))
+    joined = ends.join(read, F.col("fault").isNull() & (F.col("url") == F.col("_page")), "left")
+    fault = F.coalesce("fault", F.when(F.col("_page").isNull(), "unreachable"), "_fault")
+    kept = fault.isNull()
+    return joined.select(
+        F.col("start").alias("url"),
+        F.col("url").alias("target"),
+        "hop",
+        *[F.when(kept, F.col(c)).alias(c) for c in ("title", "origin", "text", "truncated")],
+        fault.alias("fault"),
+    )
 
 
 def admitted(docs: DataFrame, order: str = "doc_order", most_doc: int = MAX_DOC_CHARS, most_corpus: int = MAX_CORPUS_CHARS) -> DataFrame:

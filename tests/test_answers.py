@@ -1,11 +1,15 @@
 import json
+import time
 
 import pytest
+from pyspark import InheritableThread
 from pyspark.sql import functions as F
 
 from quoteloom.functions.model_json import draft, first_object, json_object, verdict
 from quoteloom.operators import answers
 from quoteloom.plans import ask
+from quoteloom.plans.progress import Progress
+from quoteloom.streaming.events import read_events
 
 
 @pytest.mark.parametrize(
@@ -172,3 +176,35 @@ def test_run_with_models(spark, prepared):
     assert shown["In 1890."].entailment.model == "judge" and shown["Late."].reason == "not_entailed"
     assert "busy (after 5 attempt(s))" in {r.question_id: r.notice for r in result.questions.collect()}[1]
     assert outcome(ask.run(docs, questions, drafter))[0] == ("answered", 2, 2, 1.0)
+
+
+def test_a_run_tells_and_can_be_stopped(spark, prepared, tmp_path):
+    """The judge's job is cancelled: phases were told as they ended, drafts stay, and unjudged sentences are withheld."""
+    docs, _ = prepared
+    questions = spark.createDataFrame([(0, "When was the harbour opened?")], "question_id long, question string")
+    mark, found = tmp_path / "asked", []
+
+    def drafter(messages, attempt):
+        return '{"sentences": [{"text": "In 1890.", "passage": "c0", "quote": "harbour opened in 1890 after long delays"}]}', "drafter", 50
+
+    def judge(messages, attempt):
+        mark.write_text("x")
+        time.sleep(60)
+
+    def whole():
+        spark.sparkContext.addJobTag("run-1")
+        found.append(ask.run(docs, questions, drafter, judge, progress=Progress(spark, str(tmp_path / "events"))))
+
+    thread = InheritableThread(target=whole)
+    thread.start()
+    while not mark.exists():
+        assert thread.is_alive()
+        time.sleep(0.1)
+    assert [r.phase for r in read_events(spark, str(tmp_path / "events")).where("type = 'phase'").orderBy("seq").collect()] == ["retrieving", "drafting", "checking", "entailing"]
+    spark.sparkContext.cancelJobsWithTag("run-1")
+    thread.join(60)
+    assert outcome(found[0]) == {0: ("answered", 0, 1, 0.0)}
+    row = found[0].sentences.first()
+    assert row.reason == "check_failed" and "cancelled" in row.detail and row.source_text
+    told = read_events(spark, str(tmp_path / "events")).where("type = 'counters'").orderBy("seq").collect()
+    assert [json.loads(r.payload) for r in told][1:] == [{"phase": "entailing", "claims": 1, "traced": 1}, {"phase": "done", "verified": 0, "withheld": 1}]

@@ -25,6 +25,22 @@ def test_fetched(spark):
     assert [found[k][1] for k in "cdef"] == ["http_status", "content_type", "no_text", "too_large"] and found["f"][2]
 
 
+def test_documents_of_urls(spark):
+    urls = spark.createDataFrame([("http://a.org/1",), ("http://b.org/",), ("http://a.org/2",), ("http://gone.org/",), ("http://10.0.0.1/",), ("http://a.org/big",), ("http://a.org/1",)], "url string")
+    rows = [
+        ("http://a.org/1", 301, "/2", None, None, None), ("http://b.org/", 302, "http://a.org/2", None, None, None), ("http://a.org/2", 200, None, "text/plain", 4, "text"),
+        ("http://a.org/big", 200, None, "text/plain", 2_000_001, "small"), ("http://a.org/unasked", 200, None, "text/plain", 1, "x"),
+    ]
+    replies = spark.createDataFrame(rows, "url string, status int, location string, content_type string, declared long, body string")
+    dns = spark.createDataFrame([("a.org", "8.8.8.8"), ("b.org", "8.8.8.8"), ("gone.org", "8.8.8.8")], "host string, address string")
+    found = {r.url: (r.target, r.hop, r.title, r.text, r.fault) for r in sources.from_urls(urls, replies, dns).collect()}
+    assert found == {
+        "http://a.org/1": ("http://a.org/2", 1, "a.org/2", "text", None), "http://b.org/": ("http://a.org/2", 1, "a.org/2", "text", None), "http://a.org/2": ("http://a.org/2", 0, "a.org/2", "text", None),
+        "http://gone.org/": ("http://gone.org/", 0, None, None, "unreachable"), "http://10.0.0.1/": ("http://10.0.0.1/", 0, None, None, "blocked_address"), "http://a.org/big": ("http://a.org/big", 0, None, None, "too_large"),
+    }
+    assert sources.from_urls(urls.limit(0), replies, dns).collect() == []
+
+
 def test_admission(spark):
     docs = spark.createDataFrame([(i, i * 40_000, "x" * n) for i, n in enumerate([300_000, 400_001, 300_000, 300_000, 1])], "doc_id long, doc_order long, text string")
     rows = sources.admitted(docs).orderBy("doc_order").collect()
