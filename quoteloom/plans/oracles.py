@@ -235,6 +235,22 @@ ORACLES = {
         SELECT term, df, tf, round(greatest(0, ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE))), 6) AS idf FROM d, n""",
     "sentence_spans": f'WITH {_SENTENCES} SELECT doc_id, idx, start, "end", sentence FROM sentences',
     "chunk_spans": f'WITH RECURSIVE {_CHUNKS} SELECT chunk_id, doc_id, idx, start, "end", md5(text) AS text_md5 FROM chunks',
+    "paragraph_chunks": f"""WITH RECURSIVE {_CHUNKS},
+        place AS (SELECT doc_id, doc_id // 4 AS g, coalesce(sum(length(text) + 3) OVER (PARTITION BY doc_id // 4 ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS off FROM documents),
+        bodies AS (SELECT doc_id // 4 AS g, string_agg(text, chr(10) || ' ' || chr(10) ORDER BY doc_id) AS text FROM documents GROUP BY 1),
+        g_segs AS (SELECT g, s + off AS s, e + off AS e FROM segs JOIN place USING (doc_id)),
+        g_numbered AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY s) AS k, count(*) OVER (PARTITION BY g) AS n FROM g_segs),
+        g_packed AS (SELECT g, k, n, s AS cs, e AS ce, NULL::BIGINT AS ds, NULL::BIGINT AS de FROM g_numbered WHERE k = 1
+                     UNION ALL
+                     SELECT p.g, x.k, p.n, CASE WHEN x.e - p.cs <= 1100 THEN p.cs ELSE least(greatest(p.cs, p.ce - 200), x.s) END, x.e,
+                            CASE WHEN x.e - p.cs > 1100 THEN p.cs END, CASE WHEN x.e - p.cs > 1100 THEN p.ce END
+                     FROM g_packed p JOIN g_numbered x ON x.g = p.g AND x.k = p.k + 1),
+        g_ranges AS (SELECT g, ds AS s, de AS e FROM g_packed WHERE ds IS NOT NULL UNION ALL SELECT g, cs, ce FROM g_packed WHERE k = n),
+        g_placed AS (SELECT *, row_number() OVER w AS r, count(*) OVER (PARTITION BY g) AS m, lead(s) OVER w AS next_s, lead(e) OVER w AS next_e FROM g_ranges WINDOW w AS (PARTITION BY g ORDER BY s, e)),
+        g_kept AS (SELECT g, s, CASE WHEN r = m - 1 AND next_e - next_s < 120 THEN next_e ELSE e END AS e FROM g_placed WHERE NOT (r = m AND m > 1 AND e - s < 120))
+        SELECT g AS doc_id, row_number() OVER (PARTITION BY g ORDER BY s, e) - 1 AS idx, s AS start, e AS "end", md5(substr(text, (s + 1)::INT, (e - s)::INT)) AS text_md5 FROM g_kept JOIN bodies USING (g)""",
+    "capped_claims": f"""WITH {_SENTENCES}, c AS (SELECT * FROM sentences WHERE idx < 250)
+        SELECT doc_id, count(*) AS n, doc_id || ':' || max(idx) AS last_claim, md5(arg_max(sentence, idx)) AS last_md5 FROM c GROUP BY doc_id""",
     "index_stats": f"WITH RECURSIVE {_CHUNKS} SELECT count(*) AS n, round(avg(len({_tokens('text')})), 6) AS avg_length FROM chunks",
     "bm25_topk": f"""WITH RECURSIVE {_CHUNKS}, {_QUESTIONS}, passages AS (SELECT chunk_id AS id, place, text FROM chunks), {_search("passages")}
         SELECT question_id, rank, id AS chunk_id, round(score, 6) AS score, round(coverage, 6) AS coverage FROM ranked WHERE rank <= 6""",
@@ -374,6 +390,7 @@ ORACLES = {
                CASE turn WHEN 3 THEN 'busy (after 3 attempt(s))' WHEN 4 THEN 'no such model (after 1 attempt(s))' END AS error, CASE WHEN turn NOT IN (3, 4) THEN 'stub' END AS model,
                CASE WHEN turn IN (1, 2) THEN 2 WHEN turn = 3 THEN 3 ELSE 1 END AS attempts, CASE WHEN turn IN (3, 4) THEN 0 WHEN turn IN (1, 2) THEN size % 97 + 2 ELSE size % 97 + 1 END AS tokens_used,
                CASE turn WHEN 3 THEN 'retryable' WHEN 4 THEN 'final' ELSE 'ok' END AS kind, false AS over FROM t""",
+    "repeated_batches": f"""WITH {_BOARD} SELECT 't' || user_id AS task_id, count(*) AS n, min(event_id) AS first, max(event_id) AS last, sum(event_id % 4 + 1)::BIGINT AS attempts FROM events GROUP BY user_id""",
     "joined_lines": f"WITH {_BOARD} SELECT * FROM board",
     "budget_wakes": """WITH RECURSIVE e AS (SELECT user_id % 100 AS key, event_id, epoch_us(ts) // 1000 AS at_ms, ceil(value)::BIGINT AS tokens FROM events),
         ops AS (SELECT key, 'reserve' AS op, event_id::VARCHAR AS id, at_ms, tokens FROM e UNION ALL SELECT key, 'release', event_id::VARCHAR, at_ms + 1000, 0 FROM e WHERE event_id % 5 = 0

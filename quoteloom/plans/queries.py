@@ -71,6 +71,26 @@ def chunk_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("chunk_id", "doc_id", F.col("index").cast("long").alias("idx"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.md5("text").alias("text_md5"))
 
 
+@query
+def paragraph_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of four documents at a time, as the paragraphs of one: some are kept whole, long ones are cut into sentences."""
+    docs = table(spark, sf_dir, "documents").select(F.expr("doc_id div 4").alias("doc_id"), F.struct("doc_id", "text").alias("p"))
+    paragraphs = F.transform(F.array_sort(F.collect_list("p")), lambda p: p["text"])
+    whole = docs.groupBy("doc_id").agg(F.array_join(paragraphs, "\n \n").alias("text"))
+    chunks = chunk_documents(whole.select("doc_id", F.col("doc_id").alias("doc_order"), F.lit("").alias("title"), "text"))
+    return chunks.select("doc_id", F.col("index").cast("long").alias("idx"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.md5("text").alias("text_md5"))
+
+
+@query
+def capped_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's sentences as the claims of an answer, of which the first 250 count."""
+    claim = F.transform(sentences(F.col("text")), lambda s: F.struct(s["text"].alias("text"), F.lit("c0").alias("chunk_id"), s["text"].alias("quote")))
+    answered = documents(spark, sf_dir).select(F.col("doc_id").alias("question_id"), claim.alias("claims"))
+    claims_ = answers.claims_of(answered)
+    last = F.max_by(F.struct("claim_id", F.md5("text").alias("text_md5")), "claim_idx").alias("last")
+    return claims_.groupBy("question_id").agg(F.count("*").alias("n"), last).select(F.col("question_id").alias("doc_id"), "n", F.col("last.claim_id").alias("last_claim"), F.col("last.text_md5").alias("last_md5"))
+
+
 @query
 def index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_stats(indexed(_chunks(spark, sf_dir))).withColumn("avg_length", F.round("avg_length", 6))
@@ -555,6 +575,20 @@ def streamed_board(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streaming.board_now(spark, to).select("task_id", "label", "state", F.col("attempts").cast("long").alias("attempts"))
 
 
+@query
+def repeated_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events by task, streamed to a folder whose batches are then written once more, as after a failure: each event is there once."""
+    source, path = folder(spark, "given"), folder(spark, "published")
+    none = spark.createDataFrame([], "seq long, phase string, detail string")
+    given = streaming.run_events(none, task_events(spark, sf_dir).withColumn("phase", F.lit("draft")))
+    given.repartition(4, "seq").write.json(source)
+    stream = spark.readStream.schema(streaming.EVENT).option("maxFilesPerTrigger", 2).json(source)
+    for checkpoint in ("first", "lost"):  # without its checkpoint, a stream begins again
+        streaming.events_to(stream, path, f"{folder(spark, checkpoint)}").awaitTermination()
+    rows = streaming.read_events(spark, path)
+    return rows.groupBy("task_id").agg(F.count("*").alias("n"), F.min("seq").alias("first"), F.max("seq").alias("last"), F.sum("attempts").alias("attempts"))
+
+
 @query
 def joined_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same board, of lines that arrive as bytes cut anywhere, most of them in two: some before a stream stops, the others after it goes on."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -21,6 +22,35 @@ def write_events(events: DataFrame, path: str) -> None:
     events.write.mode("append").json(path)
 
 
+def publish_batch(events: DataFrame, path: str, batch: int) -> bool:
+    """Write a batch of events to a folder once: aside first, then under its number in one step; False if it is there already.
+
+    An attempt that fails leaves nothing that readers see, and a batch that is
+    repeated, after a failure or by two writers at a time, counts once.
+    """
+    spark = events.sparkSession
+    path_of = spark._jvm.org.apache.hadoop.fs.Path
+    target, aside = path_of(f"{path}/batch={batch}"), path_of(f"{path}/_aside/{uuid.uuid4().hex}")
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.exists(target):
+        return False
+    events.write.json(aside.toString())
+    # renaming into a folder that came meanwhile would nest this one in it
+    published = not files.exists(target) and files.rename(aside, target)
+    if files.exists(path_of(target, aside.getName())):
+        files.delete(path_of(target, aside.getName()), True)
+        published = False
+    if not published:
+        files.delete(aside, True)
+    return published
+
+
+def events_to(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Start writing a stream of events to a folder, each batch once."""
+    batches = events.writeStream.foreachBatch(lambda rows, number: publish_batch(rows, path, number) and None)
+    return batches.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def read_events(spark: SparkSession, path: str) -> DataFrame:
     """Events of a folder; blank and cut-off lines are passed over."""
     lines = spark.read.schema(f"{EVENT}, _broken string").option("columnNameOfCorruptRecord", "_broken").json(path)

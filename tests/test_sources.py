@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from quoteloom.sources import documents as sources
@@ -114,3 +115,17 @@ def test_streamed_budget(spark, tmp_path):
     streaming.answered_to(out, to).awaitTermination()
     found = {r.id: (r.verdict, r.retry_at_ms) for r in spark.read.parquet(f"{to}/answers").collect()}
     assert found == {"a": ("ok", None), "b": ("window_full", 60_000), "c": ("window_full", 60_000), "d": ("ok", None), "e": ("exceeds_ceiling", None), "f": ("ok", None)}
+
+
+def test_a_batch_is_published_once(spark, tmp_path):
+    path = str(tmp_path / "events")
+    phases = spark.createDataFrame([(0, "retrieving", "a"), (1, "done", "b")], "seq long, phase string, detail string")
+    none = spark.createDataFrame([], "seq long, phase string, task_id string, label string, state string, attempts int")
+    events = streaming.run_events(phases, none)
+    assert streaming.publish_batch(events, path, 0) and not streaming.publish_batch(events, path, 0)
+    assert streaming.publish_batch(events.where("seq = 1"), path, 1)
+    broken = events.withColumn("phase", F.raise_error(F.lit("lost")).cast("string"))
+    with pytest.raises(Exception, match="lost"):
+        streaming.publish_batch(broken, path, 2)
+    assert sorted(r.seq for r in streaming.read_events(spark, path).collect()) == [0, 1, 1]
+    assert streaming.publish_batch(events, path, 2) and streaming.read_events(spark, path).count() == 5
