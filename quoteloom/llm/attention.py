@@ -113,6 +113,7 @@ class Attention:
         self.params.append(log_prior.astype(np.float32).copy())
         self.mask = np.tri(WINDOW, dtype=np.float32)
         self.scale = np.float32(1 / np.sqrt(d))
+        self.cells = np.arange(self.params[0].size).reshape(-1, d)  # of the embedding laid flat
 
     def flat(self) -> np.ndarray:
         return np.concatenate([p.reshape(-1) for p in self.params])
@@ -124,19 +125,20 @@ class Attention:
             at += p.size
         return self
 
-    def _mixed(self) -> np.ndarray:
+    def _mixed(self) -> tuple[np.ndarray, np.ndarray]:
         """Query by key, and value by output: as only these products count, half the columns are multiplied."""
         _, _, wq, wk, wv, wo = self.params[:6]
-        return np.concatenate([(wq * self.scale) @ wk.T, wv @ wo], 1)
+        return (wq * self.scale) @ wk.T, wv @ wo
 
     def hidden(self, inputs: np.ndarray, keep: bool = False, least: int = 0):
         """Hidden states of windows of input classes, from the place ``least`` on."""
         x = self.params[0].take(inputs, 0)
         x += self.params[1]
         mixed = self._mixed()
-        # one product over all windows; a stack of windows would be one each
-        both = (x.reshape(-1, WIDTH) @ mixed).reshape(*inputs.shape, 2 * WIDTH)
-        t, y, keys, mask = both[:, least:, :WIDTH], both[..., WIDTH:], x.transpose(0, 2, 1), self.mask[least:]
+        # one product over all windows, as a stack of windows would be one each; halves of one matrix would be copied by every product
+        flat = x.reshape(-1, WIDTH)
+        t, y = (flat @ mixed[0]).reshape(x.shape)[:, least:], (flat @ mixed[1]).reshape(x.shape)
+        keys, mask = x.transpose(0, 2, 1), self.mask[least:]
         ones = np.ones(WINDOW, x.dtype)
         with np.errstate(over="ignore", invalid="ignore"):
             a = t @ keys
@@ -155,21 +157,20 @@ class Attention:
         h = x[:, least:] + o
         return (h, x, t, y, a, total, o, mixed) if keep else h
 
-    def _odds(self, h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Odds of the classes: (p, by class what p is to be multiplied by, each row's total, logarithms at ``at`` of p laid flat)."""
+    def _odds(self, h: np.ndarray, at: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]:
+        """Odds of the classes: (p, by class what p is to be multiplied by, each row's total, logarithms at ``at`` of p laid flat if asked for)."""
         u, b = self.params[6:]
         with np.errstate(over="ignore", invalid="ignore"):
             p = h @ u
-            chosen = p.reshape(-1).take(at)
+            chosen = None if at is None else p.reshape(-1).take(at) + b.take(at % len(b))
             np.exp(p, out=p)
             factor = np.exp(b)
             total = p @ factor
-        chosen += b.take(at % len(b))
         if not (_small(total) and factor.min() > 1e-15):
             p = h @ u
             p += b
             p -= p.max(-1, keepdims=True)
-            chosen = p.reshape(-1).take(at)
+            chosen = None if at is None else p.reshape(-1).take(at)
             np.exp(p, out=p)
             factor = np.ones_like(b)
             total = p @ factor
@@ -184,7 +185,7 @@ class Attention:
         hs = h.reshape(-1, WIDTH).take(some, 0)
         hit = targets[:, least:].reshape(-1).take(some)
         at = np.arange(0, len(hit) * len(u.T), len(u.T)) + hit
-        p, factor, odds, _ = self._odds(hs, at)
+        p, factor, odds, _ = self._odds(hs)
         p.reshape(-1)[at] -= odds / factor.take(hit)
         weight = 1 / (max(1, len(some)) * odds)
         dh = np.zeros_like(h)
@@ -197,16 +198,16 @@ class Attention:
         o *= do
         da -= (o.reshape(-1, WIDTH) @ np.ones(WIDTH, o.dtype)).reshape(*total.shape)
         da *= a
-        d = np.empty((*inputs.shape, 2 * WIDTH), x.dtype)
-        d[:, :least, :WIDTH] = 0
-        d[:, least:, :WIDTH] = da @ x
-        d[..., WIDTH:] = a.transpose(0, 2, 1) @ do
-        dx = (d.reshape(-1, 2 * WIDTH) @ mixed.T).reshape(x.shape)
+        dt = np.zeros_like(x)
+        np.matmul(da, x, out=dt[:, least:])
+        dy = a.transpose(0, 2, 1) @ do
+        flat, dt_flat, dy_flat = (z.reshape(-1, WIDTH) for z in (x, dt, dy))
+        dx = (dt_flat @ mixed[0].T).reshape(x.shape)
+        dx += (dy_flat @ mixed[1].T).reshape(x.shape)
         dx += da.transpose(0, 2, 1) @ t
         dx[:, least:] += dh
-        dm = x.reshape(-1, WIDTH).T @ d.reshape(-1, 2 * WIDTH)
-        dqk, dvo = self.scale * dm[:, :WIDTH], dm[:, WIDTH:]
-        cell = inputs.reshape(-1, 1) * WIDTH + np.arange(WIDTH)
+        dqk, dvo = self.scale * (flat.T @ dt_flat), flat.T @ dy_flat
+        cell = self.cells.take(inputs.reshape(-1), 0)
         return [
             np.bincount(cell.reshape(-1), dx.reshape(-1), self.params[0].size).reshape(-1, WIDTH).astype(x.dtype),
             dx.sum(0),
@@ -218,7 +219,7 @@ class Attention:
             (weight @ p) * factor,
         ]
 
-    def train(self, inputs: np.ndarray, targets: np.ndarray, live: np.ndarray, rate: float = 0.01, batch: int = 32) -> None:
+    def train(self, inputs: np.ndarray, targets: np.ndarray, live: np.ndarray, rate: float = 0.02, batch: int = 64) -> None:
         """One pass over windows, by Adam."""
         flat = self.flat()
         first, second = np.zeros_like(flat), np.zeros_like(flat)
@@ -275,10 +276,13 @@ def sums_of(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def log_probabilities(model: Attention, classes: Classes, tokens: np.ndarray, counts: np.ndarray, at_once: int = 32) -> np.ndarray:
+def log_probabilities(model: Attention, classes: Classes, tokens: np.ndarray, counts: np.ndarray, at_once: int = 64) -> np.ndarray:
     """log10 probability of each text, of token ids laid end to end."""
     kinds = classes.of[tokens]
     plan = windows(counts)
+    # windows that begin a text apart, as of the others the first places are not asked for
+    order = np.argsort(plan[2], kind="stable")
+    plan = tuple(x[order] for x in plan)
     score = np.zeros(len(tokens), np.float64)
     for a in range(0, len(plan[0]), 64 * at_once):
         inputs, targets, live, at = gathered(kinds, counts, classes.count, slice(a, a + 64 * at_once), plan)

@@ -416,6 +416,7 @@ def unpacked(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Inputs, targets and which of them are scored, of windows as :func:`training_data` writes them."""
     grid = np.frombuffer(b"".join(rows), np.uint8).reshape(-1, PACKED)[:, 4:].astype(np.int64)
     place = np.arange(WINDOW)
+    grid = grid[np.argsort(grid[:, 0], kind="stable")]  # windows that begin a text first: of the others, the first places are not asked for
     live = (place < grid[:, 1:2]) & (place >= grid[:, :1])
     return grid[:, 2:-1], grid[:, 3:], live
 
@@ -450,7 +451,7 @@ def train(data: DataFrame, classes: Classes, rounds: int, sums: int = 32) -> np.
                 for a, z in zip(edges := np.flatnonzero(np.diff(group, prepend=-1, append=-1)), edges[1:]):
                     model = Attention(classes.count, classes.log_prior).load(weights)
                     for at in range(a, z, 2 * GROUP):
-                        model.train(*unpacked([rows[at : min(z, at + 2 * GROUP)].tobytes()]), rate=0.01 / (turn + 1))
+                        model.train(*unpacked([rows[at : min(z, at + 2 * GROUP)].tobytes()]), rate=0.02 / (turn + 1))
                     name = int(group[a])
                     row = ((name % sums, pa.int64()), (name, pa.int64()), (int(z - a), pa.int64()), (model.flat().astype(np.float64).tobytes(), pa.binary()))
                     yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in row], ["slot", "group", "seen", "weights"])

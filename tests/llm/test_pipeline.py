@@ -51,7 +51,7 @@ def test_stages_take_empty_tables(spark, sf_dir):
 
 
 def test_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES if n.startswith("op")) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES if n.startswith("op")) == list(range(1, 14))
     assert set(ORACLES) <= set(QUERIES) and decontaminate is not None
 
 
