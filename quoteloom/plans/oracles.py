@@ -1,4 +1,9 @@
-"""DuckDB SQL with the same rows as the registered queries."""
+"""DuckDB SQL with the same rows as the registered queries.
+
+Word lists, networks, element names and frames of prompts are the engine's own,
+imported: a wrong entry would be wrong on both sides.  Tests of the functions
+that use them hold them against literal outcomes.
+"""
 
 from __future__ import annotations
 

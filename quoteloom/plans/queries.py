@@ -785,8 +785,7 @@ def run_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events of a whole run, written as lines and read back: how many of each kind, and what they carry."""
     run, path = _run(spark, sf_dir), folder(spark, "run")
     phases = spark.createDataFrame([(i, p, p) for i, p in enumerate(("retrieving", "drafting", "checking", "entailing", "done"))], "seq long, phase string, detail string")
-    by_id = Window.orderBy("task_id")  # a run's tasks are few
-    tasks = run.tasks.withColumn("seq", F.lit(10) + F.row_number().over(by_id)).withColumn("label", F.lit(None).cast("string"))
+    tasks = numbered(run.tasks, ("task_id",), "n", "ended").withColumn("seq", F.col("n") + 11).withColumn("label", F.lit(None).cast("string")).drop("n")
     asked = run.result.questions
     pending = run.result.pending.groupBy("question_id").agg(F.sort_array(F.collect_list("claim_id")).alias("claims"))
     others = {
