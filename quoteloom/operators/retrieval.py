@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import BM25_B, BM25_K1, COVERAGE_FLOOR, TOP_K
+from ..constants import COVERAGE_FLOOR, TOP_K
 from ..functions.text import fold, tokens
+from ..sources.tables import saved
+from .scoring import asked_blocks, best_passages, ranks
 
 
 def idf(n: Column, df: Column) -> Column:
@@ -41,49 +43,26 @@ def asked_terms(questions: DataFrame) -> DataFrame:
     return questions.select("question_id", terms.alias("terms")).select("question_id", F.size("terms").alias("n_terms"), F.posexplode("terms").alias("pos", "term"))
 
 
-def postings(index: DataFrame, asked: DataFrame) -> DataFrame:
-    """(term, chunk_id, place, length, f) of the terms asked for: no other leaves the scan, and counts are partial in each task."""
-    return (
-        index.select("chunk_id", "place", "length", F.explode_outer("terms").alias("term"))  # outer: see chunk_documents
-        .join(asked.select("term").distinct(), "term", "left_semi")
-        .groupBy("term", "chunk_id", "place", "length")
-        .agg(F.count("*").alias("f"))
-    )
-
-
-def ranked(held: DataFrame, df: DataFrame, stats: DataFrame, asked: DataFrame, top_k: int) -> DataFrame:
-    """(question_id, rank, chunk_id, score, coverage), from postings, the passages of each term (term, df), and the one row of :func:`corpus_stats`.
-
-    Ties keep document order; a score is summed in the order of the question's
-    terms, so it is the same on every run.
-    """
-    weighted = asked.join(df, "term").crossJoin(F.broadcast(stats))
+def weighted(asked: DataFrame, df: DataFrame, stats: DataFrame) -> DataFrame:
+    """Terms asked for with their weight (idf) and the passages' average length, from the passages of each term (term, df) and the one row of :func:`corpus_stats`."""
     average = F.when(F.col("avg_length") == 0, 1.0).otherwise(F.col("avg_length"))
-    norm = F.col("f") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("length") / average)
-    part = idf(F.col("n"), F.col("df")) * (F.col("f") * (BM25_K1 + 1)) / norm
-    parts = held.join(weighted, "term").select("question_id", "n_terms", "chunk_id", "place", F.struct("pos", part.alias("part")).alias("part"))
-    scored = parts.groupBy("question_id", "n_terms", "chunk_id", "place").agg(F.array_sort(F.collect_list("part")).alias("parts"))
-    scored = scored.select(
-        "question_id",
-        "chunk_id",
-        "place",
-        F.aggregate("parts", F.lit(0.0), lambda a, p: a + p["part"]).alias("score"),
-        (F.size("parts") / F.col("n_terms")).alias("coverage"),
-    ).where("score > 0")
-    best = Window.partitionBy("question_id").orderBy(F.desc("score"), "place")
-    found = scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top_k)
-    return found.select("question_id", "rank", "chunk_id", "score", "coverage")
+    rows = asked.join(df, "term").crossJoin(F.broadcast(stats))
+    return rows.select("question_id", "n_terms", "pos", "term", idf(F.col("n"), F.col("df")).alias("idf"), average.alias("average"))
 
 
 def search(index: DataFrame, questions: DataFrame, top_k: int = TOP_K) -> DataFrame:
-    """(question_id, rank, chunk_id, score, coverage): the best passages of each question, in one pass over all of them.
+    """(question_id, rank, chunk_id, score, coverage): the best passages of each question; passages are scored where they lie.
 
+    Ties, equal to nine places, keep document order; a score is summed in the
+    order of the question's terms, so it is the same on every run.
     For batch after batch, :mod:`quoteloom.operators.stored_index` keeps postings.
     """
-    asked = asked_terms(questions)
-    held = postings(index, asked)
-    df = held.groupBy("term").agg(F.count("*").alias("df"))
-    return ranked(held, df, corpus_stats(index), asked, top_k)
+    asked = saved(asked_terms(questions), "asked")
+    held = index.select(F.explode_outer(F.array_distinct("terms")).alias("term"))  # outer: see chunk_documents
+    df = held.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    paths = asked_blocks(weighted(asked, df, corpus_stats(index)))
+    found = best_passages(index, paths, asked.schema["question_id"].dataType.simpleString(), top_k)
+    return ranks(found, top_k).select("question_id", "rank", "chunk_id", "score", "coverage")
 
 
 def gate(questions: DataFrame, retrieved: DataFrame, floor: float = COVERAGE_FLOOR) -> DataFrame:
