@@ -5,6 +5,7 @@ Offsets are in code points.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import lru_cache
 
@@ -15,10 +16,13 @@ from pyspark.sql import types as T
 
 from ..constants import ABBREVIATIONS, CHARS_PER_TOKEN, SPACE, STOPWORDS
 
+#: The characters of ``SPACE``, one by one.
+_SPACES = "".join(char for char in map(chr, range(0x10000)) if re.match(f"[{SPACE}]", char))
+
 
 def js_trim(text: Column) -> Column:
     """Without white space, in the ECMAScript sense, at either end."""
-    return F.regexp_replace(text, rf"^[{SPACE}]+|[{SPACE}]+\z", "")
+    return F.btrim(text, F.lit(_SPACES))
 
 
 def fold_char(char: str) -> str:
@@ -65,17 +69,23 @@ def _class(chars) -> str:
 def fold(text: Column) -> Column:
     """Lower case a-z0-9 words with single blanks between: case, accents, punctuation and spacing make no difference.
 
-    All of it runs in the JVM: one translation for characters that become one
-    character or none; those that become several (ligatures, fractions) are
-    spelled out only in texts that have any.
+    All of it runs in the JVM: texts of ASCII are lower-cased; in others, one
+    translation for characters that become one character or none, and those that
+    become several (ligatures, fractions) spelled out where a text has any.
     """
+    # a lambda names the text, which may be costly to work out, once
+    return F.transform(F.array(text), _fold)[0]
+
+
+def _fold(text: Column) -> Column:
     source, target, many = _fold_tables()
     listed = "\u0002".join(f"{char}\u0003{out}" for char, out in many.items())
     spelled = F.str_to_map(F.lit(listed), F.lit("\u0002"), F.lit("\u0003"))
     parts = F.transform(F.split(text, ""), lambda c: F.coalesce(F.element_at(spelled, c), c))
-    any_of = text.rlike(f"[{min(many)}-\uffff]") & text.rlike(_class(many))
-    text = F.when(any_of, F.array_join(parts, "")).otherwise(text)
-    return F.trim(F.regexp_replace(F.translate(text, source, target), "[^a-z0-9]+", " "))
+    any_of = text.rlike(rf"(?=[{min(many)}-\uffff]){_class(many)}")  # most places fail at the look-ahead, which is one range
+    lowered = F.translate(F.when(any_of, F.array_join(parts, "")).otherwise(text), source, target)
+    lowered = F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(lowered)
+    return F.trim(F.regexp_replace(lowered, "[^a-z0-9]+", " "))
 
 
 def folded_words(folded: Column) -> Column:
@@ -127,8 +137,7 @@ def project_span(texts: pd.Series, starts: pd.Series, lengths: pd.Series) -> pd.
 
 def tokens(folded: Column) -> Column:
     """Words of a folded text of more than one character that carry weight, repeats included."""
-    stop = F.array(*map(F.lit, STOPWORDS))
-    return F.filter(F.split(folded, " "), lambda w: (F.length(w) > 1) & ~F.array_contains(stop, w))
+    return F.filter(F.split(folded, " "), lambda w: (F.length(w) > 1) & ~w.isin(*STOPWORDS))
 
 
 def estimate_tokens(text: Column) -> Column:
@@ -157,12 +166,17 @@ def sentences(text: Column) -> Column:
     safe = F.translate(text, _MARK, " ")
     marked = F.regexp_replace(safe, _END, f"$1{_MARK}")
     marked = F.regexp_replace(marked, r"\n(?=[ \t]*\r?\n)", f"{_MARK}\n")
+
+    def measured(piece: Column) -> Column:
+        size, left = F.length(piece), F.length(F.ltrim(piece, F.lit(_SPACES)))
+        return F.struct(js_trim(piece).alias("text"), size.alias("size"), (size - left).alias("lead"))
+
     def add(state: Column, piece: Column) -> Column:
-        bare = js_trim(piece)
-        start = state["at"] + F.length(piece) - F.length(F.regexp_replace(piece, rf"^[{SPACE}]+", ""))
-        one = F.struct(bare.alias("text"), start.alias("start"), (start + F.length(bare)).alias("end"))
-        found = F.when(bare == "", state["found"]).otherwise(F.concat(state["found"], F.array(one)))
-        return F.struct((state["at"] + F.length(piece)).alias("at"), found.alias("found"))
+        start = state["at"] + piece["lead"]
+        one = F.struct(piece["text"].alias("text"), start.alias("start"), (start + F.length(piece["text"])).alias("end"))
+        found = F.when(piece["text"] == "", state["found"]).otherwise(F.concat(state["found"], F.array(one)))
+        return F.struct((state["at"] + piece["size"]).alias("at"), found.alias("found"))
 
+    # pieces are trimmed and measured once each, before they are placed
     zero = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("found"))
-    return F.aggregate(F.split(marked, _MARK), zero, add, lambda s: s["found"])
+    return F.aggregate(F.transform(F.split(marked, _MARK), measured), zero, add, lambda s: s["found"])
