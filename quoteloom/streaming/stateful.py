@@ -7,6 +7,7 @@ source's ``maxFilesPerTrigger`` bounds.
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -107,56 +108,87 @@ class Waiting(StatefulProcessor):
         self.clock = handle.getValueState("clock", "at_ms long")
 
     def _load(self) -> None:
-        self.held = [list(x) for x in self.kept.get()] if self.kept.exists() else []
-        self.queue = [tuple(x) for x in self.line.get()] if self.line.exists() else []
+        self.held = deque(list(x) for x in self.kept.get()) if self.kept.exists() else deque()  # in order of admission
+        self.spent = sum(e[2] for e in self.held)
+        self.queue: deque[list] = deque()
+        self.waits: dict[str, deque[list]] = {}  # of each id; what is given up leaves the line when its turn comes
+        for x in self.line.get() if self.line.exists() else ():
+            self._wait(*x)
         self.now = self.clock.get()[0] if self.clock.exists() else None
         self.told: list[tuple] = []
 
+    def _wait(self, id_: str, at: int, tokens: int) -> None:
+        entry = [id_, at, tokens, True]
+        self.queue.append(entry)
+        self.waits.setdefault(id_, deque()).append(entry)
+
+    def _head(self) -> list | None:
+        """What is first in line."""
+        while self.queue and not self.queue[0][3]:
+            self.queue.popleft()
+        return self.queue[0] if self.queue else None
+
     def _store(self, key) -> pd.DataFrame:
-        for state, rows in ((self.kept, [tuple(x) for x in self.held]), (self.line, self.queue)):
+        for state, rows in ((self.kept, [tuple(x) for x in self.held]), (self.line, [tuple(x[:3]) for x in self.queue if x[3]])):
             state.put(rows) if rows else state.clear()
         if self.now is not None:
             self.clock.update((self.now,))
         for at in list(self.handle.listTimers()):
             self.handle.deleteTimer(at)
-        if self.queue:
+        if self._head():
             self.handle.registerTimer(self._room())
         return _frame([(key[0], *row) for row in self.told], ADMITTED)
 
+    def _expire(self) -> None:
+        while self.held and self.held[0][1] <= self.now - self.window_ms:
+            self.spent -= self.held.popleft()[2]
+
     def _room(self) -> int:
-        """The first time from now on at which the head of the line fits."""
-        tokens = self.queue[0][2]
-        for at in sorted({self.now, *(e[1] + self.window_ms for e in self.held)}):
-            if at >= self.now and sum(e[2] for e in self.held if e[1] > at - self.window_ms) + tokens <= self.limit:
+        """The first time from now on at which the head of the line fits; what has left the window by now is gone already."""
+        left = self.limit - self.queue[0][2]
+        spent, at = self.spent, self.now
+        for e in self.held:
+            if spent <= left:
                 return at
+            spent, at = spent - e[2], e[1] + self.window_ms
+        if spent <= left:
+            return at
         raise AssertionError("an empty window has room for what is no larger than it")
 
     def _advance(self, until: int) -> None:
         """Admit what the line's head onwards gets room for, up to a time."""
         self.now = until if self.now is None else self.now
-        while self.queue and (at := self._room()) <= until:
-            id_, asked, tokens = self.queue.pop(0)
+        self._expire()
+        while self._head() and (at := self._room()) <= until:
+            id_, asked, tokens, _ = self.queue.popleft()
+            self.waits[id_].popleft()  # an id's entries are in the order of the line
+            if not self.waits[id_]:
+                del self.waits[id_]
             self.held.append([id_, at, tokens])
+            self.spent += tokens
             self.told.append((id_, asked, tokens, "ok", at))
             self.now = at
+            self._expire()
         self.now = max(self.now, until)
-        self.held = [e for e in self.held if e[1] > self.now - self.window_ms]
+        self._expire()
 
     def _take(self, op: str, id_: str, at: int, tokens: int) -> None:
         self._advance(at)
         if op == "reserve" and tokens > self.limit:
             self.told.append((id_, at, tokens, "exceeds_ceiling", None))
         elif op == "reserve":
-            self.queue.append((id_, at, tokens))
+            self._wait(id_, at, tokens)
         elif op == "release":
-            for waits in [x for x in self.queue if x[0] == id_]:
-                self.told.append((*waits, "released", None))
-            self.queue = [x for x in self.queue if x[0] != id_]
-            self.held = [e for e in self.held if e[0] != id_]
+            for entry in self.waits.pop(id_, ()):
+                entry[3] = False
+                self.told.append((*entry[:3], "released", None))
+            self.held = deque(e for e in self.held if e[0] != id_)
+            self.spent = sum(e[2] for e in self.held)
         elif op == "reconcile":
             for e in self.held:
                 if e[0] == id_:
                     e[2] = max(e[2], tokens, 0)
+            self.spent = sum(e[2] for e in self.held)
         self._advance(at)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
