@@ -2,77 +2,64 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import CHUNK_MIN, CHUNK_OVERLAP, CHUNK_TARGET
-from ..functions.text import js_trim, sentences
+from ..functions.text import MARK, by_text, is_blank, sentence_spans
+from ..sources.tables import arrow_batches
 from .numbering import as_ranges, numbered
 
-_MARK = "\u0001"
-_SPANS = "array<struct<start:int,end:int>>"
-
+_GAP = re.compile(r"\n[ \t]*\r?\n")
 
-def _span(start: Column, end: Column) -> Column:
-    return F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"))
 
-
-def segments(text: Column, longest: int = CHUNK_TARGET) -> Column:
+def segments(text: str, longest: int = CHUNK_TARGET) -> Iterator[tuple[int, int]]:
     """Spans that passages are made of: paragraphs, or the sentences of a long one, or slices of one that has none."""
-    marked = F.regexp_replace(F.translate(text, _MARK, " "), r"(\n[ \t]*\r?\n)", f"{_MARK}$1{_MARK}")
-    kind = "array<struct<start:int,piece:string>>"
-
-    def place(state: Column, piece: Column) -> Column:
-        one = F.struct(state["at"].alias("start"), piece.alias("piece"))
-        kept = state["gap"] | (js_trim(piece) == "")
-        found = F.when(kept, state["found"]).otherwise(F.concat(state["found"], F.array(one)))
-        return F.struct((state["at"] + F.length(piece)).alias("at"), (~state["gap"]).alias("gap"), found.alias("found"))
-
-    zero = F.struct(F.lit(0).alias("at"), F.lit(False).alias("gap"), F.array().cast(kind).alias("found"))
-    paragraphs = F.aggregate(F.split(marked, _MARK), zero, place, lambda s: s["found"])
-
-    def cut(p: Column) -> Column:
-        start, piece = p["start"], p["piece"]
-        size = F.length(piece)
-        whole = F.array(_span(start, start + size))
-        slices = F.transform(F.sequence(F.lit(0), size - 1, F.lit(longest)), lambda i: _span(start + i, start + F.least(size, i + longest)))
-        slices = F.filter(slices, lambda s: js_trim(piece.substr(s["start"] - start + 1, s["end"] - s["start"])) != "")
-        inner = F.transform(
-            F.array(sentences(piece)),  # named once, as it is used twice
-            lambda found: F.when(F.size(found) <= 1, slices).otherwise(F.transform(found, lambda s: _span(start + s["start"], start + s["end"]))),
-        )
-        return F.when(size <= longest, whole).otherwise(inner[0])
-
-    return F.flatten(F.transform(paragraphs, cut))
+    text = text.replace(MARK, " ")
+    gaps = [found.span() for found in _GAP.finditer(text)]
+    for start, end in zip([0, *(z for _, z in gaps)], [*(a for a, _ in gaps), len(text)]):
+        piece = text[start:end]
+        if is_blank(piece):
+            continue
+        if len(piece) <= longest:
+            yield start, end
+            continue
+        found = sentence_spans(piece)
+        if len(found) <= 1:
+            found = [(a, min(a + longest, len(piece))) for a in range(0, len(piece), longest)]
+            found = [(a, z) for a, z in found if not is_blank(piece[a:z])]
+        yield from ((start + a, start + z) for a, z in found)
+
+
+def spans_of(text: str, target: int, overlap: int, least: int) -> list[tuple[int, int]]:
+    """Spans of a text's passages, see :func:`chunk_spans`."""
+    done: list[tuple[int, int]] = []
+    start, end = 0, -1
+    for low, high in segments(text, target):
+        if end == -1:
+            start = low
+        elif high - start > target:
+            done.append((start, end))
+            start = min(max(start, end - overlap), low)
+        end = high
+    if end == -1:
+        return done
+    if done and end - start < least:
+        start = done.pop()[0]
+    return [*done, (start, end)]
 
 
 def chunk_spans(text: Column, target: int = CHUNK_TARGET, overlap: int = CHUNK_OVERLAP, least: int = CHUNK_MIN) -> Column:
     """Spans of a text's passages: as many segments as fit, each passage beginning in the end of the one before.
 
-    A last passage that is too short joins the one before it.
+    A last passage that is too short joins the one before it.  A text is gone
+    through once, however many passages it has.
     """
-    kind = f"struct<done:{_SPANS},start:int,end:int>"
-
-    def add(state: Column, seg: Column) -> Column:
-        first, fits = state["end"] == -1, seg["end"] - state["start"] <= target
-        again = F.least(F.greatest(state["start"], state["end"] - overlap), seg["start"])
-        closed = F.concat(state["done"], F.array(_span(state["start"], state["end"])))
-        return F.struct(
-            F.when(first | fits, state["done"]).otherwise(closed).alias("done"),
-            F.when(first, seg["start"]).when(fits, state["start"]).otherwise(again).alias("start"),
-            seg["end"].alias("end"),
-        ).cast(kind)
-
-    def finish(state: Column) -> Column:
-        n = F.size(state["done"])
-        last = F.array(_span(state["start"], state["end"]))
-        runt = (n > 0) & (state["end"] - state["start"] < least)
-        before = F.element_at(state["done"], -1)
-        joined = F.concat(F.slice(state["done"], F.lit(1), n - 1), F.array(_span(before["start"], state["end"])))
-        return F.when(state["end"] == -1, F.array().cast(_SPANS)).when(runt, joined).otherwise(F.concat(state["done"], last))
-
-    zero = F.struct(F.array().cast(_SPANS).alias("done"), F.lit(0).alias("start"), F.lit(-1).alias("end")).cast(kind)
-    return F.aggregate(segments(text, target), zero, add, finish)
+    return by_text(lambda t: spans_of(t, target, overlap, least), start=pa.int32(), end=pa.int32())(text)
 
 
 def running_sum(rows: DataFrame, order: str, value: str, into: str, stride: int = 65_536) -> DataFrame:
@@ -107,6 +94,7 @@ def chunk_documents(docs: DataFrame, target: int = CHUNK_TARGET, overlap: int =
     A document's passages are made where it lies; only documents out of order are
     dealt by ranges of it first.
     """
+    arrow_batches(docs.sparkSession)
     docs = as_ranges(docs, "doc_order")
     # outer, as a plain explode makes Spark compute the spans twice, to filter out empty ones first
     spans = docs.select("doc_id", "doc_order", "title", "text", F.posexplode_outer(chunk_spans(F.col("text"), target, overlap, least)).alias("index", "span")).where("span is not null")
