@@ -95,6 +95,29 @@ def _fold(text: Column) -> Column:
     return F.trim(F.regexp_replace(lowered, "[^a-z0-9]+", " "))
 
 
+@lru_cache(maxsize=1)
+def _code_tables() -> tuple[bytes, np.ndarray, re.Pattern, dict[str, str]]:
+    """What each ASCII character folds to; each code point, 0 for nothing, the last for all beyond the basic plane; and the characters that fold to several."""
+    gone_last, to, many = _fold_tables()
+    table = np.full(0x10001, 32, np.uint8)
+    for code in range(128):
+        table[code] = ord(fold_char(chr(code)))
+    codes = np.array([ord(c) for c in gone_last])
+    table[codes] = 0
+    table[codes[: len(to)]] = np.frombuffer(to.encode(), np.uint8)
+    return table[:256].tobytes(), table, re.compile(_class(many)), many
+
+
+def fold_words(text: str) -> list[bytes]:
+    """The words of a text as :func:`fold` folds it, within tasks."""
+    ascii_, table, several, many = _code_tables()
+    if text.isascii():
+        return text.encode().translate(ascii_).split()
+    text = several.sub(lambda found: many[found[0]], text)
+    out = table[np.minimum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), 0x10000)]
+    return out[out != 0].tobytes().split()
+
+
 def folded_words(folded: Column) -> Column:
     """Number of words of a folded text."""
     return F.when(folded == "", 0).otherwise(F.size(F.split(folded, " ")))
@@ -147,6 +170,20 @@ def tokens(folded: Column) -> Column:
     return F.filter(F.split(folded, " "), lambda w: (F.length(w) > 1) & ~w.isin(*STOPWORDS))
 
 
+_WEIGHTLESS = frozenset(w.encode() for w in STOPWORDS)
+
+
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def _terms(texts: pa.Array) -> pa.Array:
+    rows = [None if t is None else [w for w in fold_words(t) if len(w) > 1 and w not in _WEIGHTLESS] for t in texts.to_pylist()]
+    return pa.array(rows, pa.list_(pa.string()))
+
+
+def terms_of(text: Column) -> Column:
+    """:func:`tokens` of a table's texts, folded, worked out in Python; it can't stand within a lambda."""
+    return _terms(F.make_valid_utf8(text))
+
+
 def estimate_tokens(text: Column) -> Column:
     """Model tokens of a text, estimated from its length."""
     return F.when(text == "", F.lit(0).cast("long")).otherwise(F.ceil(F.length(text) / F.lit(CHARS_PER_TOKEN)))

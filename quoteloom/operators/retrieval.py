@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import COVERAGE_FLOOR, TOP_K
-from ..functions.text import fold, tokens
-from ..sources.tables import saved
+from ..functions.text import fold, terms_of, tokens
+from ..sources.tables import arrow_batches, saved
 from .scoring import asked_blocks, best_passages, ranks
 
 
@@ -17,10 +17,11 @@ def idf(n: Column, df: Column) -> Column:
 
 def indexed(chunks: DataFrame, id_col: str = "chunk_id", order_cols: tuple[str, ...] = ("doc_order", "index")) -> DataFrame:
     """(chunk_id, place, terms, length) of each passage; ``place`` orders passages as documents do."""
+    arrow_batches(chunks.sparkSession)
     return chunks.select(
         F.col(id_col).alias("chunk_id"),
         F.struct(*order_cols).alias("place"),
-        tokens(fold(F.col("text"))).alias("terms"),
+        terms_of(F.col("text")).alias("terms"),
     ).withColumn("length", F.size("terms"))
 
 
