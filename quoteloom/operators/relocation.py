@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import fold, fold_map, project
+from ..functions.text import fold_map, fold_words, project
 from ..sources.tables import arrow_batches, open_input, saved
 
 #: Inner words of an anchor, at most.
@@ -142,9 +142,10 @@ def _scan(batches: Iterator[pa.RecordBatch], blocks: list[str]) -> Iterator[pa.R
     least: dict[str, np.ndarray] = {}  # order of the first document told of, by quote
 
     def told(group: list[pa.RecordBatch]) -> pa.RecordBatch:
-        columns = [pa.concat_arrays([b.column(i) for b in group]) for i in range(5)]
-        ids, order, hashes, texts, folded = columns[0], columns[1].to_numpy(), columns[2].to_numpy(), columns[3], [f or "" for f in columns[4].to_pylist()]
-        words = Words([f.encode() for f in folded])
+        columns = [pa.concat_arrays([b.column(i) for b in group]) for i in range(4)]
+        ids, order, hashes, texts = columns[0], columns[1].to_numpy(), columns[2].to_numpy(), columns[3]
+        folded = [b" ".join(fold_words(t or "")) for t in texts.to_pylist()]
+        words = Words(folded)
         rows: list[tuple] = []
         docs: list[int] = []
         maps: dict[int, tuple[str, list[int]]] = {}
@@ -155,7 +156,7 @@ def _scan(batches: Iterator[pa.RecordBatch], blocks: list[str]) -> Iterator[pa.R
                 for q, d, begin in zip(quotes.tolist(), np.searchsorted(words.upto, begins, "right").tolist(), begins.tolist()):
                     if order[d] >= first[q] and (q, int(hashes[d])) not in sought.cited:
                         continue
-                    quote = sought.quotes[q]
+                    quote = sought.quotes[q].encode()
                     hit = int(words.start[begin] - words.text_start[d]) - 1 - int(sought.first_chars[q])
                     if hit < 0 or not folded[d].startswith(quote, hit):
                         continue  # its first or last word is no part of the words there
@@ -202,7 +203,7 @@ def relocate(lost: DataFrame, docs: DataFrame) -> DataFrame:
     paths = sorted(blocks.inputFiles()) if chars else []
     kind = docs.schema["doc_id"].dataType.simpleString()
     arrow_batches(spark)
-    rows = docs.select("doc_id", F.col("doc_order").cast("long").alias("doc_order"), F.xxhash64("doc_id").alias("hash"), "text", fold(F.col("text")).alias("folded"))
+    rows = docs.select("doc_id", F.col("doc_order").cast("long").alias("doc_order"), F.xxhash64("doc_id").alias("hash"), F.make_valid_utf8("text").alias("text"))
     rows = rows if paths else rows.limit(0)
     found = saved(rows.mapInArrow(lambda batches: _scan(batches, paths), _FOUND.format(kind)), "found")
     place = F.struct("doc_order", "doc_id", "hit", "span_start", "span_end", "source_text")
