@@ -7,12 +7,13 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -173,12 +174,57 @@ def tokens(folded: Column) -> Column:
 _WEIGHTLESS = frozenset(w.encode() for w in STOPWORDS)
 
 
+#: Words that are no tokens: those, and all of one character.
+_LIGHT = _WEIGHTLESS | {char.encode() for char in "abcdefghijklmnopqrstuvwxyz0123456789"}
+
+
 @F.arrow_udf(T.ArrayType(T.StringType()))
 def _terms(texts: pa.Array) -> pa.Array:
-    rows = [None if t is None else [w for w in fold_words(t) if len(w) > 1 and w not in _WEIGHTLESS] for t in texts.to_pylist()]
+    rows = [None if t is None else [w for w in fold_words(t) if w not in _LIGHT] for t in texts.to_pylist()]
     return pa.array(rows, pa.list_(pa.string()))
 
 
+class AskedTerms:
+    """Terms that are asked for, to be counted in many texts at once; within tasks."""
+
+    def __init__(self, terms: Iterable[str]):
+        self.terms = pa.array(sorted(set(terms)), pa.string())
+        light = sorted(_LIGHT)
+        self.light = len(light)
+        self.known = pa.array([w + b" " for w in [*light, *(t.encode() for t in self.terms.to_pylist())]], pa.binary())
+
+    def counted(self, texts: list[str | None], together: int = 512) -> tuple[pa.Array, pa.Array]:
+        """Those of each text's :func:`tokens` that are asked for, and how many tokens it has in all; null for a null text."""
+        # so many at a time that what is worked on stays near the processor
+        lists, lengths = zip(*(self._counted(texts[i : i + together]) for i in range(0, len(texts) or 1, together)))
+        return pa.concat_arrays(lists), pa.concat_arrays(lengths)
+
+    def _counted(self, texts: list[str | None]) -> tuple[pa.Array, pa.Array]:
+        _, table, several, many = _code_tables()
+        null = np.array([t is None for t in texts], bool)
+        given = [several.sub(lambda found: many[found[0]], t) if t and not t.isascii() else t or "" for t in texts]
+        codes = np.frombuffer(" ".join([*given, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+        folded = table[np.minimum(codes, 0x10000)]
+        folded[np.cumsum([len(t) + 1 for t in given], dtype=np.int64) - 1] = 10  # what stands after a text
+        folded = folded[folded != 0]
+        within = folded > 32
+        after = np.concatenate([[False], within[:-1]])[: len(within)] & ~within  # the place after a word
+        upto = np.cumsum(after, dtype=np.int32)[folded == 10]  # words up to the end of each text
+        raw = folded[within | after]
+        raw[raw == 10] = 32
+        offsets = np.concatenate([[0], np.flatnonzero(raw == 32) + 1]).astype(np.int32)
+        words = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(raw)])
+        code = pc.fill_null(pc.index_in(words, self.known), -1).to_numpy()
+        found = np.flatnonzero(code >= self.light)
+        ends = np.concatenate([[0], np.searchsorted(found, upto)])
+        terms = self.terms.take(pa.array(code[found] - self.light))
+        light = np.cumsum((code >= 0) & (code < self.light), dtype=np.int32)
+        light = np.concatenate([[0], light])[upto]
+        length = np.diff(upto - light, prepend=0)
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), terms, mask=pa.array(null) if null.any() else None)
+        return lists, pa.array(length, pa.int32(), mask=null)
+
+
 def terms_of(text: Column) -> Column:
     """:func:`tokens` of a table's texts, folded, worked out in Python; it can't stand within a lambda."""
     return _terms(F.make_valid_utf8(text))
@@ -230,33 +276,66 @@ def sentences(text: Column) -> Column:
 _STOP = re.compile(rf"[.!?\n](?:(?<!\n){_RUN}*+|(?<=\n)(?=[ \t]*\r?\n))")
 _SHORT = re.compile(rf"(?<![A-Za-z])(?:[A-Za-z]|(?i:{'|'.join(ABBREVIATIONS)}))\Z", re.ASCII)
 _LONGEST = max(map(len, ABBREVIATIONS))
+#: What an abbreviation's last two letters are: after any other two letters a full stop needs no further look.
+_LAST_TWO = frozenset(a[-2:] for a in ABBREVIATIONS)
+_MARKS, _RUNS = re.compile("[.!?]"), frozenset(char for char in map(chr, range(0x10000)) if re.match(_RUN, char))
+
+
+def _is_short(text: str, stop: int) -> bool:
+    """Whether an initial or an abbreviation ends at a full stop."""
+    two = text[max(0, stop - 2) : stop]
+    if len(two) == 2 and two.isascii() and two.isalpha() and two.lower() not in _LAST_TWO:
+        return False
+    return _SHORT.search(text, max(0, stop - _LONGEST), stop) is not None
+
+
+def sentence_ends(text: str, start: int = 0) -> Iterator[int]:
+    """Where a text is cut into sentences, its end at last; from ``start``, which no run of terminators goes across."""
+    for found in _STOP.finditer(text, start):
+        first, end = found.span()
+        mark = text[first]
+        if mark == "\n":
+            yield first
+        elif end == len(text) or text[end] in _SPACES:
+            if mark != "." or end > first + 1 and _MARKS.search(text, first + 1, end) or not _is_short(text, first):
+                yield end
+    yield len(text)
+
+
+def ends_around(text: str, at: int, goal: int) -> tuple[int, int]:
+    """Of the places where a text is cut, ``at`` among them, the last up to ``goal`` and the first after it; only what is near is looked at."""
+    goal, width = max(at, goal), 256
+    while True:
+        low, last = max(at, goal - width), at
+        while low > at and text[low - 1] in _RUNS:
+            low -= 1
+        for end in sentence_ends(text, low):
+            if end > goal:
+                break
+            last = end
+        if last > at or low == at:
+            return last, end
+        width *= 4
 
 
 def sentence_spans(text: str) -> list[tuple[int, int]]:
     """Where a text's sentences lie, as :func:`sentences` finds them; each character is looked at a fixed number of times."""
     text = text.replace(MARK, " ")
     spans, at = [], 0
-
-    def cut(end: int) -> None:
-        nonlocal at
-        piece = text[at:end]
-        rest = piece.lstrip(_SPACES)
-        if rest:
-            spans.append((end - len(rest), end - len(rest) + len(rest.rstrip(_SPACES))))
+    for end in sentence_ends(text):
+        low, high = stripped(text, at, end)
+        if low < high:
+            spans.append((low, high))
         at = end
-
-    for found in _STOP.finditer(text):
-        first, end = found.span()
-        if text[first] == "\n":
-            cut(first)
-        elif end == len(text) or text[end] in _SPACES:
-            alone = text[first] == "." and not (end > first + 1 and re.search("[.!?]", text[first + 1 : end]))
-            if not (alone and _SHORT.search(text, max(0, first - _LONGEST), first)):
-                cut(end)
-    cut(len(text))
     return spans
 
 
+def stripped(text: str, start: int, end: int) -> tuple[int, int]:
+    """A span without the blanks at either end; empty if there is nothing else."""
+    rest = text[start:end].lstrip(_SPACES)
+    return end - len(rest), end - len(rest) + len(rest.rstrip(_SPACES))
+
+
 def listed(rows: Iterable[list[tuple] | None], **kinds: pa.DataType) -> pa.Array:
     """Lists of tuples as an array of lists of structs; None as null."""
     rows = list(rows)

@@ -10,42 +10,62 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import CHUNK_MIN, CHUNK_OVERLAP, CHUNK_TARGET
-from ..functions.text import MARK, by_text, is_blank, sentence_spans
+from ..functions.text import MARK, by_text, ends_around, is_blank, sentence_ends, stripped
 from ..sources.tables import arrow_batches
 from .numbering import as_ranges, numbered
+from .scoring import held_terms
 
 _GAP = re.compile(r"\n[ \t]*\r?\n")
 
 
-def segments(text: str, longest: int = CHUNK_TARGET) -> Iterator[tuple[int, int]]:
-    """Spans that passages are made of: paragraphs, or the sentences of a long one, or slices of one that has none."""
-    text = text.replace(MARK, " ")
-    gaps = [found.span() for found in _GAP.finditer(text)]
-    for start, end in zip([0, *(z for _, z in gaps)], [*(a for a, _ in gaps), len(text)]):
-        piece = text[start:end]
-        if is_blank(piece):
-            continue
-        if len(piece) <= longest:
-            yield start, end
-            continue
-        found = sentence_spans(piece)
-        if len(found) <= 1:
-            found = [(a, min(a + longest, len(piece))) for a in range(0, len(piece), longest)]
-            found = [(a, z) for a, z in found if not is_blank(piece[a:z])]
-        yield from ((start + a, start + z) for a, z in found)
-
-
 def spans_of(text: str, target: int, overlap: int, least: int) -> list[tuple[int, int]]:
-    """Spans of a text's passages, see :func:`chunk_spans`."""
+    """Spans of a text's passages, see :func:`chunk_spans`.
+
+    Segments are paragraphs, or the sentences of a long one, or slices of one
+    that has none.  Of a long paragraph's sentences only those are told apart that
+    lie where a passage ends.
+    """
+    text = text.replace(MARK, " ")
     done: list[tuple[int, int]] = []
     start, end = 0, -1
-    for low, high in segments(text, target):
+
+    def add(low: int, high: int) -> None:
+        """The next segment."""
+        nonlocal start, end
         if end == -1:
             start = low
         elif high - start > target:
             done.append((start, end))
             start = min(max(start, end - overlap), low)
         end = high
+
+    gaps = [found.span() for found in _GAP.finditer(text)]
+    for first, last in zip([0, *(z for _, z in gaps)], [*(a for a, _ in gaps), len(text)]):
+        piece = text[first:last]
+        low, high = stripped(piece, 0, len(piece))
+        if low == high:
+            continue
+        if len(piece) <= target:
+            add(first, last)
+            continue
+        at = next(e for e in sentence_ends(piece) if e > low)  # the end of the first sentence
+        if at >= high:
+            for a in range(0, len(piece), target):
+                if not is_blank(piece[a : a + target]):
+                    add(first + a, min(first + a + target, last))
+            continue
+        add(first + low, first + stripped(piece, low, at)[1])
+        while at < high:
+            room = start + target - first
+            if high <= room:
+                add(first + high, first + high)  # all that is left
+                break
+            before, after = ends_around(piece, at, room)
+            for a, z in ((at, before), (before, after)):
+                a, z = stripped(piece, a, z)
+                if a < z:
+                    add(first + a, first + z)
+            at = after
     if end == -1:
         return done
     if done and end - start < least:
@@ -87,27 +107,37 @@ def _summed_before(rows: DataFrame, order: str, value: str, into: str, stride: i
     return summed.join(bases, part).withColumn(into, F.col(base) + F.col(within)).drop(part, base, within)
 
 
-def chunk_documents(docs: DataFrame, target: int = CHUNK_TARGET, overlap: int = CHUNK_OVERLAP, least: int = CHUNK_MIN) -> DataFrame:
+def chunk_documents(docs: DataFrame, target: int = CHUNK_TARGET, overlap: int = CHUNK_OVERLAP, least: int = CHUNK_MIN, asked: list[str] | None = None) -> DataFrame:
     """Passages of docs (doc_id, doc_order, title, text): chunk_id, doc_id, doc_order, doc_title, index, start, end, text.
 
     Ids are ``<doc_id>#<index>``; :func:`number_chunks` numbers a whole corpus.
     A document's passages are made where it lies; only documents out of order are
-    dealt by ranges of it first.
+    dealt by ranges of it first.  With ``asked`` (``retrieval.asked_files``) they
+    have the columns terms and length of ``retrieval.indexed`` besides, counted
+    in the same pass.
     """
     arrow_batches(docs.sparkSession)
     docs = as_ranges(docs, "doc_order")
-    # outer, as a plain explode makes Spark compute the spans twice, to filter out empty ones first
-    spans = docs.select("doc_id", "doc_order", "title", "text", F.posexplode_outer(chunk_spans(F.col("text"), target, overlap, least)).alias("index", "span")).where("span is not null")
-    return spans.select(
-        F.concat(F.col("doc_id").cast("string"), F.lit("#"), F.col("index").cast("string")).alias("chunk_id"),
-        "doc_id",
-        "doc_order",
-        F.col("title").alias("doc_title"),
-        "index",
-        F.col("span.start").alias("start"),
-        F.col("span.end").alias("end"),
-        F.col("text").substr(F.col("span.start") + 1, F.col("span.end") - F.col("span.start")).alias("text"),
-    )
+    rows = docs.select("doc_id", "doc_order", F.col("title").alias("doc_title"), F.make_valid_utf8("text").alias("text"))
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in rows.columns[:3]} | {"index": "int", "start": "int", "end": "int", "text": "string"}
+    paths = None if asked is None else tuple(asked)
+    if paths is not None:
+        kinds |= {"terms": "array<string>", "length": "int"}
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(3).to_pylist()
+            spans = [spans_of(t, target, overlap, least) if t else [] for t in texts]
+            cut = [t[a:z] for t, own in zip(texts, spans) for a, z in own]
+            row = pa.array([i for i, own in enumerate(spans) for _ in own], pa.int64())
+            numbers = [[i for own in spans for i in range(len(own))], [a for own in spans for a, _ in own], [z for own in spans for _, z in own]]
+            columns = [*(batch.column(i).take(row) for i in range(3)), *(pa.array(n, pa.int32()) for n in numbers), pa.array(cut, pa.string())]
+            if paths is not None:
+                columns += held_terms(paths).counted(cut)
+            yield pa.RecordBatch.from_arrays(columns, list(kinds))
+
+    found = rows.mapInArrow(scan, ", ".join(f"`{c}` {kind}" for c, kind in kinds.items()))
+    return found.select(F.concat(F.col("doc_id").cast("string"), F.lit("#"), F.col("index").cast("string")).alias("chunk_id"), *found.columns)
 
 
 def number_chunks(chunks: DataFrame, first: int = 0) -> DataFrame:

@@ -2,27 +2,49 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..constants import COVERAGE_FLOOR, TOP_K
 from ..functions.text import fold, terms_of, tokens
 from ..sources.tables import arrow_batches, saved
-from .scoring import asked_blocks, best_passages, ranks
+from .scoring import asked_blocks, best_passages, held_terms, ranks, term_files
 
 
 def idf(n: Column, df: Column) -> Column:
     return F.greatest(F.lit(0.0), F.ln(1 + (n - df + 0.5) / (df + 0.5)))
 
 
-def indexed(chunks: DataFrame, id_col: str = "chunk_id", order_cols: tuple[str, ...] = ("doc_order", "index")) -> DataFrame:
-    """(chunk_id, place, terms, length) of each passage; ``place`` orders passages as documents do."""
+_COUNTED = T.StructType([T.StructField("terms", T.ArrayType(T.StringType())), T.StructField("length", T.IntegerType())])
+
+
+def indexed(chunks: DataFrame, id_col: str = "chunk_id", order_cols: tuple[str, ...] = ("doc_order", "index"), asked: list[str] | None = None) -> DataFrame:
+    """(chunk_id, place, terms, length) of each passage; ``place`` orders passages as documents do.
+
+    With ``asked``, files of :func:`asked_files`, ``terms`` are those that questions
+    ask for alone, which are few beside all; ``length`` counts all.  Passages that
+    were cut with them (``chunk_documents``) have both already.
+    """
     arrow_batches(chunks.sparkSession)
-    return chunks.select(
-        F.col(id_col).alias("chunk_id"),
-        F.struct(*order_cols).alias("place"),
-        terms_of(F.col("text")).alias("terms"),
-    ).withColumn("length", F.size("terms"))
+    named = [F.col(id_col).alias("chunk_id"), F.struct(*order_cols).alias("place")]
+    if {"terms", "length"} <= set(chunks.columns):
+        return chunks.select(*named, "terms", "length")
+    if asked is None:
+        return chunks.select(*named, terms_of(F.col("text")).alias("terms")).withColumn("length", F.size("terms"))
+    paths = tuple(asked)
+
+    @F.arrow_udf(_COUNTED)
+    def counted(texts: pa.Array) -> pa.Array:
+        return pa.StructArray.from_arrays(held_terms(paths).counted(texts.to_pylist()), ["terms", "length"])
+
+    return chunks.select(*named, counted(F.make_valid_utf8("text")).alias("c")).select("chunk_id", "place", "c.terms", "c.length")
+
+
+def asked_files(questions: DataFrame) -> list[str] | None:
+    """Files of the terms of questions, for :func:`indexed`; None, which is for all terms, where they are very many."""
+    return term_files(asked_terms(questions))
 
 
 def corpus_stats(index: DataFrame) -> DataFrame:
@@ -59,7 +81,7 @@ def search(index: DataFrame, questions: DataFrame, top_k: int = TOP_K) -> DataFr
     For batch after batch, :mod:`quoteloom.operators.stored_index` keeps postings.
     """
     asked = saved(asked_terms(questions), "asked")
-    held = index.select(F.explode_outer(F.array_distinct("terms")).alias("term"))  # outer: see chunk_documents
+    held = index.select(F.explode_outer(F.array_distinct("terms")).alias("term"))  # outer, as a plain explode makes Spark compute the terms twice, to filter out empty ones first
     df = held.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
     paths = asked_blocks(weighted(asked, df, corpus_stats(index)))
     found = best_passages(index, paths, asked.schema["question_id"].dataType.simpleString(), top_k)

@@ -9,6 +9,7 @@ rows, in the order of its terms.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,10 +19,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import BM25_B, BM25_K1
+from ..functions.text import AskedTerms
 from ..sources.tables import arrow_batches, open_input, saved
 
 #: Terms of questions in a block, passages in a slice, and bytes of passages that go through the blocks together where there are several.
 BLOCK_TERMS, SLICE, GROUP_BYTES = 4_096, 512, 32_000_000
+#: Terms asked for that a task holds, at most; where there are more, an index has all terms.
+HELD_TERMS = 500_000
 #: Scores that are equal to so many places are ties, which keep document order.
 TIE_PLACES = 1e9
 
@@ -33,6 +37,22 @@ def asked_blocks(weighted: DataFrame) -> list[str]:
     return sorted(blocks.inputFiles())
 
 
+def term_files(terms: DataFrame) -> list[str] | None:
+    """Files of the different terms (term) that are asked for; None where they are too many for a task to hold."""
+    held = saved(terms.select("term").distinct(), "asked-terms")
+    return sorted(held.inputFiles()) if held.count() <= HELD_TERMS else None
+
+
+@lru_cache(maxsize=1)
+def held_terms(paths: tuple[str, ...]) -> AskedTerms:
+    """The terms of :func:`term_files`, within tasks; a worker keeps those of one batch of questions."""
+    found: list[str] = []
+    for path in paths:
+        with open_input(path) as source:
+            found += pq.ParquetFile(source).read()["term"].to_pylist()
+    return AskedTerms(found)
+
+
 class Asked:
     """A block of questions: the places of each one's terms in the matrix of terms."""
 
